@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe
+from spendspark.llm import bpe, secrets, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scan": secrets.op3,
+        "op5_url_filter": url_filter.op5,
         "op9_bpe_round_trip": bpe.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.SQL,
+    }
