@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, secrets, url_filter
+from spendspark.llm import bpe, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.op3,
         "op5_url_filter": url_filter.op5,
         "op9_bpe_round_trip": bpe.op9,
+        "op10_toxicity": toxicity.op10,
     }
 
 
