@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, secrets, toxicity, url_filter
+from spendspark.llm import bpe, near_dedup, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secret_scan": secrets.op3,
+        "op4_near_dedup": near_dedup.op4,
         "op5_url_filter": url_filter.op5,
         "op9_bpe_round_trip": bpe.op9,
         "op10_toxicity": toxicity.op10,
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_dedup": near_dedup.op4,
         "op5_url_filter": url_filter.SQL,
     }
