@@ -123,7 +123,11 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     marked = F.zip_with(keys, F.slice(keys, 2, size), lambda a, b: F.when(alike(a, b), F.array(place(a), place(b))))
     repeats = F.array_sort(F.array_distinct(F.flatten(F.filter(marked, lambda m: m.isNotNull()))))
     names = [*BASE[:-1], "n_lines", "n_upper", "n_shouts", "n_digits", "n_distinct_words", "n_short_words"]
-    return measured.select(*kept, *names, repeats.alias("__repeats")).select(*kept, *names, _covered(F.col("__repeats")).cast("long").alias("n_repeat_words"))
+    done = measured.select(*kept, *names, repeats.alias("__repeats"))
+    whole = F.struct(*names, _covered(F.col("__repeats")).cast("long").alias("n_repeat_words"))
+    # A generated row keeps later filters from being pushed below, where each would compute all statistics again, even
+    # inside the lambdas above.
+    return done.select(*kept, F.explode(F.array(whole)).alias("__s")).select(*kept, "__s.*")
 
 
 def base_failed() -> Column:
