@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, near_dedup, quality_rules, secrets, toxicity, url_filter
+from spendspark.llm import bpe, license_scan, near_dedup, quality_rules, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1,
+        "op2_license_scan": license_scan.op2,
         "op3_secret_scan": secrets.op3,
         "op4_near_dedup": near_dedup.op4,
         "op5_url_filter": url_filter.op5,
