@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 
 from spendspark.llm.common import arrow_columns, quoted, small_enough, table, written
 
-BANDS, ROWS, BATCH, MISS, BLOCK = 32, 5, 32, 1e-6, 4096
+BANDS, ROWS, BATCH, MISS, BLOCK = 32, 5, 32, 1e-6, 2048
+#: Shingles are told apart by so many bits in the test that precedes confirmation; it can only find too many in common.
+BITS = 20
 SIZE = BANDS * ROWS
 _BASE, _U = 0x9E3779B97F4A7C15 | 1, np.uint64
 
@@ -183,11 +185,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _may_reach(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` may reach the threshold with ``one``, by the low bits of all their shingles."""
+    if not others:
+        return np.zeros(0, dtype=bool)
+    there = np.zeros(1 << BITS, dtype=bool)
+    there[one] = True
+    sizes = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    common = np.add.reduceat(there[np.concatenate(others)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * common >= percent * (len(one) + sizes - common)
+
+
 def candidate_pairs(members: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """Pairs (x, y) of a bucket that the sequential test leaves.
 
     members: bucket, band, part_a, part_b, part, node, component, signature. With ``best_only`` each class is paired with the
-    earlier class that matches best; else with all classes of other components, each pair in its first common band only.
+    earlier class that matches best; else with all classes of other components, each pair in its first common band only and
+    if the low bits of their whole shingle sets (column ``low``) leave it possible.
     """
     least = least_matches(percent)
 
@@ -198,9 +212,11 @@ def candidate_pairs(members: DataFrame, percent: int, best_only: bool) -> DataFr
             a, b = run["part_a"][0].as_py(), run["part_b"][0].as_py()
             band = run["band"][0].as_py()
             node, component, part = (run[c].to_numpy() for c in ("node", "component", "part"))
+            lows = None if best_only else [np.frombuffer(x, dtype="<u4") for x in run["low"].to_pylist()]
             values = np.frombuffer(b"".join(run["signature"].to_pylist()), dtype="<u4").reshape(-1, SIZE)
             order = np.argsort(node, kind="stable")
             node, component, part, values = node[order], component[order], part[order], values[order]
+            lows = lows and [lows[k] for k in order]
             xs, ys = [], []
             for i in range(1, len(node)):
                 allowed = np.flatnonzero((component[:i] != component[i]) & ((part[:i] != part[i]) | (a == b)))
@@ -210,13 +226,14 @@ def candidate_pairs(members: DataFrame, percent: int, best_only: bool) -> DataFr
                 elif len(left):
                     same = (values[allowed[left], : band * ROWS] == values[i, : band * ROWS]).reshape(len(left), band, ROWS).all(axis=2).any(axis=1)
                     left = left[~same]
+                    left = left[_may_reach(lows[i], [lows[k] for k in allowed[left]], percent)]
                 xs.append(node[allowed[left]])
                 ys.append(np.full(len(left), node[i]))
             if xs and sum(map(len, xs)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
 
     dealt = members.repartition("bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b")
-    return dealt.select("bucket", "part_a", "part_b", "part", "band", "node", "component", "signature").mapInArrow(work, "x long, y long")
+    return dealt.select("bucket", "part_a", "part_b", "part", "band", "node", "component", "signature", *([] if best_only else ["low"])).mapInArrow(work, "x long, y long")
 
 
 def in_blocks(buckets: DataFrame) -> DataFrame:
@@ -264,16 +281,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text
 
         def run(texts):
             joined = [normalised(t) for t in texts]
-            return [[hashlib.md5(j, usedforsecurity=False).digest() if j else None for j in joined], [shingle_set(j, words, powers).view(np.int64) for j in joined]]
+            sets = [shingle_set(j, words, powers) for j in joined]
+            keys = [hashlib.md5(j, usedforsecurity=False).digest() if j else None for j in joined]
+            return [keys, [s.view(np.int64) for s in sets], [(s & _U((1 << BITS) - 1)).astype("<u4").tobytes() for s in sets]]
 
         return run
 
-    fields = [T.StructField("key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), False), False)]
+    fields = [T.StructField("key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), False), False), T.StructField("low", T.BinaryType(), False)]
     texts = docs.select(F.col(quoted(doc_id)).alias("node"), F.col(quoted(text)).alias("__text"))
     few = small_enough(wanted.select("node").distinct(), wanted.count(), 16)
     sets = arrow_columns(texts.join(few, "node", "left_semi"), "__text", fields, start)
     # Repeated rows of one class are met once.
-    return sets.groupBy("node", "key").agg(F.first("shingles").alias("shingles")).join(wanted, ["node", "key"], "left_semi")
+    return sets.groupBy("node", "key").agg(F.first(F.struct("shingles", "low")).alias("s")).select("node", "key", "s.*").join(wanted, ["node", "key"], "left_semi")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,7 +316,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     placed = signed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Buckets that lie within one component have nothing left to compare.
     open_ = placed.groupBy("bucket", "part_a", "part_b").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").drop("c", "d")
-    second = candidate_pairs(placed.join(open_, ["bucket", "part_a", "part_b"], "left_semi"), percent, best_only=False).distinct()
+    second = placed.join(open_, ["bucket", "part_a", "part_b"], "left_semi").join(sets.select("node", "low"), "node")
+    second = candidate_pairs(second, percent, best_only=False).distinct()
     links = links.unionAll(written(confirmed(second, sets, percent), "pairs"))
     final = connected(links)
 

@@ -52,7 +52,7 @@ def corpus():
     return list(zip(ids, texts)) + [(None, texts[3]), (None, None)]
 
 
-@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("block", [2048, 7])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
     rows = corpus()
