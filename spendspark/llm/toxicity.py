@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from spendspark.llm.common import arrow_columns, quoted, table
 
 SAMPLE_DOCS, WORDS_EACH, LEAST_DOCS, FOLDS, RIDGE = 20_000, 64, 3, 5, 1.0
+#: A threshold has to be right about so many of those that it rejects, out of fold; else the category rejects nothing.
+LEAST_PRECISION = 0.95
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,12 +79,16 @@ def _ridge_logistic(x: np.ndarray, y: np.ndarray, steps: int = 12) -> np.ndarray
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The midpoint between out-of-fold probabilities that gives the highest F1; ties go to the one nearest to a half."""
+    """The midpoint between out-of-fold probabilities that gives the highest F1 among those of LEAST_PRECISION; ties go to
+    the one nearest to a half."""
     if not y.any() or y.all():
         return 2.0  # nothing was learned: nothing is rejected
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
     cut = np.flatnonzero(np.append(p[:-1] > p[1:], True))
+    cut = cut[hits[cut] >= LEAST_PRECISION * (cut + 1)]
+    if not len(cut):
+        return 2.0
     f1 = 2 * hits[cut] / (cut + 1 + y.sum())
     middle = (p[cut] + np.append(p[1:], 0.0)[cut]) / 2
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
