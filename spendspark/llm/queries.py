@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, html_text, license_scan, near_dedup, packing, quality_rules, secrets, toxicity, url_filter
+from spendspark.llm import bpe, html_text, license_scan, media_copies, near_dedup, packing, quality_rules, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.op3,
         "op4_near_dedup": near_dedup.op4,
         "op5_url_filter": url_filter.op5,
+        "op6_media_copies": media_copies.op6,
         "op7_html_text": html_text.op7,
         "op8_best_fit_packing": packing.op8,
         "op9_bpe_round_trip": bpe.op9,
