@@ -91,13 +91,13 @@ def shingle_set(words: bytes, size: int, powers: _Powers) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """SIZE little-endian unsigned 32-bit minima."""
+    """The low 16 bits of SIZE minima, little-endian: equal minima stay equal, others meet once in 65,536."""
     a, b = _multipliers()
     low = np.full(SIZE, 0xFFFFFFFF, dtype=np.uint32)
     folded = (shingles >> _U(32)).astype(np.uint32)
     for i in range(0, len(folded), 1024):
         np.minimum(low, ((folded[None, i : i + 1024] ^ b[:, None]) * a[:, None]).min(axis=1), out=low)
-    return low.astype("<u4").tobytes()
+    return low.astype("<u2").tobytes()
 
 
 def least_matches(percent: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
 
 def band_rows(classes: DataFrame) -> DataFrame:
     """A row for each band of each class: bucket, band and node."""
-    width = 8 * ROWS
+    width = 4 * ROWS
     digits = F.hex("signature")
     values = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(digits, i * width + 1, F.lit(width))).alias("bucket")))
     return classes.select("node", F.explode(values).alias("b")).select("b.bucket", "b.band", "node")
@@ -213,7 +213,7 @@ def candidate_pairs(members: DataFrame, percent: int, best_only: bool) -> DataFr
             band = run["band"][0].as_py()
             node, component, part = (run[c].to_numpy() for c in ("node", "component", "part"))
             lows = None if best_only else [np.frombuffer(x, dtype="<u4") for x in run["low"].to_pylist()]
-            values = np.frombuffer(b"".join(run["signature"].to_pylist()), dtype="<u4").reshape(-1, SIZE)
+            values = np.frombuffer(b"".join(run["signature"].to_pylist()), dtype="<u2").reshape(-1, SIZE)
             order = np.argsort(node, kind="stable")
             node, component, part, values = node[order], component[order], part[order], values[order]
             lows = lows and [lows[k] for k in order]

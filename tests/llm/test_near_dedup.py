@@ -75,4 +75,4 @@ def test_bounds():
     least = N.least_matches(80)
     assert least[32] < 0.8 * 32 and 0.55 * 160 < least[160] < 0.72 * 160
     s = N.shingle_set(N.normalised("a b c d e " * 3), 4, N._Powers())
-    assert len(s) == 5 and len(N.signature(s)) == 4 * N.SIZE
+    assert len(s) == 5 and len(N.signature(s)) == 2 * N.SIZE
