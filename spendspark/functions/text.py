@@ -124,7 +124,7 @@ def excel_day(serial: Column) -> Column:
 
 def location_confidence(age_ms: Column) -> Column:
     age = F.greatest(age_ms, F.lit(0).cast("bigint"))
-    return F.when(age.isNull(), "NONE").when(age <= 120_000, "HIGH").when(age <= 600_000, "MEDIUM").when(age <= 3_600_000, "LOW").otherwise("NONE")
+    return F.when(age_ms.isNull(), "NONE").when(age <= 120_000, "HIGH").when(age <= 600_000, "MEDIUM").when(age <= 3_600_000, "LOW").otherwise("NONE")
 
 
 def narration_channel(text: Column) -> Column:

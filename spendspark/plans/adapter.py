@@ -56,7 +56,7 @@ def _case(names: list[str], index: str) -> str:
 
 _WAY = "CASE WHEN event_type IN ('signup', 'error') THEN 'CREDIT' ELSE 'DEBIT' END"
 _SOURCE = _case(R.CATEGORY_SOURCES, "((event_id // 15) % 5)")
-LIVE_SQL = f"""live AS (SELECT event_id AS id, event_id % 997 AS raw_id, epoch_ms(ts) AS occurred_at, CAST(round(value * 100) AS BIGINT) AS amount_paise, {_WAY} AS direction,
+LIVE_SQL = f"""live AS (SELECT event_id AS id, event_id % 997 AS raw_id, epoch_us(ts) // 1000 AS occurred_at, CAST(round(value * 100) AS BIGINT) AS amount_paise, {_WAY} AS direction,
   {_case(R.CHANNELS, '(event_id % 10)')} AS channel, CASE WHEN event_id % 17 <> 0 THEN lpad(props ->> '$.k', 4, '0') END AS account_tail,
   CASE WHEN event_id % 23 <> 0 THEN 'user ' || CAST(user_id % 40 AS VARCHAR) END AS merchant_norm,
   CASE WHEN event_id % 4 = 0 THEN 'REF' || lpad(CAST(event_id % 700 AS VARCHAR), 6, '0') END AS ref_no,
@@ -110,7 +110,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         i.alias("id"), sender.alias("sender"), pick(bodies).alias("body"), epoch_ms(F.col("ts")).alias("received_at"),
         expected.alias("exp_reason"), good(paise).alias("exp_amount"), good(pick(way)).alias("exp_direction"), good(pick(how)).alias("exp_channel"),
-        good(F.when(kind != 9, tail)).alias("exp_tail"), good(F.when(kind.isin(0, 1), ref)).alias("exp_ref"), good(F.when(kind.isin(0, 1, 2, 9), shop)).alias("exp_merchant"),
+        good(F.when(kind != 9, tail)).alias("exp_tail"), good(F.when(kind.isin(0, 1), ref)).alias("exp_ref"), good(F.when(kind.isin(0, 1, 2, 9), shop).when(kind == 6, "atm")).alias("exp_merchant"),
         good(F.when(kind == 1, 9950).when(kind == 2, 500_000)).cast("bigint").alias("exp_balance"),
     )
 
@@ -126,5 +126,5 @@ EXPECTED_SQL = f"""expected AS (SELECT event_id AS id,
   CASE WHEN {_BAD} THEN NULL ELSE CASE {_KIND} WHEN 0 THEN 'UPI' WHEN 1 THEN 'NEFT' WHEN 2 THEN 'CARD' WHEN 6 THEN 'ATM' ELSE 'UNKNOWN' END END AS channel,
   CASE WHEN {_BAD} OR {_KIND} = 9 THEN NULL ELSE lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') END AS account_tail,
   CASE WHEN {_BAD} OR {_KIND} NOT IN (0, 1) THEN NULL ELSE lpad(CAST(event_id % 1000000 AS VARCHAR), 12, '4') END AS ref_no,
-  CASE WHEN {_BAD} OR {_KIND} NOT IN (0, 1, 2, 9) THEN NULL ELSE 'shop' || CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END END AS merchant_norm,
+  CASE WHEN {_BAD} THEN NULL WHEN {_KIND} = 6 THEN 'atm' ELSE 'shop' || CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END END AS merchant_norm,
   CASE WHEN {_BAD} THEN NULL WHEN {_KIND} = 1 THEN 9950 WHEN {_KIND} = 2 THEN 500000 END AS balance_paise FROM events)"""
