@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Broadcasts are hinted only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
+#: Rows whose values are Python objects at the same time; an Arrow batch may hold many times as many.
+ROWS_AT_ONCE = 600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +68,12 @@ def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = start()
-        for batch in batches:
-            columns = run(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                columns = run(batch.column(batch.num_columns - 1).to_pylist())
+                arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return inputs.mapInArrow(work, schema)
 
