@@ -345,3 +345,17 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a similarity of 0.8."""
     out = components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same rows by joining all shingles and following links from every class. Quadratic in a shingle's documents, so for small tables only.
+SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+classes AS (SELECT ws, min(doc_id) AS node FROM words WHERE len(ws) > 0 AND doc_id IS NOT NULL GROUP BY ws),
+sets AS (SELECT node, list_distinct(CASE WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingles FROM classes),
+flat AS (SELECT node, len(shingles) AS n, hash(unnest(shingles)) AS h FROM sets),
+links AS (SELECT a.node AS x, b.node AS y FROM flat a JOIN flat b ON a.h = b.h AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(node, other) AS (SELECT node, node FROM sets UNION SELECT r.node, l.other FROM reach r JOIN (SELECT x AS node, y AS other FROM links UNION ALL SELECT y, x FROM links) l ON l.node = r.other),
+groups AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(len(s.shingles), 0) AS n_shingles, coalesce(g.component, w.doc_id) AS component_id, coalesce(g.component, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN classes c ON w.ws = c.ws LEFT JOIN sets s ON s.node = c.node LEFT JOIN groups g ON g.node = c.node"""

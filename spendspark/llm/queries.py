@@ -26,6 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_near_dedup": near_dedup.op4,
+        "op4_near_dedup": near_dedup.SQL,
         "op5_url_filter": url_filter.SQL,
     }
