@@ -1,17 +1,17 @@
 """Operator 7: main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines, one for each block of text. Containers that are never main text (menus, footers, adverts, ...) are
-left out by element, role and class. Lines inside an article or main element are main text. All other lines are open, and
-differencing decides: pages of a host are sorted by URL path, each page is paired with the neighbour whose path agrees
-longest, their lines are aligned by longest common subsequence, and open lines that both share are deleted. A neighbour that
-shares nearly all open lines is a copy and says nothing about the template; the next one is taken, of up to
-NEAR on each side, or none.
+left out by element, role and class. Of all other lines differencing decides: pages of a host are sorted by URL path, each
+page is paired with the neighbour whose path agrees longest, their lines are aligned by longest common subsequence, and lines
+that both share are deleted. To stand inside an article or main element is evidence for a line: it takes a second neighbour
+that shares it, too. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
+the template; the next one is taken, of up to NEAR on each side, or none.
 
 Pages are dealt by ranges of host and path, so a hot host is split; only line hashes are dealt, not text. A page next to a
 range's end has neighbours on its other side only. The deletions, few and small, are joined back by a key of the row.
 
 Cases: a null or empty html gives ''; long pages are read whole; a null url has an empty host and path; repeated rows are
-differenced once and all get the same text; a page alone on its host keeps its open lines; unclosed elements end with their
+differenced once and all get the same text; a page alone on its host keeps its article, or all lines; unclosed elements end with their
 parent or the page; extra columns pass through, those named like an output are replaced; an empty table gives an empty table.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from spendspark.llm.common import arrow_columns, quoted, small_enough, table, without, written
 from spendspark.llm.url_filter import host_of, path_of
 
-#: A neighbour that shares more than this part of a page's open lines is a copy of it.
-COPY_SHARE = 0.9
+#: A neighbour that shares more than this part of a page's text, or of the text in its article, is a copy of it.
+COPY_SHARE, ARTICLE_SHARE = 0.9, 0.5
 #: Neighbours on each side that are looked at, as the next ones may be copies; pages for a range.
 NEAR, PAGES_EACH = 4, 4000
 #: Rows of an alignment are kept for the way back up to so many bits; longer pages are aligned in halves.
@@ -127,17 +127,13 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def open_lines(lines: list[tuple[str, bool]]) -> list[bool]:
-    """Which lines differencing has to decide: all, unless the page marks its article; then none, as the rest is not main text."""
-    return [not any(inside for _, inside in lines)] * len(lines)
-
-
 def main_text(html: str | None, deleted: list[int] | None) -> str:
-    """The article's lines, or the open lines without the deleted ones, joined by blanks."""
+    """The lines without the deleted ones, joined by blanks. Where nothing was compared (None), the page's own evidence decides:
+    lines outside its article go, unless they hold more text than it."""
     lines = lines_of(html)
-    if any(inside for _, inside in lines):
-        return " ".join(line for line, inside in lines if inside)
     gone = set(deleted or ())
+    if deleted is None and 2 * sum(len(line) for line, inside in lines if inside) >= sum(len(line) for line, _ in lines):
+        gone = {i for i, (_, inside) in enumerate(lines) if not inside}
     return " ".join(line for i, (line, _) in enumerate(lines) if i not in gone)
 
 
@@ -192,10 +188,12 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return head + [low + i for i in middle] + tail
 
 
-def _shared(own: list[int], is_open: list[bool], other: list[int]) -> list[int] | None:
-    """Open lines shared with a neighbour; None if that is a copy."""
-    found = [i for i in common_subsequence(own, other) if is_open[i]]
-    return None if len(found) > COPY_SHARE * sum(is_open) else found
+def _shared(row: dict, other: dict) -> tuple[list[int], bool]:
+    """Lines of a page that it shares with another, and whether that is a copy of it."""
+    found, sizes, inside = common_subsequence(row["lines"], other["lines"]), row["sizes"], row["inside"]
+    if own := sum(n for n, i in zip(sizes, inside) if i):
+        return found, sum(sizes[i] for i in found if inside[i]) > ARTICLE_SHARE * own
+    return found, sum(sizes[i] for i in found) > COPY_SHARE * sum(sizes)
 
 
 def _agreeing(a: str, b: str) -> int:
@@ -207,18 +205,32 @@ def _agreeing(a: str, b: str) -> int:
     return n
 
 
+def _decided(row: dict, differing: Iterator[tuple[dict, list[int]]]) -> list[int] | None:
+    """Lines to delete, from neighbours that are no copies, nearest first, and what is shared with each; None without any.
+
+    One neighbour decides on a line outside an article; one inside is deleted if a second, no copy of the first, shares it too.
+    """
+    first, found = next(differing, (None, []))
+    if first is None:
+        return None
+    doubtful = {i for i in found if row["inside"][i]}
+    if doubtful:
+        second = next((shared for r, shared in differing if not _shared(first, r)[1]), [])
+        found = [i for i in found if i not in doubtful or i in second]
+    return found
+
+
 def deletions(pages: DataFrame) -> DataFrame:
-    """key and indexes of the lines to delete, from a table of pages: key, host, path, lines (hashes) and open."""
+    """key and indexes of the lines to delete, from a table of pages: key, host, path, and hashes, sizes and places of lines.
+
+    Pages with no line to delete are left out, but for those with lines in and outside an article that had a neighbour.
+    """
 
-    def judged(rows: list[dict], i: int) -> list[int]:
+    def judged(rows: list[dict], i: int) -> list[int] | None:
         row = rows[i]
-        if not any(row["open"]):
-            return []
         near = [r for r in (*rows[max(0, i - NEAR) : i][::-1], *rows[i + 1 : i + 1 + NEAR]) if r["host"] == row["host"]]
-        for r in sorted(near, key=lambda r: -_agreeing(r["path"], row["path"])):
-            if (found := _shared(row["lines"], row["open"], r["lines"])) is not None:
-                return found
-        return []
+        met = ((r, *_shared(row, r)) for r in sorted(near, key=lambda r: -_agreeing(r["path"], row["path"])))
+        return _decided(row, ((r, found) for r, found, copy in met if not copy))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: list[dict] = []  # the last NEAR judged rows, then those that wait for NEAR rows behind them
@@ -229,7 +241,8 @@ def deletions(pages: DataFrame) -> DataFrame:
             keys, gone = [], []
             while waiting > left:
                 i = len(window) - waiting
-                if found := judged(window, i):
+                found = judged(window, i)
+                if found or found is not None and len(set(window[i]["inside"])) > 1:
                     keys.append(window[i]["key"])
                     gone.append(found)
                 waiting -= 1
@@ -254,11 +267,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     def hashed(pages_: list) -> list:
         found = [lines_of(h) for h in pages_]
-        return [[[hash_of(line) for line, _ in lines] for lines in found], [open_lines(lines) for lines in found]]
+        return [[[hash_of(line) for line, _ in lines] for lines in found], [[len(line) for line, _ in lines] for lines in found], [[inside for _, inside in lines] for lines in found]]
 
     key = F.md5(F.concat(F.coalesce(F.col(quoted(url)), F.lit("")), F.lit("\x00"), F.coalesce(F.col(quoted(html)), F.lit(""))))
     small = pages.select(key.alias("key"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), F.col(quoted(html)).alias("__html"))
-    lines = arrow_columns(small, "__html", [T.StructField("lines", T.ArrayType(T.LongType(), False), False), T.StructField("open", T.ArrayType(T.BooleanType(), False), False)], lambda: hashed)
+    kinds = {"lines": T.LongType(), "sizes": T.IntegerType(), "inside": T.BooleanType()}
+    lines = arrow_columns(small, "__html", [T.StructField(n, T.ArrayType(k, False), False) for n, k in kinds.items()], lambda: hashed)
     gone = written(deletions(written(lines.drop("__html").dropDuplicates(["key"]), "page-lines")), "page-deletions")
 
     kept = [F.col(quoted(c)) for c in without(pages, ["text", "n_chars"]) if c != html]

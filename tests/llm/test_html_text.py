@@ -55,3 +55,21 @@ def test_query_cases(spark, tmp_path):
         assert by[10 + i] == f"Story {i} text More {i} Page {i}"
     assert by[20] == by[13]
     assert H.extract(pages.limit(0)).count() == 0 and H.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def texts_of(spark, pages):
+    rows = spark.createDataFrame(list(pages.items()), "url string, html string")
+    return {r.url: r.text for r in H.extract(rows).collect()}
+
+
+def test_pages_with_articles_are_differenced(spark):
+    whole = {f"http://a.org/{i}": f"<p>Site</p><article><h1>Title of {i}</h1><p>Share this page</p><p>Own text of page {i}</p></article>" for i in range(4)}
+    cards = {f"http://b.org/{i}": f"<p>Site</p><p>The long main text of page {i}</p><article>Teaser {i}</article><article>Teaser</article>" for i in range(4)}
+    got = texts_of(spark, whole | cards | {"http://c.org/": "<p>The main text</p><article>Card</article>"})
+    for i in range(4):
+        assert got[f"http://a.org/{i}"] == f"Title of {i} Own text of page {i}"
+        assert got[f"http://b.org/{i}"] == f"The long main text of page {i} Teaser {i}"
+    assert got["http://c.org/"] == "The main text Card"
+    # passages that two articles share are no template
+    quoted = {f"http://d.org/{i}": f"<article><p>Text {i} at some length</p>{'<p>A quoted passage</p>' if i in (1, 2) else ''}</article>" for i in range(4)}
+    assert texts_of(spark, quoted)["http://d.org/1"] == "Text 1 at some length A quoted passage"
