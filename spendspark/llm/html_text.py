@@ -5,10 +5,12 @@ left out by element, role and class. Of all other lines differencing decides: pa
 page is paired with the neighbour whose path agrees longest, their lines are aligned by longest common subsequence, and lines
 that both share are deleted. To stand inside an article or main element is evidence for a line: it takes a second neighbour
 that shares it, too. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
-the template; the next one is taken, of up to NEAR on each side, or none.
+the template; the next different one is taken, whatever the distance. Where a host has none, the nearest two decide if all
+three have text of their own beside the same shared lines.
 
-Pages are dealt by ranges of host and path, so a hot host is split; only line hashes are dealt, not text. A page next to a
-range's end has neighbours on its other side only. The deletions, few and small, are joined back by a key of the row.
+Pages of a host with the same lines are one class, judged once. Classes are dealt by ranges of host and path, so a hot host
+is split; only line hashes are dealt, not text. Copies that follow one another are one run, and the runs at a range's ends are
+carried to the next ranges. The deletions, few and small, are joined back by a key of the row.
 
 Cases: a null or empty html gives ''; long pages are read whole; a null url has an empty host and path; repeated rows are
 differenced once and all get the same text; a page alone on its host keeps its article, or all lines; unclosed elements end with their
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendspark.llm.common import arrow_columns, quoted, small_enough, table, without, written
+from spendspark.llm.common import ROWS_AT_ONCE, arrow_columns, quoted, small_enough, table, without, written
 from spendspark.llm.url_filter import host_of, path_of
 
 #: A neighbour that shares more than this part of a page's text, or of the text in its article, is a copy of it.
 COPY_SHARE, ARTICLE_SHARE = 0.9, 0.5
-#: Neighbours on each side that are looked at, as the next ones may be copies; pages for a range.
-NEAR, PAGES_EACH = 4, 4000
+#: Classes of pages for a range; runs at each end of a range that are carried to the next.
+PAGES_EACH, EDGE = 4000, 3
 #: Rows of an alignment are kept for the way back up to so many bits; longer pages are aligned in halves.
 ALIGN_BITS = 1 << 28
 #: Elements whose text is never shown or never main text.
@@ -220,46 +223,123 @@ def _decided(row: dict, differing: Iterator[tuple[dict, list[int]]]) -> list[int
     return found
 
 
+def _runs(rows: list[dict]) -> list[int]:
+    """First row of each run of rows that are copies of the one before, both ways, and the number of rows."""
+    starts = [i for i, row in enumerate(rows) if not i or row["host"] != rows[i - 1]["host"] or not (_shared(row, rows[i - 1])[1] and _shared(rows[i - 1], row)[1])]
+    return [*starts, len(rows)]
+
+
+def _judged(rows: list[dict], starts: list[int], run: int, i: int) -> list[int] | None:
+    """Lines of row ``i``, which is in ``run``, to delete; None if it has no differing neighbour."""
+    row = rows[i]
+
+    def beside(step: int) -> Iterator[tuple[int, dict, list[int]]]:
+        at = run + step
+        while 0 <= at < len(starts) - 1:
+            r = rows[starts[at] if step > 0 else starts[at + 1] - 1]
+            if r["host"] != row["host"]:
+                return
+            found, copy = _shared(row, r)
+            if not copy:
+                yield -_agreeing(r["path"], row["path"]), r, found
+            at += step
+
+    differing = ((r, found) for _, r, found in merge(beside(-1), beside(1), key=lambda x: x[0]))
+    found = _decided(row, differing)
+    return _alike(rows, i) if found is None else found
+
+
+def _alike(rows: list[dict], i: int) -> list[int] | None:
+    """Where all pages of a host seem copies: what the nearest two share is the template if each of the three has text of its own."""
+    row = rows[i]
+    near = [rows[j] for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(rows) and rows[j]["host"] == row["host"]][:2]
+    if len(near) < 2 or any(row["inside"]):
+        return None
+    found = common_subsequence(row["lines"], near[0]["lines"])
+    core = [row["lines"][i] for i in found]
+    for a, b in ((row, near[0]), (near[0], row), (near[1], row), (near[1], near[0])):
+        shared = set(common_subsequence(a["lines"], b["lines"]))
+        own = [n for i, n in enumerate(a["sizes"]) if i not in shared]
+        # A counter or a date is no text of its own: that is no shorter than the shared lines on an average.
+        if [a["lines"][i] for i in sorted(shared)] != core or not own or sum(own) * len(core) < sum(a["sizes"][i] for i in shared) * len(own):
+            return None
+    return found
+
+
+_LAID = "key string, host string, path string, lines array<bigint>, sizes array<int>, inside array<boolean>, part int, run int, role string"
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's rows, and once more those at its edges: the first row of its first runs, the last row of its last runs."""
+    from pyspark import TaskContext
+
+    rows = [r for b in batches for r in b.to_pylist()]
+    starts, part = _runs(rows), TaskContext.get().partitionId()
+    run = [k for k, (a, b) in enumerate(zip(starts, starts[1:])) for _ in range(a, b)]
+    at = [(i, "page") for i in range(len(rows))]
+    if rows:
+        at += [(a, "head") for a in starts[:-1][:EDGE]] + [(b - 1, "tail") for b in starts[1:][-EDGE:]]
+    schema = pa.schema([("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_())), ("part", pa.int32()), ("run", pa.int32()), ("role", pa.string())])
+    for k in range(0, len(at), ROWS_AT_ONCE):
+        yield pa.RecordBatch.from_pylist([rows[i] | {"part": part, "run": run[i], "role": role} for i, role in at[k : k + ROWS_AT_ONCE]], schema=schema)
+
+
+def _carried(ranges: list) -> list[tuple[int, str, int]]:
+    """(range, role, range to carry to): the edge rows that a range needs, from next ranges on to one with another run.
+
+    Of ranges that are one run each, those between the nearest and the furthest say nothing more and are left out.
+    """
+    out = []
+    for step, role in ((-1, "tail"), (1, "head")):
+        order = ranges if step > 0 else ranges[::-1]
+        end = [0] * len(order)  # where a chain of ranges of one run, all on one host, ends
+        for k in range(len(order) - 1, -1, -1):
+            goes_on = k + 1 < len(order) and order[k]["runs"] == 1 and order[k + 1]["first_host"] == order[k]["last_host"] == order[k + 1]["last_host"] and order[k + 1]["runs"] == 1
+            end[k] = end[k + 1] if goes_on else k
+        for k, r in enumerate(order[:-1]):
+            host = r["last_host"] if step > 0 else r["first_host"]
+            wanted = {k + 1, end[k + 1]} | ({end[k + 1] + 1} if order[k + 1]["runs"] == 1 and end[k + 1] + 1 < len(order) else set())
+            out += [(order[j]["part"], role, r["part"]) for j in sorted(wanted) if host in (order[j]["first_host"], order[j]["last_host"])]
+    return out
+
+
 def deletions(pages: DataFrame) -> DataFrame:
     """key and indexes of the lines to delete, from a table of pages: key, host, path, and hashes, sizes and places of lines.
 
     Pages with no line to delete are left out, but for those with lines in and outside an article that had a neighbour.
     """
 
-    def judged(rows: list[dict], i: int) -> list[int] | None:
-        row = rows[i]
-        near = [r for r in (*rows[max(0, i - NEAR) : i][::-1], *rows[i + 1 : i + 1 + NEAR]) if r["host"] == row["host"]]
-        met = ((r, *_shared(row, r)) for r in sorted(near, key=lambda r: -_agreeing(r["path"], row["path"])))
-        return _decided(row, ((r, found) for r, found, copy in met if not copy))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: list[dict] = []  # the last NEAR judged rows, then those that wait for NEAR rows behind them
-        waiting = 0
-
-        def judge(left: int) -> tuple[list, list]:
-            nonlocal window, waiting
-            keys, gone = [], []
-            while waiting > left:
-                i = len(window) - waiting
-                found = judged(window, i)
-                if found or found is not None and len(set(window[i]["inside"])) > 1:
-                    keys.append(window[i]["key"])
-                    gone.append(found)
-                waiting -= 1
-            window = window[max(0, len(window) - waiting - NEAR) :]
-            return keys, gone
-
-        names = ["key", "deleted"]
-        made = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), pa.array(x[1], pa.list_(pa.int32()))], names=names)
+        def judge(rows: list[dict]) -> pa.RecordBatch:
+            keys, gone, starts = [], [], _runs(rows)
+            for run, (a, b) in enumerate(zip(starts, starts[1:])):
+                for i in range(a, b):
+                    if rows[i]["role"] == "page":
+                        found = _judged(rows, starts, run, i)
+                        if found or found is not None and len(set(rows[i]["inside"])) > 1:
+                            keys.append(rows[i]["key"])
+                            gone.append(found)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "deleted"])
+
+        held: list[dict] = []
         for batch in batches:
-            rows = batch.to_pylist()
-            window += rows
-            waiting += len(rows)
-            yield made(judge(NEAR))
-        yield made(judge(0))
+            for row in batch.to_pylist():
+                if held and held[0]["part"] != row["part"]:
+                    yield judge(held)
+                    held = []
+                held.append(row)
+        yield judge(held)
 
     parts = -(-pages.count() // PAGES_EACH) or 1
-    return pages.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(work, "key string, deleted array<int>")
+    order = ["host", "path", "key"]
+    laid = written(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "host", "path", "lines", "sizes", "inside").mapInArrow(_laid, _LAID), "page-ranges")
+    own = laid.where("role = 'page'")
+    ranges = own.groupBy("part").agg(F.min("host").alias("first_host"), F.max("host").alias("last_host"), (F.max("run") + 1).alias("runs")).orderBy("part").collect()
+    if moves := _carried(ranges):
+        to = pages.sparkSession.createDataFrame(moves, "part int, role string, to int")
+        edges = laid.where("role <> 'page'").join(small_enough(to, len(moves), 64), ["part", "role"]).drop("part").withColumnRenamed("to", "part")
+        own = own.unionByName(edges)
+    return own.repartition(max(1, len(ranges)), "part").sortWithinPartitions("part", *order).mapInArrow(work, "key string, deleted array<int>")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -273,12 +353,19 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     small = pages.select(key.alias("key"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), F.col(quoted(html)).alias("__html"))
     kinds = {"lines": T.LongType(), "sizes": T.IntegerType(), "inside": T.BooleanType()}
     lines = arrow_columns(small, "__html", [T.StructField(n, T.ArrayType(k, False), False) for n, k in kinds.items()], lambda: hashed)
-    gone = written(deletions(written(lines.drop("__html").dropDuplicates(["key"]), "page-lines")), "page-deletions")
+    # Pages with the same lines on one host are one class; the least key and path stand for it.
+    alike = F.md5(F.concat_ws(" ", "host", F.col("lines").cast("array<string>"), F.col("inside").cast("array<string>")))
+    lines = written(lines.where(F.size("lines") > 0).drop("__html").withColumn("class", alike), "page-lines")
+    least = F.min(F.struct("path", "key"))
+    classes = lines.groupBy("class").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("host", "lines", "sizes", "inside")])
+    gone = written(deletions(written(classes.select(F.col("class").alias("key"), "host", "least.path", "lines", "sizes", "inside"), "page-classes")), "page-deletions")
 
     kept = [F.col(quoted(c)) for c in without(pages, ["text", "n_chars"]) if c != html]
     given = pages.select(*kept, F.col(quoted(html)).alias("__html"), key.alias("__key"))
     n = gone.count()
     if n:  # without deletions the rows need not meet them
+        gone = lines.select("key", "class").distinct().join(small_enough(gone.withColumnRenamed("key", "class"), n, 512), "class")
+        n = (gone := written(gone, "page-deletions")).count()
         given = given.join(small_enough(gone.select(F.col("key").alias("__key"), "deleted"), n, 512), "__key", "left")
     else:
         given = given.withColumn("deleted", F.lit(None).cast("array<int>"))

@@ -73,3 +73,22 @@ def test_pages_with_articles_are_differenced(spark):
     # passages that two articles share are no template
     quoted = {f"http://d.org/{i}": f"<article><p>Text {i} at some length</p>{'<p>A quoted passage</p>' if i in (1, 2) else ''}</article>" for i in range(4)}
     assert texts_of(spark, quoted)["http://d.org/1"] == "Text 1 at some length A quoted passage"
+
+
+def test_copies_of_any_number_and_short_pages(spark, monkeypatch):
+    menu = "".join(f"<p>Menu {k}</p>" for k in range(20))
+    story = "".join(f"<p>Sentence {k} of the story</p>" for k in range(10))
+    pages = {f"http://a.org/b/{i:02}": f"<p>Site name</p>{story}<p>View {i}</p>" for i in range(14)} | {f"http://a.org/b/{i:02}?x=1": f"<p>Site name</p>{story}<p>Same</p>" for i in range(20)}
+    pages |= {"http://a.org/a": "<p>Site name</p><p>Another text altogether, long enough</p>", "http://a.org/c": "<p>Site name</p><p>A third text altogether, long enough</p>"}
+    pages |= {f"http://s.org/{i}": f"{menu}<p>Item no {i}</p>" for i in range(9)}
+    # near copies alone on a host say nothing about a template
+    pages |= {f"http://n.org/{i}": f"{story}<p>{i}</p>" for i in range(4)}
+    for each in (4000, 5, 1):
+        monkeypatch.setattr(H, "PAGES_EACH", each)
+        got = texts_of(spark, pages)
+        for i in range(14):
+            assert got[f"http://a.org/b/{i:02}"].startswith("Sentence 0") and got[f"http://a.org/b/{i:02}"].endswith(f"View {i}"), (each, i)
+        assert all(got[f"http://a.org/b/{i:02}?x=1"].endswith("story Same") and got[f"http://a.org/b/{i:02}?x=1"].startswith("Sentence") for i in range(20))
+        assert got["http://a.org/a"] == "Another text altogether, long enough" and got["http://a.org/c"] == "A third text altogether, long enough"
+        assert all(got[f"http://n.org/{i}"].startswith("Sentence 0") for i in range(4))
+        assert [got[f"http://s.org/{i}"] for i in range(9)] == [f"Item no {i}" for i in range(9)], each
