@@ -1,7 +1,8 @@
 """Operator 2: license scans by ordered signature rules.
 
-A text is lower-cased and reduced to its words. Signatures are regular expressions over that sequence of words; each has a
-keyword, and only signatures whose keyword occurs are tried, after one test that most texts don't pass. Detections that
+A text is lower-cased and reduced to its words. Signatures are regular expressions over that sequence of words; each has
+keywords, one of which each match holds, and only signatures with a keyword that occurs are tried, after one test that most
+texts don't pass. Detections that
 overlap are resolved by priority and containment: one that lies within another of higher priority, or within a longer one
 of the same priority, is suppressed. Base phrases are never suppressed. Only DataFrame functions are used, row by row, so
 there is no shuffle.
@@ -14,6 +15,7 @@ are replaced; an empty table gives an empty table. Places are word numbers from
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,109 +38,137 @@ SPDX, NOTICE, GRANT, NAME = 4, 3, 2, 1
 CONFIDENCE = {5: 1.0, SPDX: 1.0, NOTICE: 0.9, GRANT: 0.8, NAME: 0.6}
 _V = r"(?:version |v)?"
 
-#: label: (keyword, identifier after "spdx license identifier", name as a regular expression), all over lower-case words.
+#: Words that say little about which license a text names.
+_COMMON = {"license", "licen", "public", "software", "free", "general", "open", "source", "the", "version", "document"}
+
+#: label: (identifier after "spdx license identifier", name as a regular expression), all over lower-case words.
 LICENSES = {
-    "0bsd": ("bsd", "0bsd", "zero clause bsd license|bsd zero clause license|0 clause bsd license"),
-    "afl-3": ("academic", "afl 3 0", f"academic free license {_V}3(?: 0)?"),
-    "agpl-1": ("affero", "agpl 1 0(?: only| or later)?", f"affero general public license {_V}1(?: 0)?"),
-    "agpl-3": ("affero", "agpl 3 0(?: only| or later)?", f"(?:gnu )?affero general public license(?: as published by the free software foundation either)? {_V}3(?: 0)?|gnu agpl ?v?3(?: 0)?"),
-    "apache-1.1": ("apache", "apache 1 1", f"apache (?:software )?license {_V}1 1"),
-    "apache-2": ("apache", "apache 2 0", f"apache (?:software )?license {_V}2(?: 0)?|apache 2 0 license|apache 2 license|asl 2 0"),
-    "apsl-2": ("apple", "apsl 2 0", f"apple public source license {_V}2(?: 0)?"),
-    "artistic-1": ("artistic", "artistic 1 0(?: perl| cl8)?", f"artistic license {_V}1(?: 0)?"),
-    "artistic-2": ("artistic", "artistic 2 0", f"artistic license {_V}2(?: 0)?"),
-    "blueoak-1": ("oak", "blueoak 1 0 0", "blue oak model license(?: 1 0 0)?"),
-    "bsd-2-clause": ("bsd", "bsd 2 clause(?: patent| views)?", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: license)?"),
-    "bsd-3-clause": ("bsd", "bsd 3 clause(?: clear| lbnl| attribution)?", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
-    "bsd-4-clause": ("bsd", "bsd 4 clause(?: uc)?", "(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: license)?"),
-    "bsl-1": ("boost", "bsl 1 0", f"boost software license(?: {_V}1(?: 0)?)?"),
-    "busl-1.1": ("business", "busl 1 1", f"business source license(?: {_V}1 1)?"),
-    "cc-by": ("creative", "cc by [1-4] [05]", f"creative commons attribution(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)? license|cc by [1-4] [05]"),
-    "cc-by-sa": ("commons|cc by sa", "cc by sa [1-4] [05]", f"creative commons attribution share ?alike(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by sa(?: [1-4] [05])?"),
-    "cc-by-nd": ("commons|cc by nd", "cc by nd [1-4] [05]", f"creative commons attribution no ?deriv(?:ative)?s?(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nd(?: [1-4] [05])?"),
-    "cc-by-nc": ("commons|cc by nc", "cc by nc [1-4] [05]", f"creative commons attribution non ?commercial(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)? license|cc by nc [1-4] [05]"),
-    "cc-by-nc-sa": ("commons|cc by nc sa", "cc by nc sa [1-4] [05]", f"creative commons attribution non ?commercial share ?alike(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nc sa(?: [1-4] [05])?"),
-    "cc-by-nc-nd": ("commons|cc by nc nd", "cc by nc nd [1-4] [05]", f"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nc nd(?: [1-4] [05])?"),
-    "cc0": ("cc0", "cc0 1 0", "cc0(?: 1 0)?(?: universal)?"),
-    "cddl-1": ("cddl|distribution", "cddl 1 [01]", f"common development and distribution license(?: cddl)?(?: {_V}1(?: [01])?)?"),
-    "cecill-2": ("cecill", "cecill 2 [01]", f"cecill (?:free software )?license(?: {_V}2(?: [01])?)?"),
-    "cpal-1": ("attribution", "cpal 1 0", f"common public attribution license(?: {_V}1(?: 0)?)?"),
-    "cpl-1": ("common public", "cpl 1 0", f"common public license(?: {_V}1(?: 0)?)?"),
-    "ecl-2": ("educational", "ecl 2 0", f"educational community license(?: {_V}2(?: 0)?)?"),
-    "elastic-2": ("elastic", "elastic 2 0", f"elastic license(?: {_V}2(?: 0)?)?"),
-    "epl-1": ("eclipse", "epl 1 0", f"eclipse public license {_V}1(?: 0)?"),
-    "epl-2": ("eclipse", "epl 2 0", f"eclipse public license(?: {_V}2(?: 0)?)?"),
-    "eupl-1.2": ("european", "eupl 1 [12]", f"european union public licen[cs]e(?: {_V}1(?: [12])?)?"),
-    "gfdl-1.3": ("documentation", "gfdl 1 [123](?: only| or later)?", f"gnu free documentation license(?: {_V}1(?: [123])?)?"),
-    "gpl-1": ("gpl|general", "gpl 1 0(?: only| or later)?", f"gnu general public license {_V}1(?: 0)?|gpl ?v?1(?: 0)?"),
-    "gpl-2": ("gpl|general", "gpl 2 0(?: only| or later)?(?: with [a-z0-9 ]{1,40}exception)?", f"gnu general public license(?: as published by the free software foundation either)? {_V}2(?: 0)?|gnu gpl {_V}2(?: 0)?|gplv2|gpl 2(?: 0)?"),
-    "gpl-3": ("gpl|general", "gpl 3 0(?: only| or later)?(?: with [a-z0-9 ]{1,40}exception)?", f"gnu general public license(?: as published by the free software foundation either)? {_V}3(?: 0)?|gnu gpl {_V}3(?: 0)?|gplv3|gpl 3(?: 0)?"),
-    "hpnd": ("historical", "hpnd", "historical permission notice and disclaimer"),
-    "isc": ("isc", "isc", "isc license"),
-    "lgpl-2": ("library|lgpl", "lgpl 2 0(?: only| or later)?", f"gnu library general public license(?: {_V}2(?: 0)?)?|lgpl 2 0"),
-    "lgpl-2.1": ("lesser|lgpl", "lgpl 2 1(?: only| or later)?", f"gnu lesser general public license {_V}2 1|lgplv2 1|lgpl 2 1"),
-    "lgpl-3": ("lesser|lgpl", "lgpl 3 0(?: only| or later)?", f"gnu lesser general public license {_V}3(?: 0)?|lgplv3|lgpl 3(?: 0)?"),
-    "lppl-1.3": ("latex", "lppl 1 [0-3]c?", f"latex project public license(?: {_V}1(?: [0-3]c?)?)?"),
-    "mit": ("mit", "mit", "mit licen[cs]e|mit x11 license|expat license"),
-    "mit-0": ("mit", "mit 0", "mit no attribution(?: license)?|mit 0 license"),
-    "mpl-1.1": ("mozilla|mpl", "mpl 1 [01]", f"mozilla public license {_V}1(?: [01])?|mpl 1 1"),
-    "mpl-2": ("mozilla|mpl", "mpl 2 0(?: no copyleft exception)?", f"mozilla public license(?: {_V}2(?: 0)?)?|mpl ?v?2(?: 0)?"),
-    "ms-pl": ("microsoft", "ms pl", "microsoft public license"),
-    "ms-rl": ("microsoft", "ms rl", "microsoft reciprocal license"),
-    "ncsa": ("ncsa", "ncsa", "university of illinois ncsa open source license|ncsa open source license"),
-    "odbl-1": ("database", "odbl 1 0", f"open (?:data commons open )?database license(?: {_V}1(?: 0)?)?"),
-    "odc-by-1": ("data commons", "odc by 1 0", "open data commons attribution license"),
-    "ofl-1.1": ("font", "ofl 1 [01]", f"sil open font license(?: {_V}1(?: [01])?)?"),
-    "openssl": ("openssl", "openssl", "openssl license"),
-    "osl-3": ("open software", "osl 3 0", f"open software license(?: {_V}3(?: 0)?)?"),
-    "php-3": ("php", "php 3 01?", f"php license(?: {_V}3(?: 01?)?)?"),
-    "postgresql": ("postgresql", "postgresql", "postgresql license"),
-    "psf-2": ("python", "psf 2 0|python 2 0", f"python software foundation license(?: {_V}2)?|psf license"),
-    "ruby": ("ruby", "ruby", "ruby license"),
-    "sspl-1": ("server side", "sspl 1 0", f"server side public license(?: {_V}1)?"),
-    "unlicense": ("unlicense", "unlicense", "the unlicense"),
-    "upl-1": ("universal permissive", "upl 1 0", f"universal permissive license(?: {_V}1(?: 0)?)?"),
-    "vim": ("vim", "vim", "vim license"),
-    "w3c": ("w3c", "w3c(?: 20150513)?", "w3c (?:software|document)(?: notice and)?(?: license)?"),
-    "wtfpl": ("wtfpl|what the", "wtfpl", "wtfpl|do what the [a-z]+ you want to public license"),
-    "x11": ("x11", "x11", "x11 license"),
-    "zlib": ("zlib", "zlib", "zlib(?: libpng)? license"),
-    "zpl-2": ("zope", "zpl 2 [01]", f"zope public license(?: {_V}2(?: [01])?)?"),
-    "public-domain": ("public domain", "public domain", "public domain"),
-    "all-rights-reserved": ("rights", "licenseref all rights reserved", "all rights reserved"),
+    "0bsd": ("0bsd", "zero clause bsd license|bsd zero clause license|0 clause bsd license"),
+    "afl-3": ("afl 3 0", f"academic free license {_V}3(?: 0)?"),
+    "agpl-1": ("agpl 1 0(?: only| or later)?", f"affero general public license {_V}1(?: 0)?"),
+    "agpl-3": ("agpl 3 0(?: only| or later)?", f"(?:gnu )?affero general public license(?: as published by the free software foundation either)? {_V}3(?: 0)?|gnu agpl ?v?3(?: 0)?"),
+    "apache-1.1": ("apache 1 1", f"apache (?:software )?license {_V}1 1"),
+    "apache-2": ("apache 2 0", f"apache (?:software )?license {_V}2(?: 0)?|apache 2 0 license|apache 2 license|asl 2 0"),
+    "apsl-2": ("apsl 2 0", f"apple public source license {_V}2(?: 0)?"),
+    "artistic-1": ("artistic 1 0(?: perl| cl8)?", f"artistic license {_V}1(?: 0)?"),
+    "artistic-2": ("artistic 2 0", f"artistic license {_V}2(?: 0)?"),
+    "blueoak-1": ("blueoak 1 0 0", "blue oak model license(?: 1 0 0)?"),
+    "bsd-2-clause": ("bsd 2 clause(?: patent| views)?", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: license)?"),
+    "bsd-3-clause": ("bsd 3 clause(?: clear| lbnl| attribution)?", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
+    "bsd-4-clause": ("bsd 4 clause(?: uc)?", "(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: license)?"),
+    "bsl-1": ("bsl 1 0", f"boost software license(?: {_V}1(?: 0)?)?"),
+    "busl-1.1": ("busl 1 1", f"business source license(?: {_V}1 1)?"),
+    "cc-by": ("cc by [1-4] [05]", f"creative commons attribution(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)? license|cc by [1-4] [05]"),
+    "cc-by-sa": ("cc by sa [1-4] [05]", f"creative commons attribution share ?alike(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by sa(?: [1-4] [05])?"),
+    "cc-by-nd": ("cc by nd [1-4] [05]", f"creative commons attribution no ?deriv(?:ative)?s?(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nd(?: [1-4] [05])?"),
+    "cc-by-nc": ("cc by nc [1-4] [05]", f"creative commons attribution non ?commercial(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)? license|cc by nc [1-4] [05]"),
+    "cc-by-nc-sa": ("cc by nc sa [1-4] [05]", f"creative commons attribution non ?commercial share ?alike(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nc sa(?: [1-4] [05])?"),
+    "cc-by-nc-nd": ("cc by nc nd [1-4] [05]", f"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: {_V}[1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: license)?|cc by nc nd(?: [1-4] [05])?"),
+    "cc0": ("cc0 1 0", "cc0(?: 1 0)?(?: universal)?"),
+    "cddl-1": ("cddl 1 [01]", f"common development and distribution license(?: cddl)?(?: {_V}1(?: [01])?)?"),
+    "cecill-2": ("cecill 2 [01]", f"cecill (?:free software )?license(?: {_V}2(?: [01])?)?"),
+    "cpal-1": ("cpal 1 0", f"common public attribution license(?: {_V}1(?: 0)?)?"),
+    "cpl-1": ("cpl 1 0", f"common public license(?: {_V}1(?: 0)?)?"),
+    "ecl-2": ("ecl 2 0", f"educational community license(?: {_V}2(?: 0)?)?"),
+    "elastic-2": ("elastic 2 0", f"elastic license(?: {_V}2(?: 0)?)?"),
+    "epl-1": ("epl 1 0", f"eclipse public license {_V}1(?: 0)?"),
+    "epl-2": ("epl 2 0", f"eclipse public license(?: {_V}2(?: 0)?)?"),
+    "eupl-1.2": ("eupl 1 [12]", f"european union public licen[cs]e(?: {_V}1(?: [12])?)?"),
+    "gfdl-1.3": ("gfdl 1 [123](?: only| or later)?", f"gnu free documentation license(?: {_V}1(?: [123])?)?"),
+    "gpl-1": ("gpl 1 0(?: only| or later)?", f"gnu general public license {_V}1(?: 0)?|gpl ?v?1(?: 0)?"),
+    "gpl-2": ("gpl 2 0(?: only| or later)?(?: with [a-z0-9 ]{1,40}exception)?", f"gnu general public license(?: as published by the free software foundation either)? {_V}2(?: 0)?|gnu gpl {_V}2(?: 0)?|gplv2|gpl 2(?: 0)?"),
+    "gpl-3": ("gpl 3 0(?: only| or later)?(?: with [a-z0-9 ]{1,40}exception)?", f"gnu general public license(?: as published by the free software foundation either)? {_V}3(?: 0)?|gnu gpl {_V}3(?: 0)?|gplv3|gpl 3(?: 0)?"),
+    "hpnd": ("hpnd", "historical permission notice and disclaimer"),
+    "isc": ("isc", "isc license"),
+    "lgpl-2": ("lgpl 2 0(?: only| or later)?", f"gnu library general public license(?: {_V}2(?: 0)?)?|lgpl 2 0"),
+    "lgpl-2.1": ("lgpl 2 1(?: only| or later)?", f"gnu lesser general public license {_V}2 1|lgplv2 1|lgpl 2 1"),
+    "lgpl-3": ("lgpl 3 0(?: only| or later)?", f"gnu lesser general public license {_V}3(?: 0)?|lgplv3|lgpl 3(?: 0)?"),
+    "lppl-1.3": ("lppl 1 [0-3]c?", f"latex project public license(?: {_V}1(?: [0-3]c?)?)?"),
+    "mit": ("mit", "mit licen[cs]e|mit x11 license|expat license"),
+    "mit-0": ("mit 0", "mit no attribution(?: license)?|mit 0 license"),
+    "mpl-1.1": ("mpl 1 [01]", f"mozilla public license {_V}1(?: [01])?|mpl 1 1"),
+    "mpl-2": ("mpl 2 0(?: no copyleft exception)?", f"mozilla public license(?: {_V}2(?: 0)?)?|mpl ?v?2(?: 0)?"),
+    "ms-pl": ("ms pl", "microsoft public license"),
+    "ms-rl": ("ms rl", "microsoft reciprocal license"),
+    "ncsa": ("ncsa", "university of illinois ncsa open source license|ncsa open source license"),
+    "odbl-1": ("odbl 1 0", f"open (?:data commons open )?database license(?: {_V}1(?: 0)?)?"),
+    "odc-by-1": ("odc by 1 0", "open data commons attribution license"),
+    "ofl-1.1": ("ofl 1 [01]", f"sil open font license(?: {_V}1(?: [01])?)?"),
+    "openssl": ("openssl", "openssl license"),
+    "osl-3": ("osl 3 0", f"open software license(?: {_V}3(?: 0)?)?"),
+    "php-3": ("php 3 01?", f"php license(?: {_V}3(?: 01?)?)?"),
+    "postgresql": ("postgresql", "postgresql license"),
+    "psf-2": ("psf 2 0|python 2 0", f"python software foundation license(?: {_V}2)?|psf license"),
+    "ruby": ("ruby", "ruby license"),
+    "sspl-1": ("sspl 1 0", f"server side public license(?: {_V}1)?"),
+    "unlicense": ("unlicense", "the unlicense"),
+    "upl-1": ("upl 1 0", f"universal permissive license(?: {_V}1(?: 0)?)?"),
+    "vim": ("vim", "vim license"),
+    "w3c": ("w3c(?: 20150513)?", "w3c (?:software|document)(?: notice and)?(?: license)?"),
+    "wtfpl": ("wtfpl", "wtfpl|do what the [a-z]+ you want to public license"),
+    "x11": ("x11", "x11 license"),
+    "zlib": ("zlib", "zlib(?: libpng)? license"),
+    "zpl-2": ("zpl 2 [01]", f"zope public license(?: {_V}2(?: [01])?)?"),
+    "public-domain": ("public domain", "public domain"),
+    "all-rights-reserved": ("licenseref all rights reserved", "all rights reserved"),
 }
-#: Passages of license texts: (label, keyword, regular expression).
+#: Passages of license texts: (label, regular expression).
 GRANTS = [
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3-clause", "endorse", "neither the name of [a-z0-9 ]{1,80} nor the names of its contributors may be used to endorse or promote products"),
-    ("apache-2", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2", "agreed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
-    ("bsl-1", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("cc-by-nc", "noncommercial", "for non ?commercial purposes only under (?:a|the) creative commons"),
-    ("wtfpl", "what the", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
-    ("gfdl-1.3", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
-    ("ofl-1.1", "font", "this font software is licensed under the sil open font license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of [a-z0-9 ]{1,80} nor the names of its contributors may be used to endorse or promote products"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc-by-nc", "for non ?commercial purposes only under (?:a|the) creative commons"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("gfdl-1.3", "with no invariant sections no front cover texts and no back cover texts"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license"),
 ]
 _NOTICE = r"(?:licensed|released|distributed|available|provided|published|offered|covered|used|redistributed|made available) under (?:(?:the|a|an) )?(?:(?:terms|conditions) of (?:the )?)?(?:gnu )?"
 
 
+def keyword_of(pattern: str) -> str:
+    """Words of which each match of ``pattern`` holds one, joined by "|": read off the expression, so no match is without."""
+
+    def worth(words: tuple[str, ...]) -> tuple[int, int]:
+        return min((len(" ".join(w for w in k.split() if w not in _COMMON)) for k in words), default=0), min(map(len, words), default=0)
+
+    def held(items) -> tuple[str, ...]:
+        found, run = [()], ""
+        for kind, value in [*items, (None, None)]:
+            if kind is _parser.LITERAL:
+                run += chr(value)
+                continue
+            found.append((run,) if run else ())
+            before, run = [(_parser.LITERAL, ord(c)) for c in run], ""
+            if kind is _parser.SUBPATTERN:
+                found.append(held(value[3]))
+            elif kind is _parser.BRANCH:
+                each = [held([*before, *branch]) for branch in value[1]]  # the parser takes out what branches begin with
+                found.append(tuple(k for one in each for k in one) if all(each) else ())
+            elif kind is _parser.MAX_REPEAT and value[0]:
+                found.append(held(value[2]))
+        return max(found, key=worth)
+
+    return "|".join(dict.fromkeys(held(_parser.parse(pattern))))
+
+
 def signatures() -> list[Signature]:
     """All rules, those of high priority first: identifiers, notices, passages of license texts and names."""
     out = []
-    for label, (keys, spdx, name) in LICENSES.items():
-        out += [Signature(label, "spdx", f"spdx license identifier (?:{spdx})", SPDX)]
-        for key in keys.split("|"):
-            out += [Signature(label, key, f"{_NOTICE}(?:{name})", NOTICE), Signature(label, key, f"(?:{name})", NAME)]
-    out += [Signature(label, key, pattern, GRANT) for label, key, pattern in GRANTS]
+    for label, (spdx, name) in LICENSES.items():
+        key = keyword_of(name)
+        out += [Signature(label, "spdx", f"spdx license identifier (?:{spdx})", SPDX), Signature(label, key, f"{_NOTICE}(?:{name})", NOTICE), Signature(label, key, f"(?:{name})", NAME)]
+    out += [Signature(label, keyword_of(pattern), pattern, GRANT) for label, pattern in GRANTS]
     return sorted(out, key=lambda s: (-s.priority, s.label, s.keyword, s.pattern))
 
 
@@ -199,10 +229,10 @@ def scan(df: DataFrame, text: str = "text", rules: list[Signature] | None = None
         named = F.lit(label).alias("label")
         own = F.transform(_spans(padded, F.lit(phrase)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), named))  # noqa: B023
         places = F.concat(places, F.when(padded.contains(f" {phrase} "), own).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")))
-    listed = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority")) for r in rules] or [F.lit(None).cast("struct<label:string,keyword:string,pattern:string,priority:int>")])
+    listed = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keywords"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority")) for r in rules] or [F.lit(None).cast("struct<label:string,keywords:array<string>,pattern:string,priority:int>")])
     # Keys that sort by start, then by end and priority in falling order.
     found = lambda r: F.transform(_spans(padded, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-r["priority"]).alias("low"), r["label"].alias("label")))
-    hits = F.flatten(F.transform(F.filter(listed, lambda r: F.contains(padded, r["keyword"])), found))
+    hits = F.flatten(F.transform(F.filter(listed, lambda r: F.exists(r["keywords"], lambda k: F.contains(padded, k))), found))
     none = F.array().cast("array<struct<start:int,back:int,low:int,label:string>>")
     three = two.select(*kept, "n_words", places.alias("base_places"), F.when(F.col("__gate"), F.array_distinct(F.array_sort(hits))).otherwise(none).alias("__hits"))
     shaped = F.transform("__hits", lambda h: F.struct(h["start"].alias("start"), (-h["back"]).alias("end"), (-h["low"]).alias("priority"), h["label"].alias("label")))

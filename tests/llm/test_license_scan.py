@@ -67,3 +67,36 @@ def test_rules():
     assert 150 <= len(L.signatures()) <= 400 and [s.priority for s in L.signatures()] == sorted((s.priority for s in L.signatures()), reverse=True)
     for s in L.signatures():
         re.compile(s.pattern)
+
+
+def examples(items):
+    """Texts that a parsed expression matches: each branch, each optional part with and without."""
+    out = [""]
+    for kind, value in items:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "SUBPATTERN":
+            more = examples(value[3])
+        elif name == "BRANCH":
+            more = [e for branch in value[1] for e in examples(branch)]
+        elif name == "MAX_REPEAT":
+            more = ([""] if not value[0] else []) + examples(value[2])[:2]
+        else:
+            more = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+        out = [a + b for a in out for b in more][:40]
+    return out
+
+
+def test_each_alternative_is_found_with_the_prefilter(spark):
+    texts = ["licensed under cc by 4 0", "asl 2 0", "expat license", "gnu agpl v3", "psf license", "for non commercial purposes only under a creative commons"]
+    for r in L.signatures():
+        texts += [t for t in examples(re._parser.parse(r.pattern if r.priority != L.NOTICE else "licensed under " + r.pattern[len(L._NOTICE) :])) if t]
+    texts = sorted(set(texts))
+    for text in texts:
+        assert re.search(L._GATE, f" {text} "), text
+        for r in L.signatures():
+            if re.search(f"(?<= )(?:{r.pattern})(?= )", f" {text} "):
+                assert any(k in f" {text} " for k in r.keyword.split("|")), (text, r)
+    out = L.scan(spark.createDataFrame(list(enumerate(texts[::40] + ["asl 2 0", "gnu agpl v3"])), "i int, text string")).collect()
+    assert all(r.score > 0 and r.labels for r in out) and out[-2].labels == ["apache-2"] and "agpl-3" in out[-1].labels
