@@ -1,10 +1,7 @@
-"""What the corpus operators share: reading, cutting lineage, Arrow columns."""
+"""What the corpus operators share: reading, cutting lineage, names, Arrow columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendspark.store import shared_folder, written
+
+__all__ = ["arrow_columns", "quoted", "shared_folder", "small_enough", "table", "unused", "without", "written"]
+
 #: Broadcasts are hinted only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
 #: Rows whose values are Python objects at the same time; an Arrow batch may hold many times as many.
@@ -23,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names. Only where it is unset, as in tests, one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back; survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
@@ -55,6 +39,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has it already, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """Adds ``fields``, computed from column ``source`` in Arrow batches.
 
@@ -62,8 +54,9 @@ def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start
     so a lost executor costs only its tasks. Other columns pass through; those named like an output are replaced.
     """
     kept = without(df, [f.name for f in fields])
-    inputs = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(source)).alias("__source"))
-    schema = T.StructType([f for f in inputs.schema.fields if f.name != "__source"] + fields)
+    # Under names of its own, so that no caller's name (dots, backticks) matters to the function.
+    inputs = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.col(quoted(source)).alias("source"))
+    schema = T.StructType(inputs.schema.fields[:-1] + [T.StructField(f"r{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])
     kinds = [_arrow(f.dataType) for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +68,7 @@ def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start
                 arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return inputs.mapInArrow(work, schema)
+    return inputs.mapInArrow(work, schema).toDF(*kept, *[f.name for f in fields])
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

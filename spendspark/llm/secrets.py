@@ -3,7 +3,8 @@
 Three base kinds are found by pattern. Beside them, ``lex`` reads source and configuration syntax into pairs of a name and
 a literal (quoted or bare, concatenated, or a constant that was assigned before), and ``score`` rates each literal by how
 sensitive its target name is and how much the literal looks like a secret. Literals from LEAST on are added as kind
-``literal``. Work is per text, so it needs no shuffle; texts are scanned whole, each part a bounded number of times.
+``literal``. Work is per text, so it needs no shuffle; texts are scanned whole, each part a bounded number of times, and a
+literal of any length or a concatenation of any number is judged whole.
 
 Cases: null text counts as empty and has no spans; a text without an assignment has base spans only; ties at one start are
 ordered by kind as listed; equal rows give equal results; extra columns pass through, those named like an output are
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendspark.llm.common import arrow_columns, table
+from spendspark.llm.common import arrow_columns, quoted, table, unused
 
 #: Fixed: the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,43 +45,86 @@ _NAME, _JOIN, _BARE = re.compile(r"[A-Za-z_][\w.]*+", re.A), re.compile(r"[ \t]*
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
+class Value:
+    """What scoring needs of a literal, or of several joined, whatever the length: size, counts of characters, both ends."""
+
+    __slots__ = ("n", "counts", "head", "tail")
+    KEEP = 32
+
+    def __init__(self, text: str):
+        self.n, self.counts, self.head, self.tail = len(text), Counter(text), text[: 2 * self.KEEP], text[-self.KEEP :]
+
+    def __add__(self, other: Value) -> Value:
+        out = Value("")
+        out.n, out.counts = self.n + other.n, self.counts + other.counts
+        out.head, out.tail = (self.head + other.head)[: 2 * self.KEEP] if self.n <= 2 * self.KEEP else self.head, (self.tail + other.tail)[-self.KEEP :]
+        return out
+
+    def shown(self) -> str:
+        """The text itself, or its ends around each of its characters: a placeholder's pattern fits both or neither."""
+        return self.head if self.n <= 2 * self.KEEP else self.head[: self.KEEP] + "".join(sorted(self.counts)) + self.tail
+
+
 def lex(text: str):
-    """Pairs (name, value, places of the literals that the value consists of), constants replaced by what they hold."""
-    constants: dict[str, tuple[str, tuple]] = {}
+    """Assignments in order: name, value, and parts. A part is the place of a literal, or the number of the assignment whose
+    constant stands there, so a constant that is used again and again is neither copied nor cut."""
+    constants: dict[str, tuple[int, Value]] = {}
+    number = 0
     for target in _TARGET.finditer(text):
-        name, at, value, places = target[2], target.end(), "", ()
+        name, at, value = target[2], target.end(), None
+        parts: list[tuple[int, int] | int] = []
         while True:
             if m := _QUOTED.match(text, at):
                 inner = 1 if m[1] is not None else 2
-                value, places, at = value + m[inner], (*places, m.span(inner)), m.end()
+                part, held, at = m.span(inner), Value(m[inner]), m.end()
             elif (m := _NAME.match(text, at)) and m[0] in constants:
-                held, origin = constants[m[0]]
-                value, places, at = value + held, places + origin, m.end()
-            elif not places and (m := _BARE.match(text, at)):
-                value, places, at = m[0], (m.span(),), m.end()
+                (part, held), at = constants[m[0]], m.end()
+            elif not parts and (m := _BARE.match(text, at)):
+                part, held, at = m.span(), Value(m[0]), m.end()
             else:
                 break
-            if len(places) > 64 or len(value) > 65536:
-                break
+            parts.append(part)
+            value = held if value is None else value + held
             if not (m := _JOIN.match(text, at)):
                 break
             at = m.end()
-        if places:
-            constants[name] = value, places
-            yield name, value, places
+        if parts:
+            constants[name] = number, value
+            number += 1
+            yield name, value, parts
 
 
-def score(name: str, value: str) -> float:
+def score(name: str, value: Value | str) -> float:
     """0 to 1: how sensitive the target name is, and whether the literal can be a secret."""
     words = [w.lower() for w in _WORDS.findall(name)]
     terms = {*words, *map(" ".join, zip(words, words[1:])), "".join(words)}
     name_part = max((v for k, v in SENSITIVE.items() if k in terms), default=0.0)
-    if not name_part or words[-1] in HARMLESS or len(value) < 6 or _PLACEHOLDER.match(value):
+    if not name_part or words[-1] in HARMLESS:
+        return 0.0
+    value = Value(value) if isinstance(value, str) else value
+    n, counts = value.n, value.counts
+    if n < 6 or _PLACEHOLDER.match(value.shown()):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return round(min(1.0, name_part + 0.1 * (n >= 12) + 0.1 * (kinds >= 2) + 0.1 * (kinds >= 3) + 0.1 * (entropy >= 3) - 0.3 * (" " in value) - 0.3 * (entropy < 1.5)), 6)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return round(min(1.0, name_part + 0.1 * (n >= 12) + 0.1 * (kinds >= 2) + 0.1 * (kinds >= 3) + 0.1 * (entropy >= 3) - 0.3 * (" " in counts) - 0.3 * (entropy < 1.5)), 6)
+
+
+def literals_of(text: str) -> dict[tuple[int, int], float]:
+    """Places of the literals that stand, by themselves or through constants, in an assignment from LEAST on, and the score."""
+    assigned, found = list(lex(text)), {}
+    marks = [0.0] * len(assigned)
+    # Constants come before their uses, so one way back marks all that a secret consists of.
+    for i in range(len(assigned) - 1, -1, -1):
+        name, value, parts = assigned[i]
+        own = score(name, value)
+        if mark := max(marks[i], own if own >= LEAST else 0.0):
+            for part in parts:
+                if isinstance(part, int):
+                    marks[part] = max(marks[part], mark)
+                else:
+                    found[part] = mark
+    return found
 
 
 def spans_of(text: str | None) -> list[dict]:
@@ -95,12 +139,7 @@ def spans_of(text: str | None) -> list[dict]:
         found += [(m.start(), 1, m.end(), m.start(), 1.0) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.start(), 1.0) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
-        literals: dict[tuple[int, int], float] = {}
-        for name, value, places in lex(text):
-            if (s := score(name, value)) >= LEAST:
-                for place in places:
-                    literals[place] = max(s, literals.get(place, 0))
-        found += [(a, 3, b, a, s) for (a, b), s in literals.items() if b > a]
+        found += [(a, 3, b, a, s) for (a, b), s in literals_of(text).items() if b > a]
     return [{"kind": KINDS[k], "start": a, "end": b, "hide": h, "score": s} for a, k, b, h, s in sorted(found)]
 
 
@@ -125,9 +164,17 @@ def redact_text(text: str | None, mark: str = "[secret]") -> str | None:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces the secrets in column ``text``; the columns stay in order, and ``n_chars``, where there is one, is counted anew."""
-    clean = arrow_columns(df.withColumn("__raw", F.col(text)), "__raw", [T.StructField("__clean", T.StringType())], lambda: lambda texts: [[redact_text(t) for t in texts]])
-    made = {text.lower(): F.col("__clean"), "n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(dict(df.dtypes)["n_chars"]) if "n_chars" in df.columns else None}
-    return clean.select(*[made[c.lower()].alias(c) if made.get(c.lower()) is not None else F.col(f"`{c}`") for c in df.columns])
+    raw, clean = unused(df, "__raw"), unused(df, "__clean")
+    done = arrow_columns(df.select("*", F.col(quoted(text)).alias(raw)), raw, [T.StructField(clean, T.StringType())], lambda: lambda texts: [[redact_text(t) for t in texts]])
+
+    def made(f: T.StructField):
+        if f.name.lower() == text.lower():
+            return F.col(clean).alias(f.name)
+        if f.name.lower() == "n_chars":
+            return F.when(F.col(clean).isNull(), F.col(quoted(f.name))).otherwise(F.length(clean)).cast(f.dataType).alias(f.name)
+        return F.col(quoted(f.name))
+
+    return done.select(*[made(f) for f in df.schema.fields])
 
 
 def joined(spans: Column) -> Column:

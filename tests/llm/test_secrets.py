@@ -39,6 +39,52 @@ def test_names_and_constants():
     assert S.redact_text(None) is None and S.redact_text("plain") == "plain"
 
 
+def brute_literals(text):
+    """Literals of sensitive assignments, constants written out in full."""
+    held, found = {}, {}
+    for m in re.finditer(r"(?m)^(\w+) = (.*)$", text):
+        value, places, at = "", [], m.start(2)
+        for part in m[2].split(" + "):
+            if part.startswith('"'):
+                value, places = value + part[1:-1], [*places, (at + 1, at + len(part) - 1)]
+            else:
+                value, places = value + held[part][0], places + held[part][1]
+            at += len(part) + 3
+        held[m[1]] = value, places
+        if (s := S.score(m[1], value)) >= S.LEAST:
+            for place in places:
+                found[place] = max(s, found.get(place, 0))
+    return {k: v for k, v in found.items() if k[1] > k[0]}
+
+
+def test_concatenations_of_any_length():
+    hundred = "api_key = " + " + ".join(f'"Zx81k{i}"' for i in range(100))
+    assert sum(s["kind"] == "literal" for s in S.spans_of(hundred)) == 100
+    # doubled a hundred times, a value of 2**100 characters
+    doubled = 'a0 = "Zx81-kk29"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(100)) + 'secret = a100 + "tail-9X"'
+    assert [doubled[s["start"] : s["end"]] for s in S.spans_of(doubled) if s["kind"] == "literal"] == ["Zx81-kk29", "tail-9X"]
+    long = "db_password = '" + "Zx81-kk29." * 20_000 + "'"
+    assert [(s["start"], s["end"]) for s in S.spans_of(long) if s["kind"] == "literal"] == [(15, 200_015)]
+    assert S.score("api_key", "x" * 100) == 0 and S.score("api_key", "x" * 50 + "Zq81-" + "x" * 50) > 0 and S.score("api_key", "<" + "Zx8-" * 40 + ">") == 0
+    rng = random.Random(8)
+    for _ in range(300):
+        names, lines = [], []
+        for k in range(rng.randint(1, 12)):
+            parts = [rng.choice(names) if names and rng.random() < 0.5 else '"' + "".join(rng.choices("aZ8-x", k=rng.randint(0, 30))) + '"' for _ in range(rng.randint(1, 4))]
+            name = rng.choice(["v", "part", "api_key", "secret", "db_password"]) + (str(k) if rng.random() < 0.5 else "")
+            lines.append(f"{name} = {' + '.join(parts)}")
+            names.append(name)
+        text = "\n".join(lines)
+        assert {k: v for k, v in S.literals_of(text).items() if k[1] > k[0]} == brute_literals(text), text
+
+
+def test_redact_keeps_names_that_clash(spark):
+    df = spark.createDataFrame([(TEXTS[3], 5, "r", "s", "c")], "`TEXT` string, `N_CHARS` int, __raw string, `__source` string, `a.b` string")
+    out = S.redact(df)
+    assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes)
+    assert tuple(out.first()) == ('token = "[secret]"', 18, "r", "s", "c")
+
+
 def test_query_cases(spark, tmp_path):
     rows = [(i, t, "z") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "z"), (None, TEXTS[3], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, Secrets string")
