@@ -23,8 +23,6 @@ from spendspark.llm.common import quoted, table, without, written
 
 SAMPLE_DOCS, BINS, MAX_RULES, MAX_TERMS, LEAST_COVER, LEAST_PRECISION = 20_000, 24, 8, 3, 8, 0.95
 _SPACE = r"\x20\x09-\x0D"
-#: Places take the low bits of a sorted key, hashes of windows the rest.
-_PLACE_BITS = 24
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What rules may speak of, as SQL over the base statistics and a few more.
 FEATURES = {
@@ -70,14 +68,25 @@ class Rule:
         return " AND ".join(map(str, self.terms))
 
 
-def _window_keys(words: Column) -> Column:
-    """A sorted array of hash << 24 | place for each window of three words."""
+def _place_bits(words: Column) -> Column:
+    """Bits that the places of a text's windows take."""
+    return F.length(F.bin(F.size(words).cast("long")))
+
+
+def _window_keys(words: Column, bits: Column) -> Column:
+    """A sorted array with a key for each window of three words: its place in the low bits, above them those of a hash."""
     triples = F.zip_with(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda t, c: F.xxhash64(t["a"], t["b"], c))
     hashes = F.slice(triples, 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    keys = F.transform(hashes, lambda h, i: F.shiftleft(h, _PLACE_BITS).bitwiseOR(i.cast("long")))
+    keys = F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
     return F.when(F.size(words) >= 3, F.sort_array(keys)).otherwise(F.array().cast("array<long>"))
 
 
+def _sorted_windows(words: Column) -> Column:
+    """The windows themselves with their places, sorted: the way for a text in which hashes of different windows meet."""
+    one = lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("place"))
+    return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), one))
+
+
 def _covered(places: Column) -> Column:
     """How many words windows of three at sorted ``places`` cover."""
     empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
@@ -88,8 +97,9 @@ def _covered(places: Column) -> Column:
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base statistics and those that FEATURES use; other columns but ``text`` pass through.
 
-    Words repeated in windows: window hashes are sorted with their places in the low bits, neighbours with equal hashes are
-    repeats, and the sorted places of repeats give the words that they cover. Each step is linear or a sort.
+    Words repeated in windows: window hashes are sorted with their places in the low bits, neighbours with equal hashes and
+    words are repeats, and the sorted places of repeats give the words that they cover. Where hashes of different windows
+    meet, the windows themselves are sorted. Each step is linear or a sort.
     """
     kept = [F.col(quoted(c)) for c in without(df, [*BASE, "n_lines", "n_upper", "n_shouts", "n_digits", "n_distinct_words", "n_short_words"]) if c != text]
     given = F.coalesce(F.col(quoted(text)), F.lit(""))
@@ -98,6 +108,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[{_SPACE}]+"))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(rf"[^{_SPACE}]"))
     base = base.select(*kept, "__text", words.alias("__words"), lines.alias("__lines"))
+    base = base.select("*", _place_bits(F.col("__words")).alias("__bits"))
     measured = base.select(
         *kept,
         F.size("__words").cast("long").alias("n_words"),
@@ -111,17 +122,24 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct("__words")).cast("long").alias("n_distinct_words"),
         F.size(F.filter("__words", lambda w: F.length(w) <= 3)).cast("long").alias("n_short_words"),
         "__words",
-        _window_keys(F.col("__words")).alias("__keys"),
+        _window_keys(F.col("__words"), F.col("__bits")).alias("__keys"),
+        "__bits",
     )
-    equal = lambda a, b: F.shiftright(a, _PLACE_BITS) == F.shiftright(b, _PLACE_BITS)
-    place = lambda k: k.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1).cast("long"))
-    keys = F.col("__keys")
-    size = F.greatest(F.size(keys), F.lit(1))
+    keys, bits = F.col("__keys"), F.col("__bits")
+    place = lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
     word = lambda k, i: F.get("__words", (place(k) + i).cast("int"))
-    # Of each two neighbours with one hash both repeat, if their words agree too: pairs against the array shifted by one, null past the end.
-    alike = lambda a, b: equal(a, b) & (word(a, 0) == word(b, 0)) & (word(a, 1) == word(b, 1)) & (word(a, 2) == word(b, 2))
-    marked = F.zip_with(keys, F.slice(keys, 2, size), lambda a, b: F.when(alike(a, b), F.array(place(a), place(b))))
-    repeats = F.array_sort(F.array_distinct(F.flatten(F.filter(marked, lambda m: m.isNotNull()))))
+    same = lambda a, b: (word(a, 0) == word(b, 0)) & (word(a, 1) == word(b, 1)) & (word(a, 2) == word(b, 2))
+    # Pairs against the array shifted by one, null past the end: of neighbours with one hash both repeat if their words agree
+    # too. Other words under one hash (an empty pair) may stand between repeats, so that text is measured on its sorted windows.
+    hashed = lambda a, b: F.when(F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits), F.when(same(a, b), F.array(place(a), place(b))).otherwise(F.array().cast("array<long>")))
+    next_ = lambda x: F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
+    marked = F.filter(F.zip_with(keys, next_(keys), hashed), lambda m: m.isNotNull())
+    measured = measured.select("*", marked.alias("__marked"))
+    met = F.exists("__marked", lambda m: F.size(m) == 0)
+    measured = measured.select("*", F.when(met, _sorted_windows(F.col("__words"))).alias("__sorted"))
+    windows = F.col("__sorted")
+    exact = F.zip_with(windows, next_(windows), lambda a, b: F.when((a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"]), F.array(a["place"].cast("long"), b["place"].cast("long"))))
+    repeats = F.array_sort(F.array_distinct(F.flatten(F.when(windows.isNull(), F.col("__marked")).otherwise(F.filter(exact, lambda m: m.isNotNull())))))
     names = [*BASE[:-1], "n_lines", "n_upper", "n_shouts", "n_digits", "n_distinct_words", "n_short_words"]
     done = measured.select(*kept, *names, repeats.alias("__repeats"))
     whole = F.struct(*names, _covered(F.col("__repeats")).cast("long").alias("n_repeat_words"))

@@ -45,6 +45,16 @@ def test_statistics_equal_brute_force(spark):
     assert len(out) == len(texts)
 
 
+def test_hashes_that_meet_hide_no_repeats(spark, monkeypatch):
+    # Only a few bits of each hash are left, so that many windows of each text meet under one.
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.randint(3, 80))) for _ in range(200)] + ["w2512239 b c f1 f2 w3197895 b c f3 f4 w2512239 b c f5 f6"]
+    for bits in (24, 60):
+        monkeypatch.setattr(Q, "_place_bits", lambda words, bits=bits: Q.F.lit(bits))
+        for r in Q.statistics(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect():
+            assert r.n_repeat_words == brute(texts[r.i])[4], (bits, texts[r.i])
+
+
 def test_rules_on_held_out_documents(spark):
     train, held = spark.createDataFrame(corpus(1200, 1), "doc_id long, text string, quality int"), spark.createDataFrame(corpus(600, 2), "doc_id long, text string, quality int")
     rules = Q.learn(train.select("doc_id", "text"), train.select("doc_id", "quality"))
