@@ -9,7 +9,8 @@
    every surviving pair between different components. What is skipped can only lie within one component.
 
 Buckets above BLOCK classes are split into blocks, and blocks are compared in pairs, so no task ever holds a whole hot bucket.
-Steps are written to the shared folder, so a lost executor costs its tasks only. Shingles are compared as 64-bit hashes.
+Steps are written to the shared folder, so a lost executor costs its tasks only. Signatures are of shingles' hashes; sets are
+counted, and links confirmed, on the words themselves.
 
 A pair of similarity s is missed with probability (1 - s**ROWS)**BANDS, 3e-6 at 0.8, plus MISS.
 
@@ -28,9 +29,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from spendspark.llm.common import arrow_columns, quoted, small_enough, table, written
 
@@ -38,7 +40,7 @@ BANDS, ROWS, BATCH, MISS, BLOCK = 32, 5, 32, 1e-6, 2048
 #: Shingles are told apart by so many bits in the test that precedes confirmation; it can only find too many in common.
 BITS = 20
 SIZE = BANDS * ROWS
-_BASE, _U = 0x9E3779B97F4A7C15 | 1, np.uint64
+_ODD, _U = 0x9E3779B97F4A7C15, np.uint64
 
 
 @lru_cache(maxsize=1)
@@ -47,47 +49,44 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 1 << 31, SIZE, dtype=np.uint32) << 1 | 1, draw.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, as many as the longest text so far needs."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, dtype=_U), np.ones(1, dtype=_U)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, base, dtype=_U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-
 def normalised(text: str | None) -> bytes:
     """The words of a text, A-Z in lower case, joined by one blank."""
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
+def _key(joined: bytes) -> bytes | None:
+    """The class of a text's words; null without words."""
+    return hashlib.md5(joined, usedforsecurity=False).digest() if joined else None
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
     return x ^ x >> _U(31)
 
 
-def shingle_set(words: bytes, size: int, powers: _Powers) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``size`` words; with fewer words, of all of them as one."""
+def shingle_set(words: bytes, size: int) -> tuple[np.ndarray, int]:
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` words (with fewer words, of all of them as one), and how many
+    distinct shingles there are, counted on the words."""
     if not words:
-        return np.zeros(0, dtype=_U)
-    raw = np.frombuffer(words, dtype=np.uint8)
-    powers.reach(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=_U)
-    np.cumsum((raw.astype(_U) + _U(1)) * powers.up[: len(raw)], out=sums[1:])
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
-    if len(starts) > size:
-        starts, ends = starts[: len(starts) - size + 1], ends[size - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return np.unique(_mixed((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(_U)))
+        return np.zeros(0, dtype=_U), 0
+    parts = words.split(b" ")
+    numbers: dict[bytes, int] = {}
+    at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in parts), dtype=np.int64, count=len(parts))
+    each = np.fromiter(map(xxh3_64_intdigest, numbers), dtype=_U, count=len(numbers))[at]
+    size = min(size, len(parts))
+    n = len(parts) - size + 1
+    hashes = _mixed(each[:n])
+    for k in range(1, size):
+        hashes = _mixed(hashes * _U(_ODD) + each[k : k + n])
+    distinct = np.unique(hashes)
+    if len(distinct) == n:
+        return distinct, n
+    first = np.searchsorted(hashes, distinct, sorter=(order := np.argsort(hashes, kind="stable")))
+    stands_for = order[first][np.searchsorted(distinct, hashes)]
+    if all((at[stands_for + k] == at[k : k + n]).all() for k in range(size)):
+        return distinct, len(distinct)
+    return distinct, len(np.unique(np.stack([at[k : k + n] for k in range(size)], axis=1), axis=0))
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -132,23 +131,18 @@ def surviving(one: np.ndarray, others: np.ndarray, least: np.ndarray) -> tuple[n
 def sketches(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, key (of the class of texts with the same words), n_shingles and signature of each row."""
 
-    def start():
-        powers = _Powers()
-
-        def run(texts):
-            keys, sizes, signatures = [], [], []
-            for t in texts:
-                joined = normalised(t)
-                own = shingle_set(joined, words, powers)
-                keys.append(hashlib.md5(joined, usedforsecurity=False).digest() if joined else None)
-                sizes.append(len(own))
-                signatures.append(signature(own) if joined else None)
-            return [keys, sizes, signatures]
-
-        return run
+    def run(texts):
+        keys, sizes, signatures = [], [], []
+        for t in texts:
+            joined = normalised(t)
+            own, n = shingle_set(joined, words)
+            keys.append(_key(joined))
+            sizes.append(n)
+            signatures.append(signature(own) if joined else None)
+        return [keys, sizes, signatures]
 
     fields = [T.StructField("key", T.BinaryType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("signature", T.BinaryType())]
-    return arrow_columns(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("__text")), "__text", fields, start)
+    return arrow_columns(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("__text")), "__text", fields, lambda: run)
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -245,12 +239,20 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     return rows.select("bucket", "band", "node", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    one = sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs"))
-    two = sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys"))
-    both = pairs.join(one, "x").join(two, "y").select("x", "y", F.size("xs").alias("n"), F.size("ys").alias("m"), F.size(F.array_intersect("xs", "ys")).alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("x", "y")
+def _shingles(words: Column, size: int) -> Column:
+    """The shingles of an array of words as strings; with fewer words, all of them as one."""
+    whole = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+    return F.when(F.size(words) >= size, whole).otherwise(F.array(F.array_join(words, " ")))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets of shingles, words compared as they are, are similar enough."""
+    one, two = (texts.select(F.col("node").alias(k), F.col("joined").alias(f"joined_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "xy")
+    both = pairs.join(one, "x").join(two, "y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    # The split texts are bound to a variable, as the condition below is moved to where they would be split for each shingle.
+    split = F.array(F.struct(F.split("joined_x", " ").alias("x"), F.split("joined_y", " ").alias("y")))
+    common = F.get(F.transform(split, lambda w: F.size(F.array_intersect(_shingles(w["x"], words), _shingles(w["y"], words)))), F.lit(0))
+    return both.where((100 + percent) * common >= percent * (F.col("n_x") + F.col("n_y"))).select("x", "y")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -273,26 +275,20 @@ def connected(links: DataFrame) -> DataFrame:
         edges = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "links")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """node and its sorted distinct shingles, for the classes in ``wanted`` (node, key)."""
-
-    def start():
-        powers = _Powers()
-
-        def run(texts):
-            joined = [normalised(t) for t in texts]
-            sets = [shingle_set(j, words, powers) for j in joined]
-            keys = [hashlib.md5(j, usedforsecurity=False).digest() if j else None for j in joined]
-            return [keys, [s.view(np.int64) for s in sets], [(s & _U((1 << BITS) - 1)).astype("<u4").tobytes() for s in sets]]
+def _texts(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """node, n_shingles, joined (the words) and low (bits of all shingles' hashes), for the classes in ``wanted`` (node, key, n_shingles)."""
 
-        return run
+    def run(texts):
+        joined = [normalised(t) for t in texts]
+        lows = [(shingle_set(j, words)[0] & _U((1 << BITS) - 1)).astype("<u4").tobytes() for j in joined]
+        return [[_key(j) for j in joined], [j.decode("utf-8", "replace") for j in joined], lows]
 
-    fields = [T.StructField("key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType(), False), False), T.StructField("low", T.BinaryType(), False)]
+    fields = [T.StructField("key", T.BinaryType()), T.StructField("joined", T.StringType(), False), T.StructField("low", T.BinaryType(), False)]
     texts = docs.select(F.col(quoted(doc_id)).alias("node"), F.col(quoted(text)).alias("__text"))
     few = small_enough(wanted.select("node").distinct(), wanted.count(), 16)
-    sets = arrow_columns(texts.join(few, "node", "left_semi"), "__text", fields, start)
+    found = arrow_columns(texts.join(few, "node", "left_semi"), "__text", fields, lambda: run)
     # Repeated rows of one class are met once.
-    return sets.groupBy("node", "key").agg(F.first(F.struct("shingles", "low")).alias("s")).select("node", "key", "s.*").join(wanted, ["node", "key"], "left_semi")
+    return found.groupBy("node", "key").agg(F.first(F.struct("joined", "low")).alias("s")).select("node", "key", "s.*").join(wanted, ["node", "key"]).drop("key")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,24 +297,24 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str =
     usable = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     heads = usable.join(classes.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    heads = written(heads.groupBy(F.col("doc_id").alias("node"), "key").agg(F.first("signature").alias("signature")), "heads")
+    heads = written(heads.groupBy(F.col("doc_id").alias("node"), "key").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "heads")
 
     bands = band_rows(heads)
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(in_blocks(bands.join(sizes, "bucket")), "buckets")
-    wanted = members.select("node").distinct().join(heads.select("node", "key"), "node")
-    sets = written(_full_sets(docs, written(wanted, "wanted"), words, doc_id, text), "sets")
+    wanted = members.select("node").distinct().join(heads.select("node", "key", "n_shingles"), "node")
+    texts = written(_texts(docs, written(wanted, "wanted"), words, doc_id, text), "texts")
     signed = members.join(heads.select("node", "signature"), "node")
 
     first = candidate_pairs(signed.withColumn("component", F.col("node")), percent, best_only=True).distinct()
-    links = written(confirmed(first, sets, percent), "pairs")
+    links = written(confirmed(first, texts, words, percent), "pairs")
     joined = written(connected(links), "components")
     placed = signed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Buckets that lie within one component have nothing left to compare.
     open_ = placed.groupBy("bucket", "part_a", "part_b").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").drop("c", "d")
-    second = placed.join(open_, ["bucket", "part_a", "part_b"], "left_semi").join(sets.select("node", "low"), "node")
+    second = placed.join(open_, ["bucket", "part_a", "part_b"], "left_semi").join(texts.select("node", "low"), "node")
     second = candidate_pairs(second, percent, best_only=False).distinct()
-    links = links.unionAll(written(confirmed(second, sets, percent), "pairs"))
+    links = links.unionAll(written(confirmed(second, texts, words, percent), "pairs"))
     final = connected(links)
 
     named = rows.select("doc_id", "key", "n_shingles").join(classes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("c")), "key", "left")
@@ -332,7 +328,7 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     again = judged.where("kept AND doc_id IS NOT NULL AND key IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key")
     dropped = judged.where("NOT kept").select("doc_id", "key").unionAll(again).withColumnsRenamed({"doc_id": "__id", "key": "__k"}).distinct()
     inner = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc"), F.col("doc_id").alias("__doc_id"), F.col("text").alias("__text"))
-    keyed = arrow_columns(inner, "__text", [T.StructField("__key", T.BinaryType())], lambda: lambda ts: [[hashlib.md5(j, usedforsecurity=False).digest() if (j := normalised(t)) else None for t in ts]])
+    keyed = arrow_columns(inner, "__text", [T.StructField("__key", T.BinaryType())], lambda: lambda ts: [[_key(normalised(t)) for t in ts]])
     same = (F.col("__doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k"))
     kept = keyed.join(dropped, same, "left_anti").select("__doc.*")
     if again.isEmpty():

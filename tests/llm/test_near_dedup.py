@@ -74,5 +74,23 @@ def test_one_of_each_stays(spark):
 def test_bounds():
     least = N.least_matches(80)
     assert least[32] < 0.8 * 32 and 0.55 * 160 < least[160] < 0.72 * 160
-    s = N.shingle_set(N.normalised("a b c d e " * 3), 4, N._Powers())
-    assert len(s) == 5 and len(N.signature(s)) == 2 * N.SIZE
+    s, n = N.shingle_set(N.normalised("a b c d e " * 3), 4)
+    assert len(s) == n == 5 and len(N.signature(s)) == 2 * N.SIZE
+
+
+def test_sets_are_counted_and_confirmed_on_words(spark, monkeypatch):
+    # strings that sums of powers modulo 2**64 cannot tell apart
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, f"x y z {thue} x y z {other}"), (4, "one two three four five six seven eight"), (5, "nine ten eleven twelve thirteen fourteen fifteen"), (6, "One two three four five six seven eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((d, n, c) for d, n, c in brute(rows))
+    shape = lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.components(docs, words=4).collect())
+    assert shape() == want == [(1, 1, 1), (2, 1, 2), (3, 5, 3), (4, 5, 4), (5, 4, 5), (6, 5, 4)]
+    # hashes that meet: all that is counted and linked stays as it is
+    monkeypatch.setattr(N, "_mixed", lambda x: x & N._U(1))
+    s, n = N.shingle_set(b"a b c d a b c d a", 4)
+    assert n == 4 and len(s) <= 2
+    pairs = spark.createDataFrame([(4, 6), (4, 5), (1, 2)], "x long, y long")
+    texts = spark.createDataFrame([(d, t.lower(), n) for (d, t), (_, n, _) in zip(rows, brute(rows))], "node long, joined string, n_shingles long")
+    assert [tuple(r) for r in N.confirmed(pairs, texts, 4, 80).collect()] == [(4, 6)]
