@@ -20,7 +20,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,20 +95,27 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(middle[best][np.argmin(np.abs(middle[best] - 0.5))])
 
 
-def fit_arrays(present: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: dict[str, int], names: list[str]) -> Chain:
-    """The chain from arrays of the bounded sample; models of one fold never see that fold."""
+def fit_arrays(present: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: dict[str, int], names: list[str], seen: list[np.ndarray] | None = None) -> Chain:
+    """The chain from arrays of the bounded sample; models of one fold never see that fold.
+
+    ``seen`` has the columns of ``present`` that each fold's model may use, chosen without the fold, and last those of the chain.
+    """
+    every = np.arange(present.shape[1])
+    seen = seen or [every] * (FOLDS + 1)
     chain = Chain(words, names)
-    x = np.hstack([present, np.ones((len(present), 1))])
+    earlier = np.zeros((len(present), 0))
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        held_out = np.full(len(y), y.mean() if len(y) else 0.0)
+        with_ = lambda columns, rows, earlier=earlier: np.hstack([present[rows][:, columns], np.ones((rows.sum(), 1)), earlier[rows]])
+        held_out, all_ = np.full(len(y), y.mean() if len(y) else 0.0), np.ones(len(y), dtype=bool)
         for f in range(FOLDS):
             here = folds == f
             if here.any() and not here.all():
-                held_out[here] = _sigmoid(x[here] @ _ridge_logistic(x[~here], y[~here]))
+                held_out[here] = _sigmoid(with_(seen[f], here) @ _ridge_logistic(with_(seen[f], ~here), y[~here]))
+        x = with_(seen[FOLDS], all_)
         chain.weights.append(_ridge_logistic(x, y) if len(y) else np.zeros(x.shape[1]))
         chain.thresholds.append(_best_threshold(held_out, y))
-        x = np.hstack([x, _logit(held_out)[:, None]])
+        earlier = np.hstack([earlier, _logit(held_out)[:, None]])
     return chain
 
 
@@ -123,30 +130,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     return texts.join(F.broadcast(chosen), "__id")  # about ``bound`` rows of a few integers
 
 
+def best_words(held: DataFrame, names: list[str]) -> list:
+    """(f, word): for each fold the words that tell most about a category in the documents without it, and for FOLDS in all.
+
+    held: __fold, __words and a 0/1 column for each category.
+    """
+    of = lambda value, f: F.coalesce(F.sum(F.when(F.col("__fold") != f, value)), F.lit(0))
+    # Counts of documents without each fold, and without none: a fold's words are chosen as if it weren't there.
+    parts = range(FOLDS + 1)
+    sums = [c.alias(n) for f in parts for c, n in [(of(F.lit(1), f), f"n_{f}"), *[(of(F.col(f"__{k}"), f), f"{k}_{f}") for k in names]]]
+    total = held.agg(*sums).first()
+    counts = held.select("__fold", F.explode("__words").alias("word"), *[f"__{n}" for n in names]).groupBy("word").agg(*sums)
+
+    def rated(k: str, f: int) -> Column:
+        # How far a category's documents with the word exceed or fall short of chance, in standard deviations.
+        rate, df = F.lit((total[f"{k}_{f}"] + 0.5) / (total[f"n_{f}"] + 1)), F.col(f"n_{f}")
+        surprise = F.abs(F.col(f"{k}_{f}") - df * rate) / F.sqrt(df * rate * (1 - rate))
+        return F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), F.when(df >= LEAST_DOCS, surprise).alias("surprise"))
+
+    ranked = counts.select("word", F.explode(F.array(*[rated(k, f) for k in names for f in parts])).alias("r")).select("word", "r.*").where("surprise IS NOT NULL")
+    best = Window.partitionBy("k", "f").orderBy(F.col("surprise").desc(), "word")
+    return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= WORDS_EACH).select("f", "word").distinct().collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", bound: int = SAMPLE_DOCS) -> Chain:
     names = list(categories)
     sample = labelled_sample(docs, labels, categories, doc_id, text, bound).withColumn("__fold", F.pmod(F.xxhash64(F.lower("__text")), F.lit(FOLDS)))
     held = arrow_columns(sample, "__text", [T.StructField("__words", T.ArrayType(T.StringType()), False)], lambda: lambda ts: [[sorted(words_of(t)) for t in ts]])
     held = held.select("__fold", "__words", *[f"__{n}" for n in names]).persist()
     try:
-        totals = held.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"__{n}"), F.lit(0)).alias(n) for n in names]).first()
-        counts = held.select(F.explode("__words").alias("word"), *[f"__{n}" for n in names]).groupBy("word").agg(F.count("*").alias("df"), *[F.sum(f"__{n}").alias(n) for n in names]).where(F.col("df") >= LEAST_DOCS)
-        chosen: set[str] = set()
-        for n in names:
-            # How far a category's documents with the word exceed or fall short of chance, in standard deviations.
-            rate = F.lit((totals[n] + 0.5) / (totals["n"] + 1))
-            surprise = (F.col(n) - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
-            chosen |= {r.word for r in counts.orderBy(F.abs(surprise).desc(), "word").limit(WORDS_EACH).collect()}
-        words = {w: i for i, w in enumerate(sorted(chosen))}
+        chosen = best_words(held, names)
+        words = {w: i for i, w in enumerate(sorted({r.word for r in chosen}))}
         listed = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         rows = held.select("__fold", F.array_intersect("__words", listed).alias("found"), *[f"__{n}" for n in names]).collect()
     finally:
         held.unpersist()
-    present = np.zeros((len(rows), len(words)))
+    present = np.zeros((len(rows), len(words)), dtype=np.float32)
     for i, r in enumerate(rows):
         present[i, [words[w] for w in r.found]] = 1
     marks = np.array([[r[f"__{n}"] for n in names] for r in rows]).reshape(len(rows), len(names))
-    return fit_arrays(present, marks, np.array([r["__fold"] for r in rows]), words, names)
+    seen = [np.array(sorted(words[r.word] for r in chosen if r.f == f), dtype=np.int64) for f in range(FOLDS + 1)]
+    own = sorted(r.word for r in chosen if r.f == FOLDS)
+    return fit_arrays(present, marks, np.array([r["__fold"] for r in rows]), {w: i for i, w in enumerate(own)}, names, seen)
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:

@@ -36,6 +36,27 @@ def test_out_of_fold_models_never_see_their_fold():
     assert abs(chain.weights[1][-1]) < 2 and chain.weights[0].shape == (7,) and chain.weights[1].shape == (8,)
 
 
+def test_words_of_a_fold_are_chosen_without_it(spark, monkeypatch):
+    monkeypatch.setattr(X, "WORDS_EACH", 6)
+    rng = random.Random(5)
+    rows = [(i % X.FOLDS, sorted(set(rng.choices(PLAIN[:60], k=12))), int(rng.random() < 0.3), int(rng.random() < 0.2)) for i in range(300)]
+    got = X.best_words(spark.createDataFrame(rows, "__fold int, __words array<string>, __a int, __b int"), ["a", "b"])
+    for f in range(X.FOLDS + 1):
+        inside, want = [r for r in rows if r[0] != f], set()
+        for k in (2, 3):
+            rate, rated = (sum(r[k] for r in inside) + 0.5) / (len(inside) + 1), []
+            for w in PLAIN[:60]:
+                df, hits = sum(w in r[1] for r in inside), sum(r[k] for r in inside if w in r[1])
+                if df >= X.LEAST_DOCS:
+                    rated.append((-round(abs(hits - df * rate) / (df * rate * (1 - rate)) ** 0.5, 9), w))
+            want |= {w for _, w in sorted(rated)[:6]}
+        assert {r.word for r in got if r.f == f} == want
+    # models of a fold get no column that was chosen with it
+    present, labels, folds = np.eye(10)[rng.choices(range(10), k=200)], np.array([[rng.random() < 0.5] for _ in range(200)]), np.arange(200) % X.FOLDS
+    chain = X.fit_arrays(present, labels, folds, {"w": 0, "v": 1}, ["a"], [np.array([f]) for f in range(X.FOLDS)] + [np.array([0, 1])])
+    assert chain.weights[0].shape == (3,)
+
+
 def test_cases(spark, tmp_path):
     rows = [(i, t, "q") for i, t in enumerate(["", None, "wab " * 200_000, "Grumble!", "Grumble!", "wab wac"])] + [(None, "snarl", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, REJECTED string").union(spark.createDataFrame([(r[0], r[1], "t") for r in corpus(600, 3)], "doc_id long, text string, r string"))
