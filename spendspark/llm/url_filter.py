@@ -1,8 +1,9 @@
 """Operator 5: URL filters. Host and path rules, then a blocked Bloom filter of listed URLs with an exact join behind it.
 
 The Bloom filter is a table: a block number and four 64-bit words. A listed URL sets PROBES bits in one block only, so a
-page needs one equi-join on its block to be told apart. Possible hits, a few pages, go on to a hash join with the list by
-canonical URL, which removes false positives; all others never meet the list. Only DataFrame functions are used.
+page needs one equi-join on its block to be told apart. Possible hits, a few URLs, go on to a hash join with the list by
+canonical URL, which removes false positives; all others never meet the list. What is found marks the pages in one pass more.
+Only DataFrame functions are used.
 
 Cases: a null url, or one without '://', has an empty host and path, no rule, and is not listed (allowed); equal rows get
 equal verdicts; a null or repeated listed URL counts once or not at all; an empty list allows whatever no rule decides;
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendspark.llm.common import quoted, small_enough, table, without
+from spendspark.llm.common import BROADCAST_BYTES, quoted, small_enough, table, without, written
 
 #: Bits of a block's four words, bits for a listed URL, and the bits that each URL sets.
 BLOCK_BITS, BITS_EACH, PROBES = 256, 16, 6
@@ -94,33 +95,42 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule] = RULES, url: s
     ``listed`` has a column ``url``. A verdict is the rule's; without one, a listed URL is blocked and any other allowed.
     """
     given = F.col("url")
-    names = listed.select(canonical(host_of(given), path_of(given)).alias("listed_url")).where("listed_url IS NOT NULL").distinct()
+    names = written(listed.select(canonical(host_of(given), path_of(given)).alias("listed_url")).where("listed_url IS NOT NULL").distinct(), "listed")
     size = names.count()
     blocks = max(1, -(-size * BITS_EACH // BLOCK_BITS))
-    bloom = small_enough(bloom_filter(names, blocks), min(size, blocks), 64)
+    bloom = bloom_filter(names, blocks)
+    whole = min(size, blocks) * 64 <= BROADCAST_BYTES
 
     kept = without(pages, ["host", "path", "rule", "listed", "verdict"])
-    parts = pages.select(*[F.col(quoted(c)) for c in kept], host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"))
+    raw = F.col(quoted(url))
+    # The caller's columns travel as one, so that none of them clashes with a name used here.
+    parts = pages.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), host_of(raw).alias("host"), path_of(raw).alias("path"))
     host, path = F.col("host"), F.col("path")
     parts = parts.select(
         "*",
         longest_rule(rules, host, path, lambda r: r.host + r.path).alias("rule"),
-        longest_rule(rules, host, path, lambda r: r.verdict).alias("verdict"),
-        canonical(host, path).alias("__url"),
+        longest_rule(rules, host, path, lambda r: r.verdict).alias("ruling"),
+        canonical(host, path).alias("own"),
     )
-    end = [*[F.col(quoted(c)) for c in kept], "host", "path", "rule"]
-    open_ = parts.withColumn("bloom_block", F.when(F.col("rule").isNull(), _block(F.col("__url"), blocks)))
-    # Rows without a block are split off first: as null keys they would all meet in one task of a shuffled join.
-    ruled = open_.where("bloom_block IS NULL").select(*end, F.lit(False).alias("listed"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    tested = open_.where("bloom_block IS NOT NULL").join(bloom, "bloom_block", "left")
+    asked = parts.where("rule IS NULL AND own IS NOT NULL").select("own")
+    # A filter too large to broadcast meets each URL once, whatever the number of its pages.
+    asked = (asked if whole else asked.distinct()).withColumn("bloom_block", _block(F.col("own"), blocks))
     set_ = F.lit(True)
-    for i, m in enumerate(_masks(F.col("__url"))):
-        set_ = set_ & (F.coalesce(F.col(f"bloom_{i}"), F.lit(0).cast("long")).bitwiseAND(m) == m)
-    missed = tested.where(~set_).select(*end, F.lit(False).alias("listed"), F.lit("allow").alias("verdict"))
-    exact = tested.where(set_).join(names.withColumn("__there", F.lit(True)), F.col("__url") == F.col("listed_url"), "left")
-    there = F.coalesce("__there", F.lit(False))
-    hits = exact.select(*end, there.alias("listed"), F.when(there, "block").otherwise("allow").alias("verdict"))
-    return ruled.unionAll(missed).unionAll(hits)
+    for i, m in enumerate(_masks(F.col("own"))):
+        set_ = set_ & (F.col(f"bloom_{i}").bitwiseAND(m) == m)
+    hits = asked.join(F.broadcast(bloom) if whole else bloom, "bloom_block").where(set_).select("own").distinct()
+    found = written(hits.join(names, F.col("own") == F.col("listed_url"), "left_semi").withColumnRenamed("own", "found"), "found")
+
+    def judged(rows: DataFrame, there: Column) -> DataFrame:
+        return rows.select("row.*", "host", "path", "rule", there.alias("listed"), F.coalesce("ruling", F.when(there, "block").otherwise("allow")).alias("verdict"))
+
+    n = found.count()
+    small, fits = small_enough(found, n, 256), F.col("rule").isNull() & (F.col("own") == F.col("found"))
+    if n * 256 <= BROADCAST_BYTES:
+        return judged(parts.join(small, fits, "left"), F.col("found").isNotNull())
+    # In a shuffled join rows without a key would all meet in one task: they are told apart first.
+    open_ = parts.where("rule IS NULL AND own IS NOT NULL").join(small, F.col("own") == F.col("found"), "left")
+    return judged(parts.where("rule IS NOT NULL OR own IS NULL"), F.lit(False)).unionAll(judged(open_, F.col("found").isNotNull()))
 
 
 #: Fixed: hosts of the list, below each of its domains, for each language; the numbers of the listed paths are a range.

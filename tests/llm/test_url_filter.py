@@ -1,5 +1,7 @@
 import duckdb
+import pytest
 
+from spendspark.llm import common
 from spendspark.llm import url_filter as U
 
 URLS = [
@@ -9,7 +11,10 @@ URLS = [
 ]
 
 
-def test_query_equals_sql_and_handles_cases(spark, tmp_path):
+@pytest.mark.parametrize("most", [U.BROADCAST_BYTES, 0])
+def test_query_equals_sql_and_handles_cases(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(U, "BROADCAST_BYTES", most)  # 0: neither the filter nor what is found is broadcast
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     rows = [(i, u, "v") for i, u in enumerate(URLS)] + [(3, URLS[3], "v"), (None, URLS[10], None)]
     path = str(tmp_path / "pages.parquet")
     spark.createDataFrame(rows, "page_id long, url string, LISTED string").write.parquet(path)
@@ -30,3 +35,9 @@ def test_bloom_filter_never_misses_and_join_removes_false_hits(spark, monkeypatc
     assert len(out) == 400 and {r.url for r in out if r.verdict == "block"} == {f"http://l{i}.org/p/" for i in range(200)}
     assert U.judge(pages.limit(0), listed, []).count() == 0
     assert {r.verdict for r in U.judge(pages, listed.limit(0), []).collect()} == {"allow"}
+
+
+def test_pages_are_scanned_twice_and_only_once_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.org/x", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    plan = U.op5(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("struct<page_id:bigint,url:string>") == 1 and "Python" not in plan and "Arrow" not in plan and "html" not in plan
