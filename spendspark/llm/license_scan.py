@@ -176,6 +176,33 @@ def signatures() -> list[Signature]:
 _GATE = r"licen[cs]e|spdx|hereby|redistribut|unencumbered|misrepresented|invariant|rights|domain|commons|merchantability|gpl|lgpl|cc0|cc by|wtfpl|freebsd|bsd|asl 2|mpl|historical|endorse|compliance|agreed|organization|what the|w3c|mit |psf"
 
 
+#: Items that one step of a fold holds: what it gathers is copied at each step, so long lists are folded in parts.
+PART = 256
+
+
+def _folded(items: Column, state: dict[str, Column], kind: str, step) -> Column:
+    """All that ``step`` gathers over ``items``, in order. ``step`` takes the state, what its part has gathered so far (arrays
+    of ``kind``) and an item, and returns both anew. Parts are folded in turn, so copying stays small for any number of items."""
+    none = F.array().cast(f"array<{kind}>")
+    begin = F.struct(*[v.alias(k) for k, v in state.items()], none.alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        new, out = step(acc, acc["out"], item)
+        return F.struct(*[new[k].alias(k) for k in state], out.alias("out"))
+
+    parts = lambda all_: F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(PART)), lambda i: F.slice(all_, i + 1, PART))
+    outer = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("outs"))
+
+    def part(acc: Column, items_: Column) -> Column:
+        start = F.struct(*[acc[k].alias(k) for k in state], none.alias("out"))
+        folded = F.array(F.aggregate(items_, start, one))
+        # The part's result is bound to a variable, so that it is worked out once.
+        return F.get(F.transform(folded, lambda r: F.struct(*[r[k].alias(k) for k in state], F.concat(acc["outs"], F.array(r["out"])).alias("outs"))), F.lit(0))
+
+    whole = lambda all_: F.when(F.size(all_) <= PART, F.aggregate(all_, begin, one, lambda acc: acc["out"])).otherwise(F.aggregate(parts(all_), outer, part, lambda acc: F.flatten(acc["outs"])))
+    return F.get(F.transform(F.array(items), whole), F.lit(0))
+
+
 def _count_words(piece: Column, outer: int) -> Column:
     """Words of a part of the padded sequence: blanks, less one where blanks stand on both sides, plus one where on none."""
     return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) + F.lit(outer)
@@ -184,32 +211,37 @@ def _count_words(piece: Column, outer: int) -> Column:
 def _spans(padded: Column, pattern: Column) -> Column:
     """(start, end) in words of each match of ``pattern``, which may be a different one for each row."""
     full = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    pieces, matches = F.call_function("split", padded, full), F.regexp_extract_all(padded, full, F.lit(0))
-    sizes = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(_count_words(p, -1).alias("gap"), _count_words(m, 1).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    step = lambda acc, s: F.struct((acc["at"] + s["gap"] + s["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end")))).alias("found"))
-    return F.aggregate(sizes, start, step, lambda acc: acc["found"])
+    both = F.struct(F.call_function("split", padded, full).alias("pieces"), F.regexp_extract_all(padded, full, F.lit(0)).alias("matches"))
+    sizes = lambda b: F.zip_with(F.slice(b["pieces"], 1, F.size(b["matches"])), b["matches"], lambda p, m: F.struct(_count_words(p, -1).alias("gap"), _count_words(m, 1).alias("size")))
+
+    def step(acc: Column, out: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["size"]
+        return {"at": end}, F.concat(out, F.array(F.struct(start.alias("start"), end.alias("end"))))
+
+    spans = lambda sizes_: _folded(sizes_, {"at": F.lit(0)}, "struct<start:int,end:int>", step)
+    return F.get(F.transform(F.transform(F.array(both), sizes), spans), F.lit(0))
 
 
 def _unsuppressed(hits: Column) -> Column:
     """Detections in order of start, longest first, kept unless one met before reaches as far and has a higher priority, or
-    the same priority and a longer extent. One pass with the furthest end for each priority."""
+    the same priority and a longer extent. One pass with the furthest end for each priority, and the last that was kept."""
     levels = [GRANT, NOTICE, SPDX, NAME]
-    start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in levels], F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("kept"))
+    state = {**{f"m{p}": F.lit(-1) for p in levels}, **{n: F.lit(-1) for n in ("start", "end", "priority")}}
 
-    def step(acc, h):
+    def step(acc: Column, out: Column, h: Column) -> tuple[dict[str, Column], Column]:
         # ``hits`` are sorted by start, then by end and priority in falling order, so all that may contain h came before.
         hidden = F.lit(False)
         for p in levels:
             hidden = hidden | ((h["priority"] < p) & (acc[f"m{p}"] >= h["end"]))
-        last = F.get(acc["kept"], F.size(acc["kept"]) - 1)
+        twin = (acc["start"] == h["start"]) & (acc["end"] == h["end"]) & (acc["priority"] == h["priority"])
         for p in levels:
-            hidden = hidden | ((h["priority"] == p) & (acc[f"m{p}"] >= h["end"]) & ~((last["start"] == h["start"]) & (last["end"] == h["end"]) & (last["priority"] == h["priority"])))
-        ends = [F.when(h["priority"] == p, F.greatest(acc[f"m{p}"], h["end"])).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in levels]
+            hidden = hidden | ((h["priority"] == p) & (acc[f"m{p}"] >= h["end"]) & ~twin)
+        new = {f"m{p}": F.when(h["priority"] == p, F.greatest(acc[f"m{p}"], h["end"])).otherwise(acc[f"m{p}"]) for p in levels}
+        new |= {n: F.when(hidden, acc[n]).otherwise(h[n]) for n in ("start", "end", "priority")}
         one = F.struct(h["start"].alias("start"), h["end"].alias("end"), h["priority"].alias("priority"), h["label"].alias("label"))
-        return F.struct(*ends, F.when(hidden, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(one))).alias("kept"))
+        return new, F.when(hidden, out).otherwise(F.concat(out, F.array(one)))
 
-    return F.aggregate(hits, start, step, lambda acc: acc["kept"])
+    return _folded(hits, state, "struct<start:int,end:int,priority:int,label:string>", step)
 
 
 def scan(df: DataFrame, text: str = "text", rules: list[Signature] | None = None) -> DataFrame:
