@@ -65,6 +65,24 @@ def rupees(paise: Column) -> Column:
     return F.concat(F.when(paise < 0, "-").otherwise(""), F.call_function("div", whole, F.lit(100)).cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
 
 
+def _grouped(whole: Column) -> Column:
+    """Digits of a whole number, a comma before the last three and before each two in front of them."""
+    return F.regexp_replace(whole.cast("string"), r"(?<=\d)(?=(?:\d\d)*\d{3}$)", ",")
+
+
+def money(paise: Column) -> Column:
+    """Rupees in Indian grouping, rounded to whole ones, halves up."""
+    up = paise + 50
+    whole = F.call_function("div", up - F.pmod(up, F.lit(100)), F.lit(100))
+    return F.concat(F.when(whole < 0, "-").otherwise(""), F.lit("₹"), _grouped(F.abs(whole)))
+
+
+def exact_money(paise: Column) -> Column:
+    """Rupees and paise in Indian grouping."""
+    whole = F.abs(paise)
+    return F.concat(F.when(paise < 0, "-").otherwise(""), F.lit("₹"), _grouped(F.call_function("div", whole, F.lit(100))), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
+
+
 def compact_money(paise: Column) -> Column:
     r = paise / F.lit(100.0)
     m = F.abs(r)
@@ -76,6 +94,31 @@ def compact_money(paise: Column) -> Column:
     )
 
 
+def shown_time(ms: Column, zone: str) -> Column:
+    """Day, month and time of day on the wall clock: 8 May, 2:05 pm."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone).cast("timestamp_ntz"), "d MMM, h:mm a")
+
+
+def category_index(category: Column) -> Column:
+    """Place of a category in the label set, -1 for none."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, R.CATEGORIES)), category) - 1, F.lit(-1)).cast("int")
+
+
+def category_at(index: Column) -> Column:
+    """The category at a place; the last one for a place outside the label set."""
+    return F.coalesce(F.get(F.array(*map(F.lit, R.CATEGORIES)), index.cast("int")), F.lit(R.CATEGORIES[-1]))
+
+
+def import_summary(label: str, problem: Column, imported: Column, duplicates: Column, skipped: Column, rows: Column) -> Column:
+    """What an import of a file came to, in a sentence."""
+    good = F.format_string("Imported %d · %d already known · %d skipped, from %d rows", imported, duplicates, skipped, rows)
+    return F.when(problem.isNotNull(), F.concat(F.lit(f"Couldn't read the {label}: "), problem)).otherwise(good)
+
+
+def backfill_summary(scanned: Column, inserted: Column, duplicates: Column, rejected: Column) -> Column:
+    return F.format_string("Scanned %d · imported %d · %d duplicates · %d not transactions", scanned, inserted, duplicates, rejected)
+
+
 def ref_key(ref: Column) -> Column:
     """Letters and digits in upper case; null unless 6 or longer with 4 digits."""
     key = F.upper(F.regexp_replace(ref, "[^A-Za-z0-9]", ""))
@@ -86,18 +129,30 @@ def vpa_handle(raw: Column) -> Column:
     return found(F.lower(trimmed(raw)), r"^([a-z0-9._-]{2,})@([a-z]{2,})$", 2)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_SUFFIX = rf"(?: (?:{'|'.join(s.replace('.', '[.]') for s in R.MERCHANT_SUFFIXES)}))+$"
+
+
+def _without_suffixes(s: Column) -> Column:
+    """Drops suffixes in turn, each once in a pass over their list, pass after pass while there are words."""
+    suffixes = F.array(*[F.lit(" " + x) for x in R.MERCHANT_SUFFIXES])
+    one_pass = lambda text: F.aggregate(suffixes, text, lambda a, x: F.when(a.endswith(x), F.substring(a, F.lit(1), F.length(a) - F.length(x))).otherwise(a))
+    return F.aggregate(F.split(s, " "), s, lambda a, _: one_pass(a))
+
+
 def merchant_key(raw: Column) -> Column:
-    """The key that spellings of one merchant share; '' without a name. Suffixes are dropped in passes over their list."""
+    """The key that spellings of one merchant share; '' without a name. Suffixes are dropped until none is left."""
     s = F.lower(trimmed(F.coalesce(raw, F.lit(""))))
-    local = found(s, r"^([a-z0-9._-]{2,})@([a-z]{2,})$", 1)
-    s = F.regexp_replace(F.coalesce(local, s), "[*_-]", " ")
-    s = trimmed(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9@. ]", " "), r"\s+", " "))
-    for _ in range(2):  # a pass tries each suffix once, in order; a third pass has nothing left in practice
-        for suffix in R.MERCHANT_SUFFIXES:
-            s = F.regexp_replace(s, rf"\s* {suffix.replace('.', '[.]')}$", "")
+    s = F.regexp_replace(s, r"^([a-z0-9._-]{2,})@[a-z]{2,}$", "$1")
+    s = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[*_-]", " "), "[^a-z0-9@. ]", " "), r"\s+", " "))
+    # The order of dropping matters only where "pvt. ltd" has suffixes behind it: "pvt." alone is none.
+    s = bound(s, lambda x: F.when(x.contains(" pvt. ltd "), _without_suffixes(x)).otherwise(F.regexp_replace(x, _SUFFIX, "")))
     s = F.regexp_replace(s, rf"^(?:{'|'.join(R.MERCHANT_PREFIXES)}) (?=.)", "")
-    s = trimmed(F.regexp_replace(s, r"\s+\d{3,}$", ""))
-    return F.substring(F.regexp_replace(s, r"\s+", " "), 1, 64)
+    return F.substring(F.regexp_replace(s, r"\s+\d{3,}$", ""), 1, 64)
 
 
 def display_name(key: Column) -> Column:

@@ -1,22 +1,29 @@
 """Categories of transactions: memory, then a hashed linear model, then a lexicon, then a default by direction.
 
 Features are native columns: strings hashed by 32-bit FNV-1a into signed buckets. The model is trained by SGD, which depends
-on order, on the confirmed rows that a user has (a bounded number); scoring is distributed over all rows.
+on order, on at most CONFIRMED_ROWS confirmed rows; scoring is distributed over all rows, in batches.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.functions import text as X
 
 
+#: Confirmed rows that a model learns from at most.
+CONFIRMED_ROWS = 20_000
+
+
 def amount_band(paise: Column) -> Column:
     out = F.lit(len(R.AMOUNT_BANDS))
     for i in reversed(range(len(R.AMOUNT_BANDS))):
@@ -53,12 +60,25 @@ def features(merchant: Column, handle: Column, channel: Column, paise: Column, o
     return F.concat(F.when(m != "", named).otherwise(F.array(F.lit("m=<none>"))), owner, F.array(*rest))
 
 
+def vector(names: Column) -> Column:
+    """Array of idx and val, by idx: signs summed per bucket, scaled to length 1; buckets that cancel out stay with 0."""
+    pairs = F.transform(names, lambda f: X.bound(fnv1a(f), lambda h: F.struct(bucket(h).alias("idx"), sign(h).alias("s"))))
+
+    def summed(p: Column) -> Column:
+        each = F.array_distinct(F.transform(p, lambda x: x["idx"]))
+        total = lambda i: F.aggregate(F.filter(p, lambda x: x["idx"] == i), F.lit(0), lambda a, x: a + x["s"])
+        return F.transform(F.array_sort(each), lambda i: F.struct(i.alias("idx"), total(i).alias("s")))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0), lambda a, x: a + x["s"] * x["s"]))
+        return X.bound(F.struct(v.alias("v"), norm.alias("n")), lambda b: F.transform(b["v"], lambda x: F.struct(x["idx"].alias("idx"), F.when(b["n"] > 0, x["s"] / b["n"]).otherwise(0.0).alias("val"))))
+
+    return X.bound(X.bound(pairs, summed), scaled)
+
+
 def vectors(rows: DataFrame, key: str, names: str = "features") -> DataFrame:
-    """key, idx and val: signs summed per bucket, scaled to length 1; buckets that cancel out stay with 0."""
-    hashed = rows.select(key, F.explode(names).alias("f")).select(key, fnv1a(F.col("f")).alias("h")).select(key, bucket(F.col("h")).alias("idx"), sign(F.col("h")).alias("s"))
-    summed = hashed.groupBy(key, "idx").agg(F.sum("s").alias("s"))
-    norm = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return summed.join(norm, key).select(key, "idx", F.when(F.col("norm") > 0, F.col("s") / F.col("norm")).otherwise(0.0).alias("val"))
+    """key, idx and val of each active bucket. Local to a row, so nothing is shuffled."""
+    return rows.select(key, F.explode(vector(F.col(names))).alias("v")).select(key, "v.*")
 
 
 def lexicon(spark: SparkSession, words: dict[str, str] | None = None) -> DataFrame:
@@ -120,22 +140,27 @@ class LinearModel:
         return cls(values[: n * R.BUCKETS].reshape(n, R.BUCKETS).copy(), values[n * R.BUCKETS :].copy(), head[5])
 
 
-def _examples(rows: DataFrame, key: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Confirmed rows as vectors with labels, by key; a user's confirmations are few."""
-    labels = {r[key]: R.CATEGORIES.index(r.category) for r in rows.select(key, "category").where(F.col("category").isin(R.CATEGORIES)).collect()}
-    found = vectors(rows, key).toPandas().sort_values([key, "idx"])
-    return [(g["idx"].to_numpy(), g["val"].to_numpy(), labels[k]) for k, g in found.groupby(key, sort=True) if k in labels]
+def _examples(rows: DataFrame, key: str, bound: int = CONFIRMED_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Confirmed rows as vectors with labels, by key: the first ``bound`` in order of a hash of the key."""
+    known = rows.where(F.col("category").isin(R.CATEGORIES)).orderBy(F.xxhash64(key), key).limit(bound)
+    found = known.select(key, "category", vector(F.col("features")).alias("v")).collect()
+    return [(np.array([x["idx"] for x in r.v], dtype=np.int64), np.array([x["val"] for x in r.v]), R.CATEGORIES.index(r.category)) for r in sorted(found, key=lambda r: r[key])]
 
 
-def retrained(confirmed: DataFrame, key: str = "id", seed: int = 0) -> LinearModel:
-    """EPOCHS shuffled passes over confirmed rows (key, features, category)."""
-    model, examples, draw = LinearModel(), _examples(confirmed, key), np.random.default_rng(seed)
+def retrained(confirmed: DataFrame, key: str = "id", seed: int = 0, bound: int = CONFIRMED_ROWS) -> LinearModel:
+    """EPOCHS shuffled passes over confirmed rows (key, features, category), of which it learns from ``bound`` at most."""
+    model, examples, draw = LinearModel(), _examples(confirmed, key, bound), np.random.default_rng(seed)
     for _ in range(R.EPOCHS):
         for i in draw.permutation(len(examples)):
             model.step(*examples[i], R.EPOCH_RATE)
     return model
 
 
+def model_figures(model: LinearModel) -> dict[str, object]:
+    """Steps, whether the model is trusted yet, and bytes of its weights."""
+    return {"steps": model.steps, "trusted": model.steps >= R.TRUST_STEPS, "bytes": model.weights.nbytes}
+
+
 def learned(model: LinearModel, fresh: DataFrame, confirmed: DataFrame, key: str = "id", seed: int = 0) -> LinearModel:
     """A correction: FRESH_STEPS steps on it, then a replay of up to REPLAY_ROWS other confirmed rows, drawn at random."""
     for example in _examples(fresh, key):
@@ -153,21 +178,27 @@ def scored(rows: DataFrame, model: LinearModel) -> DataFrame:
         return rows.withColumns({"model_category": F.lit(None).cast("string"), "model_p": F.lit(None).cast("double")})
     shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a fixed megabyte
 
-    @F.pandas_udf("category string, p double")
-    def score(idx: pd.Series, s: pd.Series) -> pd.DataFrame:
-        m, out = LinearModel(*shared.value), []
-        for i, v in zip(idx, s):
-            at, inverse = np.unique(np.asarray(i), return_inverse=True)
-            val = np.bincount(inverse, weights=np.asarray(v, dtype=float))
-            norm = np.sqrt((val * val).sum())
-            p = m.probabilities(at, val / norm if norm else val)
-            k = int(p.argmax())
-            out.append((R.CATEGORIES[k], float(p[k])))
-        return pd.DataFrame(out, columns=["category", "p"])
-
-    hashes = rows.withColumn("__h", F.transform("features", fnv1a))
-    both = hashes.withColumn("__m", score(F.transform("__h", bucket), F.transform("__h", sign)))
-    return both.select(*rows.columns, F.col("__m.category").alias("model_category"), F.col("__m.p").alias("model_p"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One sparse product for a batch: the weights of all active buckets, summed by row.
+        weights, bias = shared.value
+        for batch in batches:
+            *own, vectors_ = batch.columns
+            flat, sizes = vectors_.flatten(), pc.fill_null(pc.list_value_length(vectors_), 0).to_numpy(zero_copy_only=False)
+            idx, val = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            z = np.tile(bias.astype(np.float64), (len(sizes), 1))
+            full = np.flatnonzero(sizes)
+            if len(full):
+                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                z[full] += np.add.reduceat(weights[:, idx].T * val[:, None], starts, axis=0)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            k = p.argmax(axis=1)
+            found = [pa.array([R.CATEGORIES[i] for i in k], pa.string()), pa.array(p[np.arange(len(k)), k])]
+            yield pa.RecordBatch.from_arrays([*own, *found], names=schema.names)
+
+    inputs = rows.withColumn("__v", vector(F.col("features")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("model_category", T.StringType()), T.StructField("model_p", T.DoubleType())])
+    return inputs.mapInArrow(work, schema)
 
 
 def classified(rows: DataFrame, memory: DataFrame, model: LinearModel, entries: list[tuple[str, str]], body: Column | None = None) -> DataFrame:

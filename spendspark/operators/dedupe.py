@@ -1,17 +1,23 @@
 """Removing repeated observations: messages, references, near-equal times, same-day file rows.
 
 Rows have an arrival order ``seq``. Near-equal times and same-day rows are greedy (what was kept decides), so they are folds
-over time within an amount and direction. Folds are cut first where a gap longer than the window makes sides independent, so
-a frequent amount does not put its whole history into one group.
+in that order. A fold streams over sorted rows and holds what was kept nearby or counted so far, never its whole group.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendspark import rules as R
+from spendspark.store import written
+
+#: Time is cut into slices, so that a frequent amount is many groups. Rows within the gap of a slice's edge are seen by both.
+SLICE_MS = 3_600_000
 
 
 def first_of(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -26,34 +32,66 @@ def new_only(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return rows.join(store.select(key).distinct(), key, "left_anti")
 
 
-def near_duplicates(txns: DataFrame, gap_ms: int = R.NEAR_MS) -> DataFrame:
+_SEEN = "id long, seq long, amount_paise long, direction string, account_tail string, occurred_at long, free boolean, slice long, home long, pinned boolean"
+_JUDGED = "id long, amount_paise long, direction string, slice long, home long, kept boolean"
+
+
+def _fold(gap_ms: int):
+    """Judges rows sorted by amount, direction, slice and arrival. A row whose decision is known keeps it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, {}
+        cell = max(gap_ms, 1)
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("amount_paise", "direction", "slice", "occurred_at", "account_tail", "free", "pinned")]
+            flags = []
+            for paise, way, part, at, tail, free, pinned in zip(*columns):
+                if group != (paise, way, part):
+                    group, kept = (paise, way, part), {}
+                if pinned is None:
+                    near = (k for c in (at // cell - 1, at // cell, at // cell + 1) for k in kept.get(c, ()))
+                    stays = not (free and any(abs(at - t) <= gap_ms and (tail is None or x is None or tail == x) for t, x in near))
+                else:
+                    stays = pinned
+                if stays:
+                    kept.setdefault(at // cell, []).append((at, tail))
+                flags.append(stays)
+            names = ["id", "amount_paise", "direction", "slice", "home"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(flags, pa.bool_())], names=[*names, "kept"])
+
+    return work
+
+
+def near_duplicates(txns: DataFrame, gap_ms: int = R.NEAR_MS, slice_ms: int = SLICE_MS) -> DataFrame:
     """id and kept. A row without a reference is dropped if a kept row that arrived before has its amount, direction and
     account (or one has none) and a time within the gap. Rows with a reference are kept, and count as kept for others.
 
-    txns: id, seq, amount_paise, direction, account_tail, occurred_at, ref_no.
+    Each slice of time is folded by itself, together with the rows beyond its edges that it can reach. Where a slice took
+    another view of such a row than the row's own slice, it is folded again with that decision, until all agree; as a
+    decision depends on earlier rows only, what agrees is the one greedy answer.
+
+    txns: id, seq, amount_paise, direction, account_tail, occurred_at, ref_no; id and seq are unique.
     """
-    key = ["amount_paise", "direction"]
-    by_time = Window.partitionBy(*key).orderBy("occurred_at", "seq")
-    apart = F.coalesce(F.col("occurred_at") - F.lag("occurred_at").over(by_time) > gap_ms, F.lit(True))
-    runs = txns.withColumn("__run", F.sum(apart.cast("int")).over(by_time))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        # A run holds rows that follow one another within the gap; kept rows are looked up by their bucket of time.
-        group = group.sort_values("seq", kind="stable")
-        kept: dict[int, list] = {}
-        flags = []
-        for at, tail, ref in zip(group["occurred_at"], group["account_tail"], group["ref_no"]):
-            tail = None if pd.isna(tail) else tail
-            cell = at // max(gap_ms, 1)
-            near = (k for c in (cell - 1, cell, cell + 1) for k in kept.get(c, ()))
-            drop = pd.isna(ref) and any(abs(at - t) <= gap_ms and (tail is None or x is None or tail == x) for t, x in near)
-            if not drop:
-                kept.setdefault(cell, []).append((at, tail))
-            flags.append(not drop)
-        return pd.DataFrame({"id": group["id"].to_numpy(), "kept": flags})
-
-    slim = runs.select("id", "seq", *key, "account_tail", "occurred_at", "ref_no", "__run")
-    return slim.groupBy(*key, "__run").applyInPandas(fold, "id long, kept boolean")
+    group = ["amount_paise", "direction", "slice"]
+    at = F.col("occurred_at")
+    home = F.floor(at / slice_ms)
+    reach = F.sequence(F.floor((at - gap_ms) / slice_ms), F.floor((at + gap_ms) / slice_ms))
+    rows = txns.select("id", "seq", "amount_paise", "direction", "account_tail", "occurred_at", F.col("ref_no").isNull().alias("free"), F.explode(reach).alias("slice"), home.alias("home"), F.lit(None).cast("boolean").alias("pinned"))
+
+    def judged(seen: DataFrame) -> DataFrame:
+        dealt = seen.repartition(*group).sortWithinPartitions(*group, "seq", "id")
+        return written(dealt.mapInArrow(_fold(gap_ms), _JUDGED), "near-duplicates")
+
+    done = judged(rows)
+    while True:
+        own = done.where("slice = home").select("id", F.col("kept").alias("decided"))
+        views = done.where("slice <> home").join(own, "id")
+        wrong = views.where("kept <> decided").select(*group).distinct()
+        if wrong.isEmpty():
+            return own.select("id", F.col("decided").alias("kept"))
+        known = views.select("id", "slice", F.col("decided").alias("__pin"))
+        again = rows.join(wrong, group, "left_semi").join(known, ["id", "slice"], "left").withColumn("pinned", F.col("__pin")).select(*rows.columns)
+        done = done.join(wrong, group, "left_anti").unionByName(judged(again))
 
 
 def occurrence_numbers(rows: DataFrame) -> DataFrame:
@@ -63,12 +101,41 @@ def occurrence_numbers(rows: DataFrame) -> DataFrame:
 
 
 def same_day_new(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """File rows that the store lacks: the n-th occurrence is new if fewer than n rows of that day, amount, direction and
-    account are stored (no account on a side fits any). Stored rows are counted before they meet the file."""
+    """File rows that the store lacks, with ``occurrence``: the n-th of a day, amount, direction and account is new if fewer
+    than n rows of that day, amount and direction are stored whose account fits (none on a side fits any). Rows that are kept
+    count as stored for those after them. Rows with a reference, where there is a column ``ref_no``, are kept and take no
+    number, but count as stored.
+
+    A day, amount and direction is folded in file order; all that is held is one count for each account.
+    """
     key = ["day", "amount_paise", "direction"]
-    counted = store.groupBy(*key).agg(F.count("*").alias("n_all"), F.count_if(F.col("account_tail").isNull()).alias("n_open"))
-    exact = store.where("account_tail IS NOT NULL").groupBy(*key, "account_tail").agg(F.count("*").alias("n_exact"))
-    met = occurrence_numbers(rows).join(counted, key, "left").join(exact, [*key, "account_tail"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    stored = F.when(F.col("account_tail").isNull(), zero("n_all")).otherwise(zero("n_open") + zero("n_exact"))
-    return met.where(F.col("occurrence") > stored).select(*rows.columns, "occurrence")
+    has_ref = F.col("ref_no").isNotNull() if "ref_no" in rows.columns else F.lit(False)
+    counted = store.groupBy(*key, "account_tail").agg(F.count("*").alias("__stored"))
+    given = [f.name for f in rows.schema.fields]
+    file = rows.select(*given, F.lit(None).cast("bigint").alias("__stored"), has_ref.alias("__ref"))
+    both = file.unionByName(counted.withColumn("__ref", F.lit(False)), allowMissingColumns=True)
+    # Stored counts come before the file's rows.
+    dealt = both.repartition(*key).sortWithinPartitions(*key, F.col("__stored").isNull(), "id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stored, seen, total = None, {}, {}, 0
+        for batch in batches:
+            keep, numbers = [], []
+            for *own, tail, n, ref in zip(*[batch[c].to_pylist() for c in (*key, "account_tail", "__stored", "__ref")]):
+                if own != group:
+                    group, stored, seen, total = own, {}, {}, 0
+                number, new = None, n is None
+                if new and not ref:
+                    number = seen[tail] = seen.get(tail, 0) + 1
+                    new = number > (total if tail is None else stored.get(tail, 0) + stored.get(None, 0))
+                keep.append(new)
+                numbers.append(number)
+                more = n if n is not None else int(new)
+                stored[tail] = stored.get(tail, 0) + more
+                total += more
+            mask = pa.array(keep, pa.bool_())
+            out = pa.RecordBatch.from_arrays([*[batch[c] for c in given], pa.array(numbers, pa.int32())], names=[*given, "occurrence"])
+            yield out.filter(mask)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("occurrence", T.IntegerType())])
+    return dealt.mapInArrow(work, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))

@@ -17,20 +17,23 @@ _HIT = "array<struct<start:int,rank:int,paise:bigint>>"
 
 def _hits(body: Column, pattern: str, rank: int, at_end: bool) -> Column:
     """Place (code points from 0) and value of the number in each match of an amount pattern."""
-    whole, number = F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-    gaps = F.transform(F.split(body, pattern, -1), F.length)
-    sizes = F.transform(whole, F.length)
-    # Ends of matches: running sums of gaps and matches. A message holds a handful, so sums over slices stay short.
-    ends = F.transform(sizes, lambda _, i: F.aggregate(F.concat(F.slice(gaps, 1, i + 1), F.slice(sizes, 1, i + 1)), F.lit(0), lambda a, x: a + x))
-    found = F.zip_with(F.arrays_zip(ends.alias("e"), sizes.alias("s")), number, lambda m, n: F.struct((m["e"] - (F.length(n) if at_end else m["s"])).alias("start"), F.lit(rank).alias("rank"), X.paise_of(n).alias("paise")))
-    return F.when(body.rlike(pattern), found).otherwise(F.array().cast(_HIT))
+    parts = F.struct(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("number"), F.transform(F.split(body, pattern, -1), F.length).alias("gaps"))
+
+    def placed(p: Column) -> Column:
+        # Ends of matches: running sums of gaps and matches. A message holds a handful, so sums over slices stay short.
+        size = lambda i: F.length(F.get(p["whole"], i))
+        upto = lambda i: F.aggregate(F.slice(p["whole"], 1, i + 1), F.aggregate(F.slice(p["gaps"], 1, i + 1), F.lit(0), lambda a, x: a + x), lambda a, x: a + F.length(x))
+        return F.transform(p["number"], lambda n, i: F.struct((upto(i) - (F.length(n) if at_end else size(i))).alias("start"), F.lit(rank).alias("rank"), X.paise_of(n).alias("paise")))
+
+    return F.when(body.rlike(pattern), X.bound(parts, placed)).otherwise(F.array().cast(_HIT))
 
 
 def amounts(body: Column) -> Column:
     """Amounts by place: start, rank, paise, balance. Of patterns that meet at one place the first counts."""
     all_ = F.concat(_hits(body, R.AMOUNT_PREFIXED, 0, True), _hits(body, R.AMOUNT_SUFFIXED, 1, False), _hits(body, R.AMOUNT_BARE, 2, True))
     valid = F.array_sort(F.filter(all_, lambda h: h["paise"].isNotNull()))
-    first = F.filter(valid, lambda h: ~F.exists(valid, lambda g: (g["start"] == h["start"]) & (g["rank"] < h["rank"])))
+    # Sorted by place and rank, the first of a place is the one that counts.
+    first = X.bound(valid, lambda v: F.filter(v, lambda h, i: (i == 0) | (F.get(v, i - 1)["start"] != h["start"])))
     before = lambda h: F.substring(body, F.greatest(h["start"] - 31, F.lit(1)), F.least(h["start"], F.lit(32)))
     return F.transform(first, lambda h: F.struct(h["start"].alias("start"), h["paise"].alias("paise"), before(h).rlike(R.BALANCE_CONTEXT).alias("balance")))
 
@@ -54,15 +57,16 @@ def reference(body: Column) -> Column:
 
 def merchant(body: Column, direction_: Column) -> Column:
     """The first pattern whose first match is a plausible name; what follows a trailer is not read."""
-    head = F.when(body.rlike(R.TRAILER), F.get(F.split(body, R.TRAILER, 2), F.lit(0))).otherwise(body)
 
-    def candidate(pattern: str) -> Column:
-        c = X.trimmed(F.regexp_replace(X.trimmed(X.found(head, pattern)), R.MERCHANT_LABEL, ""))
-        c = F.regexp_replace(c, r"^[.,\- ]+|[.,\- ]+$", "")
-        good = (F.length(c) >= 3) & ~c.rlike(R.CURRENCY_ONLY) & ~c.rlike(R.OWN_ACCOUNT) & c.rlike("[A-Za-z]{3}") & (X.merchant_key(c) != "")
-        return F.when(good, c)
+    def candidate(head: Column, pattern: str) -> Column:
+        c = F.regexp_replace(X.trimmed(F.regexp_extract(head, pattern, 1)), R.MERCHANT_LABEL, "")
+        c = F.regexp_replace(X.trimmed(c), r"^[.,\- ]+|[.,\- ]+$", "")
+        # A name of three letters never has an empty key.
+        good = lambda c: (F.length(c) >= 3) & c.rlike("[A-Za-z]{3}") & ~c.rlike(R.CURRENCY_ONLY) & ~c.rlike(R.OWN_ACCOUNT)
+        return F.when(head.rlike(pattern), X.bound(c, lambda c: F.when(good(c), c)))
 
-    return F.coalesce(*[candidate(p) for p in R.MERCHANT_PATTERNS], F.when(direction_ == "CREDIT", candidate(R.MERCHANT_FROM)))
+    head = F.get(F.split(body, R.TRAILER, 2), F.lit(0))
+    return X.bound(head, lambda h: F.coalesce(*[candidate(h, p) for p in R.MERCHANT_PATTERNS], F.when(direction_ == "CREDIT", candidate(h, R.MERCHANT_FROM))))
 
 
 def channel(body: Column) -> Column:
@@ -89,8 +93,10 @@ def parsed(df: DataFrame, zone: str, sender: str = "sender", body: str = "body",
         .when(text.rlike(R.REJECT_PROMO), "promotional").when(text.rlike(R.REJECT_NOT_YET), "not a completed txn").when(text.rlike(R.REJECT_INFO_ONLY), "informational")
     )
     one = df.withColumns({"__who": who, "__cheap": cheap})
-    # What a cheap gate rejects is not extracted from.
-    two = one.withColumns({"__amounts": F.when(F.col("__cheap").isNull(), amounts(text)), "__way": F.when(F.col("__cheap").isNull(), direction(text)), "__tail": account_tail(text), "__ref": reference(text)})
+    # What a cheap gate rejects is not extracted from. A generated row keeps each step from being worked out where it is used.
+    open_ = lambda c: F.when(F.col("__cheap").isNull(), c)
+    steps = F.struct(open_(amounts(text)).alias("__amounts"), open_(direction(text)).alias("__way"), open_(account_tail(text)).alias("__tail"), open_(reference(text)).alias("__ref"))
+    two = one.select("*", F.explode(F.array(steps)).alias("__steps")).select(*one.columns, "__steps.*")
     pick = lambda balance: F.get(F.filter("__amounts", lambda a: a["balance"] == balance), F.lit(0))["paise"]
     late = (
         F.when(F.size("__amounts") == 0, "no amount").when(pick(False).isNull(), "only balance amounts").when(F.col("__way").isNull(), "no direction keyword")
@@ -98,16 +104,16 @@ def parsed(df: DataFrame, zone: str, sender: str = "sender", body: str = "body",
     )
     three = two.withColumn("reject_reason", F.coalesce("__cheap", late))
     ok = lambda c: F.when(F.col("reject_reason").isNull(), c)
-    four = three.withColumns(
-        {
-            "amount_paise": ok(pick(False)), "direction": ok(F.col("__way")), "channel": ok(channel(text)), "account_tail": ok(F.col("__tail")), "ref_no": ok(F.col("__ref")),
-            "balance_paise": ok(pick(True)), "merchant_raw": ok(merchant(text, F.col("__way"))), "occurred_at": ok(occurred_at(text, F.col(received_at), zone)),
-        }
-    )
-    five = four.withColumns({"merchant_norm": ok(F.nullif(X.merchant_key(F.col("merchant_raw")), F.lit(""))), "vpa_handle": ok(X.vpa_handle(F.col("merchant_raw")))})
-    return five.drop("__who", "__cheap", "__amounts", "__way", "__tail", "__ref")
+    fields = {
+        "amount_paise": pick(False), "direction": F.col("__way"), "channel": channel(text), "account_tail": F.col("__tail"), "ref_no": F.col("__ref"), "balance_paise": pick(True),
+        "merchant_raw": merchant(text, F.col("__way")), "occurred_at": occurred_at(text, F.col(received_at), zone),
+    }
+    whole = F.struct(*[ok(c).alias(n) for n, c in fields.items()])
+    four = three.select(*df.columns, "reject_reason", F.explode(F.array(whole)).alias("__t")).select(*df.columns, "reject_reason", "__t.*")
+    return four.withColumns({"merchant_norm": F.nullif(X.merchant_key(F.col("merchant_raw")), F.lit("")), "vpa_handle": X.vpa_handle(F.col("merchant_raw"))})
 
 
 def fingerprint(sender: Column, body: Column, received_at: Column) -> Column:
     """Identity of a message: sender and body, and the UTC day in which it came."""
-    return F.sha2(F.concat_ws("|", F.lower(X.trimmed(sender)), X.trimmed(body), F.call_function("div", received_at, F.lit(R.DAY_MS)).cast("string")), 256)
+    text = lambda c: F.coalesce(X.trimmed(c), F.lit(""))
+    return F.sha2(F.concat_ws("|", F.lower(text(sender)), text(body), F.call_function("div", received_at, F.lit(R.DAY_MS)).cast("string")), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendspark import rules as R
 from spendspark.functions import text as X
 from spendspark.operators import netting
 from spendspark.operators.windows import in_windows, windows
@@ -90,9 +91,12 @@ def month_figures(txns: DataFrame, now_ms: int, zone: str) -> DataFrame:
 
 
 def search(txns: DataFrame, raw: DataFrame, query: str, limit: int) -> DataFrame:
-    """Newest first where merchant or category holds the text ('%' and '_' are wildcards); with the source of the message."""
+    """Newest first where merchant (key or raw) or category holds the text ('%' and '_' are wildcards); with the source of the message."""
     q = query.strip()
-    hit = F.lit(q == "") | F.coalesce(F.col("merchant_norm").ilike(f"%{q}%"), F.lit(False)) | F.col("category").ilike(f"%{q}%")
+    hit = F.lit(q == "") | F.col("category").ilike(f"%{q}%")
+    for name in ("merchant_norm", "merchant_raw"):
+        if name in txns.columns:
+            hit = hit | F.coalesce(F.col(name).ilike(f"%{q}%"), F.lit(False))
     top = txns.where(hit).orderBy(F.col("occurred_at").desc(), F.col("id").desc()).limit(limit)
     return top.join(raw.select(F.col("id").alias("raw_id"), "source"), "raw_id", "left")
 
@@ -137,15 +141,19 @@ def merged_conflicts(versions: DataFrame) -> DataFrame:
 
 
 def located(txns: DataFrame, fixes: DataFrame) -> DataFrame:
-    """The last fix at or before each transaction, its age and confidence: one pass over both, sorted per user.
+    """The last fix at or before each transaction, its age and confidence: a pass over both, sorted per user and day, behind
+    the last fix of the days before. So a user with a long history is many groups.
 
     txns: id, user_id, occurred_at; fixes: user_id, recorded_at, place.
     """
     both = txns.select("user_id", F.col("occurred_at").alias("at"), F.lit(1).alias("side"), "id", F.lit(None).cast("string").alias("place")).unionByName(
         fixes.select("user_id", F.col("recorded_at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("id"), "place")
     )
-    before = Window.partitionBy("user_id").orderBy("at", "side", "place").rowsBetween(Window.unboundedPreceding, 0)
-    fix = F.last(F.when(F.col("side") == 0, F.struct("at", "place")), ignorenulls=True).over(before)
-    out = both.withColumn("fix", fix).where("side = 1")
+    both = both.withColumn("day", F.floor(F.col("at") / R.DAY_MS))
+    own = F.when(F.col("side") == 0, F.struct("at", "place"))
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy("user_id", "day").agg(F.max(own).alias("fix")).withColumn("carried", F.last("fix", ignorenulls=True).over(earlier)).drop("fix")
+    before = Window.partitionBy("user_id", "day").orderBy("at", "side", "place").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("fix", F.last(own, ignorenulls=True).over(before)).where("side = 1").join(days, ["user_id", "day"]).withColumn("fix", F.coalesce("fix", "carried"))
     age = F.col("at") - F.col("fix.at")
     return out.select("id", F.col("fix.place").alias("place"), age.alias("age_ms"), X.location_confidence(age).alias("confidence"))

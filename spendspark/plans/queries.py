@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
 from pyspark.sql import functions as F
 
 from spendspark import rules as R
@@ -12,23 +10,13 @@ from spendspark.functions import text as X
 from spendspark.operators import classify, dedupe, netting, parse, spend
 from spendspark.operators.windows import bucketed, daily_series, windows
 from spendspark.plans import adapter as A
+from spendspark.plans.registry import QUERIES, SQL
+from spendspark.plans.registry import query as _query
+
+__all__ = ["QUERIES", "SQL"]
 
 NOW, LATER, ZONE = A.NOW_MS, A.LATER_MS, A.ZONE
 FROM, TO = NOW - 10 * R.DAY_MS, NOW
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
 
 _L, _IN = f"WITH {A.LIVE_SQL} ", f"occurred_at BETWEEN {FROM} AND {TO}"
 _DAY = "CAST(make_timestamp(occurred_at * 1000) AS DATE)"
@@ -228,22 +216,24 @@ def location_asof(spark, d):
     return spend.located(e.where("event_type = 'purchase'").withColumnRenamed("at", "occurred_at"), fixes)
 
 
-_FIELDS = ["reject_reason", "amount_paise", "direction", "channel", "account_tail", "ref_no", "merchant_norm", "balance_paise"]
+_FIELDS = ["reject_reason", "amount_paise", "direction", "channel", "account_tail", "ref_no", "merchant_norm", "balance_paise", "vpa_handle", "occurred_at"]
 
 
-@_query("q_parse_messages", f"WITH {A.EXPECTED_SQL} SELECT id, {', '.join(_FIELDS)} FROM expected")
+@_query("q_parse_messages", f"WITH {A.expected_sql()} SELECT id, {', '.join(_FIELDS)} FROM expected")
 def parse_messages(spark, d):
     return parse.parsed(A.messages(spark, d), ZONE).select("id", *_FIELDS)
 
 
-@_query("q_reject_breakdown", f"WITH {A.EXPECTED_SQL} SELECT reject_reason, count(*) AS n FROM expected WHERE reject_reason IS NOT NULL GROUP BY ALL")
+@_query("q_reject_breakdown", f"WITH {A.expected_sql()} SELECT reject_reason, count(*) AS n FROM expected WHERE reject_reason IS NOT NULL GROUP BY ALL")
 def reject_breakdown(spark, d):
     return spend.reject_breakdown(parse.parsed(A.messages(spark, d), ZONE))
 
 
-@_query("q_fingerprint_dedupe", "SELECT sha256(lower(trim(source)) || '|' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '|0') AS fingerprint, min(doc_id) AS seq FROM documents GROUP BY 1")
+@_query("q_fingerprint_dedupe", """SELECT sha256(lower(trim(CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END)) || '|' || CASE WHEN doc_id % 13 = 0 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END || '|' || CAST(doc_id % 3 AS VARCHAR)) AS fingerprint, min(doc_id) AS seq FROM documents GROUP BY 1""")
 def fingerprints(spark, d):
-    docs = A.table(spark, d, "documents").select(parse.fingerprint(F.col("source"), F.col("text"), F.lit(5).cast("bigint")).alias("fingerprint"), F.col("doc_id").alias("seq"))
+    i = F.col("doc_id")
+    came = (i % 3) * R.DAY_MS + (i * 7919) % R.DAY_MS
+    docs = A.table(spark, d, "documents").select(parse.fingerprint(F.when(i % 11 != 0, F.col("source")), F.when(i % 13 != 0, F.col("text")), came).alias("fingerprint"), i.alias("seq"))
     return dedupe.first_of(docs, "fingerprint")
 
 
@@ -252,7 +242,10 @@ def ref_dedupe(spark, d):
     return dedupe.first_of(A.live_ledger(spark, d).select("id", X.ref_key(F.col("ref_no")).alias("ref_no")), "ref_no", "id")
 
 
-@_query("q_near_duplicate")
+_NEAR = A.greedy_sql("n")
+
+
+@_query("q_near_duplicate", f"WITH RECURSIVE {A.LIVE_SQL}, n AS (SELECT id, id AS ord, amount_paise // 1000 * 1000 AS p, direction AS w, account_tail AS tail, occurred_at AS moment, id % 8 = 0 AND ref_no IS NOT NULL AS pinned FROM live), {_NEAR} SELECT id, kept FROM greedy")
 def near_duplicate(spark, d):
     rows = A.live_ledger(spark, d)
     return dedupe.near_duplicates(rows.select("id", F.col("id").alias("seq"), (F.floor(F.col("amount_paise") / 1000) * 1000).alias("amount_paise"), "direction", "account_tail", "occurred_at", F.when(F.col("id") % 8 == 0, F.col("ref_no")).alias("ref_no")))
@@ -266,8 +259,13 @@ def occurrence(spark, d):
     return dedupe.occurrence_numbers(A.statement_ledger(spark, d))
 
 
-@_query("q_same_day_occurrence", f"""WITH {A.STATEMENT_SQL}, f AS (SELECT *, CAST(row_number() OVER ({_BYDAY}) AS INTEGER) AS occurrence FROM stmt WHERE id % 3 <> 0), s AS (SELECT * FROM stmt WHERE id % 3 = 0)
-SELECT f.* FROM f WHERE occurrence > (SELECT count(*) FROM s WHERE s.day = f.day AND s.amount_paise = f.amount_paise AND s.direction = f.direction AND (f.account_tail IS NULL OR s.account_tail IS NULL OR s.account_tail = f.account_tail))""")
+@_query("q_same_day_occurrence", f"""WITH RECURSIVE {A.STATEMENT_SQL}, s AS (SELECT * FROM stmt WHERE id % 3 = 0),
+f AS (SELECT *, CAST(row_number() OVER ({_BYDAY}) AS INTEGER) AS occurrence, row_number() OVER (PARTITION BY day, amount_paise, direction ORDER BY id) AS k,
+  (SELECT count(*) FROM s WHERE s.day = stmt.day AND s.amount_paise = stmt.amount_paise AND s.direction = stmt.direction AND (stmt.account_tail IS NULL OR s.account_tail IS NULL OR s.account_tail = stmt.account_tail)) AS stored FROM stmt WHERE id % 3 <> 0),
+run AS (SELECT id, day, amount_paise, direction, k, stored < occurrence AS kept, CASE WHEN stored < occurrence THEN [coalesce(account_tail, '-')] ELSE [] END AS held FROM f WHERE k = 1
+  UNION ALL SELECT id, day, amount_paise, direction, k, kept, CASE WHEN kept THEN list_append(held, coalesce(account_tail, '-')) ELSE held END FROM (SELECT f.*, run.held,
+    f.stored + len(list_filter(run.held, lambda t: f.account_tail IS NULL OR t = '-' OR t = f.account_tail)) < f.occurrence AS kept FROM run JOIN f ON f.day = run.day AND f.amount_paise = run.amount_paise AND f.direction = run.direction AND f.k = run.k + 1))
+SELECT f.id, f.day, f.amount_paise, f.direction, f.account_tail, f.occurrence FROM f JOIN run ON run.id = f.id WHERE kept""")
 def same_day(spark, d):
     rows = A.statement_ledger(spark, d)
     return dedupe.same_day_new(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"))
@@ -276,11 +274,19 @@ def same_day(spark, d):
 _C = "(SELECT c_custkey AS id, c_name, c_acctbal FROM customer)"
 
 
-@_query("q_merchant_norm", f"SELECT id, 'customer' AS merchant_norm, 'Customer' AS display FROM {_C}")
+_TAILS = ["", " Pvt Ltd", " PRIVATE LIMITED INDIA", " Limited India Bangalore", " Ltd Inc India Chennai", " pvt. ltd", " pvt. ltd co", " LLP Mumbai 12345", " pvt. ltd limited", "*India", "-Corp", " Private Ltd Pune Delhi"]
+#: What is left of each ending: digits behind a suffix shield it, and "ltd" goes before "pvt. ltd" where "limited" went first.
+_LEFT = ["", "", "", "", "", "", "", " llp mumbai", " pvt.", "", "", ""]
+_HEADS, _KEPT = ["", "Mr ", "MRS ", "Mr. ", " smt  "], ["", "", "", "mr. ", ""]
+
+
+@_query("q_merchant_norm", f"""SELECT id, CASE WHEN id % 7 = 0 THEN 'green.mart' ELSE {A._case(_KEPT, '((id // 12) % 5)')} || 'corner shop' || {A._case(_LEFT, '(id % 12)')} END AS merchant_norm,
+  CASE WHEN id % 7 = 0 THEN 'Green.mart' ELSE CASE WHEN (id // 12) % 5 = 3 THEN 'Mr. ' ELSE '' END || 'Corner Shop' || CASE id % 12 WHEN 7 THEN ' Llp Mumbai' WHEN 8 THEN ' Pvt.' ELSE '' END END AS display FROM {_C}""")
 def merchant_norm(spark, d):
-    rows = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.merchant_key(F.concat(F.lit("Mr. "), F.regexp_replace("c_name", "#", " 000"), F.lit(" Pvt Ltd"))).alias("k"))
-    key = F.regexp_replace("k", r"^mr\. ", "")
-    return rows.select("id", key.alias("merchant_norm"), X.display_name(key).alias("display"))
+    i = F.col("c_custkey")
+    spelled = F.concat(A._nth(_HEADS, F.floor(i / 12) % 5), F.lit("Corner_SHOP"), A._nth(_TAILS, i % 12))
+    rows = A.table(spark, d, "customer").select(i.alias("id"), X.merchant_key(F.when(i % 7 == 0, F.lit("Green.Mart@okbank")).otherwise(spelled)).alias("merchant_norm"))
+    return rows.select("id", "merchant_norm", X.display_name(F.col("merchant_norm")).alias("display"))
 
 
 @_query("q_sender_class", """SELECT id, CASE k WHEN 0 THEN 'BANK' WHEN 1 THEN 'PSP' WHEN 2 THEN 'PERSONAL' ELSE 'UNKNOWN' END AS sender_class FROM (SELECT c_custkey AS id, c_custkey % 4 AS k FROM customer)""")
@@ -313,10 +319,14 @@ def date_parse(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), X.file_day(text).alias("day"))
 
 
-@_query("q_enum_decode", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'CREDIT' ELSE 'DEBIT' END AS direction FROM orders")
+_DECODED = "', '".join
+_NAMES = [n for names, _ in R.ENUM_DEFAULTS.values() for n in names] + ["other", ""]
+
+
+@_query("q_enum_decode", f"SELECT id, name, {', '.join(f"CASE WHEN name IN ('{_DECODED(names)}') THEN name ELSE '{default}' END AS {kind}" for kind, (names, default) in R.ENUM_DEFAULTS.items())} FROM (SELECT o_orderkey AS id, {A._case(_NAMES, f'(o_orderkey % {len(_NAMES) + 1})')} AS name FROM orders)")
 def enum_decode(spark, d):
-    o = A.table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), X.one_of(F.when(F.col("o_orderstatus") == "F", "CREDIT").when(F.col("o_orderstatus") == "P", "other"), "direction").alias("direction"))
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), A._nth(_NAMES, F.col("o_orderkey") % (len(_NAMES) + 1)).alias("name"))
+    return rows.select("id", "name", *[X.one_of(F.col("name"), kind).alias(kind) for kind in R.ENUM_DEFAULTS])
 
 
 _LEX = [(w, c) for c, ws in R.LEXICON.items() for w in ws.split()]
@@ -362,11 +372,40 @@ def feature_count(spark, d):
     return _featured(spark, d).select("id", F.size("features").cast("bigint").alias("n"), F.get("features", F.size("features") - 3).alias("part_of_day"))
 
 
-@_query("q_feature_vector")
+def _grams_sql(n: int) -> str:
+    return f"list_transform(range(1, len(m) + {4 - n}), lambda i: 'g{n}=' || substring('^' || m || '$', i, {n}))"
+
+
+_BAND = "CASE " + " ".join(f"WHEN amount_paise / 100.0 < {b} THEN '{k}'" for k, b in enumerate(R.AMOUNT_BANDS)) + f" ELSE '{len(R.AMOUNT_BANDS)}' END"
+#: CTE ``vec`` (id, idx, val) from the source columns alone.
+_VECTOR = _L + f""", named AS (SELECT *, coalesce(merchant_norm, '') AS m FROM live),
+words AS (SELECT id, unnest(list_concat(CASE WHEN m = '' THEN ['m=<none>'] ELSE list_concat(['m=' || m], {_grams_sql(3)}, {_grams_sql(4)}, {_grams_sql(5)}, list_transform(string_split(m, ' '), lambda w: 'w=' || w)) END,
+  ['c=' || channel, 'a=' || {_BAND}, 't=' || CAST((occurred_at // 14400000) % 6 AS VARCHAR), 'd=' || CAST(isodow(make_timestamp(occurred_at * 1000)) AS VARCHAR), 'bias=1'])) AS t FROM named),
+hashed AS (SELECT id, {_FNV} AS h FROM words), summed AS (SELECT id, CAST(h & 16383 AS INTEGER) AS idx, CAST(sum(CASE WHEN (h >> 17) & 1 = 1 THEN 1 ELSE -1 END) AS INTEGER) AS s FROM hashed GROUP BY 1, 2),
+vec AS (SELECT id, idx, CASE WHEN n > 0 THEN s / sqrt(n) ELSE 0.0 END AS val FROM (SELECT *, CAST(sum(s * s) OVER (PARTITION BY id) AS DOUBLE) AS n FROM summed))"""
+
+
+@_query("q_feature_vector", _VECTOR + " SELECT id, idx, val FROM vec")
 def feature_vector(spark, d):
     return classify.vectors(_featured(spark, d), "id")
 
 
+@_query("q_classify_model", _VECTOR + f""", labels_ AS (SELECT i AS label, {A._case(R.CATEGORIES, 'i')} AS name FROM range({len(R.CATEGORIES)}) r(i)),
+z AS (SELECT id, label, name, sum(val * (((label * 31 + idx * 17) % 127 - 63) / 8.0)) + (label % 5 - 2) / 8.0 AS z FROM vec, labels_ GROUP BY id, label, name),
+p AS (SELECT id, name, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p, row_number() OVER (PARTITION BY id ORDER BY z DESC, label) AS k FROM z WINDOW w AS (PARTITION BY id)),
+met AS (SELECT live.id, direction, name, p, p >= {R.ACCEPT} AS sure, coalesce(merchant_norm IN ('user 3', 'user 7'), false) AS mem, {_lexicon_sql('merchant_norm', 0)} AS seed FROM live JOIN p USING (id) WHERE k = 1)
+SELECT id, CASE WHEN mem THEN 'Travel' WHEN sure THEN name WHEN seed IS NOT NULL THEN seed WHEN direction = 'CREDIT' THEN 'Income' ELSE 'Other' END AS category,
+  CASE WHEN mem THEN 'MEMORY' WHEN sure THEN 'MODEL' WHEN seed IS NOT NULL THEN 'SEED' ELSE 'NONE' END AS category_source,
+  round(CASE WHEN mem THEN 1.0 WHEN sure THEN p WHEN seed IS NOT NULL THEN {R.SEED_CONFIDENCE} ELSE 0.0 END, 6) AS confidence, NOT mem AND NOT sure AND direction = 'DEBIT' AS needs_review FROM met""")
+def classify_model(spark, d):
+    """All four layers, with a model whose weights are a rule that SQL can follow."""
+    label, idx = np.arange(len(R.CATEGORIES))[:, None], np.arange(R.BUCKETS)[None]
+    model = classify.LinearModel((((label * 31 + idx * 17) % 127 - 63) / 8).astype(np.float32), ((label[:, 0] % 5 - 2) / 8).astype(np.float32), R.TRUST_STEPS)
+    memory = spark.createDataFrame([("user 3", "Travel"), ("user 7", "Travel")], "merchant_norm string, category string")
+    rows = _featured(spark, d).drop("category", "category_source", "needs_review")
+    return classify.classified(rows, memory, model, _LEX).select("id", "category", "category_source", F.round("confidence", 6).alias("confidence"), "needs_review")
+
+
 @_query("q_classify_layers", _L + f"""SELECT id, CASE WHEN mem THEN 'Travel' WHEN seed IS NOT NULL THEN seed WHEN direction = 'CREDIT' THEN 'Income' ELSE 'Other' END AS category, CASE WHEN mem THEN 'MEMORY' WHEN seed IS NOT NULL THEN 'SEED' ELSE 'NONE' END AS category_source,
   CAST(CASE WHEN mem THEN 1.0 WHEN seed IS NOT NULL THEN 0.45 ELSE 0.0 END AS DOUBLE) AS confidence, NOT mem AND direction = 'DEBIT' AS needs_review
   FROM (SELECT *, coalesce(merchant_norm IN ('user 3', 'user 7'), false) AS mem, {_lexicon_sql('merchant_norm', 0)} AS seed FROM live)""")

@@ -1,15 +1,16 @@
-"""A ledger as CSV lines: twelve fixed columns, local minutes, plain rupees."""
+"""A ledger as CSV: twelve fixed columns, local minutes, plain rupees; written with a header, read by the header's names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendspark import rules as R
 from spendspark.functions import text as X
+from spendspark.sources import statements
 
 
-def lines(txns: DataFrame, zone: str) -> DataFrame:
+def lines(txns: DataFrame, zone: str, with_time: bool = False) -> DataFrame:
     """id and line of each transaction; columns that the ledger lacks are empty. Order by occurred_at when writing."""
     have = lambda c: F.col(c) if c in txns.columns else F.lit(None).cast("string")
     ms = X.local_ms(F.col("occurred_at"), zone)
@@ -18,12 +19,36 @@ def lines(txns: DataFrame, zone: str) -> DataFrame:
     stamp = F.concat(day.cast("string"), F.lit(" "), F.lpad(F.call_function("div", minute, F.lit(60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"))
     money = lambda c: X.rupees(F.col(c).cast("bigint")) if c in txns.columns else F.lit(None).cast("string")
     cells = [stamp, have("direction"), money("amount_paise"), F.coalesce(have("merchant_raw"), have("merchant_norm")), have("category"), have("category_source"), have("channel"), have("account_tail"), have("ref_no"), money("balance_paise"), have("lat").cast("string"), have("lon").cast("string")]
-    return txns.select("id", F.concat_ws(",", *[F.coalesce(X.csv_cell(c), F.lit("")) for c in cells]).alias("line"))
+    line = F.concat_ws(",", *[F.coalesce(X.csv_cell(c), F.lit("")) for c in cells]).alias("line")
+    return txns.select("id", *([] if not with_time else ["occurred_at"]), line)
 
 
 def export(txns: DataFrame, zone: str, path: str) -> None:
-    """Writes the header and all lines in order of time; part files in order hold the ledger."""
-    lines(txns, zone).join(txns.select("id", "occurred_at"), "id").orderBy("occurred_at", "id").select(F.concat(F.lit(""), "line").alias("value")).write.option("lineSep", "\n").text(path)
+    """Writes the header and all lines in order of time; part files in order hold the ledger, the first begins with the header."""
+    head = txns.sparkSession.createDataFrame([(None, None, ",".join(R.LEDGER_COLUMNS))], "id long, occurred_at long, line string")
+    rows = head.unionByName(lines(txns, zone, with_time=True))
+    rows.orderBy(F.col("occurred_at").asc_nulls_first(), F.col("id").asc_nulls_first()).select("line").write.option("lineSep", "\n").text(path)
+
+
+def read(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and reports of the ledger files below a path. A file is one cell until it is cut into rows, so it has to fit a task.
+
+    Rows: path, row_no, raw_line and what ``imported`` adds. Reports: path, n_rows, n_skipped and what is wrong with a file.
+    """
+    grids = statements.files(spark, path).select("path", statements.grid_of("content").alias("grid"), F.octet_length("content").alias("size"))
+    header = F.transform(F.get("grid", F.lit(0)), lambda c: F.lower(X.trimmed(c)))
+    named = grids.withColumn("header", header)
+    lacks = lambda c: ~F.coalesce(F.array_contains("header", c), F.lit(False))
+    problem = (
+        F.when(F.coalesce("size", F.lit(0)) == 0, "File is empty").when(F.coalesce(F.size("grid"), F.lit(0)) < 2, "No data rows")
+        .when(lacks("occurred_at"), "Missing 'occurred_at' column").when(lacks("amount_inr"), "Missing 'amount_inr' column")
+    )
+    named = named.withColumn("problem", problem)
+    cells = named.where("problem IS NULL").select("path", "header", F.posexplode(F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1)))).alias("row_no", "cells"))
+    rows = imported(cells.withColumn("raw_line", F.array_join("cells", " | ")), zone)
+    counts = rows.groupBy("path").agg(F.count("*").alias("n"), F.count_if("skipped").alias("s"))
+    zero = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
+    return rows.drop("header", "cells"), named.join(counts, "path", "left").select("path", zero("n", "n_rows"), zero("s", "n_skipped"), "problem")
 
 
 def imported(rows: DataFrame, zone: str) -> DataFrame:

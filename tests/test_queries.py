@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from spendspark.plans import queries as own
+from spendspark.plans import registry as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
