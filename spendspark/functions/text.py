@@ -95,7 +95,7 @@ def compact_money(paise: Column) -> Column:
 
 
 def shown_time(ms: Column, zone: str) -> Column:
-    """Day, month and time of day on the wall clock: 8 May, 2:05 pm."""
+    """Day, month and time of day on the wall clock: 8 May, 2:05 PM."""
     return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone).cast("timestamp_ntz"), "d MMM, h:mm a")
 
 

@@ -17,7 +17,7 @@ from spendspark import rules as R
 from spendspark.store import written
 
 #: Time is cut into slices, so that a frequent amount is many groups. Rows within the gap of a slice's edge are seen by both.
-SLICE_MS = 3_600_000
+SLICE_MS, WIDER, WHOLE_MS = 3_600_000, 16, 1 << 42
 
 
 def first_of(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -32,27 +32,22 @@ def new_only(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return rows.join(store.select(key).distinct(), key, "left_anti")
 
 
-_SEEN = "id long, seq long, amount_paise long, direction string, account_tail string, occurred_at long, free boolean, slice long, home long, pinned boolean"
 _JUDGED = "id long, amount_paise long, direction string, slice long, home long, kept boolean"
 
 
 def _fold(gap_ms: int):
-    """Judges rows sorted by amount, direction, slice and arrival. A row whose decision is known keeps it."""
+    """Judges rows sorted by amount, direction, slice and arrival; holds what was kept of one slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kept = None, {}
         cell = max(gap_ms, 1)
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("amount_paise", "direction", "slice", "occurred_at", "account_tail", "free", "pinned")]
             flags = []
-            for paise, way, part, at, tail, free, pinned in zip(*columns):
+            for paise, way, part, at, tail, free in zip(*[batch[c].to_pylist() for c in ("amount_paise", "direction", "slice", "occurred_at", "account_tail", "free")]):
                 if group != (paise, way, part):
                     group, kept = (paise, way, part), {}
-                if pinned is None:
-                    near = (k for c in (at // cell - 1, at // cell, at // cell + 1) for k in kept.get(c, ()))
-                    stays = not (free and any(abs(at - t) <= gap_ms and (tail is None or x is None or tail == x) for t, x in near))
-                else:
-                    stays = pinned
+                near = (k for c in (at // cell - 1, at // cell, at // cell + 1) for k in kept.get(c, ()))
+                stays = not (free and any(abs(at - t) <= gap_ms and (tail is None or x is None or tail == x) for t, x in near))
                 if stays:
                     kept.setdefault(at // cell, []).append((at, tail))
                 flags.append(stays)
@@ -66,32 +61,29 @@ def near_duplicates(txns: DataFrame, gap_ms: int = R.NEAR_MS, slice_ms: int = SL
     """id and kept. A row without a reference is dropped if a kept row that arrived before has its amount, direction and
     account (or one has none) and a time within the gap. Rows with a reference are kept, and count as kept for others.
 
-    Each slice of time is folded by itself, together with the rows beyond its edges that it can reach. Where a slice took
-    another view of such a row than the row's own slice, it is folded again with that decision, until all agree; as a
-    decision depends on earlier rows only, what agrees is the one greedy answer.
+    Each slice of time is folded by itself, together with the rows beyond its edges that it can reach. Where both slices of
+    an edge judge such rows alike, what they found is the one greedy answer, as a decision depends on earlier rows only.
+    Amounts with an edge that is judged in two ways are folded again in slices WIDER times as long.
 
     txns: id, seq, amount_paise, direction, account_tail, occurred_at, ref_no; id and seq are unique.
     """
-    group = ["amount_paise", "direction", "slice"]
-    at = F.col("occurred_at")
-    home = F.floor(at / slice_ms)
-    reach = F.sequence(F.floor((at - gap_ms) / slice_ms), F.floor((at + gap_ms) / slice_ms))
-    rows = txns.select("id", "seq", "amount_paise", "direction", "account_tail", "occurred_at", F.col("ref_no").isNull().alias("free"), F.explode(reach).alias("slice"), home.alias("home"), F.lit(None).cast("boolean").alias("pinned"))
-
-    def judged(seen: DataFrame) -> DataFrame:
-        dealt = seen.repartition(*group).sortWithinPartitions(*group, "seq", "id")
-        return written(dealt.mapInArrow(_fold(gap_ms), _JUDGED), "near-duplicates")
-
-    done = judged(rows)
+    key, at = ["amount_paise", "direction"], F.col("occurred_at")
+    left = txns.select("id", "seq", *key, "account_tail", "occurred_at", F.col("ref_no").isNull().alias("free"))
+    found = None
     while True:
-        own = done.where("slice = home").select("id", F.col("kept").alias("decided"))
-        views = done.where("slice <> home").join(own, "id")
-        wrong = views.where("kept <> decided").select(*group).distinct()
+        last = slice_ms >= WHOLE_MS
+        reach = F.array(F.lit(0).cast("long")) if last else F.sequence(F.floor((at - gap_ms) / slice_ms), F.floor((at + gap_ms) / slice_ms))
+        seen = left.select("*", F.explode(reach).alias("slice"), (F.lit(0).cast("long") if last else F.floor(at / slice_ms)).alias("home"))
+        dealt = seen.repartition(*key, "slice").sortWithinPartitions(*key, "slice", "seq", "id")
+        judged = written(dealt.mapInArrow(_fold(gap_ms), _JUDGED), "near-duplicates")
+        own = judged.where("slice = home").select("id", *key, "kept")
+        wrong = judged.where("slice <> home").select("id", F.col("kept").alias("other")).join(own, "id").where("kept <> other").select(*key).distinct()
+        wrong = written(wrong, "near-duplicate-edges")
+        agreed = own.join(wrong, key, "left_anti").select("id", "kept")
+        found = agreed if found is None else found.unionByName(agreed)
         if wrong.isEmpty():
-            return own.select("id", F.col("decided").alias("kept"))
-        known = views.select("id", "slice", F.col("decided").alias("__pin"))
-        again = rows.join(wrong, group, "left_semi").join(known, ["id", "slice"], "left").withColumn("pinned", F.col("__pin")).select(*rows.columns)
-        done = done.join(wrong, group, "left_anti").unionByName(judged(again))
+            return found
+        left, slice_ms = left.join(wrong, key, "left_semi"), slice_ms * WIDER
 
 
 def occurrence_numbers(rows: DataFrame) -> DataFrame:

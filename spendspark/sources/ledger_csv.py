@@ -31,16 +31,17 @@ def export(txns: DataFrame, zone: str, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and reports of the ledger files below a path. A file is one cell until it is cut into rows, so it has to fit a task.
+    """Rows and reports of the ledger files below a path. A file is one cell until it is cut into rows, so it has to fit a task;
+    files of no bytes are passed over by the source.
 
     Rows: path, row_no, raw_line and what ``imported`` adds. Reports: path, n_rows, n_skipped and what is wrong with a file.
     """
-    grids = statements.files(spark, path).select("path", statements.grid_of("content").alias("grid"), F.octet_length("content").alias("size"))
+    grids = statements.files(spark, path).select("path", statements.grid_of("content").alias("grid"), F.hex("content").rlike("^(?:EFBBBF)?(?:0[9A-D]|20)*$").alias("blank"))
     header = F.transform(F.get("grid", F.lit(0)), lambda c: F.lower(X.trimmed(c)))
     named = grids.withColumn("header", header)
     lacks = lambda c: ~F.coalesce(F.array_contains("header", c), F.lit(False))
     problem = (
-        F.when(F.coalesce("size", F.lit(0)) == 0, "File is empty").when(F.coalesce(F.size("grid"), F.lit(0)) < 2, "No data rows")
+        F.when(F.col("blank"), "File is empty").when(F.coalesce(F.size("grid"), F.lit(0)) < 2, "No data rows")
         .when(lacks("occurred_at"), "Missing 'occurred_at' column").when(lacks("amount_inr"), "Missing 'amount_inr' column")
     )
     named = named.withColumn("problem", problem)

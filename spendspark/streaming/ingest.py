@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spendspark import rules as R
-from spendspark.operators import parse
+from spendspark.operators import classify, ledger, parse
+from spendspark.operators import ingest as batches
 
 
 def assembled(parts: DataFrame) -> DataFrame:
@@ -65,17 +67,97 @@ def ledger_stream(messages: DataFrame, zone: str) -> DataFrame:
     return parse.parsed(distinct_messages(messages), zone).where("reject_reason IS NULL")
 
 
-def recompute(stream: DataFrame, ask: Callable[[DataFrame], DataFrame], store: str, answers: str, checkpoint: str, every: str = "60 seconds"):
-    """Appends each micro-batch to the ledger at ``store`` and writes the answer of ``ask`` over all of it to ``answers``.
+def _rows(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The table at a path, of batches before one; empty where nothing was written yet."""
+    try:
+        rows = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{schema}, batch long")
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
-    A batch that is replayed after a failure overwrites its own folder, so it is not counted twice.
+
+def latest(spark: SparkSession, answers: str) -> DataFrame:
+    """The last answer that was published. Answers are new folders, complete once they are seen, so none is ever missing."""
+    rows = spark.read.option("basePath", answers).parquet(answers)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def recompute(stream: DataFrame, ask: Callable[[DataFrame], DataFrame], store: str, answers: str, checkpoint: str, every: str = "60 seconds", part: Callable[[DataFrame], DataFrame] | None = None):
+    """Appends each micro-batch to the ledger at ``store`` and publishes the answer of ``ask`` below ``answers``.
+
+    With ``part`` the answer is asked of the partial results of all batches (sums, counts), so no batch reads the ledger again.
+    A batch that is replayed after a failure overwrites its own folders, so it is not counted twice.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         if rows.isEmpty():
             return
-        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        ledger = rows.sparkSession.read.option("basePath", store).parquet(store)
-        ask(ledger).write.mode("overwrite").parquet(answers)
+        rows.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+        of = "rows"
+        if part is not None:
+            part(rows).write.mode("overwrite").parquet(f"{store}/parts/batch={number}")
+            of = "parts"
+        known = rows.sparkSession.read.option("basePath", f"{store}/{of}").parquet(f"{store}/{of}")
+        ask(known).write.mode("overwrite").parquet(f"{answers}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def rolled_up(spark: SparkSession, ask: Callable[[DataFrame, int], DataFrame], store: str, answers: str, checkpoint: str, every: str = "20 minutes"):
+    """Publishes the answer of ``ask`` (ledger, now in ms) again and again, as windows that end now go stale without new rows."""
+
+    def batch(ticks: DataFrame, number: int) -> None:
+        now = ticks.agg(F.unix_millis(F.max("timestamp"))).first()[0]
+        if now is not None:
+            ask(spark.read.option("basePath", f"{store}/rows").parquet(f"{store}/rows"), now).write.mode("overwrite").parquet(f"{answers}/batch={number}")
+
+    return spark.readStream.format("rate").load().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+_RAW = "id long, source string, sender string, body string, received_at long, fingerprint string, parsed boolean, reject_reason string, parser_version int"
+_TXN = (
+    "id long, raw_id long, amount_paise long, direction string, channel string, account_tail string, ref_no string, balance_paise long, merchant_raw string, merchant_norm string, vpa_handle string, occurred_at long, "
+    "category string, category_source string, confidence double, needs_review boolean, place string, loc_age_ms long, loc_confidence string, parser_version int"
+)
+
+
+def live(messages: DataFrame, folder: str, zone: str, checkpoint: str, know: batches.Knowledge | None = None, every: str = "60 seconds"):
+    """Messages (source, sender, body, received_at) into the tables raw and txns below ``folder``, batch by batch.
+
+    Each batch meets the stored tables, not a state with a watermark, so a message that comes late, whatever the delay, is
+    compared like any other. A replayed batch sees what was there before it and overwrites its own folders.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if rows.isEmpty():
+            return
+        spark = rows.sparkSession
+        raw, txns = (_rows(spark, f"{folder}/{t}", s, number) for t, s in (("raw", _RAW), ("txns", _TXN)))
+        came = ledger.numbered(rows.select("source", "sender", "body", "received_at"), ["received_at", "sender", "body"], start=number << 33)
+        out = batches.messages_in(came, raw, txns, zone, know)
+        for name, new in (("raw", out.raw), ("txns", out.txns)):
+            new.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def learning(corrections: DataFrame, rows: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "60 seconds"):
+    """Corrections (id, category) as a stream: each batch steps the model on them, and on a sample of what was confirmed before.
+
+    ``rows`` gives the ledger with id, features, category and category_source. Models are rows of a table below ``folder``.
+    """
+
+    def batch(fixes: DataFrame, number: int) -> None:
+        if fixes.isEmpty():
+            return
+        spark = fixes.sparkSession
+        seen = _rows(spark, folder, "number long, blob binary", number).orderBy(F.col("number").desc()).first()
+        model = (classify.LinearModel.from_bytes(bytes(seen.blob)) if seen else None) or classify.LinearModel()
+        told = rows()
+        fresh = told.drop("category").join(fixes.select("id", "category"), "id")
+        model = classify.learned(model, fresh, told.where("category_source = 'USER'"), seed=number)
+        spark.createDataFrame([(number, model.to_bytes())], "number long, blob binary").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return corrections.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
