@@ -27,9 +27,10 @@ def windows(spark: SparkSession, now_ms: int, zone: str) -> DataFrame:
 
 
 def in_windows(txns: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each transaction once for each window that holds it. ``spans`` is a handful of rows."""
+    """Each transaction once for each window that holds it. ``spans`` is a handful of rows; their outer bounds prune the scan."""
+    bounds = spans.agg(F.min("from_ms").alias("a"), F.max("to_ms").alias("b")).first()
     spans = F.broadcast(spans)  # five rows, whatever the data
-    return txns.join(spans, F.col("occurred_at").between(F.col("from_ms"), F.col("to_ms"))).drop("from_ms", "to_ms")
+    return txns.where(F.col("occurred_at").between(bounds.a, bounds.b)).join(spans, F.col("occurred_at").between(F.col("from_ms"), F.col("to_ms"))).drop("from_ms", "to_ms")
 
 
 def daily_series(txns: DataFrame, now_ms: int, days: int, zone: str) -> DataFrame:

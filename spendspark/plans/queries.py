@@ -167,10 +167,11 @@ def sparkline(spark, d):
 _COLS = "id, occurred_at, amount_paise, merchant_norm, category"
 
 
-@_query("q_search", _L + f"SELECT {_COLS}, CASE WHEN raw_id % 5 = 0 THEN NULL WHEN raw_id % 2 = 0 THEN 'SMS' ELSE 'STATEMENT' END AS source FROM (SELECT * FROM live WHERE coalesce(merchant_norm ILIKE '%user 1%', false) OR category ILIKE '%user 1%' ORDER BY occurred_at DESC, id DESC LIMIT 500)")
+@_query("q_search", _L + f"SELECT {_COLS}, CASE WHEN raw_id % 5 = 0 THEN NULL WHEN raw_id % 2 = 0 THEN 'SMS' ELSE 'STATEMENT' END AS source FROM (SELECT * FROM live WHERE coalesce(merchant_norm ILIKE '%user 1%', false) OR category ILIKE '%user 1%' OR 'PAY*USER ' || CAST(id % 30 AS VARCHAR) ILIKE '%user 1%' ORDER BY occurred_at DESC, id DESC LIMIT 500)")
 def search(spark, d):
     raw = spark.range(997).where("id % 5 <> 0").select("id", F.when(F.col("id") % 2 == 0, "SMS").otherwise("STATEMENT").alias("source"))
-    return spend.search(A.live_ledger(spark, d), raw, " USER 1 ", 500).select("id", "occurred_at", "amount_paise", "merchant_norm", "category", "source")
+    txns = A.live_ledger(spark, d).withColumn("merchant_raw", F.concat(F.lit("PAY*USER "), (F.col("id") % 30).cast("string")))
+    return spend.search(txns, raw, " USER 1 ", 500).select("id", "occurred_at", "amount_paise", "merchant_norm", "category", "source")
 
 
 @_query("q_recent", _L + f"SELECT {_COLS} FROM live ORDER BY occurred_at DESC, id DESC LIMIT 100")

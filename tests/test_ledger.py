@@ -182,3 +182,17 @@ def test_partial_answers_and_learning(spark, tmp_path):
         streams.learning(fixes, lambda: rows, str(tmp_path / "model"), str(tmp_path / "cp3")).trigger(availableNow=True).start().awaitTermination(100)
     steps = [classify.LinearModel.from_bytes(bytes(r.blob)).steps for r in spark.read.parquet(str(tmp_path / "model")).orderBy("number").collect()]
     assert steps == [5 + 23, 2 * (5 + 23)]
+
+
+def test_answers_are_rolled_up_without_new_rows(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([(1, 0)], "id long, occurred_at long").write.parquet(str(tmp_path / "store" / "rows" / "batch=0"))
+    ask = lambda rows, now: rows.agg(F.count("*").alias("n"), F.lit(now).alias("now"))
+    q = streams.rolled_up(spark, ask, str(tmp_path / "store"), str(tmp_path / "answers"), str(tmp_path / "cp"), "1 second").start()
+    deadline = time.time() + 60
+    while time.time() < deadline and not list((tmp_path / "answers").glob("batch=*/_SUCCESS")):
+        time.sleep(0.5)
+    q.stop()
+    last = streams.latest(spark, str(tmp_path / "answers")).first()
+    assert last.n == 1 and abs(last.now - time.time() * 1000) < 120_000
