@@ -4,8 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 again as the next one's docs. All but the last return the columns of ``documents``. Models are fitted on the labelled
 documents that a stage sees, from the table ``labels``.
 
-Rows with nulls: a null text is not toxic; it has no words, so the base rule of the quality stage drops it. Rows without a
-doc_id are linked with nothing and kept by the near-duplicate stage.
+Cases: a null or empty text is not toxic; it has no words, so the base rule of the quality stage drops it. Long texts are
+read, compared and packed whole. Rows without a doc_id are linked with nothing and kept by the near-duplicate stage; of equal
+similarity the smallest id stays, and a row that is repeated stays once. A document that a stage drops takes all rows of its
+id and text with it. Further columns pass through all stages but the last, whatever their names. An empty table, or one
+without labels, gives the rows that the base rules leave.
 """
 
 from __future__ import annotations
