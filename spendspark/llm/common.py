@@ -16,7 +16,7 @@ __all__ = ["arrow_columns", "quoted", "shared_folder", "small_enough", "table",
 #: Broadcasts are hinted only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
 #: Rows whose values are Python objects at the same time; an Arrow batch may hold many times as many.
-ROWS_AT_ONCE = 600
+ROWS_AT_ONCE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,8 @@ def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start
                 columns = run(batch.column(batch.num_columns - 1).to_pylist())
                 arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        # Workers are used again by later tasks: what this one held goes back.
+        pa.default_memory_pool().release_unused()
 
     return inputs.mapInArrow(work, schema).toDF(*kept, *[f.name for f in fields])
 
