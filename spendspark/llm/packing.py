@@ -2,8 +2,8 @@
 
 Documents are tokenised once; only those longer than a sequence are cut. Each partition packs its pieces best-fit, longest
 first, and emits the bins that are nearly full. Pieces of underfull bins go on to a level with a FAN_IN-th of the
-partitions, where each underfull bin is one item for another round of best-fit. The last level emits all. Underfull bins are
-few for each partition, as a best-fit with longest first leaves room only in its last bins, so levels shrink quickly.
+partitions, where each underfull bin is one item for another round of best-fit. The last level emits all: that of one
+partition, or the first that merges hardly any bins, so that no task gets all bins that nothing fits into.
 
 Pieces carry lengths and checksums, not tokens. Each level is written to the shared folder: packing depends on which rows a
 partition holds, and rereading a written table gives the same rows after an executor is lost.
@@ -32,6 +32,8 @@ from spendspark.llm.common import arrow_columns, quoted, table, written
 CAPACITY, CLOSING_ID = 2048, 0
 #: A bin this full is emitted before the last level; partitions that meet in one of the next level; pieces for a partition.
 NEARLY_FULL, FAN_IN, PIECES_EACH = 2048 - 8, 16, 40_000
+#: A level that leaves more than this part of its bins is the last: merging has nothing to gain any more.
+SHRINKS = 0.98
 _PIECE = T.StructType([T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False)])
 
 
@@ -132,15 +134,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_
     total = pieces.count()
     parts = max(1, -(-total // pieces_each))
     rows = pieces.select("*", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("lane")).repartition(parts)
-    finished, level = None, 0
+    finished, level, given = None, 0, None
     while True:
         last = parts == 1
         out = written(_level(rows, last, capacity, level, nearly_full), f"packed-{level}")
-        done = out.where("done").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        made, open_ = out.agg(F.count_distinct("bin"), F.count_distinct(F.when(~F.col("done"), F.col("bin")))).first()
+        # Bins that hardly merge any more, such as those of pieces longer than half a sequence, would all go to the last
+        # task; they are emitted where they are.
+        last = last or given is not None and made > SHRINKS * given
+        done = (out if last else out.where("done")).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
         finished = done if finished is None else finished.unionAll(done)
         if last:
             return finished
-        level, parts = level + 1, -(-parts // FAN_IN)
+        given, level, parts = open_, level + 1, -(-parts // FAN_IN)
         # Lanes are small whole numbers; a range of them to each partition keeps whole bins together.
         rows = out.where("NOT done").drop("done").repartition(parts, "lane")
 

@@ -55,6 +55,15 @@ def test_levels_merge_underfull_bins(spark, monkeypatch):
     assert n <= 1.08 * least + 1
 
 
+def test_bins_that_never_merge_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(P, "FAN_IN", 2)
+    levels, real = [], P._level
+    monkeypatch.setattr(P, "_level", lambda rows, last, *a: levels.append(last) or real(rows, last, *a))
+    pieces = spark.createDataFrame([(i, 0, 0, 51 + i % 40, i) for i in range(600)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = P.pack(pieces, capacity=100, nearly_full=99, pieces_each=20).collect()
+    assert check_layout(got, 100) == len(got) == 600 and levels == [False, False]
+
+
 def test_best_fit():
     assert P.best_fit([6, 5, 4, 3, 2], 10) == [[0, 2], [1, 3, 4]]
     assert P.best_fit([], 10) == []
