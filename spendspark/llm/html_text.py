@@ -1,15 +1,16 @@
 """Operator 7: main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines, one for each block of text. Containers that are never main text (menus, footers, adverts, ...) are
-left out by element, role and class. Of all other lines differencing decides: pages of a host are sorted by URL path, each
-page is paired with the neighbour whose path agrees longest, their lines are aligned by longest common subsequence, and lines
-that both share are deleted. To stand inside an article or main element is evidence for a line: it takes a second neighbour
-that shares it, too. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
+A page is cut into lines, one for each block of text. Pages of a host are sorted by URL path, each page is paired with the
+neighbour whose path agrees longest, their lines are aligned by longest common subsequence, and lines that both share are
+deleted. All lines are aligned, those of containers that are never main text (menus, footers, adverts, ...; told by element,
+role and class) as well: most of them are shared, and the list judges what no neighbour shows, such as a comment or an advert
+of one page. To stand inside an article or main element is evidence for a line: it takes WITNESSES neighbours that all share
+it. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
 the template; the next different one is taken, whatever the distance. Where a host has none, the nearest two decide if all
 three have text of their own beside the same shared lines.
 
 Pages of a host with the same lines are one class, judged once. Classes are dealt by ranges of host and path, so a hot host
-is split; only line hashes are dealt, not text. Copies that follow one another are one run, and the runs at a range's ends are
+is split; only line hashes are dealt, not text. Deletions of lines that the list drops anyhow are not joined back. Copies that follow one another are one run, and the runs at a range's ends are
 carried to the next ranges. The deletions, few and small, are joined back by a key of the row.
 
 Cases: a null or empty html gives ''; long pages are read whole; a null url has an empty host and path; repeated rows are
@@ -35,6 +36,8 @@ from spendspark.llm.url_filter import host_of, path_of
 
 #: A neighbour that shares more than this part of a page's text, or of the text in its article, is a copy of it.
 COPY_SHARE, ARTICLE_SHARE = 0.9, 0.5
+#: Neighbours that have to share a line inside an article before it goes.
+WITNESSES = 5
 #: Classes of pages for a range; runs at each end of a range that are carried to the next.
 PAGES_EACH, EDGE = 4000, 3
 #: Rows of an alignment are kept for the way back up to so many bits; longer pages are aligned in halves.
@@ -73,25 +76,29 @@ def _marked(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str | None) -> list[tuple[str, bool]]:
-    """The lines of a page that may be main text, in order, and whether each stands inside an article or main element."""
+#: Where a line stands: outside of all, inside an article or main element, in a container that is never main text.
+PLAIN, INSIDE, MARKED = 0, 1, 2
+
+
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """The lines of a page in order, and where each stands."""
     if not html:
         return []
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     inside = 0  # open article and main elements
-    left_out, depth = "", 0  # the element being left out, and how many of its name are open
+    left_out, depth = "", 0  # the container that is never main text, and how many of its name are open
 
     def end_line() -> None:
         if parts:
             line = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if line:
-                out.append((line, inside > 0))
+                out.append((line, MARKED if left_out else INSIDE if inside else PLAIN))
 
     at = 0
     for m in _TOKEN.finditer(html):
-        if m.start() > at and not left_out:
+        if m.start() > at:
             parts.append(html[at : m.start()])
         at = m.end()
         name, closing, attributes = (m[3] or m[6] or "").lower(), m[2] or m[5], m[4] or m[7] or ""
@@ -100,6 +107,8 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
                 parts.append(" ")
             continue
         if left_out:
+            if name not in INLINE or name == left_out:
+                end_line()
             if name in ("article", "main") and not closing and name != left_out and not _marked(name, attributes):
                 left_out = ""  # an article never stands in what is left out: that was not closed
             elif name == left_out:
@@ -124,20 +133,20 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
                 left_out, depth = name, 1
             elif name in ("article", "main"):
                 inside += 1
-    if at < len(html) and not left_out:
+    if at < len(html):
         parts.append(html[at:])
     end_line()
     return out
 
 
 def main_text(html: str | None, deleted: list[int] | None) -> str:
-    """The lines without the deleted ones, joined by blanks. Where nothing was compared (None), the page's own evidence decides:
-    lines outside its article go, unless they hold more text than it."""
+    """The lines without the deleted ones and those that the list drops, joined by blanks. Where nothing was compared (None), the
+    page's own evidence decides: lines outside its article go, unless they hold more text than it."""
     lines = lines_of(html)
     gone = set(deleted or ())
-    if deleted is None and 2 * sum(len(line) for line, inside in lines if inside) >= sum(len(line) for line, _ in lines):
-        gone = {i for i, (_, inside) in enumerate(lines) if not inside}
-    return " ".join(line for i, (line, _) in enumerate(lines) if i not in gone)
+    if deleted is None and 2 * sum(len(line) for line, kind in lines if kind == INSIDE) >= sum(len(line) for line, kind in lines if kind != MARKED):
+        gone = {i for i, (_, kind) in enumerate(lines) if kind == PLAIN}
+    return " ".join(line for i, (line, kind) in enumerate(lines) if kind != MARKED and i not in gone)
 
 
 def _rows(a: list[int], b: list[int]) -> list[int]:
@@ -191,12 +200,21 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return head + [low + i for i in middle] + tail
 
 
+def _common(row: dict, other: dict) -> list[int]:
+    """Indexes of the lines of a page that align with those of another; lines of marked containers only with such."""
+    out = []
+    for marked in (False, True):
+        mine, its = ([i for i, k in enumerate(r["kinds"]) if (k == MARKED) == marked] for r in (row, other))
+        out += [mine[k] for k in common_subsequence([row["lines"][i] for i in mine], [other["lines"][i] for i in its])]
+    return sorted(out)
+
+
 def _shared(row: dict, other: dict) -> tuple[list[int], bool]:
-    """Lines of a page that it shares with another, and whether that is a copy of it."""
-    found, sizes, inside = common_subsequence(row["lines"], other["lines"]), row["sizes"], row["inside"]
-    if own := sum(n for n, i in zip(sizes, inside) if i):
-        return found, sum(sizes[i] for i in found if inside[i]) > ARTICLE_SHARE * own
-    return found, sum(sizes[i] for i in found) > COPY_SHARE * sum(sizes)
+    """Lines of a page that it shares with another, and whether that is a copy of it (by what may be main text)."""
+    found, sizes, kinds = _common(row, other), row["sizes"], row["kinds"]
+    if own := sum(n for n, k in zip(sizes, kinds) if k == INSIDE):
+        return found, sum(sizes[i] for i in found if kinds[i] == INSIDE) > ARTICLE_SHARE * own
+    return found, sum(sizes[i] for i in found if kinds[i] == PLAIN) > COPY_SHARE * sum(n for n, k in zip(sizes, kinds) if k == PLAIN)
 
 
 def _agreeing(a: str, b: str) -> int:
@@ -211,16 +229,21 @@ def _agreeing(a: str, b: str) -> int:
 def _decided(row: dict, differing: Iterator[tuple[dict, list[int]]]) -> list[int] | None:
     """Lines to delete, from neighbours that are no copies, nearest first, and what is shared with each; None without any.
 
-    One neighbour decides on a line outside an article; one inside is deleted if a second, no copy of the first, shares it too.
+    One neighbour decides on a line outside an article. One inside is deleted if WITNESSES neighbours, no copies of each other,
+    all share it, or all there are and two at least: a sentence that some articles have in common is no template.
     """
     first, found = next(differing, (None, []))
     if first is None:
         return None
-    doubtful = {i for i in found if row["inside"][i]}
-    if doubtful:
-        second = next((shared for r, shared in differing if not _shared(first, r)[1]), [])
-        found = [i for i in found if i not in doubtful or i in second]
-    return found
+    doubtful, seen = {i for i in found if row["kinds"][i] == INSIDE}, [first]
+    found = [i for i in found if i not in doubtful]
+    while doubtful and len(seen) < WITNESSES:
+        other, shared = next(((r, shared) for r, shared in differing if not any(_shared(w, r)[1] for w in seen)), (None, []))
+        if other is None:
+            break
+        doubtful &= set(shared)
+        seen.append(other)
+    return sorted([*found, *doubtful]) if len(seen) > 1 else found
 
 
 def _runs(rows: list[dict]) -> list[int]:
@@ -253,20 +276,24 @@ def _alike(rows: list[dict], i: int) -> list[int] | None:
     """Where all pages of a host seem copies: what the nearest two share is the template if each of the three has text of its own."""
     row = rows[i]
     near = [rows[j] for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(rows) and rows[j]["host"] == row["host"]][:2]
-    if len(near) < 2 or any(row["inside"]):
+    if len(near) < 2 or INSIDE in row["kinds"]:
         return None
-    found = common_subsequence(row["lines"], near[0]["lines"])
-    core = [row["lines"][i] for i in found]
+
+    def common(a: dict, b: dict) -> list[int]:
+        return [i for i in _common(a, b) if a["kinds"][i] != MARKED]
+
+    found = _common(row, near[0])
+    core = [row["lines"][i] for i in common(row, near[0])]
     for a, b in ((row, near[0]), (near[0], row), (near[1], row), (near[1], near[0])):
-        shared = set(common_subsequence(a["lines"], b["lines"]))
-        own = [n for i, n in enumerate(a["sizes"]) if i not in shared]
+        shared = set(common(a, b))
+        own = [n for i, n in enumerate(a["sizes"]) if i not in shared and a["kinds"][i] != MARKED]
         # A counter or a date is no text of its own: that is no shorter than the shared lines on an average.
         if [a["lines"][i] for i in sorted(shared)] != core or not own or sum(own) * len(core) < sum(a["sizes"][i] for i in shared) * len(own):
             return None
     return found
 
 
-_LAID = "key string, host string, path string, lines array<bigint>, sizes array<int>, inside array<boolean>, part int, run int, role string"
+_LAID = "key string, host string, path string, lines array<bigint>, sizes array<int>, kinds array<tinyint>, part int, run int, role string"
 
 
 def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +306,7 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = [(i, "page") for i in range(len(rows))]
     if rows:
         at += [(a, "head") for a in starts[:-1][:EDGE]] + [(b - 1, "tail") for b in starts[1:][-EDGE:]]
-    schema = pa.schema([("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("inside", pa.list_(pa.bool_())), ("part", pa.int32()), ("run", pa.int32()), ("role", pa.string())])
+    schema = pa.schema([("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8())), ("part", pa.int32()), ("run", pa.int32()), ("role", pa.string())])
     for k in range(0, len(at), ROWS_AT_ONCE):
         yield pa.RecordBatch.from_pylist([rows[i] | {"part": part, "run": run[i], "role": role} for i, role in at[k : k + ROWS_AT_ONCE]], schema=schema)
 
@@ -303,10 +330,11 @@ def _carried(ranges: list) -> list[tuple[int, str, int]]:
     return out
 
 
-def deletions(pages: DataFrame) -> DataFrame:
-    """key and indexes of the lines to delete, from a table of pages: key, host, path, and hashes, sizes and places of lines.
+def deletions(pages: DataFrame, every: bool = False) -> DataFrame:
+    """key and indexes of the lines to delete, from a table of pages: key, host, path, and hashes, sizes and kinds of lines.
 
-    Pages with no line to delete are left out, but for those with lines in and outside an article that had a neighbour.
+    Pages with no line to delete are left out, but for those with lines in and outside an article that had a neighbour. Lines
+    that the list drops anyhow are left out too, unless ``every`` is asked for.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +343,11 @@ def deletions(pages: DataFrame) -> DataFrame:
             for run, (a, b) in enumerate(zip(starts, starts[1:])):
                 for i in range(a, b):
                     if rows[i]["role"] == "page":
-                        found = _judged(rows, starts, run, i)
-                        if found or found is not None and len(set(rows[i]["inside"])) > 1:
+                        found, kinds = _judged(rows, starts, run, i), rows[i]["kinds"]
+                        open_ = [k for k in found or () if kinds[k] != MARKED]
+                        if every and found or open_ or found is not None and len({*kinds} - {MARKED}) > 1:
                             keys.append(rows[i]["key"])
-                            gone.append(found)
+                            gone.append(found if every else open_)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "deleted"])
 
         held: list[dict] = []
@@ -332,7 +361,7 @@ def deletions(pages: DataFrame) -> DataFrame:
 
     parts = -(-pages.count() // PAGES_EACH) or 1
     order = ["host", "path", "key"]
-    laid = written(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "host", "path", "lines", "sizes", "inside").mapInArrow(_laid, _LAID), "page-ranges")
+    laid = written(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "host", "path", "lines", "sizes", "kinds").mapInArrow(_laid, _LAID), "page-ranges")
     own = laid.where("role = 'page'")
     ranges = own.groupBy("part").agg(F.min("host").alias("first_host"), F.max("host").alias("last_host"), (F.max("run") + 1).alias("runs")).orderBy("part").collect()
     if moves := _carried(ranges):
@@ -347,18 +376,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     def hashed(pages_: list) -> list:
         found = [lines_of(h) for h in pages_]
-        return [[[hash_of(line) for line, _ in lines] for lines in found], [[len(line) for line, _ in lines] for lines in found], [[inside for _, inside in lines] for lines in found]]
+        return [[[hash_of(line) for line, _ in lines] for lines in found], [[len(line) for line, _ in lines] for lines in found], [[kind for _, kind in lines] for lines in found]]
 
     key = F.md5(F.concat(F.coalesce(F.col(quoted(url)), F.lit("")), F.lit("\x00"), F.coalesce(F.col(quoted(html)), F.lit(""))))
     small = pages.select(key.alias("key"), host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"), F.col(quoted(html)).alias("__html"))
-    kinds = {"lines": T.LongType(), "sizes": T.IntegerType(), "inside": T.BooleanType()}
+    kinds = {"lines": T.LongType(), "sizes": T.IntegerType(), "kinds": T.ByteType()}
     lines = arrow_columns(small, "__html", [T.StructField(n, T.ArrayType(k, False), False) for n, k in kinds.items()], lambda: hashed)
     # Pages with the same lines on one host are one class; the least key and path stand for it.
-    alike = F.md5(F.concat_ws(" ", "host", F.col("lines").cast("array<string>"), F.col("inside").cast("array<string>")))
+    alike = F.md5(F.concat_ws(" ", "host", F.col("lines").cast("array<string>"), F.col("kinds").cast("array<string>")))
     lines = written(lines.where(F.size("lines") > 0).drop("__html").withColumn("class", alike), "page-lines")
     least = F.min(F.struct("path", "key"))
-    classes = lines.groupBy("class").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("host", "lines", "sizes", "inside")])
-    gone = written(deletions(written(classes.select(F.col("class").alias("key"), "host", "least.path", "lines", "sizes", "inside"), "page-classes")), "page-deletions")
+    classes = lines.groupBy("class").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("host", "lines", "sizes", "kinds")])
+    gone = written(deletions(written(classes.select(F.col("class").alias("key"), "host", "least.path", "lines", "sizes", "kinds"), "page-classes")), "page-deletions")
 
     kept = [F.col(quoted(c)) for c in without(pages, ["text", "n_chars"]) if c != html]
     given = pages.select(*kept, F.col(quoted(html)).alias("__html"), key.alias("__key"))

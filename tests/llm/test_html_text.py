@@ -92,3 +92,30 @@ def test_copies_of_any_number_and_short_pages(spark, monkeypatch):
         assert got["http://a.org/a"] == "Another text altogether, long enough" and got["http://a.org/c"] == "A third text altogether, long enough"
         assert all(got[f"http://n.org/{i}"].startswith("Sentence 0") for i in range(4))
         assert [got[f"http://s.org/{i}"] for i in range(9)] == [f"Item no {i}" for i in range(9)], each
+
+
+def test_deletions_equal_brute_force(spark):
+    # Each line is one of a kind on its page, so a longest common subsequence with lines in one order is all that both have.
+    rng = random.Random(12)
+    shared, pages = [f"Template line {k}" for k in range(12)], {}
+    for i in range(40):
+        host, marked = f"h{i % 3}.org", rng.sample(range(4), rng.randint(2, 4))
+        plain = sorted(rng.sample(range(4, 12), rng.randint(2, 6)))
+        own = [f"Own text {i} {k} of some length, enough to be no template" for k in range(8)]
+        rows = [("nav", shared[k]) for k in sorted(marked)] + [("nav", f"Advert {i}")] + [("p", shared[k]) for k in plain] + [("p", x) for x in own]
+        pages[f"http://{host}/{''.join(rng.choices('ab', k=6))}{i:02}"] = rows
+    html = {u: "".join(f"<{t}>{x}</{t}>" for t, x in rows) for u, rows in pages.items()}
+    got = texts_of(spark, html)
+    for url, rows in pages.items():
+        host, path = url[7:13], url[13:]
+        near = sorted((u for u in pages if u[7:13] == host), key=lambda u: u[13:])
+        at = near.index(url)
+        sides = [near[k] for k in (at - 1, at + 1) if 0 <= k < len(near)]
+        best = max(sides, key=lambda u: H._agreeing(u[13:], path))
+        there = {x for _, x in pages[best]}
+        assert got[url] == " ".join(x for t, x in rows if t == "p" and x not in there), url
+    # differencing itself finds the menu's lines; an advert of one page is left to the list
+    lines = [(u, u[7:13], u[13:], [H.hash_of(x) for _, x in r], [len(x) for _, x in r], [H.MARKED if t == "nav" else H.PLAIN for t, _ in r]) for u, r in pages.items()]
+    table = spark.createDataFrame(lines, "key string, host string, path string, lines array<bigint>, sizes array<int>, kinds array<tinyint>")
+    found = {r.key: set(r.deleted) for r in H.deletions(table, every=True).collect()}
+    assert all(found[u] and all(pages[u][k][1] in shared for k in found[u]) for u in pages) and any(pages[u][k][0] == "nav" for u in pages for k in found[u])
