@@ -104,3 +104,8 @@ def test_each_alternative_is_found_with_the_prefilter(spark):
                 assert any(k in f" {text} " for k in r.keyword.split("|")), (text, r)
     out = L.scan(spark.createDataFrame(list(enumerate(texts[::40] + ["asl 2 0", "gnu agpl v3"])), "i int, text string")).collect()
     assert all(r.score > 0 and r.labels for r in out) and out[-2].labels == ["apache-2"] and "agpl-3" in out[-1].labels
+
+
+def test_main_path_has_no_python(spark):
+    plan = L.scan(spark.createDataFrame([(1, "mit license")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
