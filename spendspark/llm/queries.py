@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, html_text, license_scan, media_copies, near_dedup, packing, quality_rules, secrets, toxicity, url_filter
+from spendspark.llm import bpe, filter_audit, html_text, license_scan, media_copies, merkle, near_dedup, packing, quality_rules, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8,
         "op9_bpe_round_trip": bpe.op9,
         "op10_toxicity": toxicity.op10,
+        "op11_filter_audit": filter_audit.op11,
+        "op12_merkle_manifest": merkle.op12,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_dedup": near_dedup.SQL,
         "op5_url_filter": url_filter.SQL,
+        "op11_filter_audit": filter_audit.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }
