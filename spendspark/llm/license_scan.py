@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendspark.llm.common import quoted, table, without
+from spendspark.llm.native import folded
 
 
 @dataclass(frozen=True)
@@ -176,33 +177,6 @@ def signatures() -> list[Signature]:
 _GATE = r"licen[cs]e|spdx|hereby|redistribut|unencumbered|misrepresented|invariant|rights|domain|commons|merchantability|gpl|lgpl|cc0|cc by|wtfpl|freebsd|bsd|asl 2|mpl|historical|endorse|compliance|agreed|organization|what the|w3c|mit |psf"
 
 
-#: Items that one step of a fold holds: what it gathers is copied at each step, so long lists are folded in parts.
-PART = 256
-
-
-def _folded(items: Column, state: dict[str, Column], kind: str, step) -> Column:
-    """All that ``step`` gathers over ``items``, in order. ``step`` takes the state, what its part has gathered so far (arrays
-    of ``kind``) and an item, and returns both anew. Parts are folded in turn, so copying stays small for any number of items."""
-    none = F.array().cast(f"array<{kind}>")
-    begin = F.struct(*[v.alias(k) for k, v in state.items()], none.alias("out"))
-
-    def one(acc: Column, item: Column) -> Column:
-        new, out = step(acc, acc["out"], item)
-        return F.struct(*[new[k].alias(k) for k in state], out.alias("out"))
-
-    parts = lambda all_: F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(PART)), lambda i: F.slice(all_, i + 1, PART))
-    outer = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("outs"))
-
-    def part(acc: Column, items_: Column) -> Column:
-        start = F.struct(*[acc[k].alias(k) for k in state], none.alias("out"))
-        folded = F.array(F.aggregate(items_, start, one))
-        # The part's result is bound to a variable, so that it is worked out once.
-        return F.get(F.transform(folded, lambda r: F.struct(*[r[k].alias(k) for k in state], F.concat(acc["outs"], F.array(r["out"])).alias("outs"))), F.lit(0))
-
-    whole = lambda all_: F.when(F.size(all_) <= PART, F.aggregate(all_, begin, one, lambda acc: acc["out"])).otherwise(F.aggregate(parts(all_), outer, part, lambda acc: F.flatten(acc["outs"])))
-    return F.get(F.transform(F.array(items), whole), F.lit(0))
-
-
 def _count_words(piece: Column, outer: int) -> Column:
     """Words of a part of the padded sequence: blanks, less one where blanks stand on both sides, plus one where on none."""
     return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) + F.lit(outer)
@@ -218,7 +192,7 @@ def _spans(padded: Column, pattern: Column) -> Column:
         start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["size"]
         return {"at": end}, F.concat(out, F.array(F.struct(start.alias("start"), end.alias("end"))))
 
-    spans = lambda sizes_: _folded(sizes_, {"at": F.lit(0)}, "struct<start:int,end:int>", step)
+    spans = lambda sizes_: folded(sizes_, {"at": F.lit(0)}, "struct<start:int,end:int>", step)
     return F.get(F.transform(F.transform(F.array(both), sizes), spans), F.lit(0))
 
 
@@ -241,7 +215,7 @@ def _unsuppressed(hits: Column) -> Column:
         one = F.struct(h["start"].alias("start"), h["end"].alias("end"), h["priority"].alias("priority"), h["label"].alias("label"))
         return new, F.when(hidden, out).otherwise(F.concat(out, F.array(one)))
 
-    return _folded(hits, state, "struct<start:int,end:int,priority:int,label:string>", step)
+    return folded(hits, state, "struct<start:int,end:int,priority:int,label:string>", step)
 
 
 def scan(df: DataFrame, text: str = "text", rules: list[Signature] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendspark.llm import bpe, filter_audit, html_text, license_scan, media_copies, merkle, near_dedup, packing, quality_rules, secrets, toxicity, url_filter
+from spendspark.llm import bpe, filter_audit, html_text, license_scan, media_copies, merkle, near_dedup, packing, pii, quality_rules, secrets, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10,
         "op11_filter_audit": filter_audit.op11,
         "op12_merkle_manifest": merkle.op12,
+        "op13_personal_data": pii.op13,
     }
 
 

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from spendspark.llm import license_scan as L
+from spendspark.llm import native
 
 
 def words_of(text):
@@ -40,9 +41,9 @@ LINES = [
 TEXTS = ["", None, " . ", *LINES, "\n".join(LINES), "Under the MIT license " * 3000, "x " * 50_000 + LINES[1]]
 
 
-@pytest.mark.parametrize("part", [L.PART, 2])
+@pytest.mark.parametrize("part", [native.PART, 2])
 def test_equals_brute_force(spark, monkeypatch, part):
-    monkeypatch.setattr(L, "PART", part)
+    monkeypatch.setattr(native, "PART", part)
     rng = random.Random(2)
     texts = TEXTS[:-2] + ["  ".join(rng.choices([*LINES, "a", "gnu", "license", "mit", "under the"], k=rng.randint(1, 12))) for _ in range(150)]
     out = L.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
