@@ -1,7 +1,8 @@
 """Removing repeated observations: messages, references, near-equal times, same-day file rows.
 
 Rows have an arrival order ``seq``. Near-equal times and same-day rows are greedy (what was kept decides), so they are folds
-in that order. A fold streams over sorted rows and holds what was kept nearby or counted so far, never its whole group.
+in that order. A fold streams over sorted rows and holds what was kept nearby or counted so far, never its whole group. An
+amount's history is cut where nothing on one side can decide on the other, so that a frequent amount is many groups.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendspark import rules as R
-from spendspark.store import written
 
-#: Time is cut into slices, so that a frequent amount is many groups. Rows within the gap of a slice's edge are seen by both.
-SLICE_MS, WIDER, WHOLE_MS = 3_600_000, 16, 1 << 42
+#: What decides on a row: it came before or has a reference (kept in any case), an exact time, or a mere day.
+PINNED, EXACT, DAILY = "pinned", "exact", "daily"
 
 
 def first_of(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -32,58 +32,94 @@ def new_only(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return rows.join(store.select(key).distinct(), key, "left_anti")
 
 
-_JUDGED = "id long, amount_paise long, direction string, slice long, home long, kept boolean"
+_KEY = ["amount_paise", "direction"]
+_CHAIN = [*_KEY, "chain_day", "chain"]
+
+
+def chains(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """Adds chain_day and chain: rows of one amount and direction can only decide on each other within a chain. A day with a
+    DAILY row is in one chain; other rows are while their times are no further apart than the gap, over midnight as well.
+
+    A frequent amount is cut at its days first and at its gaps within them; what is added up over days is one row for each.
+    """
+    within = Window.partitionBy(*_KEY, "day")
+    by_time = within.orderBy("occurred_at", "id")
+    at, point = F.col("occurred_at"), F.when(F.col("kind") != DAILY, F.col("occurred_at"))
+    fresh = F.when(F.max((F.col("kind") == DAILY).cast("int")).over(within) == 1, 0).otherwise((at - F.lag(at).over(by_time) > gap_ms).cast("int"))
+    cut = rows.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("part", F.sum("fresh").over(by_time)).drop("fresh")
+    days = cut.groupBy(*_KEY, "day").agg(F.max("part").alias("last_part"), F.min(point).alias("first_at"), F.max(point).alias("last_at"))
+    over = Window.partitionBy(*_KEY).orderBy("day")
+    linked = F.coalesce(F.col("first_at") - F.lag("last_at").over(over) <= gap_ms, F.lit(False))
+    # The chain that a day ends in: its own, if it has several or begins one, else that of the day before.
+    ends = F.last(F.when((F.col("last_part") > 0) | ~F.col("linked"), F.struct("day", F.col("last_part").alias("part"))), ignorenulls=True)
+    tied = days.withColumn("linked", linked).withColumn("ends", ends.over(over)).withColumn("before", F.lag("ends").over(over)).select(*_KEY, "day", "linked", "before")
+    joined = cut.join(tied, [*_KEY, "day"])
+    first = (F.col("part") == 0) & F.col("linked")
+    return joined.select(*rows.columns, F.when(first, F.col("before.day")).otherwise(F.col("day")).alias("chain_day"), F.when(first, F.col("before.part")).otherwise(F.col("part")).alias("chain"))
 
 
 def _fold(gap_ms: int):
-    """Judges rows sorted by amount, direction, slice and arrival; holds what was kept of one slice."""
+    """Judges rows sorted by chain and arrival. What it holds of a chain are the first and last time kept for each account and
+    stretch as long as the gap, and counts for each day and account."""
+    cell = max(gap_ms, 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, kept = None, {}
-        cell = max(gap_ms, 1)
+        group, spans, counts, seen = None, {}, {}, {}
         for batch in batches:
-            flags = []
-            for paise, way, part, at, tail, free in zip(*[batch[c].to_pylist() for c in ("amount_paise", "direction", "slice", "occurred_at", "account_tail", "free")]):
-                if group != (paise, way, part):
-                    group, kept = (paise, way, part), {}
-                near = (k for c in (at // cell - 1, at // cell, at // cell + 1) for k in kept.get(c, ()))
-                stays = not (free and any(abs(at - t) <= gap_ms and (tail is None or x is None or tail == x) for t, x in near))
+            flags, numbers = [], []
+            for *own, at, day, tail, kind, run in zip(*[batch[c].to_pylist() for c in (*_CHAIN, "occurred_at", "day", "account_tail", "kind", "run")]):
+                if own != group:
+                    group, spans, counts, seen = own, {}, {}, {}
+                stays, number, place = True, None, at // cell
+                # An account fits itself and rows without one; a row without one fits all.
+                fitting = ("any",) if tail is None else (("of", tail), ("of", None))
+                if kind == EXACT:
+                    for who in fitting:
+                        low, high = spans.get((who, place - 1)), spans.get((who, place + 1))
+                        if (who, place) in spans or (low and low[1] >= at - gap_ms) or (high and high[0] <= at + gap_ms):
+                            stays = False
+                elif kind == DAILY:
+                    number = seen[run, day, tail] = seen.get((run, day, tail), 0) + 1
+                    stays = sum(counts.get((day, who), 0) for who in fitting) < number
                 if stays:
-                    kept.setdefault(at // cell, []).append((at, tail))
+                    for who in ("any", ("of", tail)):
+                        first, last = spans.get((who, place), (at, at))
+                        spans[who, place] = min(first, at), max(last, at)
+                        counts[day, who] = counts.get((day, who), 0) + 1
                 flags.append(stays)
-            names = ["id", "amount_paise", "direction", "slice", "home"]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(flags, pa.bool_())], names=[*names, "kept"])
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(flags, pa.bool_()), pa.array(numbers, pa.int32())], names=["id", "kept", "occurrence"])
 
     return work
 
 
-def near_duplicates(txns: DataFrame, gap_ms: int = R.NEAR_MS, slice_ms: int = SLICE_MS) -> DataFrame:
+def greedy(rows: DataFrame, gap_ms: int = R.NEAR_MS) -> DataFrame:
+    """id, kept and occurrence of each row, in one pass over rows of all kinds: what was kept before a row decides on it.
+
+    EXACT rows are dropped if a row of their amount, direction and account (or one has none) is kept within the gap. DAILY rows
+    are numbered within their run, day, amount, direction and account; the n-th is dropped if n rows of its day whose account
+    fits are kept already, whatever their kind. PINNED rows are kept, and count for all others.
+
+    rows: id, seq (order of arrival, stored rows first), kind, run, day, amount_paise, direction, account_tail, occurred_at. Rows
+    without an amount, a direction or a time equal no other and are kept.
+    """
+    whole = F.col("amount_paise").isNotNull() & F.col("direction").isNotNull() & F.col("day").isNotNull()
+    needed = ["id", "seq", "kind", "run", "day", *_KEY, "account_tail", "occurred_at"]
+    chained = chains(rows.where(whole).select(*needed), gap_ms)
+    judged = chained.repartition(*_CHAIN).sortWithinPartitions(*_CHAIN, "seq", "id").mapInArrow(_fold(gap_ms), "id long, kept boolean, occurrence int")
+    rest = rows.where(~whole).select("id", F.lit(True).alias("kept"), F.when(F.col("kind") == DAILY, 1).cast("int").alias("occurrence"))
+    return judged.unionByName(rest)
+
+
+def near_duplicates(txns: DataFrame, gap_ms: int = R.NEAR_MS) -> DataFrame:
     """id and kept. A row without a reference is dropped if a kept row that arrived before has its amount, direction and
     account (or one has none) and a time within the gap. Rows with a reference are kept, and count as kept for others.
 
-    Each slice of time is folded by itself, together with the rows beyond its edges that it can reach. Where both slices of
-    an edge judge such rows alike, what they found is the one greedy answer, as a decision depends on earlier rows only.
-    Amounts with an edge that is judged in two ways are folded again in slices WIDER times as long.
-
     txns: id, seq, amount_paise, direction, account_tail, occurred_at, ref_no; id and seq are unique.
     """
-    key, at = ["amount_paise", "direction"], F.col("occurred_at")
-    left = txns.select("id", "seq", *key, "account_tail", "occurred_at", F.col("ref_no").isNull().alias("free"))
-    found = None
-    while True:
-        last = slice_ms >= WHOLE_MS
-        reach = F.array(F.lit(0).cast("long")) if last else F.sequence(F.floor((at - gap_ms) / slice_ms), F.floor((at + gap_ms) / slice_ms))
-        seen = left.select("*", F.explode(reach).alias("slice"), (F.lit(0).cast("long") if last else F.floor(at / slice_ms)).alias("home"))
-        dealt = seen.repartition(*key, "slice").sortWithinPartitions(*key, "slice", "seq", "id")
-        judged = written(dealt.mapInArrow(_fold(gap_ms), _JUDGED), "near-duplicates")
-        own = judged.where("slice = home").select("id", *key, "kept")
-        wrong = judged.where("slice <> home").select("id", F.col("kept").alias("other")).join(own, "id").where("kept <> other").select(*key).distinct()
-        wrong = written(wrong, "near-duplicate-edges")
-        agreed = own.join(wrong, key, "left_anti").select("id", "kept")
-        found = agreed if found is None else found.unionByName(agreed)
-        if wrong.isEmpty():
-            return found
-        left, slice_ms = left.join(wrong, key, "left_semi"), slice_ms * WIDER
+    kind = F.when(F.col("ref_no").isNull(), EXACT).otherwise(PINNED)
+    day = F.floor(F.col("occurred_at") / R.DAY_MS)
+    return greedy(txns.select("*", kind.alias("kind"), F.lit(0).alias("run"), day.alias("day")), gap_ms).select("id", "kept")
 
 
 def occurrence_numbers(rows: DataFrame) -> DataFrame:

@@ -52,9 +52,11 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
     """New transactions among parsed observations, and the ids of those that are known already.
 
     A reference decides alone: seen before, in the store or the batch, it is a duplicate; unseen, it is new. Without one, an
-    exact time is compared within minutes, a mere day by its number of occurrences.
+    exact time is compared within minutes, a mere day by its number of occurrences; both kinds of rows, which a file may hold,
+    go through one fold in order of arrival.
 
-    candidates: id, seq (order of arrival), came, exact_time, body, FIELDS, and optionally preset_category and preset_source.
+    candidates: id, seq (order of arrival), came, exact_time, body, FIELDS, and optionally preset_category, preset_source and run
+    (the file of a row: occurrences are counted within it).
     """
     rows = written(candidates, "candidates")
     with_ref, bare = rows.where("ref_no IS NOT NULL"), rows.where("ref_no IS NULL")
@@ -64,19 +66,12 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
 
     span = rows.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first()
     near = store.where(F.col("occurred_at").between((span.a or 0) - R.DAY_MS, (span.b or 0) + R.DAY_MS)) if span.a is not None else store.limit(0)
-    slim = lambda df, id_, seq, ref: df.select(id_.alias("id"), seq.alias("seq"), "amount_paise", "direction", "account_tail", "occurred_at", ref.alias("ref_no"))
-    # The store comes before the batch, and is kept like rows with a reference.
-    met = slim(near, -1 - F.col("id"), F.lit(-(1 << 62)), F.lit("stored")).unionByName(slim(by_ref.unionByName(bare.where("exact_time")), F.col("id"), F.col("seq"), F.col("ref_no")))
-    exact_new = dedupe.near_duplicates(met).where("kept AND id >= 0").select("id")
-
-    daily = by_ref.unionByName(bare.where("NOT exact_time")).withColumn("day", X.local_day(F.col("occurred_at"), zone))
-    stored = near.withColumn("day", X.local_day(F.col("occurred_at"), zone)).select("day", "amount_paise", "direction", "account_tail")
-    # Live rows of the batch count as stored before its file rows: a batch is of one kind, this holds for mixed ones too.
-    live = bare.where("exact_time").join(exact_new, "id", "left_semi").withColumn("day", X.local_day(F.col("occurred_at"), zone)).select("day", "amount_paise", "direction", "account_tail")
-    filed = daily.select("seq", "id", "day", "amount_paise", "direction", "account_tail", "ref_no").withColumnsRenamed({"id": "row_id", "seq": "id"})
-    day_new = dedupe.same_day_new(filed, stored.unionByName(live)).select(F.col("row_id").alias("id"))
-
-    kept = written(exact_new.unionByName(day_new).distinct(), "kept")
+    run = F.col("run") if "run" in rows.columns else F.lit(0)
+    slim = lambda df, id_, seq, run_, kind: df.select(id_.alias("id"), seq.alias("seq"), run_.cast("long").alias("run"), "amount_paise", "direction", "account_tail", "occurred_at", kind.alias("kind"), X.local_day(F.col("occurred_at"), zone).alias("day"))
+    own = lambda df, kind: slim(df, F.col("id"), F.col("seq"), run, kind)
+    # The store comes before the batch; what a batch keeps counts for all that comes after it, live or from a file.
+    met = slim(near, -1 - F.col("id"), F.lit(-(1 << 62)), F.lit(-1), F.lit(dedupe.PINNED)).unionByName(own(by_ref, F.lit(dedupe.PINNED))).unionByName(own(bare, F.when(F.col("exact_time"), dedupe.EXACT).otherwise(dedupe.DAILY)))
+    kept = written(dedupe.greedy(met).where("kept AND id >= 0").select("id"), "kept")
     new = rows.join(kept, "id", "left_semi")
     features = classify.features(F.col("merchant_norm"), F.col("vpa_handle"), F.col("channel"), F.col("amount_paise"), F.col("occurred_at"), zone)
     memory = know.memory if know.memory is not None else rows.sparkSession.createDataFrame([], "merchant_norm string, category string")
