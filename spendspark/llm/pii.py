@@ -99,15 +99,17 @@ def disclosures(docs: DataFrame, text: str = "text") -> DataFrame:
     known = written(holds.where(F.col("texts") >= MIN_TEXTS).drop("texts"), "entities")
     pairs = met.join(small_enough(known.select("entity"), known.count(), 64), "entity", "left_semi").select("row", "print", "entity", F.explode("terms").alias("term")).distinct()
     near = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_near"), F.count_distinct("print").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    near = written(near.drop("texts"), "pairs")
-    wanted = written(near.select("term").distinct(), "terms")
-    words = docs.where(F.col(quoted(text)).isNotNull()).select(F.explode(F.array_distinct(_terms(F.col(quoted(text))))).alias("term"))
-    held = words.join(small_enough(wanted, wanted.count(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    all_ = near.join(held, "term").join(known, "entity")
     bits = lambda c: F.log2(F.col(c))
     own = F.lit(float(n)) / F.col("n_entity")
-    shared = F.log2(F.lit(float(max(n, 1)))) + bits("n_near") - bits("n_entity") - bits("n_term")
-    rated = all_.where(own > 1).select("term", "entity", F.round(shared / F.log2(own), 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    told = lambda held: F.round((F.log2(F.lit(float(max(n, 1)))) + bits("n_near") - bits("n_entity") - bits(held)) / F.log2(own), 9)
+    # At least so many documents hold a term as have it near any entity: terms that tell too little even so aren't looked up.
+    least = met.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_least"))
+    may = near.join(known, "entity").where(own > 1).join(least, "term").where(told("n_least") >= GENERALISE)
+    may = written(may.select("entity", "term", "n_near", "n_entity"), "pairs")
+    wanted = written(may.select("term").distinct(), "terms")
+    words = docs.where(F.col(quoted(text)).isNotNull()).select(F.explode(F.array_distinct(_terms(F.col(quoted(text))))).alias("term"))
+    held = words.join(small_enough(wanted, wanted.count(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    rated = may.join(held, "term").select("term", "entity", told("n_term").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity"))
 
 
