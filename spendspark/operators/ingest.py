@@ -38,6 +38,10 @@ class Batch:
     txns: DataFrame
     outcomes: DataFrame
 
+    def to_learn(self) -> DataFrame:
+        """New transactions that carry a user's own decision (a ledger file that is restored): memory and model learn from them."""
+        return self.txns.where("category_source = 'USER'")
+
 
 def _placed(rows: DataFrame, fixes: DataFrame | None) -> DataFrame:
     """Adds place, loc_age_ms and loc_confidence from the last fix at or before ``came``, for rows of an exact time."""
@@ -66,11 +70,11 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
 
     span = rows.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first()
     near = store.where(F.col("occurred_at").between((span.a or 0) - R.DAY_MS, (span.b or 0) + R.DAY_MS)) if span.a is not None else store.limit(0)
-    run = F.col("run") if "run" in rows.columns else F.lit(0)
-    slim = lambda df, id_, seq, run_, kind: df.select(id_.alias("id"), seq.alias("seq"), run_.cast("long").alias("run"), "amount_paise", "direction", "account_tail", "occurred_at", kind.alias("kind"), X.local_day(F.col("occurred_at"), zone).alias("day"))
+    run = F.col("run") if "run" in rows.columns else F.lit("batch")
+    slim = lambda df, id_, seq, run_, kind: df.select(id_.alias("id"), seq.alias("seq"), run_.cast("string").alias("run"), "amount_paise", "direction", "account_tail", "occurred_at", kind.alias("kind"), X.local_day(F.col("occurred_at"), zone).alias("day"))
     own = lambda df, kind: slim(df, F.col("id"), F.col("seq"), run, kind)
     # The store comes before the batch; what a batch keeps counts for all that comes after it, live or from a file.
-    met = slim(near, -1 - F.col("id"), F.lit(-(1 << 62)), F.lit(-1), F.lit(dedupe.PINNED)).unionByName(own(by_ref, F.lit(dedupe.PINNED))).unionByName(own(bare, F.when(F.col("exact_time"), dedupe.EXACT).otherwise(dedupe.DAILY)))
+    met = slim(near, -1 - F.col("id"), F.lit(-(1 << 62)), F.lit("store"), F.lit(dedupe.PINNED)).unionByName(own(by_ref, F.lit(dedupe.PINNED))).unionByName(own(bare, F.when(F.col("exact_time"), dedupe.EXACT).otherwise(dedupe.DAILY)))
     kept = written(dedupe.greedy(met).where("kept AND id >= 0").select("id"), "kept")
     new = rows.join(kept, "id", "left_semi")
     features = classify.features(F.col("merchant_norm"), F.col("vpa_handle"), F.col("channel"), F.col("amount_paise"), F.col("occurred_at"), zone)
@@ -113,12 +117,12 @@ def messages_in(messages: DataFrame, raw: DataFrame, store: DataFrame, zone: str
 
 
 def records_in(records: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None) -> Batch:
-    """Rows of one file: id (in file order, unseen), source, origin, raw_line, exact_time, FIELDS and presets. One file is one
-    run: its occurrences of a day are counted from 1."""
+    """Rows of files: id (in order of arrival, unseen), source, origin, raw_line, exact_time, FIELDS and presets, and ``run``, the
+    file of a row: occurrences of a day are counted from 1 in each file. Without it all rows are of one file."""
     named = records.withColumn("fingerprint", parse.fingerprint(F.col("origin"), F.col("raw_line"), F.col("occurred_at")))
     first = written(dedupe.new_only(dedupe.first_of(named, "fingerprint", "id"), raw, "fingerprint"), "records")
     again = named.select("id").join(first.select("id"), "id", "left_anti").select("id", F.lit("duplicate message").alias("outcome"), F.lit(None).cast("string").alias("reason"))
-    presets = [c for c in ("preset_category", "preset_source") if c in records.columns]
+    presets = [c for c in ("preset_category", "preset_source", "run") if c in records.columns]
     txns, known = persisted(first.select("id", F.col("id").alias("seq"), F.col("occurred_at").alias("came"), "exact_time", F.col("raw_line").alias("body"), *FIELDS, *presets), store, zone, know or Knowledge())
     txns = written(txns, "transactions")
     mark = lambda df, parsed, reason: df.select("id", F.lit(parsed).alias("parsed"), F.lit(reason).cast("string").alias("reject_reason"), F.lit(VERSION).alias("parser_version"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendspark import rules as R
@@ -30,13 +30,13 @@ def export(txns: DataFrame, zone: str, path: str) -> None:
     rows.orderBy(F.col("occurred_at").asc_nulls_first(), F.col("id").asc_nulls_first()).select("line").write.option("lineSep", "\n").text(path)
 
 
-def read(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and reports of the ledger files below a path. A file is one cell until it is cut into rows, so it has to fit a task;
+def read(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and reports of ledger files (path, content). A file is one cell until it is cut into rows, so it has to fit a task;
     files of no bytes are passed over by the source.
 
     Rows: path, row_no, raw_line and what ``imported`` adds. Reports: path, n_rows, n_skipped and what is wrong with a file.
     """
-    grids = statements.files(spark, path).select("path", statements.grid_of("content").alias("grid"), F.hex("content").rlike("^(?:EFBBBF)?(?:0[9A-D]|20)*$").alias("blank"))
+    grids = files.select("path", statements.grid_of("content").alias("grid"), F.hex("content").rlike("^(?:EFBBBF)?(?:0[9A-D]|20)*$").alias("blank"))
     header = F.transform(F.get("grid", F.lit(0)), lambda c: F.lower(X.trimmed(c)))
     named = grids.withColumn("header", header)
     lacks = lambda c: ~F.coalesce(F.array_contains("header", c), F.lit(False))

@@ -46,6 +46,19 @@ def delimiter_of(text: str) -> str:
     return best
 
 
+def delimiter(text: Column) -> Column:
+    """As ``delimiter_of``, of a column."""
+    lines = F.slice(F.filter(F.split(text, r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: X.trimmed(x) != ""), 1, SAMPLE_LINES)
+
+    def rate(mark: str) -> Column:
+        counts = F.array_sort(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))))
+        middle = F.coalesce(F.get(counts, F.call_function("div", F.size(counts), F.lit(2)).cast("int")), F.lit(0))
+        return X.bound(F.struct(counts.alias("c"), middle.alias("m")), lambda s: F.when(s["m"] > 0, s["m"] * 100 - F.size(F.filter(s["c"], lambda n: n != s["m"]))).otherwise(0))
+
+    rated = F.array(*[F.struct(rate(m).alias("value"), F.lit(-i).alias("place"), F.lit(m).alias("mark")) for i, m in enumerate(DELIMITERS)])
+    return F.array_max(rated)["mark"]
+
+
 def csv_grid(text: str, delimiter: str) -> list[list[str]]:
     """Rows of trimmed fields; quotes open anywhere, a doubled quote is one, rows without any text are dropped."""
     rows, row, quoted, at = [], [], False, 0
@@ -176,15 +189,15 @@ def statement_rows(grids: DataFrame, zone: str) -> DataFrame:
     )
 
 
-def imported(spark: SparkSession, path: str, zone: str) -> DataFrame:
-    """Transactions of all statement files below a path."""
-    read = files(spark, path).withColumn("kind", kind_of(F.col("content"))).where("kind IN ('text', 'xlsx')")
-    return statement_rows(read.select("path", grid_of("content").alias("grid")), zone)
+def imported(read: DataFrame, zone: str) -> DataFrame:
+    """Transactions of statement files (path, content)."""
+    some = read.withColumn("kind", kind_of(F.col("content"))).where("kind IN ('text', 'xlsx')")
+    return statement_rows(some.select("path", grid_of("content").alias("grid")), zone)
 
 
-def reports(spark: SparkSession, path: str, zone: str) -> DataFrame:
-    """For each file: data rows, readable and skipped ones, and what is wrong with a file that has none."""
-    read = files(spark, path).withColumn("kind", kind_of(F.col("content")))
+def reports(read: DataFrame, zone: str) -> DataFrame:
+    """For each file (path, content): data rows, readable and skipped ones, and what is wrong with a file that has none."""
+    read = read.withColumn("kind", kind_of(F.col("content")))
     grids = read.select("path", "kind", F.when(F.col("kind").isin("text", "xlsx"), grid_of("content")).alias("grid"))
     named = with_header(grids).select("path", F.when(F.col("kind") == "empty", "File is empty").when(F.col("kind") == "xls", "Old .xls format: save it as .xlsx or CSV").otherwise(F.col("problem")).alias("problem"))
     rows = statement_rows(grids.where("grid IS NOT NULL").select("path", "grid"), zone).groupBy("path").agg(F.count("*").alias("n_rows"), F.count_if("skipped").alias("n_skipped"))

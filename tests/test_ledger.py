@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spendspark import rules as R
 from spendspark.functions import text as X
 from spendspark.operators import classify, dedupe, ingest, ledger, parse, spend
-from spendspark.sources import ledger_csv
+from spendspark.sources import ledger_csv, statements
 from spendspark.streaming import ingest as streams
 
 IST, NOON = "Asia/Kolkata", 1_752_301_800_000
@@ -89,7 +89,7 @@ def test_ledger_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, body in {"good.csv": text, "extra.csv": "note,Amount_INR,occurred_at\nx,-3.50,2026-05-08\ny,,2026-05-08\n", "one.csv": "occurred_at,amount_inr\n", "no_time.csv": "amount_inr,x\n1,2\n", "no_amount.csv": "occurred_at,x\n1,2\n", "none.csv": " \n\t"}.items():
         (tmp_path / "in" / name).write_text(body)
-    read, reports = ledger_csv.read(spark, str(tmp_path / "in"), IST)
+    read, reports = ledger_csv.read(statements.files(spark, str(tmp_path / "in")), IST)
     by = {r.path.rsplit("/", 1)[1]: (r.n_rows, r.n_skipped, r.problem) for r in reports.collect()}
     assert by == {"good.csv": (50, 0, None), "extra.csv": (2, 1, None), "one.csv": (0, 0, "No data rows"), "no_time.csv": (0, 0, "Missing 'occurred_at' column"), "no_amount.csv": (0, 0, "Missing 'amount_inr' column"), "none.csv": (0, 0, "File is empty")}
     good = {r.merchant_raw: r for r in read.where("path LIKE '%good.csv'").collect()}
