@@ -41,14 +41,12 @@ def conditions(text: Column, words: Column, distinct: Column) -> dict[str, Colum
     return {"A": words < 200, "B": distinct * 100 < words * 50, "C": capitals * 100 > F.length(text) * 3, "D": text.rlike("[#$%&*|]")}
 
 
-def masked(docs: DataFrame, text: str = "text", part: str = "lang") -> DataFrame:
-    """doc_id, part, text, fingerprint, mask (bit i: the i-th filter of ``conditions`` fails)."""
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(quoted(part)), F.lit("")).alias("part"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
-    two = one.select("*", F.filter(F.split("text", _GAPS), lambda w: w != "").alias("words"))
-    three = two.select("doc_id", "part", "text", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("m"))
+def masked(rows: DataFrame) -> DataFrame:
+    """Adds mask (bit i: the i-th filter of ``conditions`` fails) to rows with a text."""
+    two = rows.select("*", F.filter(F.split("text", _GAPS), lambda w: w != "").alias("words"))
+    three = two.select(*rows.columns, F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("m"))
     fails = conditions(F.col("text"), F.col("n"), F.col("m"))
-    mask = sum((c.cast("int") * (1 << i) for i, c in enumerate(fails.values())), F.lit(0))
-    return three.select("doc_id", "part", "text", F.xxhash64("text").alias("fingerprint"), mask.alias("mask"))
+    return three.select(*rows.columns, sum((c.cast("int") * (1 << i) for i, c in enumerate(fails.values())), F.lit(0)).alias("mask"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +91,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def failing(docs: DataFrame, text: str = "text", part: str = "lang") -> DataFrame:
     """doc_id, part and the whole mask, copies as its last bit."""
-    rows = masked(docs, text, part)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(quoted(part)), F.lit("")).alias("part"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = whole.withColumn("fingerprint", F.xxhash64("text"))
     bit = 1 << len(conditions(F.lit(""), F.lit(0), F.lit(0)))
     # Equal texts without an id would go to one range; numbers spread them.
     dealt = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id()))).repartitionByRange("fingerprint", "doc_id", "spread").drop("spread")
-    judged = written(dealt.sortWithinPartitions("fingerprint", "text", F.col("doc_id").asc_nulls_last()).mapInArrow(_runs, _JUDGED), "filter-masks")
+    # Masks come after the ranges, which are drawn in a pass of their own over what they are drawn from.
+    judged = written(masked(dealt.sortWithinPartitions("fingerprint", "text", F.col("doc_id").asc_nulls_last())).mapInArrow(_runs, _JUDGED), "filter-masks")
     # A run that several ranges hold is at the border of each of them: its smallest id is the smallest of what they say.
     edges = judged.where("edge").groupBy("fingerprint", "text").agg(F.min("smallest").alias("first"), F.collect_list(F.struct("range", "run")).alias("places"))
     edges = written(edges.select("first", F.explode("places").alias("p")).select("p.range", "p.run", "first"), "filter-edges")
