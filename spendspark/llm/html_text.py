@@ -5,7 +5,7 @@ neighbour whose path agrees longest, their lines are aligned by longest common s
 deleted. All lines are aligned, those of containers that are never main text (menus, footers, adverts, ...; told by element,
 role and class) as well: most of them are shared, and the list judges what no neighbour shows, such as a comment or an advert
 of one page. To stand inside an article or main element is evidence for a line: it takes WITNESSES neighbours that all share
-it. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
+it, at the ends of all their articles, and of the list's words only the plainest count there. A neighbour that shares nearly all text, or most text of the article, is a copy and says nothing about
 the template; the next different one is taken, whatever the distance. Where a host has none, the nearest two decide if all
 three have text of their own beside the same shared lines.
 
@@ -52,6 +52,11 @@ MARKS = {
     "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promoted", "promotion", "related",
     "replies", "respond", "share", "sharing", "sidebar", "sidebars", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+#: Of these the ones that mark as much inside an article; the others may name what the article tells of.
+PLAIN_MARKS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "navbar",
+    "newsletter", "promoted", "replies", "respond", "sidebar", "sidebars", "signup", "sponsored", "subscribe",
+}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rb", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
@@ -65,13 +70,13 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element is left out by its role, class or id."""
+def _marked(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is left out by its role, class or id, of which fewer words count inside an article."""
     if name in ("body", "html", "main", "article") and "comment" not in attributes:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if kind == "hidden" or kind == "role" and value in ROLES or kind in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
+        if kind == "hidden" or kind == "role" and value in ROLES or kind in ("class", "id") and not (PLAIN_MARKS if inside else MARKS).isdisjoint(_WORD.findall(value)):
             return True
     return False
 
@@ -127,7 +132,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
             if name in ("article", "main"):
                 inside = max(0, inside - 1)
         elif name not in VOID and not attributes.endswith("/"):
-            if name in DROPPED or name == "header" and not inside or attributes and _marked(name, attributes):
+            if name in DROPPED or name == "header" and not inside or attributes and _marked(name, attributes, inside > 0):
                 if name in INLINE:
                     end_line()
                 left_out, depth = name, 1
@@ -226,11 +231,22 @@ def _agreeing(a: str, b: str) -> int:
     return n
 
 
+def _at_ends(row: dict, shared: set[int]) -> set[int]:
+    """Of shared lines (hashes) in an article those that stand before its own text, a title apart, or after it."""
+    inside = [x for x, k in zip(row["lines"], row["kinds"]) if k == INSIDE]
+    own = [i for i, x in enumerate(inside) if x not in shared]
+    if not own:
+        return set()
+    middle = {x for i, x in enumerate(inside) if own[min(1, len(own) - 1)] < i < own[-1]}
+    return shared & set(inside) - middle
+
+
 def _decided(row: dict, differing: Iterator[tuple[dict, list[int]]]) -> list[int] | None:
     """Lines to delete, from neighbours that are no copies, nearest first, and what is shared with each; None without any.
 
     One neighbour decides on a line outside an article. One inside is deleted if WITNESSES neighbours, no copies of each other,
-    all share it, or all there are and two at least: a sentence that some articles have in common is no template.
+    all share it, or all there are and two at least, and if it stands at the ends of all of the articles: a sentence that some
+    articles have in common, or that all have amid their text, is no template.
     """
     first, found = next(differing, (None, []))
     if first is None:
@@ -243,7 +259,12 @@ def _decided(row: dict, differing: Iterator[tuple[dict, list[int]]]) -> list[int
             break
         doubtful &= set(shared)
         seen.append(other)
-    return sorted([*found, *doubtful]) if len(seen) > 1 else found
+    if doubtful and len(seen) > 1:
+        ends = {row["lines"][i] for i in doubtful}
+        for r in (row, *seen):
+            ends &= _at_ends(r, {row["lines"][i] for i in doubtful})
+        found = sorted([*found, *(i for i in doubtful if row["lines"][i] in ends)])
+    return found
 
 
 def _runs(rows: list[dict]) -> list[int]:

@@ -119,3 +119,37 @@ def test_deletions_equal_brute_force(spark):
     table = spark.createDataFrame(lines, "key string, host string, path string, lines array<bigint>, sizes array<int>, kinds array<tinyint>")
     found = {r.key: set(r.deleted) for r in H.deletions(table, every=True).collect()}
     assert all(found[u] and all(pages[u][k][1] in shared for k in found[u]) for u in pages) and any(pages[u][k][0] == "nav" for u in pages for k in found[u])
+
+
+def test_article_text_is_kept_whatever_its_classes():
+    page = '<article><p>Lunch<div class="menu">Soup 3 euros</div><p class="notice-board">Open</p><ul id="share-prices"><li>ABC 12</ul><p>End</article><div class="menu">Home</div>'
+    assert H.main_text(page, None) == "Lunch Soup 3 euros Open ABC 12 End"
+    assert H.main_text('<article><p>a</p><div class="reader-comments"><p>no</p></div><aside>b</aside><p>c</p></article>', None) == "a c"
+
+
+def test_sentences_amid_articles_are_no_template(spark):
+    said = "<p>All figures are in millions of euros.</p>"
+    pages = {f"http://e.org/{i:02}": f"<article><h1>Year {i}</h1><p>Sales of {i} grew much</p>{said}<p>Outlook {i} is good</p><p>Share</p></article>" for i in range(12)}
+    got = texts_of(spark, pages)
+    for i in range(12):
+        assert got[f"http://e.org/{i:02}"] == f"Year {i} Sales of {i} grew much All figures are in millions of euros. Outlook {i} is good"
+
+
+def test_differencing_alone_on_pages_without_marks(spark):
+    """Pages of which no element, role or class tells anything: precision and recall of the text, in characters of lines."""
+    rng, pages, want = random.Random(21), {}, {}
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 8)))
+    for site in range(12):
+        head, foot = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(3, 12))], [" ".join(word() for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(2, 6))]
+        section = {k: [" ".join(word() for _ in range(2)) for _ in range(3)] for k in "xyz"}
+        for i in range(25):
+            own = [" ".join(word() for _ in range(rng.randint(5, 40))) for _ in range(rng.randint(2, 12))]
+            k = rng.choice("xyz")
+            url = f"http://site{site}.org/{k}/{i:02}"
+            want[url] = own
+            lines = [*head, *section[k], *own, *foot] if rng.random() < 0.9 else [*head[:-1], *section[k], *own, *foot[1:]]
+            pages[url] = "".join(f"<div>{x}</div>" for x in lines)
+    got = texts_of(spark, pages)
+    kept = sum(len(x) for u, own in want.items() for x in own if x in got[u])
+    precision, recall = kept / sum(len(t.replace(" ", "")) + t.count(" ") for t in got.values()), kept / sum(len(x) for own in want.values() for x in own)
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall)
