@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,15 +51,19 @@ def paise_of(digits: Column) -> Column:
 
 def signed_paise(text: Column) -> Column:
     """Money in a file: parentheses or a closing DR make it negative; currency and Dr/Cr marks go; blank, '-' and '.' are null."""
-    s = trimmed(text)
-    wrapped = s.startswith("(") & s.endswith(")")
-    s = F.when(wrapped, F.substring(s, 2, F.length(s) - 2)).otherwise(s)
-    negative = wrapped | F.upper(s).endswith("DR")
-    s = F.regexp_replace(s, r"(?i)\b[dc]r\b", "")
-    s = F.regexp_replace(s, r"(?i)\brs\.?|\binr\b|\brupees\b|[₹$]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[,\s]", ""), r"^[.:]+", "")
-    value = F.round(F.when(~s.isin("", "-", "."), s).try_cast("decimal(30,6)") * 100, 0).try_cast("bigint")
-    return F.when(negative, -F.abs(value)).otherwise(value)
+
+    def number(s: Column) -> Column:
+        s = F.regexp_replace(F.regexp_replace(s, r"(?i)\b[dc]r\b", ""), r"(?i)\brs\.?|\binr\b|\brupees\b|[₹$]", "")
+        s = F.regexp_replace(F.regexp_replace(s, r"[,\s]", ""), r"^[.:]+", "")
+        return bound(s, lambda n: F.round(F.when(~n.isin("", "-", "."), n).try_cast("decimal(30,6)") * 100, 0).try_cast("bigint"))
+
+    def read(s: Column) -> Column:
+        wrapped = s.startswith("(") & s.endswith(")")
+        inner = F.struct(F.when(wrapped, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s).alias("s"), wrapped.alias("wrapped"))
+        return bound(inner, lambda x: bound(number(x["s"]), lambda n: F.when(x["wrapped"] | F.upper(x["s"]).endswith("DR"), -F.abs(n)).otherwise(n)))
+
+    # Each step is bound, so that it is worked out once, and the code of a row of many cells stays small.
+    return bound(trimmed(text), read)
 
 
 def rupees(paise: Column) -> Column:
@@ -161,20 +167,34 @@ def display_name(key: Column) -> Column:
 
 
 def day_of(text: Column, formats: list[str]) -> Column:
-    """The first of ``formats`` that reads the text; impossible days are null."""
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    """The day that one of ``formats`` reads off the text; impossible days are null.
+
+    What a text looks like tells which formats may read it, so that each is read by one at most: failing ones are dear.
+    """
+    marks = lambda shape: "".join(sorted({"\\" + f[1 if f[0] == "d" else 4] for f in formats if re.fullmatch(shape, f)}))
+    plain, named, turned = marks("d.M.y+"), marks("d.MMM.y+"), marks("yyyy.M.d")
+    shapes = []
+    for digits, year in ((2, "yy"), (4, "yyyy")):
+        if plain:
+            shapes.append((rf"^(\d+)([{plain}])(\d+)\2(\d{{{digits}}})$", "$1-$3-$4", f"d-M-{year}"))
+        if named:
+            shapes.append((rf"^(\d+)([{named}])(\p{{L}}+)\2(\d{{{digits}}})$", "$1-$3-$4", f"d-MMM-{year}"))
+        if f"ddMMM{year}" in formats:
+            shapes.append((rf"^(\d\d)(\p{{L}}+)(\d{{{digits}}})$", "$1-$2-$3", f"d-MMM-{year}"))
+    if turned:
+        shapes.append((rf"^(\d{{4}})([{turned}])(\d+)\2(\d+)$", "$1-$3-$4", "yyyy-M-d"))
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(F.regexp_replace(text, shape, parts), form)) for shape, parts, form in shapes])
 
 
 def file_day(token: Column) -> Column:
     """A day of a file: its first word, else the whole, in any format, else a spreadsheet's serial number."""
-    s = trimmed(token)
-    serial = F.when(s.rlike(r"^\d+(\.|$)"), F.regexp_extract(s, r"^(\d+)", 1).try_cast("int"))
-    counted = F.when(serial.between(20_000, 80_000), F.date_add(F.lit("1899-12-30").cast("date"), serial))
-    return F.coalesce(day_of(F.substring_index(s, " ", 1), R.FILE_DATES), day_of(s, R.FILE_DATES), counted)
 
+    def read(s: Column) -> Column:
+        serial = F.when(s.rlike(r"^\d+(\.|$)"), F.regexp_extract(s, r"^(\d+)", 1).try_cast("int"))
+        counted = bound(serial, lambda n: F.when(n.between(20_000, 80_000), F.date_add(F.lit("1899-12-30").cast("date"), n)))
+        return F.coalesce(bound(F.substring_index(s, " ", 1), lambda w: day_of(w, R.FILE_DATES)), F.when(s.contains(" "), day_of(s, R.FILE_DATES)), counted)
 
-def excel_day(serial: Column) -> Column:
-    return F.when(serial.between(20_000, 80_000), F.date_add(F.lit("1899-12-30").cast("date"), serial.cast("int")))
+    return bound(trimmed(token), read)
 
 
 def location_confidence(age_ms: Column) -> Column:

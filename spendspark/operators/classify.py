@@ -32,8 +32,13 @@ def amount_band(paise: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """Unsigned 32-bit FNV-1a over code points (code units below 0x10000), as bigint."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    """Unsigned 32-bit FNV-1a over UTF-16 code units, as bigint: a code point above 0xFFFF is two of them."""
+    high = lambda p: F.lit(0xD800).cast("bigint") + F.shiftright(p - 0x10000, 10)
+    low = lambda p: F.lit(0xDC00).cast("bigint") + (p - 0x10000).bitwiseAND(F.lit(0x3FF).cast("bigint"))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    # Few texts hold such a code point; the rest are taken as they are.
+    units = lambda ps: F.flatten(F.transform(ps, lambda p: F.when(p > 0xFFFF, F.array(high(p), low(p))).otherwise(F.array(p))))
+    codes = F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), units(points)).otherwise(points)
     return F.aggregate(codes, F.lit(R.FNV_OFFSET).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(R.FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
 
 

@@ -52,23 +52,54 @@ def _placed(rows: DataFrame, fixes: DataFrame | None) -> DataFrame:
     return rows.join(near, "id", "left").withColumn("loc_confidence", F.coalesce("loc_confidence", F.lit("NONE")))
 
 
-def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledge) -> tuple[DataFrame, DataFrame]:
+#: Parts of a stored table of references.
+REF_BUCKETS = 256
+
+
+def stored_day(ms: Column) -> Column:
+    """The day by which a stored table is laid out, the same as in fingerprints."""
+    return F.call_function("div", ms, F.lit(R.DAY_MS)).cast("int")
+
+
+def ref_bucket(ref: Column) -> Column:
+    return F.pmod(F.xxhash64(ref), F.lit(REF_BUCKETS)).cast("int")
+
+
+def _of_days(store: DataFrame, ms: DataFrame, around: int = 0) -> DataFrame:
+    """Of a table that is laid out by day only the days of ``ms`` (one column) and as many around them: filters on partitions, one
+    number for each day. Any other table as it is."""
+    if "stored_day" not in store.columns:
+        return store
+    days = {r[0] for r in ms.select(stored_day(F.col(ms.columns[0]))).distinct().collect() if r[0] is not None}
+    return store.where(F.col("stored_day").isin(sorted({d + k for d in days for k in range(-around, around + 1)}))).drop("stored_day")
+
+
+def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledge, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New transactions among parsed observations, and the ids of those that are known already.
 
     A reference decides alone: seen before, in the store or the batch, it is a duplicate; unseen, it is new. Without one, an
     exact time is compared within minutes, a mere day by its number of occurrences; both kinds of rows, which a file may hold,
     go through one fold in order of arrival.
 
+    A store that is laid out by day (stored_day) is read for the days of the batch alone, and references from ``refs`` (ref_no,
+    ref_bucket), of which only the batch's buckets are read; without it from the store.
+
     candidates: id, seq (order of arrival), came, exact_time, body, FIELDS, and optionally preset_category, preset_source and run
     (the file of a row: occurrences are counted within it).
     """
     rows = written(candidates, "candidates")
     with_ref, bare = rows.where("ref_no IS NOT NULL"), rows.where("ref_no IS NULL")
     first = with_ref.groupBy("ref_no").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
-    fresh = first.join(store.where("ref_no IS NOT NULL").select("ref_no").distinct(), "ref_no", "left_anti").select("id")
+    if refs is None:
+        seen = store.where("ref_no IS NOT NULL").select("ref_no").distinct()
+    else:
+        own = [r[0] for r in first.select(ref_bucket(F.col("ref_no"))).distinct().collect()]
+        seen = refs.where(F.col("ref_bucket").isin(own)).select("ref_no")
+    fresh = first.join(seen, "ref_no", "left_anti").select("id")
     by_ref = with_ref.join(fresh, "id", "left_semi")
 
     span = rows.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first()
+    store = _of_days(store, rows.select("occurred_at"), 1)
     near = store.where(F.col("occurred_at").between((span.a or 0) - R.DAY_MS, (span.b or 0) + R.DAY_MS)) if span.a is not None else store.limit(0)
     run = F.col("run") if "run" in rows.columns else F.lit("batch")
     slim = lambda df, id_, seq, run_, kind: df.select(id_.alias("id"), seq.alias("seq"), run_.cast("string").alias("run"), "amount_paise", "direction", "account_tail", "occurred_at", kind.alias("kind"), X.local_day(F.col("occurred_at"), zone).alias("day"))
@@ -91,39 +122,40 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
     return txns, rows.select("id").join(kept, "id", "left_anti")
 
 
-def _replayed(messages: DataFrame, store: DataFrame, zone: str, know: Knowledge, seq: Column) -> tuple[DataFrame, DataFrame]:
+def _replayed(messages: DataFrame, store: DataFrame, zone: str, know: Knowledge, seq: Column, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New transactions of stored messages, and marks (id, parsed, reject_reason, parser_version) of all of them."""
     read = written(parse.parsed(messages.select("id", seq.alias("seq"), "sender", "body", "received_at"), zone), "parsed")
     good = read.where("reject_reason IS NULL").select("id", "seq", F.col("received_at").alias("came"), F.lit(True).alias("exact_time"), "body", *FIELDS)
-    txns, known = persisted(good, store, zone, know)
+    txns, known = persisted(good, store, zone, know, refs)
     txns = written(txns, "transactions")
     mark = lambda df, parsed, reason: df.select("id", F.lit(parsed).alias("parsed"), reason.alias("reject_reason"), F.lit(VERSION).alias("parser_version"))
     marks = mark(read.where("reject_reason IS NOT NULL"), False, F.col("reject_reason")).unionByName(mark(known, False, F.lit("duplicate txn"))).unionByName(mark(txns, True, F.lit(None).cast("string")))
     return txns, written(marks, "marks")
 
 
-def messages_in(messages: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None) -> Batch:
+def messages_in(messages: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None, refs: DataFrame | None = None) -> Batch:
     """Live messages: id (in order of arrival, unseen), source, sender, body, received_at. Personal ones are never stored."""
     who = messages.withColumn("__who", X.sender_class(F.col("sender")))
     personal = who.where("__who = 'PERSONAL'").select("id", F.lit("rejected").alias("outcome"), F.lit("personal sender").alias("reason"))
     rest = who.where("__who <> 'PERSONAL'").drop("__who").withColumn("fingerprint", parse.fingerprint(F.col("sender"), F.col("body"), F.col("received_at")))
-    first = written(dedupe.new_only(dedupe.first_of(rest, "fingerprint", "id"), raw, "fingerprint"), "messages")
+    # A fingerprint holds its day, so stored ones of other days are none of the batch's.
+    first = written(dedupe.new_only(dedupe.first_of(rest, "fingerprint", "id"), _of_days(raw, rest.select("received_at")), "fingerprint"), "messages")
     again = rest.select("id").join(first.select("id"), "id", "left_anti").select("id", F.lit("duplicate message").alias("outcome"), F.lit(None).cast("string").alias("reason"))
-    txns, marks = _replayed(first, store, zone, know or Knowledge(), F.col("id"))
+    txns, marks = _replayed(first, store, zone, know or Knowledge(), F.col("id"), refs)
     new_raw = ledger.marked(ledger.reset(first), marks)
     outcome = F.when(F.col("parsed"), "inserted").when(F.col("reject_reason") == "duplicate txn", "duplicate transaction").otherwise("rejected")
     judged = marks.select("id", outcome.alias("outcome"), F.when(outcome == "rejected", F.col("reject_reason")).alias("reason"))
     return Batch(new_raw, txns, personal.unionByName(again).unionByName(judged))
 
 
-def records_in(records: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None) -> Batch:
+def records_in(records: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None, refs: DataFrame | None = None) -> Batch:
     """Rows of files: id (in order of arrival, unseen), source, origin, raw_line, exact_time, FIELDS and presets, and ``run``, the
     file of a row: occurrences of a day are counted from 1 in each file. Without it all rows are of one file."""
     named = records.withColumn("fingerprint", parse.fingerprint(F.col("origin"), F.col("raw_line"), F.col("occurred_at")))
-    first = written(dedupe.new_only(dedupe.first_of(named, "fingerprint", "id"), raw, "fingerprint"), "records")
+    first = written(dedupe.new_only(dedupe.first_of(named, "fingerprint", "id"), _of_days(raw, named.select("occurred_at")), "fingerprint"), "records")
     again = named.select("id").join(first.select("id"), "id", "left_anti").select("id", F.lit("duplicate message").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     presets = [c for c in ("preset_category", "preset_source", "run") if c in records.columns]
-    txns, known = persisted(first.select("id", F.col("id").alias("seq"), F.col("occurred_at").alias("came"), "exact_time", F.col("raw_line").alias("body"), *FIELDS, *presets), store, zone, know or Knowledge())
+    txns, known = persisted(first.select("id", F.col("id").alias("seq"), F.col("occurred_at").alias("came"), "exact_time", F.col("raw_line").alias("body"), *FIELDS, *presets), store, zone, know or Knowledge(), refs)
     txns = written(txns, "transactions")
     mark = lambda df, parsed, reason: df.select("id", F.lit(parsed).alias("parsed"), F.lit(reason).cast("string").alias("reject_reason"), F.lit(VERSION).alias("parser_version"))
     marks = mark(known, False, "duplicate txn").unionByName(mark(txns, True, None))

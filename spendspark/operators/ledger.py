@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendspark import rules as R
 from spendspark.store import written
 
 #: Sources whose rows can't be read again: their text is a flattened row of a file.
@@ -63,11 +64,11 @@ def recategorised(txns: DataFrame, changes: DataFrame) -> DataFrame:
 
 def confirmed(txns: DataFrame, corrections: DataFrame) -> DataFrame:
     """A user's decisions, in order of ``at``: each sets its row for good; with ``everywhere`` also the rows of its merchant
-    that no user has set, of which the last decision counts. corrections: id, category, everywhere, at."""
-    last = corrections.groupBy("id").agg(F.max_by("category", "at").alias("category"))
+    that no user has set, of which the last decision counts (of equal times the one on the larger id). corrections: id, category, everywhere, at."""
+    last = corrections.groupBy("id").agg(F.max_by("category", F.struct("at", "category")).alias("category"))
     own = recategorised(txns, last.select("id", "category", F.lit("USER").alias("category_source"), F.lit(1.0).alias("confidence"), F.lit(False).alias("needs_review")))
     spread = corrections.where("everywhere").join(txns.select("id", "merchant_norm"), "id").where("coalesce(merchant_norm, '') <> ''")
-    new = spread.groupBy("merchant_norm").agg(F.max_by("category", "at").alias("__new"))
+    new = spread.groupBy("merchant_norm").agg(F.max_by("category", F.struct("at", "id", "category")).alias("__new"))
     hit = F.col("__new").isNotNull() & (F.col("category_source") != "USER")
     set_ = {"category": F.col("__new"), "category_source": F.lit("MEMORY"), "confidence": F.lit(1.0), "needs_review": F.lit(False)}
     return own.join(new, "merchant_norm", "left").select(*[F.when(hit, set_[c]).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in txns.columns])
@@ -76,7 +77,23 @@ def confirmed(txns: DataFrame, corrections: DataFrame) -> DataFrame:
 def remembered(txns: DataFrame, corrections: DataFrame) -> DataFrame:
     """Merchant memory that decisions leave: merchant_norm, category and updated_at of the last one."""
     met = corrections.join(txns.select("id", "merchant_norm"), "id").where("coalesce(merchant_norm, '') <> ''")
-    return met.groupBy("merchant_norm").agg(F.max_by("category", "at").alias("category"), F.max("at").alias("updated_at"))
+    return met.groupBy("merchant_norm").agg(F.max_by("category", F.struct("at", "id", "category")).alias("category"), F.max("at").alias("updated_at"))
+
+
+MEMORY = "merchant_norm string, category string, confirmations long, updated_at long, last_id long"
+
+
+def confirmations(decisions: DataFrame) -> DataFrame:
+    """What decisions (id, merchant_norm, category, at) add to a memory: each of a known label counts once for its merchant, the
+    last one (by time, then id) names the category."""
+    valid = decisions.where("coalesce(trim(merchant_norm), '') <> ''").where(F.col("category").isin(R.CATEGORIES))
+    return merged_memory(valid.select("merchant_norm", "category", F.lit(1).cast("long").alias("confirmations"), F.col("at").cast("long").alias("updated_at"), F.col("id").cast("long").alias("last_id")))
+
+
+def merged_memory(rows: DataFrame) -> DataFrame:
+    """Memories of several batches as one: counts are added, the last decision names the category."""
+    last = F.struct("updated_at", "last_id", "category")
+    return rows.groupBy("merchant_norm").agg(F.max(last).alias("last"), F.sum("confirmations").alias("confirmations")).select("merchant_norm", "last.category", "confirmations", "last.updated_at", "last.last_id")
 
 
 def forgotten(memory: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -114,14 +114,14 @@ judged AS (SELECT rec.*, CASE WHEN again THEN 'duplicate message' WHEN run.kept
 
 def _taken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, ingest.Batch]:
     files = statement_files(spark, d)
-    found = records.of_statements(statements.imported(files, A.ZONE))
+    found = records.of_statements(statements.rows_of(files, A.ZONE))
     return files, found, ingest.records_in(found, *_empty(spark), A.ZONE, _know(spark))
 
 
 @query("q_statement_rows", f"WITH {_STATEMENTS} SELECT path, row_no, day, amount_paise, direction, ref_no, merchant_norm, channel, k * 100 AS balance_paise FROM rec")
 def statement_rows(spark, d):
     """Rows of text files with four delimiters and of spreadsheets, below a header that has to be found."""
-    rows = statements.imported(statement_files(spark, d), A.ZONE).where("NOT skipped")
+    rows = statements.rows_of(statement_files(spark, d), A.ZONE).where("NOT skipped")
     return rows.select("path", "row_no", X.local_day(F.col("occurred_at"), A.ZONE).alias("day"), "amount_paise", "direction", "ref_no", "merchant_norm", "channel", "balance_paise")
 
 
@@ -147,7 +147,7 @@ SELECT path, n_rows, (SELECT count(*) FROM judged j WHERE j.path = f.path AND ou
 def import_reports(spark, d):
     """For each file: rows, new ones, known ones, unreadable ones."""
     files, found, batch = _taken(spark, d)
-    return records.reports(statements.reports(files, A.ZONE), found, batch.outcomes)
+    return records.reports(statements.reports_of(files, A.ZONE), found, batch.outcomes)
 
 
 def ledger_files(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +179,7 @@ judged AS (SELECT r.*, coalesce(f.kept, false) AS kept FROM r LEFT JOIN fold f O
 
 
 def _ledger_taken(spark: SparkSession, d: str) -> tuple[DataFrame, ingest.Batch]:
-    rows, _ = ledger_csv.read(ledger_files(spark, d), A.ZONE)
+    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE)
     found = records.of_ledger_files(rows)
     return found, ingest.records_in(found, *_empty(spark), A.ZONE, _know(spark))
 
@@ -188,7 +188,7 @@ def _ledger_taken(spark: SparkSession, d: str) -> tuple[DataFrame, ingest.Batch]
   CASE WHEN k % 6 = 0 THEN 'USER' END AS preset_source FROM r""")
 def ledger_file_rows(spark, d):
     """Rows of ledger files: times, days, signs, labels outside the set."""
-    rows, _ = ledger_csv.read(ledger_files(spark, d), A.ZONE)
+    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE)
     return records.of_ledger_files(rows).select("balance_paise", "amount_paise", "direction", "occurred_at", "exact_time", "account_tail", "ref_no", "merchant_norm", "channel", "preset_category", "preset_source")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendspark import rules as R
@@ -30,7 +30,12 @@ def export(txns: DataFrame, zone: str, path: str) -> None:
     rows.orderBy(F.col("occurred_at").asc_nulls_first(), F.col("id").asc_nulls_first()).select("line").write.option("lineSep", "\n").text(path)
 
 
-def read(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and reports of the ledger files below a path."""
+    return rows_of(statements.files(spark, path), zone)
+
+
+def rows_of(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
     """Rows and reports of ledger files (path, content). A file is one cell until it is cut into rows, so it has to fit a task;
     files of no bytes are passed over by the source.
 

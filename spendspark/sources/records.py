@@ -30,7 +30,7 @@ def of_statements(rows: DataFrame, start: int = 1) -> DataFrame:
 
 
 def of_ledger_files(rows: DataFrame, start: int = 1) -> DataFrame:
-    """Of ``ledger_csv.read``: times and days side by side, categories as the file has them."""
+    """Of ``ledger_csv.rows_of``: times and days side by side, categories as the file has them."""
     return _named(rows.withColumnsRenamed({"category": "preset_category", "category_source": "preset_source"}), "LEDGER_CSV", {}, start)
 
 

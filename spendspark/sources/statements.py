@@ -189,13 +189,23 @@ def statement_rows(grids: DataFrame, zone: str) -> DataFrame:
     )
 
 
-def imported(read: DataFrame, zone: str) -> DataFrame:
+def imported(spark: SparkSession, path: str, zone: str) -> DataFrame:
+    """Transactions of all statement files below a path."""
+    return rows_of(files(spark, path), zone)
+
+
+def reports(spark: SparkSession, path: str, zone: str) -> DataFrame:
+    """Reports on all statement files below a path."""
+    return reports_of(files(spark, path), zone)
+
+
+def rows_of(read: DataFrame, zone: str) -> DataFrame:
     """Transactions of statement files (path, content)."""
     some = read.withColumn("kind", kind_of(F.col("content"))).where("kind IN ('text', 'xlsx')")
     return statement_rows(some.select("path", grid_of("content").alias("grid")), zone)
 
 
-def reports(read: DataFrame, zone: str) -> DataFrame:
+def reports_of(read: DataFrame, zone: str) -> DataFrame:
     """For each file (path, content): data rows, readable and skipped ones, and what is wrong with a file that has none."""
     read = read.withColumn("kind", kind_of(F.col("content")))
     grids = read.select("path", "kind", F.when(F.col("kind").isin("text", "xlsx"), grid_of("content")).alias("grid"))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spendspark import rules as R
 from spendspark.operators import classify, ledger, parse
 from spendspark.operators import ingest as batches
+from spendspark.streaming.parts import Parts, only_last
 
 
 def assembled(parts: DataFrame) -> DataFrame:
@@ -85,22 +86,28 @@ def latest(spark: SparkSession, answers: str) -> DataFrame:
 
 
 def recompute(stream: DataFrame, ask: Callable[[DataFrame], DataFrame], store: str, answers: str, checkpoint: str, every: str = "60 seconds", part: Callable[[DataFrame], DataFrame] | None = None):
-    """Appends each micro-batch to the ledger at ``store`` and publishes the answer of ``ask`` below ``answers``.
+    """Appends each micro-batch to the ledger at ``store`` and publishes the answer of ``ask`` below ``answers``, of which the
+    last two stay.
 
-    With ``part`` the answer is asked of the partial results of all batches (sums, counts), so no batch reads the ledger again.
-    A batch that is replayed after a failure overwrites its own folders, so it is not counted twice.
+    With ``part`` the answer is asked of partial results (sums, counts): a running total and the parts of the newest batches, so
+    no batch reads the ledger again. ``part`` of parts has to be a part of the same columns. A batch that is replayed after a
+    failure overwrites its own folders, so it is not counted twice.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         if rows.isEmpty():
             return
+        spark = rows.sparkSession
         rows.write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
-        of = "rows"
         if part is not None:
-            part(rows).write.mode("overwrite").parquet(f"{store}/parts/batch={number}")
-            of = "parts"
-        known = rows.sparkSession.read.option("basePath", f"{store}/{of}").parquet(f"{store}/{of}")
+            own = part(rows)
+            parts = Parts(spark, f"{store}/partial", own.schema, part)
+            parts.put(own, number)
+            known = parts.read(number + 1)
+        else:
+            known = spark.read.option("basePath", f"{store}/rows").parquet(f"{store}/rows")
         ask(known).write.mode("overwrite").parquet(f"{answers}/batch={number}")
+        only_last(spark, answers, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
@@ -123,41 +130,82 @@ _TXN = (
 )
 
 
-def live(messages: DataFrame, folder: str, zone: str, checkpoint: str, know: batches.Knowledge | None = None, every: str = "60 seconds"):
+_REFS = "ref_no string, ref_bucket int"
+
+
+def live(messages: DataFrame, folder: str, zone: str, checkpoint: str, know: batches.Knowledge | Callable[[], batches.Knowledge] | None = None, every: str = "60 seconds"):
     """Messages (source, sender, body, received_at) into the tables raw and txns below ``folder``, batch by batch.
 
     Each batch meets the stored tables, not a state with a watermark, so a message that comes late, whatever the delay, is
-    compared like any other. A replayed batch sees what was there before it and overwrites its own folders.
+    compared like any other. The tables are laid out by day: an equal message is of the same day and a near one of the next at
+    most, so a batch reads the days that it speaks of. References, which have no day, are a table of their own, laid out by a
+    hash, of which it reads the parts that its own fall into. ``know``, if it is a function, is asked for each batch. A replayed batch sees what was there before it and overwrites its
+    own folders.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         if rows.isEmpty():
             return
         spark = rows.sparkSession
-        raw, txns = (_rows(spark, f"{folder}/{t}", s, number) for t, s in (("raw", _RAW), ("txns", _TXN)))
+        raw, txns = (stored(spark, f"{folder}/{t}", s, number) for t, s in (("raw", _RAW), ("txns", _TXN)))
+        refs = Parts(spark, f"{folder}/refs", _REFS, lambda r: r.distinct().repartition("ref_bucket"), by=["ref_bucket"])
         came = ledger.numbered(rows.select("source", "sender", "body", "received_at"), ["received_at", "sender", "body"], start=number << 33)
-        out = batches.messages_in(came, raw, txns, zone, know)
-        for name, new in (("raw", out.raw), ("txns", out.txns)):
-            new.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        out = batches.messages_in(came, raw, txns, zone, know() if callable(know) else know, refs.read(number))
+        for name, new, at in (("raw", out.raw, "received_at"), ("txns", out.txns, "occurred_at")):
+            dated = new.withColumns({"stored_day": batches.stored_day(F.col(at)), "batch": F.lit(number)})
+            # A batch's days only: those that other batches wrote stay.
+            dated.repartition("stored_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stored_day", "batch").parquet(f"{folder}/{name}")
+        refs.put(out.txns.where("ref_no IS NOT NULL").select("ref_no", batches.ref_bucket(F.col("ref_no")).alias("ref_bucket")), number)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
+def stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """A table laid out by day, without what batches from number ``before`` on wrote; empty if there is none yet."""
+    full = f"{schema}, stored_day int, batch long"
+    try:
+        return spark.read.schema(full).parquet(path).where(F.col("batch") < before).drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], full).drop("batch")
+
+
 def learning(corrections: DataFrame, rows: Callable[[], DataFrame], folder: str, checkpoint: str, every: str = "60 seconds"):
-    """Corrections (id, category) as a stream: each batch steps the model on them, and on a sample of what was confirmed before.
+    """Corrections (id, category, and at, where there is one) as a stream: each batch adds them to the memory of merchants, and
+    steps the model on them and on a sample of what was confirmed before.
 
-    ``rows`` gives the ledger with id, features, category and category_source. Models are rows of a table below ``folder``.
+    ``rows`` gives the ledger with id, features, category and category_source, and merchant_norm for the memory. Memory and model
+    of a batch are one version: the model's row below ``folder`` is written last, and a version is there when that is. A replayed
+    batch starts from the version before it and overwrites its own, so nothing is counted twice.
     """
 
     def batch(fixes: DataFrame, number: int) -> None:
         if fixes.isEmpty():
             return
-        spark = fixes.sparkSession
-        seen = _rows(spark, folder, "number long, blob binary", number).orderBy(F.col("number").desc()).first()
-        model = (classify.LinearModel.from_bytes(bytes(seen.blob)) if seen else None) or classify.LinearModel()
-        told = rows()
-        fresh = told.drop("category").join(fixes.select("id", "category"), "id")
-        model = classify.learned(model, fresh, told.where("category_source = 'USER'"), seed=number)
-        spark.createDataFrame([(number, model.to_bytes())], "number long, blob binary").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        learn(fixes, rows(), folder, number)
 
     return corrections.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def _memory(spark: SparkSession, folder: str) -> Parts:
+    return Parts(spark, f"{folder}/_memory", ledger.MEMORY, ledger.merged_memory)
+
+
+def learn(fixes: DataFrame, told: DataFrame, folder: str, number: int) -> None:
+    """One version of memory and model from the one before it."""
+    spark = fixes.sparkSession
+    _, model, _ = knowledge(spark, folder, number)
+    at = F.col("at") if "at" in fixes.columns else F.lit(number)
+    own = fixes.select("id", F.col("category").alias("__category"), at.alias("__at"))
+    fresh = told.drop("category").join(own, "id").withColumnRenamed("__category", "category")
+    if "merchant_norm" in told.columns:
+        _memory(spark, folder).put(ledger.confirmations(fresh.select("id", "merchant_norm", "category", F.col("__at").alias("at"))), number)
+    model = classify.learned(model, fresh, told.where("category_source = 'USER'"), seed=number)
+    spark.createDataFrame([(number, model.to_bytes())], "number long, blob binary").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def knowledge(spark: SparkSession, folder: str, before: int | None = None) -> tuple[DataFrame, classify.LinearModel, int | None]:
+    """Memory, model and number of the newest version (before number ``before``)."""
+    seen = _rows(spark, folder, "number long, blob binary", before).orderBy(F.col("number").desc()).first()
+    model = (classify.LinearModel.from_bytes(bytes(seen.blob)) if seen else None) or classify.LinearModel()
+    memory = ledger.merged_memory(_memory(spark, folder).read(seen.number + 1 if seen else 0))
+    return memory, model, seen.number if seen else None
