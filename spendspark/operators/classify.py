@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.functions import text as X
+from spendspark.operators import lexicon as index
 
 
 #: Confirmed rows that a model learns from at most.
@@ -206,15 +207,24 @@ def scored(rows: DataFrame, model: LinearModel) -> DataFrame:
     return inputs.mapInArrow(work, schema)
 
 
-def classified(rows: DataFrame, memory: DataFrame, model: LinearModel, entries: list[tuple[str, str]], body: Column | None = None) -> DataFrame:
+def classified(rows: DataFrame, memory: DataFrame, model: LinearModel, entries: list[tuple[str, str]] | DataFrame, body: Column | None = None) -> DataFrame:
     """Adds category, category_source, confidence and needs_review by the first layer that knows.
 
-    rows: merchant_norm, direction, features; memory: merchant_norm, category.
+    rows: merchant_norm, direction, features; memory: merchant_norm, category. ``entries``: a lexicon of some words as a list, or
+    one of any size as a table (pattern, category); rows need a unique ``id`` then.
     """
     known = memory.select("merchant_norm", F.col("category").alias("__memory"))
     met = scored(rows, model).join(known, "merchant_norm", "left")
-    seed = F.coalesce(lexicon_hit(F.col("merchant_norm"), entries), lexicon_hit(body, entries, 5) if body is not None else F.lit(None).cast("string"))
-    met = met.withColumn("__seed", seed)
+    if isinstance(entries, DataFrame):
+        named = index.longest(rows.select("id", "merchant_norm"), "id", "merchant_norm", entries).select("id", F.col("category").alias("__named"))
+        met = met.join(named, "id", "left")
+        if body is not None:
+            told = index.longest(rows.select("id", body.alias("__body")), "id", "__body", entries.where(F.length("pattern") >= 5))
+            met = met.join(told.select("id", F.col("category").alias("__told")), "id", "left")
+        met = met.withColumn("__seed", F.coalesce("__named", "__told") if body is not None else F.col("__named"))
+    else:
+        seed = F.coalesce(lexicon_hit(F.col("merchant_norm"), entries), lexicon_hit(body, entries, 5) if body is not None else F.lit(None).cast("string"))
+        met = met.withColumn("__seed", seed)
     trusted = F.coalesce(F.col("model_p") >= R.ACCEPT, F.lit(False))
     pick = lambda a, b, c, d: F.when(F.col("__memory").isNotNull(), a).when(trusted, b).when(F.col("__seed").isNotNull(), c).otherwise(d)
     debit = F.col("direction") == "DEBIT"

@@ -22,11 +22,12 @@ FIELDS = ["amount_paise", "direction", "channel", "account_tail", "ref_no", "bal
 
 @dataclass
 class Knowledge:
-    """What classification and placing draw on. memory: merchant_norm, category; fixes: recorded_at, place; both optional."""
+    """What classification and placing draw on. memory: merchant_norm, category; fixes: recorded_at, place; both optional.
+    entries: a lexicon as a list of some words, or as a table (pattern, category) of any size."""
 
     memory: DataFrame | None = None
     model: classify.LinearModel = field(default_factory=classify.LinearModel)
-    entries: list[tuple[str, str]] = field(default_factory=lambda: [(w, c) for c, ws in R.LEXICON.items() for w in ws.split()])
+    entries: list[tuple[str, str]] | DataFrame = field(default_factory=lambda: [(w, c) for c, ws in R.LEXICON.items() for w in ws.split()])
     fixes: DataFrame | None = None
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.functions import text as X
-from spendspark.operators import ingest
+from spendspark.operators import ingest, lexicon
 from spendspark.plans import adapter as A
 from spendspark.plans.ingest_queries import _empty, _know
 from spendspark.plans.registry import query
@@ -231,3 +231,14 @@ def file_kinds(spark, d):
     """Containers and delimiters, told by content."""
     files = statement_files(spark, d).where("path LIKE 'a/%'").withColumn("kind", statements.kind_of(F.col("content")))
     return files.select(F.regexp_replace("path", "[.][a-z]+$", "").alias("name"), "kind", F.when(F.col("kind") == "text", statements.delimiter(F.decode("content", "UTF-8"))).alias("delimiter"))
+
+
+_WORDS = "SELECT DISTINCT pattern, 'c' || CAST(length(pattern) % 7 AS VARCHAR) AS category FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS pattern FROM benchmark)"
+
+
+@query("q_lexicon_table", f"""WITH p AS ({_WORDS}), met AS (SELECT doc_id, pattern, category, row_number() OVER (PARTITION BY doc_id ORDER BY length(pattern) DESC, pattern) AS k FROM documents, p WHERE contains(lower(text), pattern)) SELECT doc_id, pattern, category FROM met WHERE k = 1""")
+def lexicon_table(spark, d):
+    """The longest of all words of the benchmark table that each document holds, within words as well."""
+    words = A.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("pattern"))
+    patterns = words.select("pattern", F.concat(F.lit("c"), (F.length("pattern") % 7).cast("string")).alias("category"))
+    return lexicon.longest(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", patterns)
