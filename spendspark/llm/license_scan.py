@@ -15,7 +15,7 @@ are replaced; an empty table gives an empty table. Places are word numbers from
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _parser
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,34 +133,101 @@ GRANTS = [
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     ("gfdl-1.3", "with no invariant sections no front cover texts and no back cover texts"),
     ("ofl-1.1", "this font software is licensed under the sil open font license"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("gpl", "when we speak of free software we are referring to freedom not price"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl-2", "gnu general public license version 2 june 1991"),
+    ("gpl-3", "gnu general public license version 3 29 june 2007"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl-2", "gnu library general public license version 2 june 1991"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", "you should have received a copy of the gnu affero general public license along with"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-4-clause", "this product includes software developed by the university of california berkeley and its contributors"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("hpnd", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("upl-1", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-1", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0"),
+    ("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cc0-1", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("ofl-1.1", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("wtfpl", "you just do what the [a-z]+ you want to"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("psf-2", "psf is making python available to licensee on an as is basis"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("public-domain", "the author disclaims copyright to this source code"),
+    ("ms-pl", "the software is licensed as is you bear the risk of using it"),
+    ("sspl-1", "available to third parties as a service you must make the service source code available"),
+    ("busl-1.1", "the licensed work is provided on an as is basis"),
+    ("elastic-2", "you may not provide the software to third parties as a hosted or managed service"),
+    ("eupl-1.2", "licensed under the eupl"),
 ]
 _NOTICE = r"(?:licensed|released|distributed|available|provided|published|offered|covered|used|redistributed|made available) under (?:(?:the|a|an) )?(?:(?:terms|conditions) of (?:the )?)?(?:gnu )?"
 
 
+#: The parts that signatures are written in: a group, what ends or parts it, a class of characters, how often, a character.
+_SYNTAX = re.compile(r"\(\?:|[)|]|\[[^\]]+\]|[?*+]|\{(\d+),?\d*\}|.")
+
+
 def keyword_of(pattern: str) -> str:
     """Words of which each match of ``pattern`` holds one, joined by "|": read off the expression, so no match is without."""
+    tokens = [(m[0], m[1]) for m in _SYNTAX.finditer(pattern)]
 
     def worth(words: tuple[str, ...]) -> tuple[int, int]:
         return min((len(" ".join(w for w in k.split() if w not in _COMMON)) for k in words), default=0), min(map(len, words), default=0)
 
-    def held(items) -> tuple[str, ...]:
-        found, run = [()], ""
-        for kind, value in [*items, (None, None)]:
-            if kind is _parser.LITERAL:
-                run += chr(value)
+    def best(found: list[tuple[str, ...]]) -> tuple[str, ...]:
+        return max(found, key=worth)
+
+    def group(at: int, before: str = "") -> tuple[tuple[str, ...], int]:
+        """What each match of a group, and the characters ``before`` it, holds, and where it ends: one choice for each branch, if
+        all of them have one."""
+        branches, found, run = [], [()], before
+        while at < len(tokens) and tokens[at][0] != ")":
+            token, at = tokens[at][0], at + 1
+            if token == "|":
+                branches.append(best([*found, (run,) if run else ()]))
+                found, run = [()], before
+                continue
+            held = None
+            if token == "(?:":
+                held, at = group(at, run)
+                at += 1
+            many = tokens[at] if at < len(tokens) and (tokens[at][0] in ("?", "*", "+") or tokens[at][1] is not None) else None
+            at += many is not None
+            least = 1 if many is None or many[0] == "+" else int(many[1] or 0)
+            if held is None and len(token) == 1 and many is None:
+                run += token
                 continue
+            # A part that isn't one plain character ends the run of them; what it holds counts if it can't be left out.
             found.append((run,) if run else ())
-            before, run = [(_parser.LITERAL, ord(c)) for c in run], ""
-            if kind is _parser.SUBPATTERN:
-                found.append(held(value[3]))
-            elif kind is _parser.BRANCH:
-                each = [held([*before, *branch]) for branch in value[1]]  # the parser takes out what branches begin with
-                found.append(tuple(k for one in each for k in one) if all(each) else ())
-            elif kind is _parser.MAX_REPEAT and value[0]:
-                found.append(held(value[2]))
-        return max(found, key=worth)
+            run = ""
+            if held is None and len(token) == 1:
+                held = (token,)
+            if held and least:
+                found.append(held)
+        branches.append(best([*found, (run,) if run else ()]))
+        return (tuple(k for one in branches for k in one) if all(branches) else ()), at
 
-    return "|".join(dict.fromkeys(held(_parser.parse(pattern))))
+    return "|".join(dict.fromkeys(group(0)[0]))
 
 
 def signatures() -> list[Signature]:
@@ -174,7 +241,7 @@ def signatures() -> list[Signature]:
 
 
 #: One test for all: a text that no part of this matches holds no signature's keyword next to what it needs.
-_GATE = r"licen[cs]e|spdx|hereby|redistribut|unencumbered|misrepresented|invariant|rights|domain|commons|merchantability|gpl|lgpl|cc0|cc by|wtfpl|freebsd|bsd|asl 2|mpl|historical|endorse|compliance|agreed|organization|what the|w3c|mit |psf"
+_GATE = r"licen[cs]e|spdx|hereby|redistribut|unencumbered|misrepresented|invariant|rights|domain|commons|merchantability|gpl|lgpl|cc0|cc by|wtfpl|freebsd|bsd|asl 2|mpl|historical|endorse|compliance|agreed|organization|what the|w3c|mit |psf|permission notice|freedom not|advertising materials|disclaims|held liable|compiled binary|includes software|commercial purposes|third parties|consortium"
 
 
 def _count_words(piece: Column, outer: int) -> Column:
