@@ -8,7 +8,8 @@ The vocabulary is a public one in the ``tokenizers`` JSON format (word-end BPE:
 byte-level letters, end-of-word suffix); its path is a parameter. Encoded words are remembered in a task, up to a bound.
 
 Cases: null text counts as empty; empty text has no ids and decodes to ''; texts of any length are encoded whole; the
-strings of special tokens become their ids, as in the library; equal rows give equal results; extra columns pass through,
+strings of special tokens become their ids, as in the library; of equal ranks in a word the leftmost is merged first; a
+vocabulary with more than 131,072 ids in its merges is refused; equal rows give equal results; extra columns pass through,
 those named like an output are replaced; an empty table gives an empty table.
 """
 
@@ -132,6 +133,8 @@ class PairRanks:
     """Ranks of pairs of ids for whole arrays of pairs: an open table, and a second one for keys that meet in the first."""
 
     def __init__(self, ranks: dict[tuple[int, int], int]):
+        if any(a >> 17 or b >> 17 for a, b in ranks):
+            raise ValueError("pairs of ids from 131,072 on don't fit a key")
         keys = np.array([a << 17 | b for a, b in ranks] or [-2], dtype=np.int64)
         values = np.array(list(ranks.values()) or [0], dtype=np.int32)
         self.tables = []

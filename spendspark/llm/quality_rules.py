@@ -6,7 +6,7 @@ Spark evaluates with the scan. Only DataFrame functions are used. Rules are lear
 SAMPLE_DOCS labelled documents, chosen by a hash of the id; what reaches the driver is a histogram: one count for each
 statistic, bin and label.
 
-Cases: a null or empty text has no words, fails the base rule and is dropped; long texts are measured whole; a statistic
+Cases: ties between conditions of equal worth go to the one that was met first in the order of statistics and bounds; a null or empty text has no words, fails the base rule and is dropped; long texts are measured whole; a statistic
 that is not defined (a share of no words) is 0; labels that are null are not learned from, and of several labels for a
 document the lowest quality counts; without labels there are no rules and the base rule decides alone; equal rows get equal
 verdicts; extra columns pass through, those named like an output are replaced; an empty table gives an empty table.

@@ -11,7 +11,8 @@ shuffle.
 Cases: a null or empty text has no words and gets the probability of such a text; long texts are read whole; labels that are
 null are not learned from, and of several labels for a document the largest counts; documents that occur twice are learned
 twice but kept in one fold; without labels, or with labels all alike, nothing is rejected; equal rows get equal results;
-extra columns pass through, those named like an output are replaced; an empty table gives an empty table.
+a probability that equals a threshold reaches it; extra columns pass through, those named like an output are replaced; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ page needs one equi-join on its block to be told apart. Possible hits, a few URL
 canonical URL, which removes false positives; all others never meet the list. What is found marks the pages in one pass more.
 Only DataFrame functions are used.
 
-Cases: a null url, or one without '://', has an empty host and path, no rule, and is not listed (allowed); equal rows get
+Cases: of rules of one length that fit, the last listed decides; urls of any length are read whole; a null url, or one without '://', has an empty host and path, no rule, and is not listed (allowed); equal rows get
 equal verdicts; a null or repeated listed URL counts once or not at all; an empty list allows whatever no rule decides;
 extra columns pass through, those named like an output are replaced; an empty table gives an empty table.
 """

@@ -55,3 +55,21 @@ def test_empty_table(spark, tmp_path):
         assert out.columns == empty.columns and out.count() == 0
     assert C.run(spark, str(tmp_path)).count() == 0
     assert toxicity and quality_rules and secrets
+
+
+def test_columns_that_clash(spark, tmp_path):
+    """Columns named like those that stages work with come through as they are."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows = [(i, " ".join(word() for _ in range(80)), "en", "s", 0, i, f"t{i}", f"d{i}", f"k{i}", f"r{i}") for i in range(12)]
+    rows += [(50 + i, rows[0][1], "en", "s", 0, 50 + i, "t", "d", "k", "r") for i in range(3)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept int, text_ string, __doc string, __key string, __raw string"
+    docs = spark.createDataFrame(rows, names)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for name, stage in C.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    got = {r.doc_id: (r.kept, r.text_, r["__doc"], r["__key"], r["__raw"]) for r in now.collect()}
+    assert got == {i: (i, f"t{i}", f"d{i}", f"k{i}", f"r{i}") for i in range(12)}
+    assert C.STAGES[4][1](spark, now, str(tmp_path)).count() == 12
