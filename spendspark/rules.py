@@ -13,11 +13,16 @@ ENUM_DEFAULTS = {
 }
 
 # --- Fixed values: sender codes ---
-BANK_CODES = (
-    "hdfcbk hdfcbn sbiinb sbiupi sbibnk sbicrd atmsbi icicib icicit axisbk axisbn kotakb kotak pnbsms pnbbnk bobtxn bobibn canbnk cbssbi unionb ubinet idfcfb yesbnk "
-    "indusb aubank rblbnk fedbnk citibk hsbcin scbank idbibk bankin cbinbk iobchn ucobnk psbbnk dcbbnk equtas esafbk jkbank karbnk kvbank tmbank amexin onecrd slcebk"
-).split()
-PSP_CODES = "paytmb paytm phonpe phnpay gpayin bhimup npcibh amzonp amazon mobikw freechg cred slice jupitr fisdom razrpy cashfr".split()
+BANK_CODES = [
+    "hdfcbk", "hdfcbn", "sbiinb", "sbiupi", "sbibnk", "sbicrd", "atmsbi", "icicib", "icicit", "axisbk", "axisbn", "kotakb", "kotak", "pnbsms",
+    "pnbbnk", "bobtxn", "bobibn", "canbnk", "cbssbi", "unionb", "ubinet", "idfcfb", "yesbnk", "indusb", "aubank", "rblbnk", "fedbnk", "citibk",
+    "hsbcin", "scbank", "idbibk", "bankin", "cbinbk", "iobchn", "ucobnk", "psbbnk", "dcbbnk", "equtas", "esafbk", "jkbank", "karbnk", "kvbank",
+    "tmbank", "amexin", "onecrd", "slcebk",
+]
+PSP_CODES = [
+    "paytmb", "paytm", "phonpe", "phnpay", "gpayin", "bhimup", "npcibh", "amzonp", "amazon", "mobikw", "freechg", "cred", "slice", "jupitr", "fisdom",
+    "razrpy", "cashfr",
+]
 
 # --- Fixed values: patterns of the message parser ---
 REJECT_OTP = r"(?iu)\botp\b|one[\s-]?time[\s-]?password|verification code|\bcvv\b"
@@ -76,7 +81,9 @@ AMOUNT_KEYS = ["transaction amount", "txn amount", "amount"]
 BALANCE_KEYS = ["closing balance", "available balance", "running balance", "balance"]
 REF_KEYS = ["chq/ref no", "ref no./cheque no", "reference no", "transaction id", "txn id", "utr no", "reference", "ref no", "cheque no", "utr"]
 NARRATION_REF = r"(?i)\b(?:UPI|IMPS|NEFT|RTGS|UTR|RRN|MMT|ACH)[\s/:\-]{1,3}([A-Z0-9]{8,22})"
-SCHEME_WORDS = "upi imps neft rtgs ach pos atm mmt inb nwd dr cr p2a p2m payment transfer txn".split()
+SCHEME_WORDS = [
+    "upi", "imps", "neft", "rtgs", "ach", "pos", "atm", "mmt", "inb", "nwd", "dr", "cr", "p2a", "p2m", "payment", "transfer", "txn",
+]
 LEDGER_COLUMNS = ["occurred_at", "direction", "amount_inr", "merchant", "category", "category_source", "channel", "account_tail", "reference", "balance_inr", "latitude", "longitude"]
 
 # --- Fixed values: limits ---
