@@ -31,12 +31,12 @@ def normal_sender(sender: Column) -> Column:
     return F.regexp_replace(F.lower(sender), "[^a-z0-9]", "")
 
 
-def sender_class(sender: Column) -> Column:
+def sender_class(sender: Column, rules: R.Rules = R.DEFAULT) -> Column:
     """PERSONAL for a phone number, BANK or PSP by a code (exact in order of segments, else inside the longest), else UNKNOWN."""
     raw = F.lower(trimmed(F.coalesce(sender, F.lit(""))))
     whole = normal_sender(raw)
     parts = F.filter(F.concat(F.transform(F.split(raw, r"[-_.]"), normal_sender), F.array(whole)), lambda s: s != "")
-    bank, psp = F.array(*map(F.lit, R.BANK_CODES)), F.array(*map(F.lit, R.PSP_CODES))
+    bank, psp = (F.array(*map(F.lit, codes)).cast("array<string>") for codes in (rules.bank_codes, rules.psp_codes))
     kind = F.get(F.filter(F.transform(parts, lambda s: F.when(F.array_contains(bank, s), "BANK").when(F.array_contains(psp, s), "PSP")), lambda k: k.isNotNull()), F.lit(0))
     longest = F.aggregate(parts, F.lit(""), lambda a, s: F.when(F.length(s) > F.length(a), s).otherwise(a))
     inside = lambda codes: F.exists(codes, lambda c: F.contains(longest, c))

@@ -29,6 +29,7 @@ class Knowledge:
     model: classify.LinearModel = field(default_factory=classify.LinearModel)
     entries: list[tuple[str, str]] | DataFrame = field(default_factory=lambda: [(w, c) for c, ws in R.LEXICON.items() for w in ws.split()])
     fixes: DataFrame | None = None
+    rules: R.Rules = R.DEFAULT
 
 
 @dataclass
@@ -125,7 +126,7 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
 
 def _replayed(messages: DataFrame, store: DataFrame, zone: str, know: Knowledge, seq: Column, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New transactions of stored messages, and marks (id, parsed, reject_reason, parser_version) of all of them."""
-    read = written(parse.parsed(messages.select("id", seq.alias("seq"), "sender", "body", "received_at"), zone), "parsed")
+    read = written(parse.parsed(messages.select("id", seq.alias("seq"), "sender", "body", "received_at"), zone, rules=know.rules), "parsed")
     good = read.where("reject_reason IS NULL").select("id", "seq", F.col("received_at").alias("came"), F.lit(True).alias("exact_time"), "body", *FIELDS)
     txns, known = persisted(good, store, zone, know, refs)
     txns = written(txns, "transactions")
@@ -136,13 +137,14 @@ def _replayed(messages: DataFrame, store: DataFrame, zone: str, know: Knowledge,
 
 def messages_in(messages: DataFrame, raw: DataFrame, store: DataFrame, zone: str, know: Knowledge | None = None, refs: DataFrame | None = None) -> Batch:
     """Live messages: id (in order of arrival, unseen), source, sender, body, received_at. Personal ones are never stored."""
-    who = messages.withColumn("__who", X.sender_class(F.col("sender")))
+    know = know or Knowledge()
+    who = messages.withColumn("__who", X.sender_class(F.col("sender"), know.rules))
     personal = who.where("__who = 'PERSONAL'").select("id", F.lit("rejected").alias("outcome"), F.lit("personal sender").alias("reason"))
     rest = who.where("__who <> 'PERSONAL'").drop("__who").withColumn("fingerprint", parse.fingerprint(F.col("sender"), F.col("body"), F.col("received_at")))
     # A fingerprint holds its day, so stored ones of other days are none of the batch's.
     first = written(dedupe.new_only(dedupe.first_of(rest, "fingerprint", "id"), _of_days(raw, rest.select("received_at")), "fingerprint"), "messages")
     again = rest.select("id").join(first.select("id"), "id", "left_anti").select("id", F.lit("duplicate message").alias("outcome"), F.lit(None).cast("string").alias("reason"))
-    txns, marks = _replayed(first, store, zone, know or Knowledge(), F.col("id"), refs)
+    txns, marks = _replayed(first, store, zone, know, F.col("id"), refs)
     new_raw = ledger.marked(ledger.reset(first), marks)
     outcome = F.when(F.col("parsed"), "inserted").when(F.col("reject_reason") == "duplicate txn", "duplicate transaction").otherwise("rejected")
     judged = marks.select("id", outcome.alias("outcome"), F.when(outcome == "rejected", F.col("reject_reason")).alias("reason"))

@@ -38,11 +38,11 @@ def amounts(body: Column) -> Column:
     return F.transform(first, lambda h: F.struct(h["start"].alias("start"), h["paise"].alias("paise"), before(h).rlike(R.BALANCE_CONTEXT).alias("balance")))
 
 
-def direction(body: Column) -> Column:
+def direction(body: Column, rules: R.Rules = R.DEFAULT) -> Column:
     """The earlier keyword decides, a debit's at a tie; card names and credit limits are masked."""
     masked = F.lower(F.regexp_replace(F.regexp_replace(body, R.CARD_PHRASE, "card"), R.CREDIT_LIMIT, "limit"))
-    at = lambda words: F.array_min(F.filter(F.array(*[F.instr(masked, w) for w in words]), lambda i: i > 0))
-    debit, credit = at(R.DEBIT_WORDS), at(R.CREDIT_WORDS)
+    at = lambda words: F.array_min(F.filter(F.array(*[F.instr(masked, w) for w in words], F.lit(0)), lambda i: i > 0))
+    debit, credit = at(rules.debit_words), at(rules.credit_words)
     return F.when(debit.isNull() & credit.isNull(), F.lit(None).cast("string")).when(credit.isNull() | (debit <= credit), "DEBIT").otherwise("CREDIT")
 
 
@@ -55,7 +55,7 @@ def reference(body: Column) -> Column:
     return F.upper(F.get(F.filter(F.regexp_extract_all(body, F.lit(R.REF), F.lit(1)), lambda r: F.regexp_count(r, F.lit("[0-9]")) >= 4), F.lit(0)))
 
 
-def merchant(body: Column, direction_: Column) -> Column:
+def merchant(body: Column, direction_: Column, rules: R.Rules = R.DEFAULT) -> Column:
     """The first pattern whose first match is a plausible name; what follows a trailer is not read."""
 
     def candidate(head: Column, pattern: str) -> Column:
@@ -66,7 +66,7 @@ def merchant(body: Column, direction_: Column) -> Column:
         return F.when(head.rlike(pattern), X.bound(c, lambda c: F.when(good(c), c)))
 
     head = F.get(F.split(body, R.TRAILER, 2), F.lit(0))
-    return X.bound(head, lambda h: F.coalesce(*[candidate(h, p) for p in R.MERCHANT_PATTERNS], F.when(direction_ == "CREDIT", candidate(h, R.MERCHANT_FROM))))
+    return X.bound(head, lambda h: F.coalesce(*[candidate(h, p) for p in rules.merchant_patterns], F.when(direction_ == "CREDIT", candidate(h, R.MERCHANT_FROM))))
 
 
 def channel(body: Column) -> Column:
@@ -85,17 +85,16 @@ def occurred_at(body: Column, received_at: Column, zone: str) -> Column:
     return F.when(F.datediff(came, day) > 1, X.from_local_ms(X.day_ms(day) + R.DAY_MS // 2, zone)).otherwise(received_at)
 
 
-def parsed(df: DataFrame, zone: str, sender: str = "sender", body: str = "body", received_at: str = "received_at") -> DataFrame:
+def parsed(df: DataFrame, zone: str, sender: str = "sender", body: str = "body", received_at: str = "received_at", rules: R.Rules = R.DEFAULT) -> DataFrame:
     """Adds reject_reason and, where that is null, the fields of a transaction."""
-    text, who = F.coalesce(F.col(body), F.lit("")), X.sender_class(F.col(sender))
-    cheap = (
-        F.when(who == "PERSONAL", "personal sender").when(X.trimmed(text) == "", "empty body").when(text.rlike(R.REJECT_OTP), "otp")
-        .when(text.rlike(R.REJECT_PROMO), "promotional").when(text.rlike(R.REJECT_NOT_YET), "not a completed txn").when(text.rlike(R.REJECT_INFO_ONLY), "informational")
-    )
+    text, who = F.coalesce(F.col(body), F.lit("")), X.sender_class(F.col(sender), rules)
+    cheap = F.when(who == "PERSONAL", "personal sender").when(X.trimmed(text) == "", "empty body")
+    for reason, pattern in rules.gates:
+        cheap = cheap.when(text.rlike(pattern), reason)
     one = df.withColumns({"__who": who, "__cheap": cheap})
     # What a cheap gate rejects is not extracted from. A generated row keeps each step from being worked out where it is used.
     open_ = lambda c: F.when(F.col("__cheap").isNull(), c)
-    steps = F.struct(open_(amounts(text)).alias("__amounts"), open_(direction(text)).alias("__way"), open_(account_tail(text)).alias("__tail"), open_(reference(text)).alias("__ref"))
+    steps = F.struct(open_(amounts(text)).alias("__amounts"), open_(direction(text, rules)).alias("__way"), open_(account_tail(text)).alias("__tail"), open_(reference(text)).alias("__ref"))
     two = one.select("*", F.explode(F.array(steps)).alias("__steps")).select(*one.columns, "__steps.*")
     pick = lambda balance: F.get(F.filter("__amounts", lambda a: a["balance"] == balance), F.lit(0))["paise"]
     late = (
@@ -106,7 +105,7 @@ def parsed(df: DataFrame, zone: str, sender: str = "sender", body: str = "body",
     ok = lambda c: F.when(F.col("reject_reason").isNull(), c)
     fields = {
         "amount_paise": pick(False), "direction": F.col("__way"), "channel": channel(text), "account_tail": F.col("__tail"), "ref_no": F.col("__ref"), "balance_paise": pick(True),
-        "merchant_raw": merchant(text, F.col("__way")), "occurred_at": occurred_at(text, F.col(received_at), zone),
+        "merchant_raw": merchant(text, F.col("__way"), rules), "occurred_at": occurred_at(text, F.col(received_at), zone),
     }
     whole = F.struct(*[ok(c).alias(n) for n, c in fields.items()])
     four = three.select(*df.columns, "reject_reason", F.explode(F.array(whole)).alias("__t")).select(*df.columns, "reject_reason", "__t.*")

@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.functions import text as X
-from spendspark.operators import ingest, lexicon
+from spendspark.operators import ingest, lexicon, parse
 from spendspark.plans import adapter as A
 from spendspark.plans.ingest_queries import _empty, _know
 from spendspark.plans.registry import query
-from spendspark.sources import ledger_csv, records, statements
+from spendspark.sources import ledger_csv, records, rule_tables, statements
 
 _SEPARATORS = [",", ";", "\t", "|"]
 #: Every tenth customer has the same file in a second folder, every seventh a spreadsheet, every fifth a byte order mark.
@@ -242,3 +242,13 @@ def lexicon_table(spark, d):
     words = A.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("pattern"))
     patterns = words.select("pattern", F.concat(F.lit("c"), (F.length("pattern") % 7).cast("string")).alias("category"))
     return lexicon.longest(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", patterns)
+
+
+@query("q_rule_table", f"""SELECT event_id AS id, CASE k WHEN 1 THEN 'PSP' WHEN 3 THEN 'PERSONAL' ELSE 'BANK' END AS sender_class, CASE WHEN event_id % 50 = 7 THEN 'personal sender' ELSE CASE event_id % 10 WHEN 3 THEN 'otp' WHEN 4 THEN 'promotional' WHEN 5 THEN 'not a completed txn' WHEN 6 THEN 'cash' WHEN 7 THEN 'informational' WHEN 8 THEN 'no amount' END END AS reject_reason
+FROM (SELECT event_id, CASE WHEN event_id % 50 = 7 THEN 3 WHEN event_id % 10 = 9 THEN CASE WHEN event_id % 20 = 9 THEN 4 ELSE 0 END ELSE event_id % 3 END AS k FROM events)""")
+def rule_table(spark, d):
+    """The parser under a table of rules with one sender code and one gate more than the usual ones."""
+    more = spark.createDataFrame([("bank_codes", 1000, None, "unknwn"), ("gates", 1000, "cash", "(?i)^cash withdrawal")], "kind string, place int, name string, value string")
+    rules = rule_tables.read(rule_tables.table(spark).unionByName(more))
+    read = parse.parsed(A.messages(spark, d), A.ZONE, rules=rules)
+    return read.select("id", X.sender_class(F.col("sender"), rules).alias("sender_class"), "reject_reason")

@@ -1,4 +1,11 @@
-"""Code lists, word lists, patterns and limits that results depend on. Plain text, in natural order."""
+"""Code lists, word lists, patterns and limits that results depend on. Plain text, in natural order.
+
+``Rules`` holds those of the parser that a deployment may replace; ``sources/rule_tables`` reads and writes them as a table.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
 
 # --- Fixed values: enumerations and labels (order is the label encoding) ---
 CATEGORIES = ["Food & Dining", "Groceries", "Transport", "Shopping", "Bills & Utilities", "Entertainment", "Health", "Education", "Rent & Housing", "Investments", "Transfers", "Cash", "Travel", "Income", "Other"]
@@ -110,3 +117,18 @@ LEXICON = {
     "Travel": "airlines hotel resort railway travels",
     "Income": "salary interest dividend",
 }
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What the parser goes by. gates: reason and pattern, in order; a message that one matches is rejected for its reason."""
+
+    bank_codes: tuple[str, ...] = tuple(BANK_CODES)
+    psp_codes: tuple[str, ...] = tuple(PSP_CODES)
+    gates: tuple[tuple[str, str], ...] = (("otp", REJECT_OTP), ("promotional", REJECT_PROMO), ("not a completed txn", REJECT_NOT_YET), ("informational", REJECT_INFO_ONLY))
+    debit_words: tuple[str, ...] = tuple(DEBIT_WORDS)
+    credit_words: tuple[str, ...] = tuple(CREDIT_WORDS)
+    merchant_patterns: tuple[str, ...] = tuple(MERCHANT_PATTERNS)
+
+
+DEFAULT = Rules()
