@@ -58,33 +58,57 @@ def chains(rows: DataFrame, gap_ms: int) -> DataFrame:
     return joined.select(*rows.columns, F.when(first, F.col("before.day")).otherwise(F.col("day")).alias("chain_day"), F.when(first, F.col("before.part")).otherwise(F.col("part")).alias("chain"))
 
 
+class Near:
+    """Times that were kept, as the first and last of each account and stretch as long as the gap: a look-up takes as long
+    whatever their number. Accounts are named "=" and their digits, "-" is none, "" stands for all."""
+
+    def __init__(self, gap_ms: int, spans: dict[tuple[str, int], tuple[int, int]] | None = None):
+        self.gap, self.cell, self.spans = gap_ms, max(gap_ms, 1), {} if spans is None else spans
+
+    @staticmethod
+    def fitting(tail: str | None) -> tuple[str, ...]:
+        """An account fits itself and rows without one; a row without one fits all."""
+        return ("",) if tail is None else ("=" + tail, "-")
+
+    @staticmethod
+    def names(tail: str | None) -> tuple[str, str]:
+        return "", "-" if tail is None else "=" + tail
+
+    def hides(self, at: int, tail: str | None) -> bool:
+        """Whether a fitting time within the gap was kept."""
+        place = at // self.cell
+        for who in self.fitting(tail):
+            low, high = self.spans.get((who, place - 1)), self.spans.get((who, place + 1))
+            if (who, place) in self.spans or (low and low[1] >= at - self.gap) or (high and high[0] <= at + self.gap):
+                return True
+        return False
+
+    def keep(self, at: int, tail: str | None) -> None:
+        for who in self.names(tail):
+            first, last = self.spans.get((who, at // self.cell), (at, at))
+            self.spans[who, at // self.cell] = min(first, at), max(last, at)
+
+
 def _fold(gap_ms: int):
-    """Judges rows sorted by chain and arrival. What it holds of a chain are the first and last time kept for each account and
-    stretch as long as the gap, and counts for each day and account."""
-    cell = max(gap_ms, 1)
+    """Judges rows sorted by chain and arrival. What it holds of a chain are times as ``Near`` has them, and counts for each day
+    and account."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, spans, counts, seen = None, {}, {}, {}
+        group, near, counts, seen = None, Near(gap_ms), {}, {}
         for batch in batches:
             flags, numbers = [], []
             for *own, at, day, tail, kind, run in zip(*[batch[c].to_pylist() for c in (*_CHAIN, "occurred_at", "day", "account_tail", "kind", "run")]):
                 if own != group:
-                    group, spans, counts, seen = own, {}, {}, {}
-                stays, number, place = True, None, at // cell
-                # An account fits itself and rows without one; a row without one fits all.
-                fitting = ("any",) if tail is None else (("of", tail), ("of", None))
+                    group, near, counts, seen = own, Near(gap_ms), {}, {}
+                stays, number = True, None
                 if kind == EXACT:
-                    for who in fitting:
-                        low, high = spans.get((who, place - 1)), spans.get((who, place + 1))
-                        if (who, place) in spans or (low and low[1] >= at - gap_ms) or (high and high[0] <= at + gap_ms):
-                            stays = False
+                    stays = not near.hides(at, tail)
                 elif kind == DAILY:
                     number = seen[run, day, tail] = seen.get((run, day, tail), 0) + 1
-                    stays = sum(counts.get((day, who), 0) for who in fitting) < number
+                    stays = sum(counts.get((day, who), 0) for who in Near.fitting(tail)) < number
                 if stays:
-                    for who in ("any", ("of", tail)):
-                        first, last = spans.get((who, place), (at, at))
-                        spans[who, place] = min(first, at), max(last, at)
+                    near.keep(at, tail)
+                    for who in Near.names(tail):
                         counts[day, who] = counts.get((day, who), 0) + 1
                 flags.append(stays)
                 numbers.append(number)

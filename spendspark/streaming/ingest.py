@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spendspark import rules as R
-from spendspark.operators import classify, ledger, parse
+from spendspark.operators import classify, dedupe, ledger, parse
 from spendspark.operators import ingest as batches
 from spendspark.streaming.parts import Parts, only_last
 
@@ -30,12 +30,13 @@ def distinct_messages(messages: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 _KEPT = "id long, amount_paise long, direction string, account_tail string, occurred_at long, ref_no string, kept boolean"
-_STATE = "at array<bigint>, tail array<string>"
+_STATE = "who array<string>, place array<bigint>, first array<bigint>, last array<bigint>"
 
 
 def near_distinct(txns: DataFrame, gap_ms: int = R.NEAR_MS) -> DataFrame:
     """Transactions with ``kept``, in append mode: a row without a reference is dropped near a kept one of its amount and
-    direction. State holds the kept times of one amount and direction that the watermark can still reach.
+    direction. State holds the kept times of one amount and direction that the watermark can still reach, as first and last of
+    each account and three minutes; a row is looked up in it, not compared with all.
 
     txns: id, amount_paise, direction, account_tail, occurred_at, ref_no, event_time (with a watermark).
     """
@@ -44,21 +45,21 @@ def near_distinct(txns: DataFrame, gap_ms: int = R.NEAR_MS) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = [(t, x or None) for t, x in zip(*state.get)] if state.exists else []
+        near = dedupe.Near(gap_ms, {(w, p): (a, b) for w, p, a, b in zip(*state.get)} if state.exists else {})
         for frame in frames:
             frame = frame.sort_values("id", kind="stable")
             flags = []
             for at, tail, ref in zip(frame["occurred_at"], frame["account_tail"], frame["ref_no"]):
-                tail = None if pd.isna(tail) else tail
-                drop = pd.isna(ref) and any(abs(at - t) <= gap_ms and (tail is None or x is None or x == tail) for t, x in kept)
-                if not drop:
-                    kept.append((int(at), tail))
-                flags.append(not drop)
+                at, tail = int(at), None if pd.isna(tail) else tail
+                stays = not (pd.isna(ref) and near.hides(at, tail))
+                if stays:
+                    near.keep(at, tail)
+                flags.append(stays)
             yield frame.assign(kept=flags)[["id", "amount_paise", "direction", "account_tail", "occurred_at", "ref_no", "kept"]]
         low = state.getCurrentWatermarkMs() - gap_ms
-        kept = [k for k in kept if k[0] >= low]
-        state.update(([t for t, _ in kept], [x or "" for _, x in kept]))
-        state.setTimeoutTimestamp(max([*(t for t, _ in kept), state.getCurrentWatermarkMs()]) + gap_ms + 1)
+        left = [(w, p, a, b) for (w, p), (a, b) in near.spans.items() if b >= low]
+        state.update(tuple(list(c) for c in zip(*left)) if left else ([], [], [], []))
+        state.setTimeoutTimestamp(max([*(b for *_, b in left), state.getCurrentWatermarkMs()]) + gap_ms + 1)
 
     return txns.groupBy("amount_paise", "direction").applyInPandasWithState(step, _KEPT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
