@@ -84,3 +84,23 @@ def test_query_cases(spark, tmp_path):
 def test_main_path_has_no_python(spark, rules):
     df = Q.apply(spark.createDataFrame([(1, "a b c d")], "doc_id int, text string"), rules)
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_conjunction_is_learned_where_one_term_is_not_enough(spark):
+    """Bad are only documents with both symbols and capitals; with one of them they are good."""
+
+    def both(n, seed):
+        rng, rows = random.Random(seed), []
+        for i in range(n):
+            words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 150))]
+            symbols, capitals = rng.random() < 0.5, rng.random() < 0.5
+            words = [w + "***" if symbols and k % 3 == 0 else w for k, w in enumerate(words)]
+            words = [w.upper() if capitals and k % 3 else w for k, w in enumerate(words)]
+            rows.append((seed * 10**6 + i, " ".join(words), int(not (symbols and capitals))))
+        return rows
+
+    train, held = (spark.createDataFrame(both(n, s), "doc_id long, text string, quality int") for n, s in ((1200, 3), (600, 4)))
+    rules = Q.learn(train.select("doc_id", "text"), train.select("doc_id", "quality"))
+    assert rules and max(len(r.terms) for r in rules) >= 2, list(map(str, rules))
+    out = Q.apply(held, rules).collect()
+    assert sum(not r.kept for r in out if r.quality) <= 6 and sum(r.kept for r in out if not r.quality) <= 12
