@@ -11,8 +11,10 @@ angles and sizes in between are found in part only, as their descriptors agree o
 KEY_BITS should grow with the logarithm of the number of corners; 32 serve some millions of images.
 
 Images with the same bytes are one class. Each class meets the smallest class in each of its buckets, so copies are not
-expanded into all pairs. Links make components; then the smallest components in a bucket meet, and so on until a round
-brings no link. Only keys are dealt by bucket; descriptors travel to the pairs that share enough of them.
+expanded into all pairs; links make components. That is the cheap part: behind an image of another scene at the head of a bucket
+a link may be hidden. So a last pass takes every pair of images of different components that share enough keys, in blocks of
+images that meet two by two: the result is that of all pairs that share MEET keys. Descriptors travel with the blocks, once for
+each other block; pairs, which grow with the square of the images, are made and tested within a task and never stored.
 
 Cases: null or unreadable media have no corners and are linked with nothing; a flat image has no corners; equal images are
 one class; rows without an id are linked with nothing; ties go to the smallest id; extra columns are ignored; an empty table
@@ -42,6 +44,10 @@ FLIPS, NEAR = 40, 4.0
 SCALES, ANGLE, _CHANCE = 0.6, np.pi / 9, 0.05
 #: Steps between the two matches of a transform, and partners of one image for each part of a hot one.
 AT_ONCE, PARTNERS = 64, 512
+#: Images of a block of the last pass, of which a task holds two, and the fewest blocks; pairs of keys that a task makes and
+#: images that it compares at a time.
+BLOCK, BLOCKS, PAIRS, TOGETHER = 12288, 5, 1 << 18, 64
+_SIDE, _SAME = 1 << 24, 1 << 56
 #: Strongest corners of each square of WINDOW pixels: at full size, and on each smaller scale (half an octave each).
 CORNERS, WINDOW = (24, 8), 96
 #: Pixels of a stack of images.
@@ -189,11 +195,14 @@ def keys_of(corners: np.ndarray) -> np.ndarray:
 
 def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners of two images whose descriptors differ in at most FLIPS bits."""
-    p, q = (np.ascontiguousarray(c["bits"]).view("<u8") for c in (a, b))
+    p, q = (np.ascontiguousarray(np.ascontiguousarray(c["bits"]).view("<u8").T) for c in (a, b))
     found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-    for i in range(0, len(p), 256):
-        x, y = np.nonzero(np.bitwise_count(p[i : i + 256, None] ^ q[None]).sum(axis=2) <= FLIPS)
-        found.append((x + i, y))
+    for i in range(0, len(a), 256):
+        flips = np.zeros((len(a[i : i + 256]), len(b)), dtype=np.uint16)
+        for x, y in zip(p[:, i : i + 256], q):
+            flips += np.bitwise_count(x[:, None] ^ y)
+        at = np.flatnonzero(flips <= FLIPS)
+        found.append((at // max(len(b), 1) + i, at % max(len(b), 1)))
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
@@ -213,31 +222,84 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     Two matches give a transform; each match is tried with those a bounded number of steps after it. A match is for a
     transform that brings it within NEAR pixels, if its scales and orientations say so too.
     """
-    x, y = matches(a, b)
-    if len(x) < VOTES:
-        return False
-    a, b = a[x], b[y]
+    return bool(alike_each(a, [b])[0])
+
+
+def alike_each(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """``alike`` of ``one`` and each of ``others``, worked on together."""
+    found = np.zeros(len(others), dtype=bool)
+    corners = _unpacked(b"".join(o.tobytes() for o in others))
+    x, y = matches(one, corners)
+    of = np.repeat(np.arange(len(others)), [len(o) for o in others])[y]
+    n = np.bincount(of, minlength=len(others))
+    order = np.argsort(of, kind="stable")
+    order = order[n[of[order]] >= VOTES]
+    of, a, b = of[order], one[x[order]], corners[y[order]]
+    if not len(of):
+        return found
     p, q = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
-    own = 2.0 ** ((a["level"].astype(float) - b["level"]) / 2) * np.exp(2j * np.pi / TURNS * (a["turn"].astype(float) - b["turn"]))
+    zoom, turns = a["level"].astype(np.int16) - b["level"], a["turn"].astype(np.int16) - b["turn"]
+    own = 2.0 ** (zoom / 2) * np.exp(2j * np.pi / TURNS * turns)
 
     def agrees(turn, of):
         ratio = turn / of
         return (np.abs(np.log2(np.maximum(np.abs(ratio), 1e-9))) <= SCALES) & (np.abs(np.angle(ratio)) <= ANGLE)
 
-    area = max(float(np.ptp(p.real) * np.ptp(p.imag)), 96.0**2)
-    needed = _needed(len(x), area, len(x) * AT_ONCE)
-    for step in range(1, min(len(x), AT_ONCE)):
-        dp, dq = p[step:] - p[:-step], q[step:] - q[:-step]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            turn = dp / dq
-        good = (np.abs(dp) > 2 * NEAR) & (np.abs(dq) > 2 * NEAR)
-        good[good] = agrees(turn[good], own[:-step][good]) & agrees(turn[good], own[step:][good])
-        for i in np.flatnonzero(good):
-            near = (np.abs(turn[i] * (q - q[i]) + p[i] - p) <= NEAR) & agrees(turn[i], own)
-            # Corners of several scales at one place are one piece of evidence.
-            if near.sum() >= needed and all(len({(int(c.real // NEAR), int(c.imag // NEAR)) for c in side[near]}) >= needed for side in (p, q)):
-                return True
-    return False
+    # Two matches that agree with one transform are not farther from each other than twice what each may be from it: those of an
+    # image stand by turn, and each is tried with the next ones.
+    apart, wide = math.floor(4 * SCALES + 1e-9), math.floor(ANGLE * TURNS / np.pi + 1e-9)
+    by, at = of * (2 * TURNS) + turns % TURNS, np.arange(len(of))
+    low = turns % TURNS < wide
+    by, at = np.append(by, by[low] + TURNS), np.append(at, at[low])
+    order = np.argsort(by, kind="stable")
+    by, at = by[order], at[order]
+    size = np.searchsorted(by, by + wide, "right") - np.arange(len(by)) - 1
+    size[by % (2 * TURNS) >= TURNS] = 0
+    pairs = []
+    for k in _in_parts(size, 1 << 20):
+        i = np.repeat(np.arange(k.start, k.stop), size[k])
+        j = at[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])]
+        i = at[i]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        i, j = (v[(j - i < AT_ONCE) & (j > i) & (np.abs(zoom[i] - zoom[j]) <= apart)] for v in (i, j))
+        far = (np.abs(p[j] - p[i]) > 2 * NEAR) & (np.abs(q[j] - q[i]) > 2 * NEAR)
+        pairs.append((i[far], j[far]))
+    if not pairs:
+        return found
+    i, j = (np.concatenate(v) for v in zip(*pairs))
+    turn = (p[j] - p[i]) / (q[j] - q[i])
+    good = agrees(turn, own[i]) & agrees(turn, own[j])
+    i, turn = i[good], turn[good]
+    starts = np.searchsorted(of, np.arange(len(others)))
+    sizes = n[of[i]]
+    for k in _in_parts(sizes, 1 << 18):
+        # All matches of the same image for each transform.
+        size, which = sizes[k], np.repeat(np.arange(k.start, k.stop), sizes[k])
+        there = np.repeat(starts[of[i[k]]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        near = np.abs(turn[which] * (q[there] - q[i[which]]) + p[i[which]] - p[there]) <= NEAR
+        which, there = which[near], there[near]
+        for_it = agrees(turn[which], own[there])
+        which, there = which[for_it], there[for_it]
+        votes = np.bincount(which - k.start, minlength=len(size))
+        for t in np.flatnonzero(votes >= VOTES):
+            image = of[i[k.start + t]]
+            if not found[image]:
+                all_ = slice(starts[image], starts[image] + n[image])
+                area = max(float(np.ptp(p.real[all_]) * np.ptp(p.imag[all_])), 96.0**2)
+                needed = _needed(int(n[image]), area, int(n[image]) * AT_ONCE)
+                agreed = there[which == k.start + t] if votes[t] >= needed else there[:0]
+                # Corners of several scales at one place are one piece of evidence.
+                found[image] = votes[t] >= needed and all(len({(int(c.real // NEAR), int(c.imag // NEAR)) for c in side[agreed]}) >= needed for side in (p, q))
+    return found
+
+
+def _in_parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows whose sizes sum up to about ``most``."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield slice(at, to)
+        at = to
 
 
 def described(df: DataFrame, media: str = "media") -> DataFrame:
@@ -311,14 +373,116 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """The pairs (a written table) whose images are copies. An image with many partners is dealt in parts of about PARTNERS."""
-    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    parts, n = pairs.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")), pairs.count()
     corners = heads.select(F.col("node"), "corners")
-    ones = parts.join(corners, F.col("x") == F.col("node")).select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), "corners")
-    others = pairs.join(parts, "x").join(corners, F.col("y") == F.col("node")).select("x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), "y", "corners")
+    # Few pairs go to where the corners are, so that those are dealt once.
+    ones = corners.join(small_enough(parts, n, 16), F.col("x") == F.col("node")).select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), "corners")
+    others = corners.join(small_enough(pairs.join(parts, "x"), n, 24), F.col("y") == F.col("node")).select("x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), "y", "corners")
     dealt = ones.unionByName(others).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
     return dealt.select("x", "y", "corners").mapInArrow(_verified, "x long, y long")
 
 
+def _block(images: pa.Table, block: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components and corners of the images (of one block), and for each key of each image the key, the image's place and
+    the pose."""
+    at = np.arange(images.num_rows) if block is None else np.flatnonzero(images["block"].to_numpy() == block)
+    corners = [_unpacked(c) for c in images["corners"].take(pa.array(at)).to_pylist()]
+    own = _unpacked(b"".join(c.tobytes() for c in corners))
+    places = np.repeat(np.arange(len(corners), dtype=np.int32), [len(c) * TABLES for c in corners])
+    pose = np.repeat(own["level"].astype(np.int16) * TURNS + own["turn"], TABLES)
+    return images["node"].to_numpy()[at], images["component"].to_numpy()[at], corners, keys_of(own).ravel(), places, pose
+
+
+def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the images of two blocks (keys, places, poses) that meet in MEET keys of corners that differ alike in scale and orientation, and are of
+    different components (``ca``, ``cb``: small numbers). ``once``: the blocks are one, each pair is wanted in one order.
+
+    Nothing of a bucket is left out. Rows of ``b`` stand by key and component, so a row of ``a`` meets what stands before and
+    after its own component there. Pairs are made for some images of ``a`` at a time.
+    """
+    (key_a, place_a, pose_a), (key_b, place_b, pose_b) = a, b
+    if not len(key_a) or not len(key_b):
+        return
+    order, many = np.lexsort((cb[place_b], key_b)), max(ca.max(), cb.max()) + 1
+    key_b, place_b, pose_b = key_b[order], place_b[order], pose_b[order]
+    new = np.append(True, key_b[1:] != key_b[:-1])
+    begin, of_b = np.flatnonzero(new), np.cumsum(new) - 1
+    buckets = key_b[begin]
+    of_a = np.minimum(np.searchsorted(buckets, key_a), len(buckets) - 1)
+    rows = np.flatnonzero(buckets[of_a] == key_a)
+    of_a, own, code_b = of_a[rows], ca[place_a[rows]], of_b * many + cb[place_b]
+    ranges = [(rows, np.searchsorted(code_b, of_a * many + own, "right"), np.append(begin, len(key_b))[of_a + 1])]
+    if not once:
+        ranges.append((rows, begin[of_a], np.searchsorted(code_b, of_a * many + own)))
+    del of_b, code_b, new, key_b
+    rows, low, high = (np.concatenate(r) for r in zip(*ranges))
+    order = np.argsort(place_a[rows], kind="stable")
+    order = order[high[order] > low[order]]
+    rows, low, sizes = rows[order], low[order], (high - low)[order]
+    # Whole images, about PAIRS pairs at a time: all keys of two images have to be counted together.
+    begin = np.flatnonzero(np.append(True, np.diff(place_a[rows]) != 0)) if len(rows) else rows
+    for part in _in_parts(np.add.reduceat(sizes, begin) if len(rows) else sizes, PAIRS):
+        at, to = begin[part.start], np.append(begin, len(rows))[part.stop]
+        n = sizes[at:to]
+        there = np.repeat(low[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pose, other = np.repeat(pose_a[rows[at:to]], n), pose_b[there]
+        turn = (pose - other) % TURNS
+        pair = np.repeat(place_a[rows[at:to]].astype(np.int64), n) * len(cb) + place_b[there]
+        # Differences of turns by one count together; the first turn stands behind the last one too.
+        code = (pair * 64 + pose // TURNS - other // TURNS + 32) * (2 * TURNS) + turn
+        code = np.sort(np.concatenate([code, code[turn == 0] + TURNS]))
+        near = code[: len(code) - MEET + 1][code[MEET - 1 :] - code[: len(code) - MEET + 1] <= 1] // (128 * TURNS)
+        near = near[np.append(True, near[1:] != near[:-1])] if len(near) else near
+        yield near // len(cb), near % len(cb)
+
+
+def _linked_blocks(key: tuple, images: pa.Table) -> pa.Table:
+    """The links between images of different components in two blocks (or in one) that meet."""
+    sides = dict.fromkeys(divmod(key[0].as_py() % _SAME, _SIDE))
+    parts = [_block(images, k) for k in sides]
+    nodes, component = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    corners = [c for p in parts for c in p[2]]
+    numbers = np.unique(component, return_inverse=True)[1]
+    n, root, xs, ys = len(parts[0][0]), list(range(len(numbers))), [], []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a, b in _met(parts[0][3:], parts[-1][3:], numbers[:n], numbers[-len(parts[-1][0]) :], len(parts) == 1):
+        b = b + len(nodes) - len(parts[-1][0])
+        # The smaller id first, as no order of blocks should matter.
+        x, y = np.where(nodes[a] < nodes[b], (a, b), (b, a))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        for one in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+            for k in range(0, len(one), TOGETHER):
+                # What came together meanwhile needs no further link.
+                of = find(numbers[x[one[0]]])
+                others = [j for j in y[one[k : k + TOGETHER]] if find(numbers[j]) != of]
+                for j in np.array(others, dtype=np.int64)[alike_each(corners[x[one[0]]], [corners[j] for j in others])]:
+                    if find(numbers[j]) != find(of):
+                        root[find(numbers[j])] = find(of)
+                        xs.append(nodes[x[one[0]]])
+                        ys.append(nodes[j])
+    pa.default_memory_pool().release_unused()
+    return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+
+def remaining(heads: DataFrame, n: int) -> DataFrame:
+    """x and y for links between images of different components: every pair that meets in MEET keys is looked at, so none is left
+    out. heads (about n rows): node, component, corners. Blocks of at most about BLOCK images meet two by two."""
+    blocks = max(BLOCKS, -(-n // BLOCK))
+    own = heads.select("node", "component", "corners", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
+    dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    # One number for two blocks, those of one block last, as they take half the time; by range, so that each has a task of its own.
+    a, b = F.least("block", "k"), F.greatest("block", "k")
+    dealt = dealt.withColumn("cell", F.when(a == b, _SAME).otherwise(0) + a * _SIDE + b).drop("k")
+    cells = blocks * (blocks + 1) // 2
+    return dealt.repartitionByRange(4 * cells, "cell").groupBy("cell").applyInArrow(_linked_blocks, "x long, y long")
+
+
 def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> DataFrame:
     """media_id, n_corners and component_id (the smallest id among an image's copies) for each row."""
     rows = written(described(df.select(F.col(quoted(media_id)).alias("media_id"), F.col(quoted(media)).alias("media"))), "images")
@@ -328,7 +492,7 @@ def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> D
     same = (F.col("media_id") == F.col("node")) & (F.col("image_key") == F.col("key"))
     heads = usable.where("n_corners >= %d" % VOTES).join(small_enough(classes.withColumnRenamed("image_key", "key"), n, 48), same).select("node", "corners")
 
-    links = tested = components = None
+    links = components = None
 
     def placed(rows_: DataFrame, node: str, component: str) -> DataFrame:
         """Adds the component of an image, itself where it is linked with none so far."""
@@ -337,27 +501,23 @@ def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> D
         found = small_enough(components, n, 16).select(F.col("node").alias(node), F.col("component").alias("__c"))
         return rows_.join(found, node, "left").withColumn(component, F.coalesce("__c", node)).drop("__c")
 
-    def linked(pairs: DataFrame) -> bool:
-        """Verifies pairs and takes the links; whether there are new ones."""
+    def linked(found: DataFrame) -> None:
+        """Takes links, and makes components of all so far."""
         nonlocal links, components
-        new = written(verified(written(pairs.select("x", "y"), "image-pairs"), heads).distinct(), "image-links")
+        new = written(found.distinct(), "image-links")
         links = new if links is None else links.unionAll(new)
-        if new.isEmpty():
-            return False
-        components = written(connected(links), "image-components")
-        return True
-
-    while True:
-        pairs = meeting(placed(heads, "node", "component"))
-        pairs = written(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"), "image-meetings")
-        tested = pairs.select("x", "y") if tested is None else tested.unionAll(pairs.select("x", "y"))
-        # The best partner of each image first: most others are of one component with it then, and need no test.
-        best = pairs.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x"))
-        grew = linked(best)
-        rest = placed(placed(pairs.join(best, ["x", "y"], "left_anti"), "x", "cx"), "y", "cy").where("cx <> cy")
-        grew = linked(rest) or grew
-        if not grew:
-            break
+        if not new.isEmpty():
+            components = written(connected(links), "image-components")
+
+    # Most links at little cost: all with the head of a bucket, the best partner of each image first, as most others are of one
+    # component with it then and need no test.
+    pairs = written(meeting(placed(heads, "node", "component")), "image-meetings")
+    best = written(pairs.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x")).select("x", "y"), "image-pairs")
+    linked(verified(best, heads))
+    rest = placed(placed(pairs.join(best, ["x", "y"], "left_anti"), "x", "cx"), "y", "cy").where("cx <> cy")
+    linked(verified(written(rest.select("x", "y"), "image-pairs"), heads))
+    # Then every pair that meets and is of two components still, whoever is the head.
+    linked(remaining(placed(heads, "node", "component"), n))
     final = placed(classes, "node", "c").select("image_key", "c")
     named = rows.select("media_id", "image_key", "n_corners").join(final, "image_key", "left")
     return named.select("media_id", "n_corners", F.when(F.col("media_id").isNotNull(), F.coalesce("c", "media_id")).alias("component_id"))

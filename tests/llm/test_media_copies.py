@@ -94,3 +94,59 @@ def test_drawn_scenes_are_shared_and_edited(spark):
     wrong = [i for i in range(400) if found[i] != i % 60]
     assert all(found[i] % 60 == i % 60 for i in range(400))
     assert len(wrong) <= 12, wrong
+
+
+def test_foreign_images_at_the_head_of_all_buckets_hide_no_link(spark, monkeypatch):
+    # Two shifted copies of each scene; smaller ids have the same corners (so all keys), but strewn anew, and are copies of none.
+    draw, rows = np.random.default_rng(21), []
+    for k in range(6):
+        first = M.describe(M.write_image(scene_of(draw)))
+        second = first.copy()
+        second["y"], second["x"] = first["y"] + 3, first["x"] - 5
+        heads = [first.copy() for _ in range(3)]
+        for head in heads:
+            head["y"], head["x"] = draw.uniform(0, 96, len(first)), draw.uniform(0, 96, len(first))
+        assert M.alike(first, second) and not any(M.alike(h, c) for h in heads for c in (first, second, *heads) if c is not h)
+        rows += [(10 * k + i, c) for i, c in enumerate(heads)] + [(100 + 2 * k, first), (101 + 2 * k, second)]
+    table = [(i, str(i).encode(), len(c), c.tobytes()) for i, c in rows]
+    given = spark.createDataFrame(table, "media_id long, image_key binary, n_corners long, corners binary")
+    monkeypatch.setattr(M, "described", lambda df: given)
+    got = {r.media_id: r.component_id for r in M.copies(spark.createDataFrame([], "media_id long, media binary")).collect()}
+    assert got == {i: i if i < 100 else i // 2 * 2 for i, _ in rows}
+
+
+def test_last_pass_meets_all_pairs_that_share_keys(monkeypatch):
+    draw = np.random.default_rng(22)
+    bits = draw.integers(0, 256, (15, M.TESTS // 8), dtype=np.uint8)
+    images = []
+    for i in range(40):
+        own = np.zeros(draw.integers(0, 9), dtype=M.CORNER)
+        own["bits"], own["turn"], own["level"] = bits[draw.integers(0, 15, len(own))], draw.choice([0, 1, 2, 9, M.TURNS - 1], len(own)), draw.integers(0, 2, len(own))
+        images.append(own)
+    component = draw.integers(0, 12, 40)
+
+    def shared(a, b):
+        cells = {}
+        for key, one in zip(M.keys_of(a).ravel(), np.repeat(np.arange(len(a)), M.TABLES)):
+            for other in np.repeat(np.arange(len(b)), M.TABLES)[M.keys_of(b).ravel() == key]:
+                zoom, turn = int(a["level"][one]) - int(b["level"][other]), (int(a["turn"][one]) - int(b["turn"][other])) % M.TURNS
+                for cell in ((zoom, turn), (zoom, (turn + 1) % M.TURNS)):
+                    cells[cell] = cells.get(cell, 0) + 1
+        return max(cells.values(), default=0) >= M.MEET
+
+    monkeypatch.setattr(M, "keys_of", lambda c, of=M.keys_of: of(c)[:, :1])
+    monkeypatch.setattr(M, "TABLES", 1)
+    want = {(i, j) for i in range(40) for j in range(i) if component[i] != component[j] and shared(images[j], images[i])}
+    assert 50 < len(want) < 600
+
+    def block(part):
+        import pyarrow as pa
+
+        return M._block(pa.table({"node": pa.array(part, pa.int64()), "component": component[part], "corners": [images[i].tobytes() for i in part]}))
+
+    whole, even, odd = (np.arange(40)[s] for s in (slice(None), slice(0, None, 2), slice(1, None, 2)))
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(M, "PAIRS", most)
+        for blocks in ([(whole, whole)], [(even, even), (odd, odd), (even, odd)]):
+            met = [(a[i], b[j]) for a, b in blocks for x, y in M._met(block(a)[3:], block(b)[3:], component[a], component[b], a is b) for i, j in zip(x, y)]
+            assert len(met) == len(want) and {(max(p), min(p)) for p in met} == want
