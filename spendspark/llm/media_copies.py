@@ -13,8 +13,8 @@ KEY_BITS should grow with the logarithm of the number of corners; 32 serve some
 Images with the same bytes are one class. Each class meets the smallest class in each of its buckets, so copies are not
 expanded into all pairs; links make components. That is the cheap part: behind an image of another scene at the head of a bucket
 a link may be hidden. So a last pass takes every pair of images of different components that share enough keys, in blocks of
-images that meet two by two: the result is that of all pairs that share MEET keys. Descriptors travel with the blocks, once for
-each other block; pairs, which grow with the square of the images, are made and tested within a task and never stored.
+images that meet two by two: the result is that of all pairs that share MEET keys. Blocks are written once and read by each task
+that needs them; pairs, which grow with the square of the images, are made and tested within a task and never stored.
 
 Cases: null or unreadable media have no corners and are linked with nothing; a flat image has no corners; equal images are
 one class; rows without an id are linked with nothing; ties go to the smallest id; extra columns are ignored; an empty table
@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +45,9 @@ FLIPS, NEAR = 40, 4.0
 SCALES, ANGLE, _CHANCE = 0.6, np.pi / 9, 0.05
 #: Steps between the two matches of a transform, and partners of one image for each part of a hot one.
 AT_ONCE, PARTNERS = 64, 512
-#: Images of a block of the last pass, of which a task holds two, and the fewest blocks; pairs of keys that a task makes and
-#: images that it compares at a time.
-BLOCK, BLOCKS, PAIRS, TOGETHER = 12288, 5, 1 << 18, 64
-_SIDE, _SAME = 1 << 24, 1 << 56
+#: Corners of a block of the last pass, of which a task holds two, and the fewest blocks; pairs of keys that a task makes, pairs of
+#: images that it compares, pairs of corners that it looks at and matches that it tries (whole pairs of images), at a time.
+BLOCK, BLOCKS, PAIRS, TOGETHER, LOOKS, TRIED = 1 << 17, 5, 1 << 18, 512, 1 << 16, 1 << 14
 #: Strongest corners of each square of WINDOW pixels: at full size, and on each smaller scale (half an octave each).
 CORNERS, WINDOW = (24, 8), 96
 #: Pixels of a stack of images.
@@ -227,14 +227,20 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def alike_each(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """``alike`` of ``one`` and each of ``others``, worked on together."""
-    found = np.zeros(len(others), dtype=bool)
     corners = _unpacked(b"".join(o.tobytes() for o in others))
     x, y = matches(one, corners)
     of = np.repeat(np.arange(len(others)), [len(o) for o in others])[y]
-    n = np.bincount(of, minlength=len(others))
     order = np.argsort(of, kind="stable")
-    order = order[n[of[order]] >= VOTES]
-    of, a, b = of[order], one[x[order]], corners[y[order]]
+    return _agreeing(of[order], one, x[order], corners, y[order], len(others))
+
+
+def _agreeing(of: np.ndarray, ones: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, pairs: int) -> np.ndarray:
+    """Which of ``pairs`` pairs of images are alike, by their matches (places ``x`` in ``ones`` and ``y`` in ``others``), which stand by
+    pair (``of``), corner of the one and corner of the other."""
+    found = np.zeros(pairs, dtype=bool)
+    n = np.bincount(of, minlength=pairs)
+    enough = n[of] >= VOTES
+    of, a, b = of[enough], ones[x[enough]], others[y[enough]]
     if not len(of):
         return found
     p, q = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
@@ -255,7 +261,7 @@ def alike_each(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     by, at = by[order], at[order]
     size = np.searchsorted(by, by + wide, "right") - np.arange(len(by)) - 1
     size[by % (2 * TURNS) >= TURNS] = 0
-    pairs = []
+    tried = []
     for k in _in_parts(size, 1 << 20):
         i = np.repeat(np.arange(k.start, k.stop), size[k])
         j = at[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])]
@@ -263,14 +269,14 @@ def alike_each(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
         i, j = np.minimum(i, j), np.maximum(i, j)
         i, j = (v[(j - i < AT_ONCE) & (j > i) & (np.abs(zoom[i] - zoom[j]) <= apart)] for v in (i, j))
         far = (np.abs(p[j] - p[i]) > 2 * NEAR) & (np.abs(q[j] - q[i]) > 2 * NEAR)
-        pairs.append((i[far], j[far]))
-    if not pairs:
+        tried.append((i[far], j[far]))
+    if not tried:
         return found
-    i, j = (np.concatenate(v) for v in zip(*pairs))
+    i, j = (np.concatenate(v) for v in zip(*tried))
     turn = (p[j] - p[i]) / (q[j] - q[i])
     good = agrees(turn, own[i]) & agrees(turn, own[j])
     i, turn = i[good], turn[good]
-    starts = np.searchsorted(of, np.arange(len(others)))
+    starts = np.searchsorted(of, np.arange(pairs))
     sizes = n[of[i]]
     for k in _in_parts(sizes, 1 << 18):
         # All matches of the same image for each transform.
@@ -382,15 +388,35 @@ def verified(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return dealt.select("x", "y", "corners").mapInArrow(_verified, "x long, y long")
 
 
-def _block(images: pa.Table, block: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, components and corners of the images (of one block), and for each key of each image the key, the image's place and
-    the pose."""
-    at = np.arange(images.num_rows) if block is None else np.flatnonzero(images["block"].to_numpy() == block)
-    corners = [_unpacked(c) for c in images["corners"].take(pa.array(at)).to_pylist()]
+def _in_blocks(most: int):
+    """Packs the images of a partition into blocks of at most ``most`` images and about BLOCK corners, each a row."""
+    columns, schema = ("node", "component", "corners"), pa.schema([("block", pa.int64()), ("node", pa.list_(pa.int64())), ("component", pa.list_(pa.int64())), ("corners", pa.list_(pa.binary()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = ([], [], []), 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in columns)):
+                more = len(row[2]) // CORNER.itemsize
+                if held[0] and (len(held[0]) >= most or size + more > BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((number, *held), schema.types)], schema=schema)
+                    held, size, number = ([], [], []), 0, number + 1
+                for values, value in zip(held, row):
+                    values.append(value)
+                size += more
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((number, *held), schema.types)], schema=schema)
+
+    return work
+
+
+def _block(images: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components and corners of the images of a block, and for each key of each image the key, the image's place and the
+    pose."""
+    corners = [_unpacked(c) for c in images["corners"].to_pylist()]
     own = _unpacked(b"".join(c.tobytes() for c in corners))
     places = np.repeat(np.arange(len(corners), dtype=np.int32), [len(c) * TABLES for c in corners])
     pose = np.repeat(own["level"].astype(np.int16) * TURNS + own["turn"], TABLES)
-    return images["node"].to_numpy()[at], images["component"].to_numpy()[at], corners, keys_of(own).ravel(), places, pose
+    return images["node"].to_numpy(), images["component"].to_numpy(), corners, keys_of(own).ravel(), places, pose
 
 
 def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -436,14 +462,38 @@ def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iter
         yield near // len(cb), near % len(cb)
 
 
-def _linked_blocks(key: tuple, images: pa.Table) -> pa.Table:
+def _all_matches(bits: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``matches`` of many pairs of images: pair, corner of x and corner of y, in this order. ``bits``: words of all corners;
+    ``ends``: where the corners of each image end. Pairs of one x should stand together."""
+    begin, found = np.append(0, ends), [(np.zeros(0, dtype=np.int64),) * 3]
+    for one in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else ():
+        for first in range(begin[x[one[0]]], ends[x[one[0]]], 256):
+            p = bits[:, first : min(first + 256, ends[x[one[0]]])]
+            sizes = ends[y[one]] - begin[y[one]]
+            for k in _in_parts(sizes, LOOKS // p.shape[1]):
+                size = sizes[k]
+                there = np.repeat(begin[y[one[k]]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                q = bits[:, there]
+                # Counts are bytes, so TESTS different bits would count as none.
+                flips = np.bitwise_count(p[0][:, None] ^ q[0])
+                for u, v in zip(p[1:], q[1:]):
+                    flips += np.bitwise_count(u[:, None] ^ v)
+                at = np.flatnonzero(flips <= FLIPS)
+                i, j = at // max(len(there), 1), at % max(len(there), 1)
+                real = p[0][i] != ~q[0][j]
+                i, j = i[real], j[real]
+                found.append((np.repeat(one[k], size)[j], first + i, there[j]))
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _links_of(parts: list[tuple]) -> tuple[list[int], list[int]]:
     """The links between images of different components in two blocks (or in one) that meet."""
-    sides = dict.fromkeys(divmod(key[0].as_py() % _SAME, _SIDE))
-    parts = [_block(images, k) for k in sides]
     nodes, component = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    corners = [c for p in parts for c in p[2]]
+    each = [c for p in parts for c in p[2]]
+    corners, ends = np.concatenate(each), np.cumsum([len(c) for c in each])
+    bits = np.ascontiguousarray(np.ascontiguousarray(corners["bits"]).view("<u8").T)
     numbers = np.unique(component, return_inverse=True)[1]
-    n, root, xs, ys = len(parts[0][0]), list(range(len(numbers))), [], []
+    n, root, xs, ys = len(parts[0][0]), np.arange(len(numbers)), [], []
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -452,35 +502,49 @@ def _linked_blocks(key: tuple, images: pa.Table) -> pa.Table:
 
     for a, b in _met(parts[0][3:], parts[-1][3:], numbers[:n], numbers[-len(parts[-1][0]) :], len(parts) == 1):
         b = b + len(nodes) - len(parts[-1][0])
-        # The smaller id first, as no order of blocks should matter.
-        x, y = np.where(nodes[a] < nodes[b], (a, b), (b, a))
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        for one in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
-            for k in range(0, len(one), TOGETHER):
-                # What came together meanwhile needs no further link.
-                of = find(numbers[x[one[0]]])
-                others = [j for j in y[one[k : k + TOGETHER]] if find(numbers[j]) != of]
-                for j in np.array(others, dtype=np.int64)[alike_each(corners[x[one[0]]], [corners[j] for j in others])]:
-                    if find(numbers[j]) != find(of):
-                        root[find(numbers[j])] = find(of)
-                        xs.append(nodes[x[one[0]]])
-                        ys.append(nodes[j])
-    pa.default_memory_pool().release_unused()
-    return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+        for k in range(0, len(a), TOGETHER):
+            x, y = a[k : k + TOGETHER], b[k : k + TOGETHER]
+            # What came together meanwhile needs no further link.
+            if xs:
+                apart = np.array([find(i) != find(j) for i, j in zip(numbers[x], numbers[y])], dtype=bool)
+                x, y = x[apart], y[apart]
+            of, p, q = _all_matches(bits, ends, x, y)
+            # The smaller id first, as no order of blocks should matter.
+            turned = (nodes[x] > nodes[y])[of]
+            p, q = np.where(turned, (q, p), (p, q))
+            order = np.lexsort((q, p, of))
+            of, p, q = of[order], p[order], q[order]
+            found = []
+            for part in _in_parts(np.bincount(of, minlength=len(x)), TRIED):
+                own = slice(*np.searchsorted(of, (part.start, part.stop)))
+                found.append(_agreeing(of[own] - part.start, corners, p[own], corners, q[own], part.stop - part.start))
+            for t in np.flatnonzero(np.concatenate(found)) if found else ():
+                i, j = find(numbers[x[t]]), find(numbers[y[t]])
+                if i != j:
+                    root[j] = i
+                    xs.append(min(nodes[x[t]], nodes[y[t]]))
+                    ys.append(max(nodes[x[t]], nodes[y[t]]))
+    return xs, ys
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each row's two blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            same = batch["block_a"][row] == batch["block_b"][row]
+            xs, ys = _links_of([_block(pa.table({c: batch[f"{c}_{side}"][row].values for c in ("node", "component", "corners")})) for side in ("a" if same else "ab")])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+        pa.default_memory_pool().release_unused()
 
 
 def remaining(heads: DataFrame, n: int) -> DataFrame:
     """x and y for links between images of different components: every pair that meets in MEET keys is looked at, so none is left
-    out. heads (about n rows): node, component, corners. Blocks of at most about BLOCK images meet two by two."""
-    blocks = max(BLOCKS, -(-n // BLOCK))
-    own = heads.select("node", "component", "corners", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
-    dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    # One number for two blocks, those of one block last, as they take half the time; by range, so that each has a task of its own.
-    a, b = F.least("block", "k"), F.greatest("block", "k")
-    dealt = dealt.withColumn("cell", F.when(a == b, _SAME).otherwise(0) + a * _SIDE + b).drop("k")
-    cells = blocks * (blocks + 1) // 2
-    return dealt.repartitionByRange(4 * cells, "cell").groupBy("cell").applyInArrow(_linked_blocks, "x long, y long")
+    out. heads (about n rows): node, component, corners. Blocks meet two by two; each is written once, in a file of its own, and read
+    where it meets another, so no copies of blocks are stored."""
+    own = heads.select("node", "component", "corners").coalesce(max(BLOCKS, -(-n // 4096)))
+    blocks = written(own.mapInArrow(_in_blocks(-(-n // BLOCKS)), "block long, node array<long>, component array<long>, corners array<binary>"), "image-blocks", maxRecordsPerFile=1, compression="uncompressed")
+    a, b = (blocks.toDF(*[f"{c}_{side}" for c in blocks.columns]) for side in "ab")
+    return a.join(b.hint("shuffle_replicate_nl"), F.col("block_a") <= F.col("block_b")).mapInArrow(_linked_blocks, "x long, y long")
 
 
 def copies(df: DataFrame, media_id: str = "media_id", media: str = "media") -> DataFrame:

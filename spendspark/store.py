@@ -21,9 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back."""
+def written(df: DataFrame, what: str, **options) -> DataFrame:
+    """``df`` written as Parquet (with ``options`` of the writer) into the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

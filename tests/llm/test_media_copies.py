@@ -150,3 +150,44 @@ def test_last_pass_meets_all_pairs_that_share_keys(monkeypatch):
         for blocks in ([(whole, whole)], [(even, even), (odd, odd), (even, odd)]):
             met = [(a[i], b[j]) for a, b in blocks for x, y in M._met(block(a)[3:], block(b)[3:], component[a], component[b], a is b) for i, j in zip(x, y)]
             assert len(met) == len(want) and {(max(p), min(p)) for p in met} == want
+
+
+def test_last_pass_stores_each_image_once_however_many_blocks_meet(spark, monkeypatch):
+    draw, rows = np.random.default_rng(23), []
+    for i in range(14):
+        first = M.describe(M.write_image(scene_of(draw)))
+        second = first.copy()
+        second["y"], second["x"] = first["y"] + 3, first["x"] - 5
+        rows += [(2 * i, 2 * i, first.tobytes()), (2 * i + 1, 2 * i + 1, second.tobytes())]
+    stored, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, what, **options: stored.append(write(df, what, **options)) or stored[-1])
+    heads = spark.createDataFrame([rows[i] for i in draw.permutation(28)], "node long, component long, corners binary")
+    for blocks in (1, 7):
+        monkeypatch.setattr(M, "BLOCKS", blocks)
+        links = M.remaining(heads, 28)
+        assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+        found = stored.pop().select("node").collect()
+        assert not stored and len(found) >= blocks and sorted(n for r in found for n in r.node) == list(range(28))
+        assert {(r.x, r.y) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(14)}
+
+
+def test_matches_of_many_pairs_equal_those_of_each(monkeypatch):
+    draw = np.random.default_rng(24)
+    images = []
+    for size in (0, 1, 5, 300, 40, 7):
+        own = np.zeros(size, dtype=M.CORNER)
+        own["bits"] = np.packbits(draw.random((size, M.TESTS)) < draw.choice([0.05, 0.95], (size, 1)), axis=1)
+        images.append(own)
+    # all bits differ: a count that doesn't fit a byte
+    images[1]["bits"], images[2]["bits"][0] = 0, 255
+    corners, ends = np.concatenate(images), np.cumsum([len(o) for o in images])
+    bits = np.ascontiguousarray(np.ascontiguousarray(corners["bits"]).view("<u8").T)
+    x, y = (v.ravel() for v in np.meshgrid(range(6), range(6), indexing="ij"))
+    for looks in (1, 1000, 1 << 16):
+        monkeypatch.setattr(M, "LOOKS", looks)
+        of, p, q = M._all_matches(bits, ends, x, y)
+        got = {(a, b): set() for a in range(6) for b in range(6)}
+        for k, i, j in zip(of, p, q):
+            got[x[k], y[k]].add((i - (ends[x[k]] - len(images[x[k]])), j - (ends[y[k]] - len(images[y[k]]))))
+        assert len(of) == sum(map(len, got.values())) > 1000
+        assert all(got[a, b] == set(zip(*M.matches(images[a], images[b]))) for a, b in got)
