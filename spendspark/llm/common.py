@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from spendspark.store import shared_folder, written
 
-__all__ = ["arrow_columns", "quoted", "shared_folder", "small_enough", "table", "unused", "without", "written"]
+__all__ = ["arrow_columns", "numbered", "quoted", "shared_folder", "small_enough", "table", "unused", "without", "written"]
 
 #: Broadcasts are hinted only below so many estimated bytes.
 BROADCAST_BYTES = 8 << 20
@@ -47,16 +47,27 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names of its own for all columns, in order, and the new names by the old ones and by their lower case."""
+    names = [f"d{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(map(str.lower, df.columns), names)) | dict(zip(df.columns, names))
+
+
+def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start: Callable[[], Callable[[list], list[list]]], keep_source: bool = True) -> DataFrame:
     """Adds ``fields``, computed from column ``source`` in Arrow batches.
 
+    Each column is sent once, ``source`` as well, as batches of long texts fill an executor outside its heap; without
+    ``keep_source`` it isn't sent back.
+
     ``start`` runs once a task and returns a function from a batch's values to a list of columns. Nothing outlives the task,
     so a lost executor costs only its tasks. Other columns pass through; those named like an output are replaced.
     """
-    kept = without(df, [f.name for f in fields])
+    kept = without(df, [*[f.name for f in fields], *([] if keep_source else [source])])
+    sent = kept if source in kept else [*kept, source]
+    at_source = sent.index(source)
     # Under names of its own, so that no caller's name (dots, backticks) matters to the function.
-    inputs = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.col(quoted(source)).alias("source"))
-    schema = T.StructType(inputs.schema.fields[:-1] + [T.StructField(f"r{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])
+    inputs = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(sent)])
+    schema = T.StructType(inputs.schema.fields[: len(kept)] + [T.StructField(f"r{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])
     kinds = [_arrow(f.dataType) for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +75,8 @@ def arrow_columns(df: DataFrame, source: str, fields: list[T.StructField], start
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                columns = run(batch.column(batch.num_columns - 1).to_pylist())
-                arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+                columns = run(batch.column(at_source).to_pylist())
+                arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         # Workers are used again by later tasks: what this one held goes back.
         pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from spendspark.llm.common import arrow_columns, quoted, small_enough, table, written
+from spendspark.llm.common import arrow_columns, numbered, quoted, small_enough, table, written
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 5, 32, 1e-6, 2048
 #: Shingles are told apart by so many bits in the test that precedes confirmation; it can only find too many in common.
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
         return [keys, sizes, signatures]
 
     fields = [T.StructField("key", T.BinaryType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("signature", T.BinaryType())]
-    return arrow_columns(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("__text")), "__text", fields, lambda: run)
+    return arrow_columns(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("__text")), "__text", fields, lambda: run, keep_source=False)
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: st
     fields = [T.StructField("key", T.BinaryType()), T.StructField("joined", T.StringType(), False), T.StructField("low", T.BinaryType(), False)]
     texts = docs.select(F.col(quoted(doc_id)).alias("node"), F.col(quoted(text)).alias("__text"))
     few = small_enough(wanted.select("node").distinct(), wanted.count(), 16)
-    found = arrow_columns(texts.join(few, "node", "left_semi"), "__text", fields, lambda: run)
+    found = arrow_columns(texts.join(few, "node", "left_semi"), "__text", fields, lambda: run, keep_source=False)
     # Repeated rows of one class are met once.
     return found.groupBy("node", "key").agg(F.first(F.struct("joined", "low")).alias("s")).select("node", "key", "s.*").join(wanted, ["node", "key"]).drop("key")
 
@@ -327,14 +327,16 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     judged = written(components(docs, words, percent), "judged")
     again = judged.where("kept AND doc_id IS NOT NULL AND key IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key")
     dropped = judged.where("NOT kept").select("doc_id", "key").unionAll(again).withColumnsRenamed({"doc_id": "__id", "key": "__k"}).distinct()
-    inner = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc"), F.col("doc_id").alias("__doc_id"), F.col("text").alias("__text"))
-    keyed = arrow_columns(inner, "__text", [T.StructField("__key", T.BinaryType())], lambda: lambda ts: [[_key(normalised(t)) for t in ts]])
-    same = (F.col("__doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k"))
-    kept = keyed.join(dropped, same, "left_anti").select("__doc.*")
+    # Hinted while they are few, so that whole documents aren't shuffled and sorted to find them.
+    dropped = small_enough(dropped, dropped.count(), 64)
+    inner, name = numbered(docs)
+    keyed = arrow_columns(inner, name["text"], [T.StructField("__key", T.BinaryType())], lambda: lambda ts: [[_key(normalised(t)) for t in ts]])
+    same = (F.col(name["doc_id"]) == F.col("__id")) & (F.col("__key") == F.col("__k"))
+    kept = keyed.join(dropped, same, "left_anti").select(*inner.columns).toDF(*docs.columns)
     if again.isEmpty():
         return kept
-    once = keyed.join(again.withColumnsRenamed({"doc_id": "__id", "key": "__k"}), same, "left_semi").dropDuplicates(["__doc_id", "__key"])
-    return kept.unionAll(once.select("__doc.*"))
+    once = keyed.join(again.withColumnsRenamed({"doc_id": "__id", "key": "__k"}), same, "left_semi").dropDuplicates([name["doc_id"], "__key"])
+    return kept.unionAll(once.select(*inner.columns).toDF(*docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         return lambda texts: [[pieces_of(ids, capacity) for ids in coder.encode_many(texts)]]
 
     given = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("__text"))
-    made = arrow_columns(given, "__text", [T.StructField("pieces", T.ArrayType(_PIECE, False), False)], start)
+    made = arrow_columns(given, "__text", [T.StructField("pieces", T.ArrayType(_PIECE, False), False)], start, keep_source=False)
     return made.select("doc_id", F.inline("pieces"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendspark.llm.common import arrow_columns, quoted, table, unused
+from spendspark.llm.common import arrow_columns, numbered, table
 
 #: Fixed: the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -164,15 +164,15 @@ def redact_text(text: str | None, mark: str = "[secret]") -> str | None:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces the secrets in column ``text``; the columns stay in order, and ``n_chars``, where there is one, is counted anew."""
-    raw, clean = unused(df, "__raw"), unused(df, "__clean")
-    done = arrow_columns(df.select("*", F.col(quoted(text)).alias(raw)), raw, [T.StructField(clean, T.StringType())], lambda: lambda texts: [[redact_text(t) for t in texts]])
+    inner, name = numbered(df)
+    done = arrow_columns(inner, name[text if text in name else text.lower()], [T.StructField("clean", T.StringType())], lambda: lambda texts: [[redact_text(t) for t in texts]], keep_source=False)
 
     def made(f: T.StructField):
         if f.name.lower() == text.lower():
-            return F.col(clean).alias(f.name)
+            return F.col("clean").alias(f.name)
         if f.name.lower() == "n_chars":
-            return F.when(F.col(clean).isNull(), F.col(quoted(f.name))).otherwise(F.length(clean)).cast(f.dataType).alias(f.name)
-        return F.col(quoted(f.name))
+            return F.when(F.col("clean").isNull(), F.col(name[f.name])).otherwise(F.length("clean")).cast(f.dataType).alias(f.name)
+        return F.col(name[f.name]).alias(f.name)
 
     return done.select(*[made(f) for f in df.schema.fields])
 

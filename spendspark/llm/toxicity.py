@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendspark.llm.common import arrow_columns, quoted, table
+from spendspark.llm.common import arrow_columns, numbered, quoted, table
 
 SAMPLE_DOCS, WORDS_EACH, LEAST_DOCS, FOLDS, RIDGE = 20_000, 64, 3, 5, 1.0
 #: A threshold has to be right about so many of those that it rejects, out of fold; else the category rejects nothing.
@@ -157,7 +157,7 @@ def best_words(held: DataFrame, names: list[str]) -> list:
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", bound: int = SAMPLE_DOCS) -> Chain:
     names = list(categories)
     sample = labelled_sample(docs, labels, categories, doc_id, text, bound).withColumn("__fold", F.pmod(F.xxhash64(F.lower("__text")), F.lit(FOLDS)))
-    held = arrow_columns(sample, "__text", [T.StructField("__words", T.ArrayType(T.StringType()), False)], lambda: lambda ts: [[sorted(words_of(t)) for t in ts]])
+    held = arrow_columns(sample, "__text", [T.StructField("__words", T.ArrayType(T.StringType()), False)], lambda: lambda ts: [[sorted(words_of(t)) for t in ts]], keep_source=False)
     held = held.select("__fold", "__words", *[f"__{n}" for n in names]).persist()
     try:
         chosen = best_words(held, names)
@@ -204,15 +204,9 @@ def categories() -> dict[str, Column]:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the chain doesn't reject, with their own columns."""
-    judged = _judge(docs, labels)
-    return judged.where(~F.col("__verdict")).select(*[F.col(quoted(c)) for c in docs.columns])
-
-
-def _judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` under their own names, with ``__verdict``."""
-    inner = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__doc"), F.col("text").alias("__t"))
-    out = predict(inner, fit(docs, labels, categories()), "__t")
-    return out.select("__doc.*", F.col("rejected").alias("__verdict"))
+    inner, name = numbered(docs)
+    out = predict(inner, fit(docs, labels, categories()), name["text"])
+    return out.where(~F.col("rejected")).select(*inner.columns).toDF(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from spendspark.llm import quality_rules, secrets, toxicity
+from spendspark.llm import near_dedup, packing, quality_rules, secrets, toxicity
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -73,3 +73,26 @@ def test_columns_that_clash(spark, tmp_path):
     got = {r.doc_id: (r.kept, r.text_, r["__doc"], r["__key"], r["__raw"]) for r in now.collect()}
     assert got == {i: (i, f"t{i}", f"d{i}", f"k{i}", f"r{i}") for i in range(12)}
     assert C.STAGES[4][1](spark, now, str(tmp_path)).count() == 12
+
+
+def test_a_text_is_sent_once(spark, monkeypatch):
+    """Python gets each text once, not beside copies of itself, and a few dropped ids don't shuffle whole documents."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=90)), i) for i in range(12)]
+    docs = spark.createDataFrame([*rows, (50, rows[0][1], 0)], "doc_id long, Text string, n int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    strings, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: strings.append(self.schema.simpleString().count("string")) or real(self, *a, **k))
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "best_words", lambda *a: [])
+        steps = [toxicity.clean(docs, labels), near_dedup.first_of_each(docs), secrets.redact(docs), packing.tokenised(docs, public_tokenizers.path("word_bpe_49k.json"))]
+    assert max(strings) == 1 and strings.count(1) >= 6
+    assert steps[1].columns == steps[2].columns == docs.columns and {r.doc_id for r in steps[1].collect()} == set(range(12))
+    assert near_dedup.sketches(docs, 4, "doc_id", "text").columns == ["doc_id", "key", "n_shingles", "signature"]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dedup.first_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
