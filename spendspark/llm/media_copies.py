@@ -47,7 +47,9 @@ SCALES, ANGLE, _CHANCE = 0.6, np.pi / 9, 0.05
 AT_ONCE, PARTNERS = 64, 512
 #: Corners of a block of the last pass, of which a task holds two, and the fewest blocks; pairs of keys that a task makes, pairs of
 #: images that it compares, pairs of corners that it looks at and matches that it tries (whole pairs of images), at a time.
-BLOCK, BLOCKS, PAIRS, TOGETHER, LOOKS, TRIED = 1 << 17, 5, 1 << 18, 512, 1 << 16, 1 << 14
+BLOCK, BLOCKS, PAIRS, TOGETHER, LOOKS, TRIED = 1 << 17, 5, 1 << 18, 512, 1 << 17, 1 << 14
+#: Axes on which descriptors are compared first, and blocks that a task holds ready: they change time and memory only.
+AXES, READY = 64, 2
 #: Strongest corners of each square of WINDOW pixels: at full size, and on each smaller scale (half an octave each).
 CORNERS, WINDOW = (24, 8), 96
 #: Pixels of a stack of images.
@@ -189,8 +191,11 @@ def describe(media: bytes | None) -> np.ndarray:
 def keys_of(corners: np.ndarray) -> np.ndarray:
     """TABLES keys of each corner: the number of the table and KEY_BITS of the descriptor."""
     each = KEY_BITS // 8
-    parts = corners["bits"][:, : TABLES * each].reshape(-1, TABLES, each).astype(np.int64)
-    return (parts << (8 * np.arange(each))).sum(axis=2) | np.arange(TABLES) << KEY_BITS
+    parts = corners["bits"][:, : TABLES * each].reshape(-1, TABLES, each)
+    keys = np.tile(np.arange(TABLES) << KEY_BITS, (len(corners), 1))
+    for k in range(each):
+        keys |= parts[..., k].astype(np.int64) << 8 * k
+    return keys
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,16 +245,18 @@ def _agreeing(of: np.ndarray, ones: np.ndarray, x: np.ndarray, others: np.ndarra
     found = np.zeros(pairs, dtype=bool)
     n = np.bincount(of, minlength=pairs)
     enough = n[of] >= VOTES
-    of, a, b = of[enough], ones[x[enough]], others[y[enough]]
+    of, x, y = of[enough], x[enough], y[enough]
     if not len(of):
         return found
-    p, q = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
-    zoom, turns = a["level"].astype(np.int16) - b["level"], a["turn"].astype(np.int16) - b["turn"]
+    p, q = (c["x"][at] + 1j * c["y"][at] for c, at in ((ones, x), (others, y)))
+    zoom, turns = (ones[c][x].astype(np.int16) - others[c][y] for c in ("level", "turn"))
     own = 2.0 ** (zoom / 2) * np.exp(2j * np.pi / TURNS * turns)
 
     def agrees(turn, of):
+        """Places where scale and angle agree; angles are taken where the scale does."""
         ratio = turn / of
-        return (np.abs(np.log2(np.maximum(np.abs(ratio), 1e-9))) <= SCALES) & (np.abs(np.angle(ratio)) <= ANGLE)
+        at = np.flatnonzero(np.abs(np.log2(np.maximum(np.abs(ratio), 1e-9))) <= SCALES)
+        return at[np.abs(np.angle(ratio[at])) <= ANGLE]
 
     # Two matches that agree with one transform are not farther from each other than twice what each may be from it: those of an
     # image stand by turn, and each is tried with the next ones.
@@ -261,21 +268,30 @@ def _agreeing(of: np.ndarray, ones: np.ndarray, x: np.ndarray, others: np.ndarra
     by, at = by[order], at[order]
     size = np.searchsorted(by, by + wide, "right") - np.arange(len(by)) - 1
     size[by % (2 * TURNS) >= TURNS] = 0
-    tried = []
+    tried, scale, wider = [], (2.0 ** (zoom / 2)).astype(np.float32), np.float32(2**SCALES * 1.001)
     for k in _in_parts(size, 1 << 20):
         i = np.repeat(np.arange(k.start, k.stop), size[k])
         j = at[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])]
         i = at[i]
         i, j = np.minimum(i, j), np.maximum(i, j)
-        i, j = (v[(j - i < AT_ONCE) & (j > i) & (np.abs(zoom[i] - zoom[j]) <= apart)] for v in (i, j))
-        far = (np.abs(p[j] - p[i]) > 2 * NEAR) & (np.abs(q[j] - q[i]) > 2 * NEAR)
-        tried.append((i[far], j[far]))
+        fit = np.flatnonzero((j - i < AT_ONCE) & (np.abs(zoom[i] - zoom[j]) <= apart) & (j > i))
+        i, j = i[fit], j[fit]
+        here, there = p[j] - p[i], q[j] - q[i]
+        long, other = np.abs(here), np.abs(there)
+        fit = (long > 2 * NEAR) & (other > 2 * NEAR)
+        for end in (i, j):
+            # A little more than SCALES, without logarithms; ``agrees`` has the last word.
+            by = other * scale[end]
+            fit &= (long < by * wider) & (long * wider > by)
+        fit = np.flatnonzero(fit)
+        i, j, turn = i[fit], j[fit], here[fit] / there[fit]
+        for end in (0, 1):
+            good = agrees(turn, own[(i, j)[end]])
+            i, j, turn = i[good], j[good], turn[good]
+        tried.append((i, turn))
     if not tried:
         return found
-    i, j = (np.concatenate(v) for v in zip(*tried))
-    turn = (p[j] - p[i]) / (q[j] - q[i])
-    good = agrees(turn, own[i]) & agrees(turn, own[j])
-    i, turn = i[good], turn[good]
+    i, turn = (np.concatenate(v) for v in zip(*tried))
     starts = np.searchsorted(of, np.arange(pairs))
     sizes = n[of[i]]
     for k in _in_parts(sizes, 1 << 18):
@@ -409,14 +425,23 @@ def _in_blocks(most: int):
     return work
 
 
-def _block(images: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, components and corners of the images of a block, and for each key of each image the key, the image's place and the
-    pose."""
-    corners = [_unpacked(c) for c in images["corners"].to_pylist()]
-    own = _unpacked(b"".join(c.tobytes() for c in corners))
-    places = np.repeat(np.arange(len(corners), dtype=np.int32), [len(c) * TABLES for c in corners])
+def _block(images: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components and corners (sizes, all in a row, their shadows) of the images of a block, and for each key of each image the
+    key, the image's place and the pose."""
+    packed = images["corners"].to_pylist()
+    sizes, own = np.array([len(c) // CORNER.itemsize for c in packed], dtype=np.int64), _unpacked(b"".join(packed))
+    places = np.repeat(np.arange(len(packed), dtype=np.int32), sizes * TABLES)
     pose = np.repeat(own["level"].astype(np.int16) * TURNS + own["turn"], TABLES)
-    return images["node"].to_numpy(), images["component"].to_numpy(), corners, keys_of(own).ravel(), places, pose
+    return images["node"].to_numpy(), images["component"].to_numpy(), (sizes, own, _shadows(own)), keys_of(own).ravel(), places, pose
+
+
+def _with_keys_of(a: tuple, b: tuple) -> tuple:
+    """The rows of ``a`` (keys, places, poses) but for some whose key ``b`` doesn't have: a key is looked up by 24 bits of its product."""
+    held = np.zeros(1 << 24, dtype=bool)
+    at_a, at_b = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) for keys in (a[0], b[0]))
+    held[at_b] = True
+    rows = np.flatnonzero(held[at_a])
+    return tuple(v[rows] for v in a)
 
 
 def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -426,6 +451,9 @@ def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iter
     Nothing of a bucket is left out. Rows of ``b`` stand by key and component, so a row of ``a`` meets what stands before and
     after its own component there. Pairs are made for some images of ``a`` at a time.
     """
+    if not once:
+        # Most keys are of one block only.
+        a, b = _with_keys_of(a, b), _with_keys_of(b, a)
     (key_a, place_a, pose_a), (key_b, place_b, pose_b) = a, b
     if not len(key_a) or not len(key_b):
         return
@@ -462,25 +490,54 @@ def _met(a: tuple, b: tuple, ca: np.ndarray, cb: np.ndarray, once: bool) -> Iter
         yield near // len(cb), near % len(cb)
 
 
-def _all_matches(bits: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _axes() -> np.ndarray:
+    """AXES orthogonal axes (bit, axis) along which descriptors of drawn scenes differ most. Any orthogonal ones would be right."""
+    draw = np.random.default_rng(2011)
+    scenes = [write_image(_box(draw.integers(20, 220, (24, 24)).astype(np.float32).repeat(4, axis=0).repeat(4, axis=1), 1) / 9) for _ in range(64)]
+    bits = np.unpackbits(np.concatenate(describe_all(scenes))["bits"], axis=1) - 0.5
+    return np.linalg.eigh(bits.T @ bits)[1][:, -AXES:].astype(np.float32)
+
+
+def _shadows(corners: np.ndarray) -> np.ndarray:
+    """Descriptors as points on the axes, then half of their squared length and 1. Points are never farther apart than descriptors: the
+    square of their distance is at most the number of differing bits, so what is farther apart is no match."""
+    axes, out = _axes(), np.ones((len(corners), AXES + 2), dtype=np.float32)
+    for i in range(0, len(out), 1024):
+        out[i : i + 1024, :AXES] = np.unpackbits(np.ascontiguousarray(corners["bits"][i : i + 1024]), axis=1).astype(np.float32) @ axes - axes.sum(axis=0) / 2
+    out[:, AXES] = np.einsum("ij,ij->i", out[:, :AXES], out[:, :AXES]) / 2
+    return out
+
+
+def _all_matches(bits: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray, shadows: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``matches`` of many pairs of images: pair, corner of x and corner of y, in this order. ``bits``: words of all corners;
-    ``ends``: where the corners of each image end. Pairs of one x should stand together."""
+    ``ends``: where the corners of each image end; ``shadows``: of the first corners, among which those of x are, and of the last, with
+    those of y. Pairs of one x should stand together.
+
+    Bits are counted only where shadows are near enough, which leaves out no match."""
     begin, found = np.append(0, ends), [(np.zeros(0, dtype=np.int64),) * 3]
+    if shadows is None:
+        own = np.zeros(bits.shape[1], dtype=CORNER)
+        own["bits"] = np.ascontiguousarray(bits.T).view(np.uint8)
+        shadows = (_shadows(own),) * 2
+    before = bits.shape[1] - len(shadows[1])
     for one in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else ():
         for first in range(begin[x[one[0]]], ends[x[one[0]]], 256):
-            p = bits[:, first : min(first + 256, ends[x[one[0]]])]
+            last = min(first + 256, ends[x[one[0]]])
+            own, p = shadows[0][first:last], np.ascontiguousarray(bits[:, first:last])
+            near = np.hstack([-own[:, :AXES], own[:, :AXES - 1 : -1]])
             sizes = ends[y[one]] - begin[y[one]]
-            for k in _in_parts(sizes, LOOKS // p.shape[1]):
+            for k in _in_parts(sizes, LOOKS // len(own)):
                 size = sizes[k]
                 there = np.repeat(begin[y[one[k]]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                q = bits[:, there]
-                # Counts are bytes, so TESTS different bits would count as none.
-                flips = np.bitwise_count(p[0][:, None] ^ q[0])
-                for u, v in zip(p[1:], q[1:]):
-                    flips += np.bitwise_count(u[:, None] ^ v)
-                at = np.flatnonzero(flips <= FLIPS)
-                i, j = at // max(len(there), 1), at % max(len(there), 1)
-                real = p[0][i] != ~q[0][j]
+                # Half of the squared distance; the rounding of floats is far below what is added.
+                at = np.flatnonzero(near @ shadows[1][there - before].T <= FLIPS / 2 + 0.1)
+                i, q = at // max(len(there), 1), bits[:, there]
+                j = at - i * len(there)
+                flips = np.zeros(len(at), dtype=np.uint16)
+                for u, v in zip(p, q):
+                    flips += np.bitwise_count(u.take(i) ^ v.take(j))
+                real = np.flatnonzero(flips <= FLIPS)
                 i, j = i[real], j[real]
                 found.append((np.repeat(one[k], size)[j], first + i, there[j]))
     return tuple(np.concatenate(f) for f in zip(*found))
@@ -489,8 +546,7 @@ def _all_matches(bits: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarra
 def _links_of(parts: list[tuple]) -> tuple[list[int], list[int]]:
     """The links between images of different components in two blocks (or in one) that meet."""
     nodes, component = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    each = [c for p in parts for c in p[2]]
-    corners, ends = np.concatenate(each), np.cumsum([len(c) for c in each])
+    corners, ends = np.concatenate([p[2][1] for p in parts]), np.cumsum(np.concatenate([p[2][0] for p in parts]))
     bits = np.ascontiguousarray(np.ascontiguousarray(corners["bits"]).view("<u8").T)
     numbers = np.unique(component, return_inverse=True)[1]
     n, root, xs, ys = len(parts[0][0]), np.arange(len(numbers)), [], []
@@ -508,11 +564,11 @@ def _links_of(parts: list[tuple]) -> tuple[list[int], list[int]]:
             if xs:
                 apart = np.array([find(i) != find(j) for i, j in zip(numbers[x], numbers[y])], dtype=bool)
                 x, y = x[apart], y[apart]
-            of, p, q = _all_matches(bits, ends, x, y)
+            of, p, q = _all_matches(bits, ends, x, y, (parts[0][2][2], parts[-1][2][2]))
             # The smaller id first, as no order of blocks should matter.
             turned = (nodes[x] > nodes[y])[of]
             p, q = np.where(turned, (q, p), (p, q))
-            order = np.lexsort((q, p, of))
+            order = np.argsort((of * len(corners) + p) * len(corners) + q)
             of, p, q = of[order], p[order], q[order]
             found = []
             for part in _in_parts(np.bincount(of, minlength=len(x)), TRIED):
@@ -528,11 +584,21 @@ def _links_of(parts: list[tuple]) -> tuple[list[int], list[int]]:
 
 
 def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of each row's two blocks."""
+    """The links of each row's two blocks. The READY blocks used last are kept, as a block meets several in a task."""
+    ready: dict[int, tuple] = {}
     for batch in batches:
         for row in range(batch.num_rows):
-            same = batch["block_a"][row] == batch["block_b"][row]
-            xs, ys = _links_of([_block(pa.table({c: batch[f"{c}_{side}"][row].values for c in ("node", "component", "corners")})) for side in ("a" if same else "ab")])
+            parts = []
+            for side in "a" if batch["block_a"][row] == batch["block_b"][row] else "ab":
+                number = batch[f"block_{side}"][row].as_py()
+                block = ready.pop(number, None)
+                if block is None:
+                    while len(ready) >= READY:
+                        del ready[next(iter(ready))]
+                    block = _block(pa.table({c: batch[f"{c}_{side}"][row].values for c in ("node", "component", "corners")}))
+                ready[number] = block
+                parts.append(block)
+            xs, ys = _links_of(parts)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
         pa.default_memory_pool().release_unused()
 

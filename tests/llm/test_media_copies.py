@@ -191,3 +191,47 @@ def test_matches_of_many_pairs_equal_those_of_each(monkeypatch):
             got[x[k], y[k]].add((i - (ends[x[k]] - len(images[x[k]])), j - (ends[y[k]] - len(images[y[k]]))))
         assert len(of) == sum(map(len, got.values())) > 1000
         assert all(got[a, b] == set(zip(*M.matches(images[a], images[b]))) for a, b in got)
+
+
+def test_bits_are_counted_where_shadows_are_near_and_no_match_is_left_out(monkeypatch):
+    draw = np.random.default_rng(25)
+    real = np.concatenate([M.describe(M.write_image(scene_of(draw))) for _ in range(12)])
+    strange = np.zeros(200, dtype=M.CORNER)
+    strange["bits"] = np.packbits(draw.random((200, M.TESTS)) < draw.choice([0.0, 0.1, 0.5, 1.0], (200, 1)), axis=1)
+    own = np.concatenate([real, strange, real])
+    # copies with just as many flipped bits as a match may have, and with one more
+    flipped = np.unpackbits(own["bits"][-len(real) :], axis=1)
+    for k, row in enumerate(flipped):
+        row[draw.choice(M.TESTS, M.FLIPS + k % 2, replace=False)] ^= 1
+    own["bits"][-len(real) :] = np.packbits(flipped, axis=1)
+    bits = np.unpackbits(own["bits"], axis=1).astype(np.int64)
+    flips = (bits[:, None] != bits).sum(axis=2)
+    points = M._shadows(own)[:, : M.AXES].astype(np.float64)
+    apart = ((points[:, None] - points) ** 2).sum(axis=2)
+    assert (apart <= flips + 0.01).all() and (flips <= M.FLIPS).sum() > len(own)
+    n = len(real)
+    assert (apart[:n, :n] <= M.FLIPS + 0.2).mean() < 0.15
+    half, words = len(own) // 2, np.ascontiguousarray(np.ascontiguousarray(own["bits"]).view("<u8").T)
+    want = set(zip(*np.nonzero(flips[:half, half:] <= M.FLIPS)))
+    shadows = M._shadows(own)
+    for given in (None, (shadows, shadows), (shadows[:half], shadows[half:])):
+        of, p, q = M._all_matches(words, np.array([half, len(own)]), np.array([0]), np.array([1]), given)
+        assert len(p) == len(want) and set(zip(p, q - half)) == want
+
+
+def test_a_block_is_made_ready_once_for_the_blocks_that_it_meets_next(monkeypatch):
+    import pyarrow as pa
+
+    draw, made, block = np.random.default_rng(26), [], M._block
+    monkeypatch.setattr(M, "_block", lambda images: made.append(images["node"][0].as_py()) or block(images))
+    first = [M.describe(M.write_image(scene_of(draw))) for _ in range(4)]
+    columns = {}
+    for b in range(4):
+        moved = [c.copy() for c in first]
+        for c in moved:
+            c["y"], c["x"] = c["y"] + 2 * b, c["x"] - 3 * b
+        columns[b] = {"block": b, "node": [10 * b + i for i in range(4)], "component": [10 * b + i for i in range(4)], "corners": [c.tobytes() for c in moved]}
+    rows = [{f"{c}_{side}": v for side, number in zip("ab", pair) for c, v in columns[number].items()} for pair in ((0, 0), (0, 1), (0, 2), (0, 3))]
+    links = [link for b in M._linked_blocks(iter([pa.RecordBatch.from_pylist(rows[:2]), pa.RecordBatch.from_pylist(rows[2:])])) for link in zip(*b.to_pydict().values())]
+    assert sorted(links) == [(i, 10 * b + i) for i in range(4) for b in (1, 2, 3)]
+    assert made == [0, 10, 20, 30]
