@@ -56,15 +56,21 @@ def signed_paise(text: Column) -> Column:
     def number(s: Column) -> Column:
         s = F.regexp_replace(F.regexp_replace(s, r"(?i)\b[dc]r\b", ""), r"(?i)\brs\.?|\binr\b|\brupees\b|[₹$]", "")
         s = F.regexp_replace(F.regexp_replace(s, r"[,\s]", ""), r"^[.:]+", "")
-        return bound(s, lambda n: F.round(F.when(~n.isin("", "-", "."), n).try_cast("decimal(30,6)") * 100, 0).try_cast("bigint"))
+        # Text with a letter but for an exponent's is no number; failing casts are dear.
+        return bound(s, lambda n: paise(F.when(~n.isin("", "-", ".") & ~n.rlike("[A-DF-Za-df-z]"), n)))
+
+    def paise(n: Column) -> Column:
+        return F.round(n.try_cast("decimal(30,6)") * 100, 0).try_cast("bigint")
 
     def read(s: Column) -> Column:
         wrapped = s.startswith("(") & s.endswith(")")
         inner = F.struct(F.when(wrapped, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s).alias("s"), wrapped.alias("wrapped"))
         return bound(inner, lambda x: bound(number(x["s"]), lambda n: F.when(x["wrapped"] | F.upper(x["s"]).endswith("DR"), -F.abs(n)).otherwise(n)))
 
-    # Each step is bound, so that it is worked out once, and the code of a row of many cells stays small.
-    return bound(trimmed(text), read)
+    # Each step is bound, so that it is worked out once, and the code of a row of many cells stays small. Plain numbers are cast
+    # as they are; a letter that no mark and no exponent has is left in any case, so such text is no number.
+    plain = lambda s: paise(F.regexp_replace(s, r"^Rs\. ?|,", ""))
+    return bound(trimmed(text), lambda s: F.when(s.rlike(r"^(?:-|Rs\. ?)?[0-9][0-9,]*(?:\.[0-9]+)?$"), plain(s)).when(~s.rlike("(?i)[abf-hj-moqtv-z]"), read(s)))
 
 
 def rupees(paise: Column) -> Column:
@@ -153,9 +159,9 @@ def _without_suffixes(s: Column) -> Column:
 
 def merchant_key(raw: Column) -> Column:
     """The key that spellings of one merchant share; '' without a name. Suffixes are dropped until none is left."""
-    s = F.lower(trimmed(F.coalesce(raw, F.lit(""))))
-    s = F.regexp_replace(s, r"^([a-z0-9._-]{2,})@[a-z]{2,}$", "$1")
-    s = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[*_-]", " "), "[^a-z0-9@. ]", " "), r"\s+", " "))
+    s = F.lower(F.coalesce(raw, F.lit("")))
+    s = F.when(s.contains("@"), F.regexp_replace(trimmed(s), r"^([a-z0-9._-]{2,})@[a-z]{2,}$", "$1")).otherwise(s)
+    s = F.trim(F.regexp_replace(s, "[^a-z0-9@.]+", " "))
     # The order of dropping matters only where "pvt. ltd" has suffixes behind it: "pvt." alone is none.
     s = bound(s, lambda x: F.when(x.contains(" pvt. ltd "), _without_suffixes(x)).otherwise(F.regexp_replace(x, _SUFFIX, "")))
     s = F.regexp_replace(s, rf"^(?:{'|'.join(R.MERCHANT_PREFIXES)}) (?=.)", "")
@@ -177,7 +183,8 @@ def day_of(text: Column, formats: list[str]) -> Column:
     shapes = []
     for digits, year in ((2, "yy"), (4, "yyyy")):
         if plain:
-            shapes.append((rf"^(\d+)([{plain}])(\d+)\2(\d{{{digits}}})$", "$1-$3-$4", f"d-M-{year}"))
+            # A number above 99 is no day: of a day that the year leads, parsing would only fail.
+            shapes.append((rf"^(0*\d{{1,2}})([{plain}])(\d+)\2(\d{{{digits}}})$", "$1-$3-$4", f"d-M-{year}"))
         if named:
             shapes.append((rf"^(\d+)([{named}])(\p{{L}}+)\2(\d{{{digits}}})$", "$1-$3-$4", f"d-MMM-{year}"))
         if f"ddMMM{year}" in formats:
@@ -214,10 +221,10 @@ def narration_channel(text: Column) -> Column:
 
 def narration_merchant(text: Column) -> Column:
     """The part with most letters that is no scheme word, without 'payment to'; the first of equals."""
-    letters = lambda s: F.regexp_count(s, F.lit(r"\p{L}"))
+    letters = lambda s: F.length(F.regexp_replace(s, r"\P{L}+", ""))
     parts = F.transform(F.split(text, r"[/|:]"), trimmed)
-    usable = F.filter(parts, lambda s: (F.length(s) >= 3) & (letters(s) >= 3) & ~F.lower(s).isin(R.SCHEME_WORDS))
-    best = F.aggregate(usable, F.lit(""), lambda a, s: F.when(letters(s) > letters(a), s).otherwise(a))
+    rated = F.transform(parts, lambda s, i: F.struct(letters(s).alias("n"), (-i).alias("place"), s.alias("s")))
+    best = F.coalesce(F.array_max(F.filter(rated, lambda p: (p["n"] >= 3) & ~F.lower(p["s"]).isin(R.SCHEME_WORDS)))["s"], F.lit(""))
     return F.nullif(F.substring(trimmed(F.regexp_replace(best, r"(?i)^payment (?:to|from)\s+", "")), 1, 60), F.lit(""))
 
 

@@ -57,7 +57,7 @@ def _workbook(grids: pd.Series) -> pd.Series:
             z.writestr("xl/sharedStrings.xml", f'<sst {space}>{"".join(f"<si><t>{escape(s[:2])}</t><t>{escape(s[2:])}</t></si>" for s in shared)}</sst>')
         return buffer.getvalue()
 
-    return grids.map(one)
+    return grids.map(lambda grid: None if grid is None else one(grid))
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def statement_files(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(F.array_join(F.transform("grid", lambda r: F.array_join(F.transform(r, quoted), "\x01")), "\n"), F.lit("\x01"), separator)
     text = F.when(c % 3 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
     plain = F.encode(F.concat(F.when(c % _MARK == 0, "﻿").otherwise(""), text), "UTF-8")
-    made = grids.select("customer", F.when(c % _SHEET == 0, _workbook("grid")).otherwise(plain).alias("content"))
+    made = grids.select("customer", F.when(c % _SHEET == 0, _workbook(F.when(c % _SHEET == 0, F.col("grid")))).otherwise(plain).alias("content"))
     name = F.concat(F.lpad(c.cast("string"), 9, "0"), F.when(c % _SHEET == 0, ".xlsx").otherwise(".csv"))
     folders = F.when(c % _AGAIN == 1, F.array(F.lit("a/"), F.lit("b/"))).otherwise(F.array(F.lit("a/")))
     return made.select(F.explode(folders).alias("folder"), name.alias("name"), "content").select(F.concat("folder", "name").alias("path"), "content")
@@ -113,9 +113,9 @@ judged AS (SELECT rec.*, CASE WHEN again THEN 'duplicate message' WHEN run.kept
 
 
 def _taken(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, ingest.Batch]:
-    files = statement_files(spark, d)
-    found = records.of_statements(statements.rows_of(files, A.ZONE))
-    return files, found, ingest.records_in(found, *_empty(spark), A.ZONE, _know(spark))
+    rows, reports = statements.taken(statement_files(spark, d), A.ZONE)
+    found = records.of_statements(rows)
+    return reports, found, ingest.records_in(found, *_empty(spark), A.ZONE, _know(spark))
 
 
 @query("q_statement_rows", f"WITH {_STATEMENTS} SELECT path, row_no, day, amount_paise, direction, ref_no, merchant_norm, channel, k * 100 AS balance_paise FROM rec")
@@ -146,8 +146,8 @@ SELECT path, n_rows, (SELECT count(*) FROM judged j WHERE j.path = f.path AND ou
 )
 def import_reports(spark, d):
     """For each file: rows, new ones, known ones, unreadable ones."""
-    files, found, batch = _taken(spark, d)
-    return records.reports(statements.reports_of(files, A.ZONE), found, batch.outcomes)
+    reports, found, batch = _taken(spark, d)
+    return records.reports(reports, found, batch.outcomes)
 
 
 def ledger_files(spark: SparkSession, d: str) -> DataFrame:

@@ -41,7 +41,7 @@ def rows_of(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
 
     Rows: path, row_no, raw_line and what ``imported`` adds. Reports: path, n_rows, n_skipped and what is wrong with a file.
     """
-    grids = files.select("path", statements.grid_of("content").alias("grid"), F.hex("content").rlike("^(?:EFBBBF)?(?:0[9A-D]|20)*$").alias("blank"))
+    grids = statements.grids_of(files.select("path", F.hex("content").rlike("^(?:EFBBBF)?(?:0[9A-D]|20)*+$").alias("blank"), "content"))
     header = F.transform(F.get("grid", F.lit(0)), lambda c: F.lower(X.trimmed(c)))
     named = grids.withColumn("header", header)
     lacks = lambda c: ~F.coalesce(F.array_contains("header", c), F.lit(False))

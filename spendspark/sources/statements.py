@@ -1,25 +1,31 @@
 """Statement files to transactions: CSV, TSV and spreadsheets.
 
-A file becomes a grid of cells in a vectorised Python function, one file at a time; everything after that (finding the
-header, matching columns, reading days, money and names) is native columns over the grid, exploded into rows.
+A file becomes a grid of cells in Python, one file at a time, and grids leave it in batches of bounded size; everything after
+that (finding the header, matching columns, reading days, money and names) is native columns over the grid, exploded into rows.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.functions import text as X
+from spendspark.store import written
 
+#: Grids are handed on once they hold so many cells; a larger grid is a batch of its own.
+CELLS_AT_ONCE = 20_000
 DELIMITERS, SAMPLE_LINES, HEADER_DEPTH = ",\t;|", 20, 30
-_SPACE = re.compile(r"\s+")
+_LINE_END = re.compile(r"\r\n|\r|\n")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +67,26 @@ def delimiter(text: Column) -> Column:
 
 def csv_grid(text: str, delimiter: str) -> list[list[str]]:
     """Rows of trimmed fields; quotes open anywhere, a doubled quote is one, rows without any text are dropped."""
+    lines = _LINE_END.split(text)
+    if '"' in text and any(line.count('"') % 2 for line in lines):
+        return _scanned(text, delimiter)  # some field goes on in the next line
+    rows = []
+    for line in lines:
+        if '"' not in line:
+            cells = line.split(delimiter)
+        elif '""' in line or "\0" in line:
+            rows += _scanned(line, delimiter)
+            continue
+        else:  # quoted stretches stand at odd places
+            cells = "".join(s if i % 2 else s.replace(delimiter, "\0") for i, s in enumerate(line.split('"'))).split("\0")
+        cells = [c.strip() for c in cells]
+        if any(cells):
+            rows.append(cells)
+    return rows
+
+
+def _scanned(text: str, delimiter: str) -> list[list[str]]:
+    """As ``csv_grid``, token by token."""
     rows, row, quoted, at = [], [], False, 0
     field: list[str] = []
     token = re.compile(rf'[^"\r\n{re.escape(delimiter)}]+|""|"|\r\n|\r|\n|{re.escape(delimiter)}')
@@ -121,26 +147,47 @@ def xlsx_grid(content: bytes) -> list[list[str]] | None:
         return None
 
 
-def grid_of(content: Column | str) -> Column:
-    """Cells of each file; null for a spreadsheet that can't be read."""
+def _nested(grids: list[list[list[str]] | None]) -> pa.Array:
+    """Grids as an Arrow array of lists of lists."""
+    known = [g or [] for g in grids]
+    ends = lambda lists: pa.array([0, *itertools.accumulate(map(len, lists))], pa.int32())
+    rows = [r for g in known for r in g]
+    cells = pa.ListArray.from_arrays(ends(rows), pa.array([c for r in rows for c in r], pa.string()))
+    return pa.ListArray.from_arrays(ends(known), cells, mask=pa.array([g is None for g in grids], pa.bool_()))
+
 
+def grids_of(read: DataFrame) -> DataFrame:
+    """Column ``content`` of files as ``grid``, the cells of each; null for a spreadsheet that can't be read. A task holds the
+    grids of some files at a time, however many it reads."""
+    rest = [c for c in read.columns if c != "content"]
+    schema = T.StructType([*[read.schema[c] for c in rest], T.StructField("grid", T.ArrayType(T.ArrayType(T.StringType())))])
+    return read.select(*rest, "content").mapInArrow(_reader(rest), schema)
+
+
+def _reader(rest: list[str]):
     def one(raw: bytes | None) -> list[list[str]] | None:
-        raw = bytes(raw or b"")
+        raw = raw or b""
         if raw[:2] == b"PK" and len(raw) >= 4:
             return xlsx_grid(raw)
         text = raw.decode("utf-8", "replace").removeprefix("﻿")
         return csv_grid(text, delimiter_of(text))
 
-    @F.pandas_udf("array<array<string>>")
-    def read(contents: pd.Series) -> pd.Series:
-        return contents.map(one)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, grids, cells = 0, [], 0
+            for i, content in enumerate(batch["content"], 1):
+                grids.append(one(content.as_py()))
+                cells += sum(map(len, grids[-1] or []))
+                if cells >= CELLS_AT_ONCE or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*[batch[c].slice(start, len(grids)) for c in rest], _nested(grids)], names=[*rest, "grid"])
+                    start, grids, cells = i, [], 0
 
-    return read(content)
+    return work
 
 
 def _any_key(cell: Column, keys: list[str]) -> Column:
     hit = F.lit(False)
-    for k in keys:
+    for k in [k for k in keys if not any(o in k for o in keys if o != k)]:  # what holds a longer key holds the shorter
         hit = hit | F.contains(cell, F.lit(k))
     return hit
 
@@ -155,13 +202,14 @@ def _column(header: Column, keys: list[str]) -> Column:
 def with_header(grids: DataFrame) -> DataFrame:
     """Adds header_at (0-based, null without a header), header (lower case) and problem to a column ``grid``."""
     everything = R.DATE_KEYS + R.NARRATION_KEYS + R.DEBIT_KEYS + R.CREDIT_KEYS + R.AMOUNT_KEYS + R.BALANCE_KEYS + R.REF_KEYS
-    low = F.transform(F.slice("grid", 1, HEADER_DEPTH), lambda row: F.transform(row, lambda c: F.lower(X.trimmed(c))))
+    low = F.transform(F.slice("grid", 1, HEADER_DEPTH), lambda row: F.transform(row, F.lower))
 
     def rate(row: Column) -> Column:
         fits = F.exists(row, lambda c: _any_key(c, R.DATE_KEYS)) & F.exists(row, lambda c: _any_key(c, R.DEBIT_KEYS + R.CREDIT_KEYS + R.AMOUNT_KEYS))
-        return F.when(fits, F.size(F.filter(row, lambda c: (c != "") & _any_key(c, everything)))).otherwise(0)
+        return F.when(fits, F.size(F.filter(row, lambda c: _any_key(c, everything)))).otherwise(0)
 
-    rated = grids.withColumn("__rates", F.transform(low, rate))
+    # A generated row is worked out once; a filter on what it gives stays behind it.
+    rated = grids.select("*", F.explode(F.array(F.transform(low, rate))).alias("__rates"))
     found = F.when(F.array_max("__rates") > 0, F.array_position("__rates", F.array_max("__rates")) - 1).cast("int")
     problem = F.when(F.col("grid").isNull(), "Couldn't read that spreadsheet").when(F.size("grid") == 0, "No rows found").when(F.col("header_at").isNull(), "Couldn't find a header row with a date and an amount column")
     out = rated.withColumn("header_at", found).withColumn("header", F.transform(F.get("grid", F.col("header_at")), lambda c: F.lower(X.trimmed(c))))
@@ -170,13 +218,23 @@ def with_header(grids: DataFrame) -> DataFrame:
 
 def statement_rows(grids: DataFrame, zone: str) -> DataFrame:
     """One row for each row below a header: the transaction's fields, or ``skipped`` without a day or an amount."""
+    return _told(all_rows(grids, zone))
+
+
+def _told(every: DataFrame) -> DataFrame:
+    return every.where("row_no IS NOT NULL").drop("problem")
+
+
+def all_rows(grids: DataFrame, zone: str) -> DataFrame:
+    """As ``statement_rows``, with ``problem`` of the file; a file without rows is one row that has no row_no."""
     named = with_header(grids)
     columns = {n: _column(F.col("header"), k) for n, k in (("day", R.DATE_KEYS), ("narration", R.NARRATION_KEYS), ("debit", R.DEBIT_KEYS), ("credit", R.CREDIT_KEYS), ("amount", R.AMOUNT_KEYS), ("balance", R.BALANCE_KEYS), ("ref", R.REF_KEYS))}
-    placed = named.where("problem IS NULL").withColumns({f"__{n}": c for n, c in columns.items()})
-    rest = [c for c in grids.columns if c != "grid"]
-    rows = placed.select(*rest, *[f"__{n}" for n in columns], F.posexplode(F.slice("grid", F.col("header_at") + 2, F.greatest(F.size("grid"), F.lit(1)))).alias("row_no", "cells"))
+    placed = named.withColumns({f"__{n}": c for n, c in columns.items()})
+    rest = [*[c for c in grids.columns if c != "grid"], "problem"]
+    below = F.when(F.col("problem").isNull(), F.slice("grid", F.col("header_at") + 2, F.greatest(F.size("grid"), F.lit(1))))
+    rows = placed.select(*rest, *[f"__{n}" for n in columns], F.posexplode_outer(below).alias("row_no", "cells"))
     cell = {n: F.get("cells", F.col(f"__{n}")) for n in columns}
-    money = lambda n: F.nullif(X.signed_paise(cell[n]), F.lit(0).cast("bigint"))
+    money = lambda n: X.bound(X.signed_paise(cell[n]), lambda p: F.when(p != 0, p))
     signed = F.coalesce(-F.abs(money("debit")), F.abs(money("credit")), money("amount"))
     narration = F.coalesce(cell["narration"], F.lit(""))
     own_ref = F.when(~F.coalesce(X.trimmed(cell["ref"]), F.lit("")).isin("", "-"), cell["ref"])
@@ -201,15 +259,27 @@ def reports(spark: SparkSession, path: str, zone: str) -> DataFrame:
 
 def rows_of(read: DataFrame, zone: str) -> DataFrame:
     """Transactions of statement files (path, content)."""
-    some = read.withColumn("kind", kind_of(F.col("content"))).where("kind IN ('text', 'xlsx')")
-    return statement_rows(some.select("path", grid_of("content").alias("grid")), zone)
+    return _told(_read(read, zone)).drop("kind")
+
+
+def _read(read: DataFrame, zone: str) -> DataFrame:
+    """All rows of files (path, content), with the kind of each file; a file of another kind is not read."""
+    kind = kind_of(F.col("content"))
+    return all_rows(grids_of(read.select("path", kind.alias("kind"), F.when(kind.isin("text", "xlsx"), F.col("content")).alias("content"))), zone)
 
 
 def reports_of(read: DataFrame, zone: str) -> DataFrame:
     """For each file (path, content): data rows, readable and skipped ones, and what is wrong with a file that has none."""
-    read = read.withColumn("kind", kind_of(F.col("content")))
-    grids = read.select("path", "kind", F.when(F.col("kind").isin("text", "xlsx"), grid_of("content")).alias("grid"))
-    named = with_header(grids).select("path", F.when(F.col("kind") == "empty", "File is empty").when(F.col("kind") == "xls", "Old .xls format: save it as .xlsx or CSV").otherwise(F.col("problem")).alias("problem"))
-    rows = statement_rows(grids.where("grid IS NOT NULL").select("path", "grid"), zone).groupBy("path").agg(F.count("*").alias("n_rows"), F.count_if("skipped").alias("n_skipped"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return named.join(rows, "path", "left").select("path", zero("n_rows"), (F.coalesce("n_rows", F.lit(0)) - F.coalesce("n_skipped", F.lit(0))).alias("n_read"), zero("n_skipped"), "problem")
+    return _counted(_read(read, zone))
+
+
+def _counted(every: DataFrame) -> DataFrame:
+    problem = F.when(F.col("kind") == "empty", "File is empty").when(F.col("kind") == "xls", "Old .xls format: save it as .xlsx or CSV").otherwise(F.col("problem"))
+    files = every.groupBy("path").agg(F.count("row_no").alias("n_rows"), F.count_if(F.col("skipped") & F.col("row_no").isNotNull()).alias("n_skipped"), F.max(problem).alias("problem"))
+    return files.select("path", "n_rows", (F.col("n_rows") - F.col("n_skipped")).alias("n_read"), "n_skipped", "problem")
+
+
+def taken(read: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Transactions and reports of statement files (path, content), both from one reading that is written to the shared folder."""
+    every = written(_read(read, zone), "statements")
+    return _told(every).drop("kind"), _counted(every)
