@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendspark import rules as R
+from spendspark.store import written
 
 #: What decides on a row: it came before or has a reference (kept in any case), an exact time, or a mere day.
 PINNED, EXACT, DAILY = "pinned", "exact", "daily"
@@ -47,6 +48,7 @@ def chains(rows: DataFrame, gap_ms: int) -> DataFrame:
     at, point = F.col("occurred_at"), F.when(F.col("kind") != DAILY, F.col("occurred_at"))
     fresh = F.when(F.max((F.col("kind") == DAILY).cast("int")).over(within) == 1, 0).otherwise((at - F.lag(at).over(by_time) > gap_ms).cast("int"))
     cut = rows.withColumn("fresh", F.coalesce(fresh, F.lit(0))).withColumn("part", F.sum("fresh").over(by_time)).drop("fresh")
+    cut = written(cut, "parts")  # it meets its own days
     days = cut.groupBy(*_KEY, "day").agg(F.max("part").alias("last_part"), F.min(point).alias("first_at"), F.max(point).alias("last_at"))
     over = Window.partitionBy(*_KEY).orderBy("day")
     linked = F.coalesce(F.col("first_at") - F.lag("last_at").over(over) <= gap_ms, F.lit(False))

@@ -76,8 +76,8 @@ def _of_days(store: DataFrame, ms: DataFrame, around: int = 0) -> DataFrame:
     return store.where(F.col("stored_day").isin(sorted({d + k for d in days for k in range(-around, around + 1)}))).drop("stored_day")
 
 
-def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledge, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """New transactions among parsed observations, and the ids of those that are known already.
+def persisted(rows: DataFrame, store: DataFrame, zone: str, know: Knowledge, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New transactions among parsed observations, their ids, and the ids of those that are known already.
 
     A reference decides alone: seen before, in the store or the batch, it is a duplicate; unseen, it is new. Without one, an
     exact time is compared within minutes, a mere day by its number of occurrences; both kinds of rows, which a file may hold,
@@ -86,10 +86,9 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
     A store that is laid out by day (stored_day) is read for the days of the batch alone, and references from ``refs`` (ref_no,
     ref_bucket), of which only the batch's buckets are read; without it from the store.
 
-    candidates: id, seq (order of arrival), came, exact_time, body, FIELDS, and optionally preset_category, preset_source and run
-    (the file of a row: occurrences are counted within it).
+    rows (read several times, so written before): id, seq (order of arrival), came, exact_time, body, FIELDS, and optionally
+    preset_category, preset_source and run (the file of a row: occurrences are counted within it).
     """
-    rows = written(candidates, "candidates")
     with_ref, bare = rows.where("ref_no IS NOT NULL"), rows.where("ref_no IS NULL")
     first = with_ref.groupBy("ref_no").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
     if refs is None:
@@ -121,14 +120,14 @@ def persisted(candidates: DataFrame, store: DataFrame, zone: str, know: Knowledg
     txns = placed.select(
         "id", F.col("id").alias("raw_id"), *FIELDS, "category", "category_source", "confidence", "needs_review", "place", "loc_age_ms", "loc_confidence", F.lit(VERSION).alias("parser_version")
     )
-    return txns, rows.select("id").join(kept, "id", "left_anti")
+    return txns, kept, rows.select("id").join(kept, "id", "left_anti")
 
 
 def _replayed(messages: DataFrame, store: DataFrame, zone: str, know: Knowledge, seq: Column, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New transactions of stored messages, and marks (id, parsed, reject_reason, parser_version) of all of them."""
     read = written(parse.parsed(messages.select("id", seq.alias("seq"), "sender", "body", "received_at"), zone, rules=know.rules), "parsed")
     good = read.where("reject_reason IS NULL").select("id", "seq", F.col("received_at").alias("came"), F.lit(True).alias("exact_time"), "body", *FIELDS)
-    txns, known = persisted(good, store, zone, know, refs)
+    txns, _, known = persisted(good, store, zone, know, refs)
     txns = written(txns, "transactions")
     mark = lambda df, parsed, reason: df.select("id", F.lit(parsed).alias("parsed"), reason.alias("reject_reason"), F.lit(VERSION).alias("parser_version"))
     marks = mark(read.where("reject_reason IS NOT NULL"), False, F.col("reject_reason")).unionByName(mark(known, False, F.lit("duplicate txn"))).unionByName(mark(txns, True, F.lit(None).cast("string")))
@@ -155,13 +154,15 @@ def records_in(records: DataFrame, raw: DataFrame, store: DataFrame, zone: str,
     """Rows of files: id (in order of arrival, unseen), source, origin, raw_line, exact_time, FIELDS and presets, and ``run``, the
     file of a row: occurrences of a day are counted from 1 in each file. Without it all rows are of one file."""
     named = records.withColumn("fingerprint", parse.fingerprint(F.col("origin"), F.col("raw_line"), F.col("occurred_at")))
-    first = written(dedupe.new_only(dedupe.first_of(named, "fingerprint", "id"), _of_days(raw, named.select("occurred_at")), "fingerprint"), "records")
+    # Fingerprints meet with ids alone; whole rows are only looked up.
+    ids = named.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    new = dedupe.new_only(ids, _of_days(raw, named.select("occurred_at")), "fingerprint").select("id")
+    first = written(named.join(new, "id", "left_semi"), "records")
     again = named.select("id").join(first.select("id"), "id", "left_anti").select("id", F.lit("duplicate message").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     presets = [c for c in ("preset_category", "preset_source", "run") if c in records.columns]
-    txns, known = persisted(first.select("id", F.col("id").alias("seq"), F.col("occurred_at").alias("came"), "exact_time", F.col("raw_line").alias("body"), *FIELDS, *presets), store, zone, know or Knowledge(), refs)
-    txns = written(txns, "transactions")
+    txns, kept, known = persisted(first.select("id", F.col("id").alias("seq"), F.col("occurred_at").alias("came"), "exact_time", F.col("raw_line").alias("body"), *FIELDS, *presets), store, zone, know or Knowledge(), refs)
     mark = lambda df, parsed, reason: df.select("id", F.lit(parsed).alias("parsed"), F.lit(reason).cast("string").alias("reject_reason"), F.lit(VERSION).alias("parser_version"))
-    marks = mark(known, False, "duplicate txn").unionByName(mark(txns, True, None))
+    marks = mark(known, False, "duplicate txn").unionByName(mark(kept, True, None))
     rows = first.select("id", "source", F.col("origin").alias("sender"), F.col("raw_line").alias("body"), F.col("occurred_at").alias("received_at"), "fingerprint")
     outcomes = marks.select("id", F.when(F.col("parsed"), "inserted").otherwise("duplicate transaction").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     return Batch(ledger.marked(ledger.reset(rows), marks), txns, again.unionByName(outcomes))

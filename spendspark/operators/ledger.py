@@ -6,12 +6,8 @@ of a transaction with category, category_source, confidence, needs_review. Each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendspark import rules as R
 from spendspark.store import written
@@ -119,18 +115,9 @@ def ordered(rows: DataFrame, by: str) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str], start: int = 1, name: str = "id") -> DataFrame:
     """Running numbers in ``order``: sorted in ranges, counted in each, and the counts (one a range) added up before them."""
     kept = [c for c in rows.columns if c != name]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("__range", T.IntegerType()), T.StructField("__row", T.LongType())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64())], names=schema.names)
-            n += b.num_rows
-
-    # Written, so that ranges are drawn once.
-    placed = written(rows.select(*kept).orderBy(*order).mapInArrow(count, schema), "numbered")
+    # Written, so that ranges are drawn once. The id holds the range in its upper bits and the row within it in the lower 33.
+    sorted_ = written(rows.select(*kept).orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = sorted_.withColumns({"__range": F.shiftright("__at", 33).cast("int"), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
     at, before = start, []
     for r in placed.groupBy("__range").count().orderBy("__range").collect():
         before.append((r["__range"], at))
