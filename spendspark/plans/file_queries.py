@@ -179,7 +179,7 @@ judged AS (SELECT r.*, coalesce(f.kept, false) AS kept FROM r LEFT JOIN fold f O
 
 
 def _ledger_taken(spark: SparkSession, d: str) -> tuple[DataFrame, ingest.Batch]:
-    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE)
+    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE, once=True)
     found = records.of_ledger_files(rows)
     return found, ingest.records_in(found, *_empty(spark), A.ZONE, _know(spark))
 
@@ -188,7 +188,7 @@ def _ledger_taken(spark: SparkSession, d: str) -> tuple[DataFrame, ingest.Batch]
   CASE WHEN k % 6 = 0 THEN 'USER' END AS preset_source FROM r""")
 def ledger_file_rows(spark, d):
     """Rows of ledger files: times, days, signs, labels outside the set."""
-    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE)
+    rows, _ = ledger_csv.rows_of(ledger_files(spark, d), A.ZONE, once=True)
     return records.of_ledger_files(rows).select("balance_paise", "amount_paise", "direction", "occurred_at", "exact_time", "account_tail", "ref_no", "merchant_norm", "channel", "preset_category", "preset_source")
 
 

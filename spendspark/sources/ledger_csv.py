@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendspark import rules as R
 from spendspark.functions import text as X
 from spendspark.sources import statements
+from spendspark.store import written
 
 
 def lines(txns: DataFrame, zone: str, with_time: bool = False) -> DataFrame:
@@ -35,9 +36,9 @@ def read(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFram
     return rows_of(statements.files(spark, path), zone)
 
 
-def rows_of(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and reports of ledger files (path, content). A file is one cell until it is cut into rows, so it has to fit a task;
-    files of no bytes are passed over by the source.
+def rows_of(files: DataFrame, zone: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows and reports of ledger files (path, content); with ``once`` both from one reading, written to the shared folder. A
+    file is one cell until it is cut into rows, so it has to fit a task; files of no bytes are passed over by the source.
 
     Rows: path, row_no, raw_line and what ``imported`` adds. Reports: path, n_rows, n_skipped and what is wrong with a file.
     """
@@ -50,11 +51,13 @@ def rows_of(files: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
         .when(lacks("occurred_at"), "Missing 'occurred_at' column").when(lacks("amount_inr"), "Missing 'amount_inr' column")
     )
     named = named.withColumn("problem", problem)
-    cells = named.where("problem IS NULL").select("path", "header", F.posexplode(F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1)))).alias("row_no", "cells"))
-    rows = imported(cells.withColumn("raw_line", F.array_join("cells", " | ")), zone)
-    counts = rows.groupBy("path").agg(F.count("*").alias("n"), F.count_if("skipped").alias("s"))
-    zero = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
-    return rows.drop("header", "cells"), named.join(counts, "path", "left").select("path", zero("n", "n_rows"), zero("s", "n_skipped"), "problem")
+    # A file without rows is one row that has no row_no.
+    below = F.when(F.col("problem").isNull(), F.slice("grid", 2, F.greatest(F.size("grid"), F.lit(1))))
+    cells = named.select("path", "header", "problem", F.posexplode_outer(below).alias("row_no", "cells"))
+    every = imported(cells.withColumn("raw_line", F.array_join("cells", " | ")), zone).drop("header", "cells")
+    every = written(every, "ledger-rows") if once else every
+    reports = every.groupBy("path").agg(F.count("row_no").alias("n_rows"), F.count_if(F.col("skipped") & F.col("row_no").isNotNull()).alias("n_skipped"), F.max("problem").alias("problem"))
+    return every.where("row_no IS NOT NULL").drop("problem"), reports
 
 
 def imported(rows: DataFrame, zone: str) -> DataFrame:
@@ -63,13 +66,16 @@ def imported(rows: DataFrame, zone: str) -> DataFrame:
     A direction that is missing comes from the sign; a category outside the label set is dropped; a stamp without a time
     counts as local noon and is not exact.
     """
-    cell = lambda name: F.nullif(X.trimmed(F.get("cells", (F.array_position("header", name) - 1).cast("int"))), F.lit(""))
+    known = ["occurred_at", "amount_inr", "direction", "merchant", "category", "category_source", "channel", "account_tail", "reference", "balance_inr"]
+    read = lambda name: F.nullif(X.trimmed(F.get("cells", (F.array_position("header", name) - 1).cast("int"))), F.lit(""))
+    cut = rows.select("*", *[read(n).alias(f"__{n}") for n in known])
+    cell = lambda name: F.col(f"__{name}")
     stamp, paise = cell("occurred_at"), X.signed_paise(cell("amount_inr"))
     exact = F.coalesce(*[F.try_to_timestamp(F.concat(F.regexp_replace(stamp, "T", " "), F.lit(tail))) for tail in (":00", "")])
     local = F.when(stamp.rlike(r"\d:\d"), F.unix_millis(F.coalesce(exact)))
     way = F.upper(cell("direction"))
-    out = rows.select(
-        "*", F.coalesce(X.from_local_ms(local, zone), X.from_local_ms(X.day_ms(X.file_day(stamp)) + R.DAY_MS // 2, zone)).alias("occurred_at"), local.isNotNull().alias("exact_time"),
+    out = cut.select(
+        *rows.columns, F.coalesce(X.from_local_ms(local, zone), X.from_local_ms(X.day_ms(X.file_day(stamp)) + R.DAY_MS // 2, zone)).alias("occurred_at"), local.isNotNull().alias("exact_time"),
         F.abs(paise).alias("amount_paise"), F.when(way.isin("DEBIT", "CREDIT"), way).otherwise(F.when(paise < 0, "DEBIT").otherwise("CREDIT")).alias("direction"),
         cell("merchant").alias("merchant_raw"), F.nullif(X.merchant_key(cell("merchant")), F.lit("")).alias("merchant_norm"), X.ref_key(cell("reference")).alias("ref_no"), cell("account_tail").alias("account_tail"),
         X.one_of(F.upper(cell("channel")), "channel").alias("channel"), X.signed_paise(cell("balance_inr")).alias("balance_paise"),

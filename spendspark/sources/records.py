@@ -14,7 +14,8 @@ from spendspark.operators import ingest, ledger
 
 
 def _named(rows: DataFrame, source: str, more: dict, start: int) -> DataFrame:
-    """Readable rows with ids in order; fields that the kind of file lacks are null."""
+    """Readable rows with ids in order; fields that the kind of file lacks are null. Rows are sorted in ranges, so they are read
+    twice: give written ones (``statements.taken``, ``ledger_csv.rows_of`` with ``once``)."""
     good = rows.where("NOT skipped").select("path", "row_no", *[c for c in rows.columns if c not in ("path", "row_no", "skipped")])
     none = {c: F.lit(None).cast("bigint" if c in ("amount_paise", "balance_paise", "occurred_at") else "string") for c in ingest.FIELDS if c not in rows.columns}
     # A file's origin is its name, wherever it lies.

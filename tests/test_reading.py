@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spendspark.functions import text as X
+from spendspark.operators import ingest, ledger
+from spendspark.sources import ledger_csv, records
 from spendspark.sources import statements as S
 
 
@@ -47,6 +49,28 @@ def test_statements_are_read_once(spark):
     assert plan(lazy.where("NOT skipped")).count("MapInArrow") == 1
 
 
+def test_ledger_files_are_read_once(spark):
+    files = {"a.csv": "occurred_at,amount_inr\n2026-05-08,-3.50\nx,1\n", "b.csv": " \n", "c.csv": "occurred_at,amount_inr\n", "d.csv": "x,y\n1,2\n"}
+    read = spark.createDataFrame([(n, x.encode()) for n, x in files.items()], "path string, content binary")
+    rows, reports = ledger_csv.rows_of(read, "UTC", once=True)
+    assert not any("MapInArrow" in plan(df) for df in (rows, reports)) and plan(ledger_csv.rows_of(read, "UTC")[0].where("NOT skipped")).count("MapInArrow") == 1
+    assert {r.path: (r.n_rows, r.n_skipped, r.problem) for r in reports.collect()} == {"a.csv": (2, 1, None), "b.csv": (0, 0, "File is empty"), "c.csv": (0, 0, "No data rows"), "d.csv": (0, 0, "Missing 'occurred_at' column")}
+    assert [(r.amount_paise, r.direction) for r in rows.where("NOT skipped").collect()] == [(350, "DEBIT")]
+
+
+def test_numbers_and_batches_need_no_python(spark):
+    many = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("id")).repartition(7)
+    got = ledger.numbered(many, ["v"], start=3)
+    assert "Arrow" not in plan(got) and all(r.id == r.v + 3 for r in got.collect())
+    raw = spark.createDataFrame([], "id long, source string, sender string, body string, received_at long, fingerprint string, parsed boolean, reject_reason string, parser_version int")
+    store = spark.createDataFrame([], "id long, ref_no string, occurred_at long, amount_paise long, direction string, account_tail string")
+    text = "Date,Narration,Withdrawal Amt,Deposit Amt\n08/05/26,Shop,2.00,\n08/05/26,Shop,2.00,\n08/05/26,Other Shop,2.00,\n"
+    rows, _ = S.taken(spark.createDataFrame([("a/x.csv", text.encode()), ("b/x.csv", text.encode())], "path string, content binary"), "UTC")
+    batch = ingest.records_in(records.of_statements(rows), raw, store, "UTC")
+    assert sorted((r.id, r.outcome) for r in batch.outcomes.collect()) == [(1, "inserted"), (2, "duplicate message"), (3, "inserted"), *[(i, "duplicate message") for i in (4, 5, 6)]]
+    assert sorted(r.id for r in batch.txns.collect()) == [1, 3] and {r.id: r.parsed for r in batch.raw.collect()} == {1: True, 3: True}
+
+
 def test_money_that_is_none(spark):
     cases = {"UPI/77/Shop": None, "Rs. 1,234.50": 123450, "Rs 5": 500, "(Rs. 2.00)": -200, "3 DR": -300, "rupees 4": 400, "1e2": 10000, "12.345": 1235, "-0.5": -50, "Rs.7 cr": 700, "dr": None, "ATM 1": None}
     out = spark.createDataFrame([(k,) for k in cases], "v string").select("v", X.signed_paise(F.col("v")).alias("p")).collect()
